@@ -642,13 +642,13 @@ def resolve_conflict(spark, sf):
 
 @query(
     "sentiment_fallback",
-    WITH_PREDS + f", {MODEL} SELECT ticker, {fxs('greatest(0.05, least(0.95, 0.5 + 0.3 * avg_sentiment))', 3)} AS ml_probability_up, {fxs('0.6 * abs(avg_sentiment)', 3)} AS ml_confidence, srec AS recommendation FROM merged WHERE mp IS NULL",
+    WITH_PREDS + f", {MODEL} SELECT ticker, {fxs('greatest(0.05, least(0.95, 0.5 + 0.3 * avg_sentiment))', 4)} AS ml_probability_up, {fxs('0.6 * abs(avg_sentiment)', 4)} AS ml_confidence, srec AS recommendation FROM merged WHERE mp IS NULL",
 )
 def sentiment_fallback(spark, sf):
     from tapewire.operators.joins import merge_model_scores
 
     out = merge_model_scores(preds(spark, sf), _model(spark, sf)).where("ml_source = 'sentiment-only'")
-    return fix(out.select("ticker", "ml_probability_up", "ml_confidence", "recommendation"), "ml_probability_up", "ml_confidence", digits=3)
+    return fix(out.select("ticker", "ml_probability_up", "ml_confidence", "recommendation"), "ml_probability_up", "ml_confidence", digits=4)
 
 
 def _model(spark, sf):

@@ -14,7 +14,6 @@ TIME_FORMATS = (
     "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd'T'HH:mm:ss",
     "yyyy-MM-dd HH:mm:ss",
-    "EEE, d MMM yyyy HH:mm:ss Z",
     "d MMM yyyy HH:mm:ss Z",
     "yyyyMMdd'T'HHmmss'Z'",
     "yyyy-MM-dd",
@@ -74,7 +73,9 @@ def parse_time(columns: Sequence[Column], relative_to: Column | None = None) ->
     """
     tries = []
     for c in columns:
-        t = F.trim(c)
+        # mail-style times: the weekday says nothing new, zone names become offsets
+        t = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3,9}, +", "")
+        t = F.regexp_replace(t, r" (GMT|UTC|Z)$", " +0000")
         tries += [F.try_to_timestamp(t, F.lit(f)) for f in TIME_FORMATS]
         if relative_to is not None:
             day = F.to_date(relative_to)

@@ -76,14 +76,12 @@ def term_hits(df: DataFrame, text: str, terms: DataFrame, key: str, max_words: i
     """
     tokens = F.split(F.trim(padded(F.col(text))), " ")
     df = df.select(key, tokens.alias("_t"))
-    grams = [
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1))),
-            lambda i, n=n: F.array_join(F.slice(F.col("_t"), i, n), " "),
-        )
-        for n in range(1, max_words + 1)
-    ]
-    all_grams = F.array_distinct(F.concat(*grams))
+
+    def groups(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_t") - (n - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(F.col("_t"), i, n), " "))
+
+    all_grams = F.array_distinct(F.concat(*[groups(n) for n in range(1, max_words + 1)]))
     return dim_join(df.select(key, F.explode(all_grams).alias("term")), terms, ["term"], "inner")
 
 
@@ -129,7 +127,8 @@ def keep_relevant(df: DataFrame, floor: float = 0.25) -> DataFrame:
     return df.where(wanted & ~F.col("is_irrelevant"))
 
 
-SYMBOL = r"(?<![A-Z0-9])\$?([A-Z]{1,5}(?:[.\-][A-Z])?)(?![A-Z0-9])"
+# one to five letters, optionally a one-letter share class, not inside a longer word
+SYMBOL = r"(?<![\p{L}\p{N}])([A-Z]{1,5}(?:[.\-][A-Z])?)(?![\p{L}\p{N}])"
 
 
 def symbol_tokens(c: Column, pattern: str = SYMBOL) -> Column:
