@@ -343,7 +343,7 @@ def flagged_events(df):
 def refreshed(spark, sf):
     n = news(spark, sf).withColumns({"title": F.concat("source", F.col("article_id").cast("string")), "url": F.lit("x")})
     q = bars_u(spark, sf).select("ticker").distinct()
-    return refresh.full_refresh(n, bars_u(spark, sf), q, flagged_events, AS_OF)[0]
+    return refresh.full_refresh(n, bars_u(spark, sf), q, flagged_events, AS_OF)
 
 
 @query(
@@ -366,6 +366,14 @@ def full_refresh_panel(spark, sf):
     return fix(p.select("ticker", "date", "news_count", "sent_mean", "return_fwd"), "news_count", "sent_mean", "return_fwd")
 
 
+@query(
+    "full_refresh_counts",
+    f"WITH {NEWS}, {BARS_U}, q AS (SELECT count(DISTINCT ticker) AS n FROM bars_u) SELECT 'news' AS step, count(*) FILTER (source <> 'view') AS rows FROM news_events UNION ALL SELECT 'quotes', n FROM q UNION ALL SELECT 'predictions', n FROM q UNION ALL SELECT 'panel', count(*) FROM bars_u",
+)
+def full_refresh_counts(spark, sf):
+    return refresh.step_counts(refresh.write_refresh(refreshed(spark, sf), scratch(spark)))
+
+
 @query("maintain", f"WITH {ARTICLES}, {BARS}, a AS (SELECT count(*) AS n FROM articles) SELECT count(*) AS panel_rows, (SELECT n FROM a) AS stored FROM bars")
 def maintain(spark, sf):
     store, led, panel_path = scratch(spark), scratch(spark), scratch(spark)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.functions.text import stamp_day
@@ -13,6 +13,7 @@ from tapewire.operators.dedupe import dedupe_exact
 from tapewire.operators.joins import merge_model_scores, pending_days, ticker_signals
 from tapewire.operators.matching import keep_relevant
 from tapewire.operators.ranking import last_quote, newest_first_cap
+from tapewire.operators.scale import union_all
 from tapewire.plans.panel import model_panel
 from tapewire.sources.store import append_events, append_ledger, exists, read_ledger
 
@@ -58,21 +59,31 @@ def quick_update(news: DataFrame, quotes: DataFrame, universe: DataFrame, scorer
 
 def full_refresh(
     news: DataFrame, bars: DataFrame, universe: DataFrame, scorer: Scorer, as_of: str, model_scores: DataFrame | None = None
-) -> tuple[dict[str, DataFrame], dict[str, Observation]]:
+) -> dict[str, DataFrame]:
     """The whole chain, lazily: scored news, quotes, predictions and panel.
 
-    Row counts of the steps are observed while the results are written; nothing is
-    counted separately.
+    Nothing runs until a result is written; ``step_counts`` then reads the counts
+    off the written tables.
     """
-    seen = {name: Observation(f"{name}-{as_of}") for name in ("deduped", "kept")}
-    deduped = dedupe_exact(news).observe(seen["deduped"], F.count("*").alias("rows"))
-    kept = keep_relevant(scorer(deduped)).observe(seen["kept"], F.count("*").alias("rows"))
+    kept = keep_relevant(scorer(dedupe_exact(news)))
     quotes = last_quote(bars)
     preds = ticker_signals(universe, ticker_sentiment(kept, as_of), quotes)
     if model_scores is not None:
         preds = merge_model_scores(preds, model_scores)
-    tables = {"news": kept, "quotes": quotes, "predictions": preds, "panel": model_panel(kept, bars)}
-    return tables, seen
+    return {"news": kept, "quotes": quotes, "predictions": preds, "panel": model_panel(kept, bars)}
+
+
+def write_refresh(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """Write every table of a refresh and return them as read back."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    return {name: spark.read.parquet(f"{path}/{name}") for name in tables}
+
+
+def step_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """Rows (step, rows) of written tables."""
+    return union_all([df.agg(F.count("*").alias("rows")).withColumn("step", F.lit(name)) for name, df in tables.items()])
 
 
 def maintain(

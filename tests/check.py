@@ -30,7 +30,9 @@ if __name__ == "__main__":
                 n = len(fn(spark, sf).collect())
                 diff = None if n else "EMPTY"
         except Exception as exc:  # report and go on
-            diff = "".join(traceback.format_exception_only(exc))[:700]
+            text = "".join(traceback.format_exception_only(exc))
+            causes = [line[:300] for line in text.splitlines() if line.startswith("Caused by") or "\t- object" in line]
+            diff = text[:700] + "\n".join(causes)
             if want:
                 traceback.print_exc()
         took = time.time() - t0
