@@ -487,13 +487,13 @@ def _split(spark, sf):
 @query("baseline_comparison")
 def baseline_comparison(spark, sf):
     train, test = _split(spark, sf)
-    return model.compare(train, test, model.baselines(5, 3))[0]
+    return model.compare(train, test, model.baselines(5, 3, 10))[0]
 
 
 @query("top_vote")
 def top_vote(spark, sf):
     train, test = _split(spark, sf)
-    table, fitted = model.compare(train, test, model.baselines(5, 3))
+    table, fitted = model.compare(train, test, model.baselines(5, 3, 10))
     return model.evaluate(model.top_vote(table, fitted), test)
 
 

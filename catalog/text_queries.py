@@ -388,6 +388,16 @@ def mentions(spark, sf):
     return mt.mentions(articles(spark, sf), u)
 
 
+@query(
+    "mentions_substring",
+    f"""WITH {ARTICLES}, u AS (SELECT * FROM (VALUES ('THE'), ('ON'), ('ERIN'), ('S3'), ('S4')) v(ticker))
+SELECT DISTINCT article_id, u.ticker FROM articles a JOIN u ON a.ticker = u.ticker OR contains(upper(title), u.ticker)""",
+)
+def mentions_substring(spark, sf):
+    u = spark.createDataFrame([("THE",), ("ON",), ("ERIN",), ("S3",), ("S4",)], "ticker string")
+    return mt.mentions(articles(spark, sf), u, substring=4)
+
+
 @query(
     "related_news",
     f"WITH {ARTICLES}, {PADDED_A} SELECT article_id, date FROM pa WHERE ticker = 'THON' OR contains(txt, ' thon ') ORDER BY date DESC, article_id LIMIT 5",

@@ -173,15 +173,15 @@ def event_key():
 
 
 def anti_join_store(df: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows whose key is not stored.  Stored keys are distinct, so no join key fans out."""
+    """Rows whose key is not stored; salted, since many rows of ``df`` may share one key."""
     keys = stored.select(event_key().alias("_key")).distinct()
-    return df.withColumn("_key", event_key()).join(keys, "_key", "left_anti").drop("_key")
+    return attach(df.withColumn("_key", event_key()), keys, ["_key"], "left_anti").drop("_key")
 
 
 def new_titles(df: DataFrame, stored: DataFrame, within_day: bool = False) -> DataFrame:
     """Articles whose title is not stored yet, anywhere or on the same batch day."""
     on = ["title", "date"] if within_day else ["title"]
-    return df.join(stored.select(*on).distinct(), on, "left_anti").select(*df.columns)
+    return attach(df, stored.select(*on).distinct(), on, "left_anti").select(*df.columns)
 
 
 def pending_days(collected: DataFrame, ingested: DataFrame) -> DataFrame:

@@ -155,11 +155,33 @@ def assign_ticker(df: DataFrame, universe: DataFrame, key: str = "article_id", p
     return rows.groupBy(key).agg(F.min_by("ticker", order).alias("ticker"))
 
 
-def mentions(news: DataFrame, universe: DataFrame, key: str = "article_id", pattern: str = SYMBOL) -> DataFrame:
-    """(key, ticker): the article's own ticker and every tracked symbol named in its title."""
+def substrings(chars: Column, longest: int) -> Column:
+    """Every distinct run of one to ``longest`` entries of a character array."""
+    n = F.size(chars)
+
+    def windows(size: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i, size), ""))
+
+    return F.array_distinct(F.concat(*[windows(k) for k in range(1, longest + 1)]))
+
+
+def mentions(
+    news: DataFrame, universe: DataFrame, key: str = "article_id", pattern: str = SYMBOL, substring: int | None = None
+) -> DataFrame:
+    """(key, ticker): the article's own ticker and every tracked symbol named in its title.
+
+    ``substring=n`` also counts symbols of up to n characters inside longer words; the
+    title's character windows are exploded and equi joined, so it stays exact without
+    comparing every title with every symbol.
+    """
     own = F.array_compact(F.array(F.col("ticker")))
-    both = F.array_union(own, symbol_tokens(F.col("title"), pattern))
-    rows = news.select(key, F.explode(both).alias("ticker"))
+    title = F.upper(F.coalesce(F.col("title"), F.lit("")))
+    if substring is None:
+        rows = news.select(key, F.explode(F.array_union(own, symbol_tokens(title, pattern))).alias("ticker"))
+    else:
+        rows = news.select(key, own.alias("_own"), F.split(title, "").alias("_chars"))
+        rows = rows.select(key, F.explode(F.array_union("_own", substrings(F.col("_chars"), substring))).alias("ticker"))
     return dim_join(rows, universe.select("ticker"), ["ticker"], "left_semi")
 
 

@@ -232,13 +232,13 @@ def random_search(train: DataFrame, tune: DataFrame, trials: int = 30, seed: int
     return union_all(rows)
 
 
-def baselines(trees: int = 100, rounds: int = 100, label: str = "direction_fwd", seed: int = 42) -> dict[str, tuple[object, bool]]:
+def baselines(trees: int = 100, rounds: int = 100, steps: int = 100, label: str = "direction_fwd", seed: int = 42) -> dict[str, tuple[object, bool]]:
     """Plain classifiers to compare with: name to (estimator, needs scaling)."""
     return {
-        "logistic": (LogisticRegression(maxIter=100, **_common(label)), True),
+        "logistic": (LogisticRegression(maxIter=steps, **_common(label)), True),
         "forest": (forest(Forest(trees, 10, 5), label, seed), False),
         "boosted": (boost(Boost(rounds, 5, 0.1, 1.0), label, seed), False),
-        "linear_svc": (LinearSVC(maxIter=100, **_common(label)), True),
+        "linear_svc": (LinearSVC(maxIter=steps, **_common(label)), True),
     }
 
 

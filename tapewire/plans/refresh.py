@@ -13,7 +13,7 @@ from tapewire.operators.dedupe import dedupe_exact
 from tapewire.operators.joins import merge_model_scores, pending_days, ticker_signals
 from tapewire.operators.matching import keep_relevant
 from tapewire.operators.ranking import last_quote, newest_first_cap
-from tapewire.operators.scale import union_all
+from tapewire.operators.scale import dim_join, union_all
 from tapewire.plans.panel import model_panel
 from tapewire.sources.store import append_events, append_ledger, exists, read_ledger
 
@@ -31,7 +31,7 @@ def ingest_pending(
     collected = days.select("day").distinct()
     if exists(spark, ledger):
         collected = pending_days(collected, read_ledger(spark, ledger))
-    todo = days.join(collected, "day", "left_semi").withColumn("scraped_at", stamp_day(F.col("day")))
+    todo = dim_join(days, collected, ["day"], "left_semi").withColumn("scraped_at", stamp_day(F.col("day")))
     todo = todo.withColumn("event_time", F.coalesce(F.col("published_at"), F.col("scraped_at")))
     rows = scorer(todo).withColumn("event_date", F.to_date("event_time"))
     added = append_events(rows, store, "day-" + recorded_at.replace(":", "").replace(" ", "T"))

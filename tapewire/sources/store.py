@@ -7,6 +7,9 @@ what it wrote and never touches another batch.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,9 +21,10 @@ from tapewire.schema import LEDGER
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path holds any data yet."""
     try:
-        return not spark.read.parquet(path).limit(0).columns == []
-    except Exception as exc:  # an absent path is the normal first run
-        if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
+        spark.read.parquet(path)
+        return True
+    except AnalysisException as exc:  # an absent or empty path is the normal first run
+        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return False
         raise
 
@@ -30,23 +34,35 @@ def read_store(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def append_events(df: DataFrame, path: str, batch: str, day: str = "event_date", key: str = "article_id") -> int:
-    """Append the rows whose key is new and return how many there were.
-
-    Duplicates inside the batch go first, then stored keys are anti-joined.  The key
-    contains the collection second, so only stored rows of the batch's collection
-    span are read: a range on ``scraped_at`` that Parquet statistics can skip on.
+def append_events(
+    df: DataFrame,
+    path: str,
+    batch: str,
+    day: str = "event_date",
+    key: str = "article_id",
+    identity: Sequence[str] | None = None,
+    span: str = "scraped_at",
+    slack: str = "0 seconds",
+) -> int:
+    """Append the rows that are not stored yet and return how many there were.
+
+    Two rows are the same article when their ``identity`` columns agree (by default
+    ``event_key``: folded title and url, ticker, collection second).  Duplicates inside
+    the batch go first, by map-side combining; stored keys are then anti-joined.
+    Only stored rows whose ``span`` time lies within the batch's own, widened by
+    ``slack``, are compared: a range Parquet statistics can skip on.
     """
     spark = df.sparkSession
-    keyed = df.withColumn("_key", event_key())
-    fresh = dedupe_keys(keyed, ["_key"], key)
+    same = event_key() if identity is None else F.struct(*identity)
+    fresh = dedupe_keys(df.withColumn("_key", same), ["_key"], key)
     if exists(spark, path):
-        span = df.agg(F.min("scraped_at").alias("lo"), F.max("scraped_at").alias("hi")).first()
-        if span.lo is None:
+        ends = df.agg(F.min(span).alias("lo"), F.max(span).alias("hi")).first()
+        if ends.lo is None:
             return 0
-        stored = read_store(spark, path).where((F.col("batch") != batch) & F.col("scraped_at").between(span.lo, span.hi))
-        seen = stored.select(event_key().alias("_key")).distinct()
-        fresh = fresh.join(seen, "_key", "left_anti")
+        widen = F.expr(f"INTERVAL {slack}")
+        near = F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen)
+        stored = read_store(spark, path).where((F.col("batch") != batch) & near)
+        fresh = fresh.join(stored.select(same.alias("_key")).distinct(), "_key", "left_anti")
     _write(fresh.drop("_key").withColumn("batch", F.lit(batch)), path, [day, "batch"])
     # a count over this batch's partitions alone, answered from Parquet footers
     return read_store(spark, path).where(F.col("batch") == batch).count() if exists(spark, path) else 0
