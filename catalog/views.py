@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapewire.operators.scale import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -85,7 +87,7 @@ BARS_U = """bars_u AS (
 
 def articles(spark: SparkSession, sf: str) -> DataFrame:
     """Title = first sentence, description = the rest; the url column is invented per source."""
-    d = table(spark, sf, "documents")
+    d = spread(table(spark, sf, "documents"))
     title = F.regexp_extract("text", r"^[^.\n]*", 0)
     return d.select(
         F.col("doc_id").alias("article_id"),

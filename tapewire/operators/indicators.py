@@ -91,51 +91,55 @@ def atr_pct(df: DataFrame, n: int = 14, name: str = "atr_pct") -> DataFrame:
     return df.withColumn(name, F.coalesce(ratio, F.lit(0.0))).drop("_tr")
 
 
-def ema(df: DataFrame, value: str, spans: Mapping[str, int], chunk: int = 64) -> DataFrame:
-    """Exponential means seeded by the first value: y = (1-a)y' + a*x, a = 2/(span+1).
+EMA_CHUNK = 256
 
-    The recursion is an affine map, so it is cut into chunks of rows.  Inside a
-    chunk the part that starts from zero is a scaled running sum (64 steps keep
-    the scale factors small); what enters a chunk is the earlier chunks' ends,
-    each damped by (1-a)^chunk per step.  No per-ticker array is built.
-    """
+
+def _positions(df: DataFrame, chunk: int) -> DataFrame:
     df = df.withColumn("_pos", F.row_number().over(series()) - 1)
-    df = df.withColumns({"_chunk": F.floor(F.col("_pos") / chunk), "_i": F.col("_pos") % chunk})
+    return df.withColumns({"_chunk": F.floor(F.col("_pos") / chunk), "_i": F.col("_pos") % chunk})
+
+
+def _ema(df: DataFrame, value: str, spans: Mapping[str, int], chunk: int) -> DataFrame:
     within = W.partitionBy("ticker", "_chunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
+    by_chunk = W.partitionBy("ticker").orderBy("_chunk")
     keep = {name: 1 - 2 / (span + 1) for name, span in spans.items()}
+    local, result = {}, {}
     for name, d in keep.items():
         weight = F.when(F.col("_pos") == 0, 1.0).otherwise(1 - d)
-        scaled = F.col(value) * weight / F.pow(F.lit(d), F.col("_i"))
-        df = df.withColumn(f"_l_{name}", F.pow(F.lit(d), F.col("_i")) * F.sum(scaled).over(within))
-    ends = df.where(F.col("_i") == chunk - 1).select("ticker", "_chunk", *[f"_l_{n}" for n in keep])
-    by_chunk = W.partitionBy("ticker").orderBy("_chunk")
-    carries = {}
-    for name, d in keep.items():
-        factor = d**chunk
-        # terms below one part in 10^18 cannot change a double
-        depth = next(k for k in range(1, 4096) if factor**k < 1e-18)
-        terms = [F.coalesce(F.lag(f"_l_{name}", k).over(by_chunk), F.lit(0.0)) * factor**k for k in range(1, depth)]
-        carry = F.col(f"_l_{name}")
-        for t in terms:
-            carry = carry + t
-        carries[f"_c_{name}"] = carry
-    ends = ends.select("ticker", (F.col("_chunk") + 1).alias("_chunk"), *[c.alias(n) for n, c in carries.items()])
-    out = df.join(ends, ["ticker", "_chunk"], "left")
-    out = out.withColumns(
-        {
-            name: F.col(f"_l_{name}")
-            + F.pow(F.lit(d), F.col("_i") + 1) * F.coalesce(F.col(f"_c_{name}"), F.lit(0.0))
-            for name, d in keep.items()
-        }
-    )
-    return out.drop("_pos", "_chunk", "_i", *[f"_l_{n}" for n in keep], *[f"_c_{n}" for n in keep])
+        scale = F.pow(F.lit(d), F.col("_i"))
+        local[f"_l_{name}"] = scale * F.sum(F.col(value) * weight / scale).over(within)
+        # what a chunk ends with, seen k chunks later; terms below one part in 10^18
+        # cannot change a double
+        end = F.when(F.col("_i") == chunk - 1, F.col(f"_l_{name}"))
+        carry, k = F.lit(0.0), 1
+        while d ** (chunk * (k - 1)) >= 1e-18:
+            past = F.sum(end).over(by_chunk.rangeBetween(-k, -k))
+            carry = carry + F.coalesce(past, F.lit(0.0)) * d ** (chunk * (k - 1))
+            k += 1
+        result[name] = F.col(f"_l_{name}") + F.pow(F.lit(d), F.col("_i") + 1) * carry
+    return df.withColumns(local).withColumns(result).drop(*local)
+
+
+def ema(df: DataFrame, value: str, spans: Mapping[str, int], chunk: int = EMA_CHUNK) -> DataFrame:
+    """Exponential means seeded by the first value: y = (1-a)y' + a*x, a = 2/(span+1).
+
+    The recursion is an affine map, so it is cut into chunks of rows.  Inside a chunk
+    the part that starts from zero is a scaled running sum; what enters a chunk is the
+    earlier chunks' ends, each damped by (1-a)^chunk per step, read through a range
+    frame over chunk numbers.  No array is built, nothing is joined, and every window
+    is partitioned by ticker, so the whole chain needs one shuffle.
+    """
+    return _ema(_positions(df, chunk), value, spans, chunk).drop("_pos", "_chunk", "_i")
 
 
-def macd_hist(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd_hist") -> DataFrame:
+def macd_hist(
+    df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, name: str = "macd_hist", chunk: int = EMA_CHUNK
+) -> DataFrame:
     """Fast minus slow exponential mean, less its own exponential mean."""
-    df = ema(df, "close", {"_fast": fast, "_slow": slow}).withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    df = ema(df, "_macd", {"_signal": signal})
-    return df.withColumn(name, F.col("_macd") - F.col("_signal")).drop("_fast", "_slow", "_macd", "_signal")
+    df = _ema(_positions(df, chunk), "close", {"_fast": fast, "_slow": slow}, chunk)
+    df = _ema(df.withColumn("_macd", F.col("_fast") - F.col("_slow")), "_macd", {"_signal": signal}, chunk)
+    out = df.withColumn(name, F.col("_macd") - F.col("_signal"))
+    return out.drop("_fast", "_slow", "_macd", "_signal", "_pos", "_chunk", "_i")
 
 
 def min_history(bars: DataFrame, n: int = 20) -> DataFrame:

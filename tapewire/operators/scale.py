@@ -29,6 +29,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain scan, re-split when it has fewer splits than the cluster has cores.
+
+    For heavy per-row text work on a few unsplittable files; large inputs pass unchanged.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, F.xxhash64(*scan.columns)) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame has at most ``max_rows`` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows
