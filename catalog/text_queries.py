@@ -238,22 +238,7 @@ REL_SQL = f"""least(1, 0.5 * CAST(article_id % 3 <> 0 AS INTEGER) + 0.3 * CAST(c
 def flagged(spark, sf):
     """Articles with every third one without a ticker, scored for relevance and impact."""
     a = articles(spark, sf).withColumn("ticker", F.when(F.col("article_id") % 3 != 0, F.col("ticker")))
-    a = a.select("article_id", "ticker", "source", mt.padded(mt.full_text()).alias("txt"))
-    txt = F.col("txt")
-    return a.select(
-        "article_id",
-        "ticker",
-        mt.relevance_score(
-            F.col("ticker").isNotNull(), mt.is_reputable(F.col("source"), SOURCES), mt.count_terms(txt, FIN), mt.count_terms(txt, ALL_TERMS)
-        ).alias("relevance_score"),
-        mt.any_term(txt, STOP).alias("is_irrelevant"),
-        mt.keyword_class(txt, TERMS).alias("impact_level"),
-    ).withColumns(
-        {
-            "is_relevant": (F.col("relevance_score") >= 0.25) & ~F.col("is_irrelevant"),
-            "is_impactful": F.col("impact_level").isin("high", "macro"),
-        }
-    )
+    return mt.relevance_flags(a, TERMS, FIN, STOP, SOURCES)
 
 
 FLAGGED = f"""{PADDED_A}, fl0 AS (SELECT article_id, CASE WHEN article_id % 3 <> 0 THEN ticker END AS ticker, {REL_SQL} AS relevance_score, {any_sql('txt', STOP)} AS is_irrelevant, {class_sql('txt')} AS impact_level FROM pa),
@@ -479,7 +464,7 @@ RATED = f"{SCORED_A}, rated AS (SELECT *, {class_sql(pad_sql(FULL))} AS impact_l
 
 @query("match_rules", f"WITH {ARTICLES}, {HITS} SELECT article_id, rule_id, sector, direction AS rule_direction, reason, specific FROM hits")
 def match_rules(spark, sf):
-    return rl.match_rules(articles(spark, sf), RULES)
+    return rl.match_rules(articles(spark, sf), RULES).drop("n_hits")
 
 
 @query("sector_fanout", f"WITH {ARTICLES}, {SECTORS}, {HITS} SELECT article_id, rule_id, smap.ticker FROM hits JOIN smap USING (sector)")

@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 
 from tapewire.functions.numeric import interval, ladder
 from tapewire.functions.scores import label_sentiment
-from tapewire.operators.ranking import top_k, value_counts_top
-from tapewire.operators.scale import exact_quantiles, union_all
+from tapewire.operators.ranking import top_k
+from tapewire.operators.scale import exact_quantiles, explode_some, once, union_all
 
 S = "sentiment_compound"
 POSITIVE, NEGATIVE = 0.05, -0.05
@@ -120,10 +120,12 @@ def news_summary(news: DataFrame) -> DataFrame:
 
 
 def top_lists(news: DataFrame, columns: Sequence[str] = ("source", "ticker"), k: int = 20) -> DataFrame:
-    """The k most frequent values of several columns, tagged by column."""
-    return union_all(
-        [value_counts_top(news, c, k).select(F.lit(c).alias("list"), "value", "n") for c in columns]
-    )
+    """The k most frequent values of several columns, tagged by column; counted in one scan."""
+    counts = value_counts(news, columns).where("value is not null")
+    w = W.partitionBy("field").orderBy(F.desc("n"), F.asc("value"))
+    # the rank filter is applied per task before the shuffle, k rows per column remain
+    ranked = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
+    return ranked.select(F.col("field").alias("list"), "value", "n")
 
 
 def prediction_summary(preds: DataFrame) -> DataFrame:
@@ -194,9 +196,9 @@ def keyword_category_stats(articles: DataFrame, categories: Mapping[str, Sequenc
     """Per category: matching articles, their mean sentiment and share of high impact."""
     from tapewire.operators.matching import any_term, padded
 
-    text = padded(F.col("title"))
-    hits = F.array(*[F.when(any_term(text, terms), F.lit(name)) for name, terms in categories.items()])
-    rows = articles.select(S, "impact_level", F.explode(F.array_compact(hits)).alias("category"))
+    rows = once(articles.select("title", S, "impact_level"), _text=padded(F.col("title")))
+    hits = F.array(*[F.when(any_term(F.col("_text"), terms), F.lit(name)) for name, terms in categories.items()])
+    rows = explode_some(rows, [S, "impact_level"], hits, "category")
     return rows.groupBy("category").agg(
         F.count("*").alias("matches"),
         F.avg(S).alias("avg_sentiment"),
@@ -238,13 +240,15 @@ def ticker_stats(news: DataFrame, volume_k: int = 20, k: int = 10) -> DataFrame:
 
 
 def temporal_stats(news: DataFrame) -> DataFrame:
-    """By UTC weekday and by hour: count, mean sentiment, high-impact count."""
-    agg = [F.count("*").alias("n"), F.avg(S).alias("avg_sentiment"), _high().alias("high_impact")]
-    day = news.groupBy(F.date_format("event_time", "EEEE").alias("bucket")).agg(*agg).withColumn("kind", F.lit("weekday"))
-    hour = (
-        news.groupBy(F.hour("event_time").cast("string").alias("bucket")).agg(*agg).withColumn("kind", F.lit("hour"))
+    """By UTC weekday and by hour: count, mean sentiment, high-impact count; one scan for both."""
+    kinds = F.array(
+        F.struct(F.lit("weekday").alias("kind"), F.date_format("event_time", "EEEE").alias("bucket")),
+        F.struct(F.lit("hour").alias("kind"), F.hour("event_time").cast("string").alias("bucket")),
+    )
+    rows = news.select(S, "impact_level", F.explode(kinds).alias("k"))
+    return rows.groupBy(F.col("k.kind").alias("kind"), F.col("k.bucket").alias("bucket")).agg(
+        F.count("*").alias("n"), F.avg(S).alias("avg_sentiment"), _high().alias("high_impact")
     )
-    return day.unionByName(hour)
 
 
 def busiest_hours(news: DataFrame, k: int = 5) -> DataFrame:
@@ -287,23 +291,56 @@ def sentiment_verdict(news: DataFrame, majority: float = 0.6) -> DataFrame:
     )
 
 
+# Which figures each pattern reports.
+BASIC_FIGURES = ("n", "avg_sentiment", "high_impact")
+ALL_FIGURES = (*BASIC_FIGURES, "std_sentiment", "avg_relevance")
+PATTERNS = {
+    "sentiment_range": ("bin", BASIC_FIGURES),
+    "source": ("source", ALL_FIGURES),
+    "weekday": ("weekday", BASIC_FIGURES),
+    "hour": ("hour", BASIC_FIGURES),
+    "impact": ("impact_level", ("n", "avg_sentiment", "std_sentiment", "avg_relevance")),
+    "ticker": ("ticker", ALL_FIGURES),
+}
+
+
 def pattern_report(news: DataFrame) -> DataFrame:
-    """Every pattern statistic as long rows (pattern, key, metric, value)."""
-
-    def long(df: DataFrame, pattern: str, key: str) -> DataFrame:
-        metrics = [c for c in df.columns if c not in (key, "list", "kind")]
-        wide = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double") for c in metrics])
-        return wide.unpivot("key", metrics, "metric", "value").withColumn("pattern", F.lit(pattern))
-
-    parts = [
-        long(sentiment_range_stats(news), "sentiment_range", "bin"),
-        long(group_stats(news, "source"), "source", "source"),
-        long(temporal_stats(news), "temporal", "bucket"),
-        long(volume_stats(news), "volume", "bin"),
-        long(impact_stats(news), "impact", "impact_level"),
-        long(group_stats(news, "ticker"), "ticker", "ticker"),
-    ]
-    return union_all(parts)
+    """Every pattern statistic as long rows (pattern, key, metric, value).
+
+    The table is scanned once: each row is expanded to one (pattern, key) pair per
+    statistic and aggregated with partial sums.  Only the per-day volumes need a
+    second, two-level aggregation.
+    """
+    keyed = news.withColumns(
+        {
+            "bin": interval(F.col(S), SENTIMENT_EDGES, SENTIMENT_BINS),
+            "weekday": F.date_format("event_time", "EEEE"),
+            "hour": F.hour("event_time").cast("string"),
+        }
+    )
+    pairs = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(k).alias("key")) for p, (k, _) in PATTERNS.items()])
+    rows = keyed.select(S, "impact_level", "relevance_score", F.explode(pairs).alias("p"))
+    stats = rows.groupBy(F.col("p.pattern").alias("pattern"), F.col("p.key").alias("key")).agg(
+        F.count("*").alias("n"),
+        F.avg(S).alias("avg_sentiment"),
+        _high().alias("high_impact"),
+        F.coalesce(F.stddev_samp(S), F.lit(0.0)).alias("std_sentiment"),
+        F.avg("relevance_score").alias("avg_relevance"),
+    )
+    wanted = F.lit(False)
+    for p, (_, figures) in PATTERNS.items():
+        wanted = wanted | ((F.col("pattern") == p) & F.col("metric").isin(*figures))
+    long = _long(stats.where("key is not null"), ["pattern", "key"], ALL_FIGURES).where(wanted)
+    renamed = F.when(F.col("pattern").isin("weekday", "hour"), "temporal").otherwise(F.col("pattern"))
+    volume = volume_stats(news).select(F.lit("volume").alias("pattern"), F.col("bin").alias("key"), "*")
+    return long.withColumn("pattern", renamed).unionByName(
+        _long(volume, ["pattern", "key"], ("ticker_days", "avg_articles", "max_articles"))
+    )
+
+
+def _long(df: DataFrame, ids: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    wide = df.select(*ids, *[F.col(c).cast("double") for c in metrics])
+    return wide.unpivot(list(ids), list(metrics), "metric", "value")
 
 
 # ---- stored batches ------------------------------------------------------------------------

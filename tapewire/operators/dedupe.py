@@ -28,10 +28,10 @@ def _keep_first(df: DataFrame, keys: dict[str, Column], key: str) -> DataFrame:
 
 def dedupe_exact(df: DataFrame, key: str = "article_id") -> DataFrame:
     """First article per (normalised url, whole lower-case title); blank titles are all kept."""
-    named = df.where(folded_title() != "")
     url = F.coalesce(normalize_url(F.col("url")), F.lit(""))
-    unique = _keep_first(named, {"_url": url, "_title": folded_title()}, key)
-    return unique.unionByName(df.where(folded_title() == ""))
+    # a blank title is told apart by its own id, so each such row is its own group
+    alone = F.when(folded_title() == "", F.col(key))
+    return _keep_first(df, {"_url": url, "_title": folded_title(), "_alone": alone}, key)
 
 
 def dedupe_keys(df: DataFrame, keys: list[str], key: str = "article_id") -> DataFrame:

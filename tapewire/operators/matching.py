@@ -1,9 +1,9 @@
 """Finding terms, symbols and names in whole texts.
 
 Text is folded to a padded token string (lower case, one space between tokens, a
-space at both ends), so a whole-token test is one ``contains`` and a plural phrase
-works like a word.  Small term lists are plan literals; larger ones are matched by
-exploding the text's word groups and an equi join, which gives the same answer.
+space at both ends), so a whole-token test is a plain search and a phrase works like
+a word.  Short term lists are plan literals; for long ones ``term_hits`` explodes the
+text's word groups and equi joins, which gives the same answer.
 """
 
 from __future__ import annotations
@@ -12,11 +12,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tapewire.operators.scale import dim_join
+from tapewire.operators.scale import dim_join, explode_some, once
 
-LITERAL_TERMS = 200
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
 
@@ -42,11 +40,13 @@ def has_term(text: Column, term: str, substring: bool = False) -> Column:
 
 
 def any_term(text: Column, terms: Sequence[str], substring: bool = False) -> Column:
-    """True if any term occurs in ``padded`` text (as whole tokens unless ``substring``)."""
-    out = F.lit(False)
-    for t in terms:
-        out = out | has_term(text, t, substring)
-    return out
+    """True if any term occurs in ``padded`` text (as whole tokens unless ``substring``).
+
+    One alternation, so the text expression is evaluated once however many terms there are.
+    """
+    if substring:
+        return text.rlike("|".join("\\Q" + t.lower() + "\\E" for t in terms))
+    return text.rlike(" (?:" + "|".join(fold_term(t).strip() for t in terms) + ") ")
 
 
 def count_terms(text: Column, terms: Sequence[str]) -> Column:
@@ -117,6 +117,37 @@ def relevance_score(
     return F.least(score, F.lit(1.0))
 
 
+def relevance_flags(
+    df: DataFrame,
+    impact: Mapping[str, Sequence[str]],
+    financial: Sequence[str],
+    stop: Sequence[str],
+    sources: Sequence[str],
+    floor: float = 0.25,
+) -> DataFrame:
+    """Impact level, relevance score and the three flags of each article, in one pass over its text."""
+    every = [t for terms in impact.values() for t in terms]
+    text = F.col("_text")
+    df = once(df, _text=padded(full_text()))
+    df = once(
+        df,
+        impact_level=keyword_class(text, impact),
+        is_irrelevant=any_term(text, stop),
+        relevance_score=relevance_score(
+            F.coalesce(F.col("ticker"), F.lit("")) != "",
+            is_reputable(F.col("source"), sources),
+            count_terms(text, financial),
+            count_terms(text, every),
+        ),
+    ).drop("_text")
+    return df.withColumns(
+        {
+            "is_relevant": (F.col("relevance_score") >= floor) & ~F.col("is_irrelevant"),
+            "is_impactful": F.col("impact_level").isin("high", "macro"),
+        }
+    )
+
+
 def keep_relevant(df: DataFrame, floor: float = 0.25) -> DataFrame:
     wanted = (
         F.col("is_relevant")
@@ -137,20 +168,54 @@ def symbol_tokens(c: Column, pattern: str = SYMBOL) -> Column:
     return F.array_distinct(F.transform(found, lambda t: F.translate(t, ".", "-")))
 
 
-def extract_tickers(df: DataFrame, universe: DataFrame, text: Column, pattern: str = SYMBOL) -> DataFrame:
-    """One row per (article, tracked symbol found), ``position`` in order of appearance."""
-    tokens = df.drop("ticker").select("*", F.posexplode(symbol_tokens(text, pattern)).alias("position", "ticker"))
-    return dim_join(tokens, universe.select("ticker"), ["ticker"], "left_semi")
+LISTED_TICKERS = 2_000
+
+
+def _listed(universe: DataFrame) -> list[str] | None:
+    """The universe as a list when it is small, else None; reads no further than the bound."""
+    rows = universe.select("ticker").distinct().limit(LISTED_TICKERS + 1).collect()
+    return [r.ticker for r in rows] if len(rows) <= LISTED_TICKERS else None
+
+
+def _tracked(tokens: Column, listed: list[str] | None) -> Column:
+    """Tokens that are listed, in their order; all of them when the list is too long for the plan."""
+    return tokens if listed is None else F.array_intersect(tokens, F.array(*[F.lit(t) for t in listed]).cast("array<string>"))
+
+
+def _semi(rows: DataFrame, universe: DataFrame, listed: list[str] | None) -> DataFrame:
+    return dim_join(rows, universe.select("ticker"), ["ticker"], "left_semi") if listed is None else rows
+
+
+def extract_tickers(
+    df: DataFrame, universe: DataFrame, text: Column, pattern: str = SYMBOL, key: str = "article_id"
+) -> DataFrame:
+    """One row per (article, tracked symbol found), ``position`` in order of appearance.
+
+    A small universe is matched inside the row, so only hits are exploded next to the
+    text.  A large one is matched on narrow (key, symbol) rows that join back by key.
+    """
+    listed = _listed(universe)
+    base = df.drop("ticker")
+    if listed is not None:
+        found = _tracked(symbol_tokens(text, pattern), listed)
+        return base.select("*", F.posexplode(found).alias("position", "ticker"))
+    tokens = df.select(key, F.posexplode(symbol_tokens(text, pattern)).alias("_p", "ticker"))
+    hits = _semi(tokens, universe, None).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "ticker"))).alias("_h"))
+    hits = hits.select(key, F.posexplode(F.col("_h.ticker")).alias("position", "ticker"))
+    return base.join(hits, key)
 
 
 def assign_ticker(df: DataFrame, universe: DataFrame, key: str = "article_id", pattern: str = SYMBOL) -> DataFrame:
     """(key, ticker): the longest tracked symbol, title before description, single letters skipped."""
+    listed = _listed(universe)
     parts = F.array(
-        F.struct(F.lit(0).alias("part"), symbol_tokens(F.col("title"), pattern).alias("tokens")),
-        F.struct(F.lit(1).alias("part"), symbol_tokens(F.col("description"), pattern).alias("tokens")),
+        *[
+            F.struct(F.lit(i).alias("part"), _tracked(symbol_tokens(F.col(c), pattern), listed).alias("tokens"))
+            for i, c in enumerate(("title", "description"))
+        ]
     )
     rows = df.select(key, F.explode(parts).alias("p")).select(key, "p.part", F.explode("p.tokens").alias("ticker"))
-    rows = dim_join(rows.where(F.length("ticker") > 1), universe.select("ticker"), ["ticker"], "left_semi")
+    rows = _semi(rows.where(F.length("ticker") > 1), universe, listed)
     order = F.struct("part", (-F.length("ticker")).alias("l"), "ticker")
     return rows.groupBy(key).agg(F.min_by("ticker", order).alias("ticker"))
 
@@ -177,18 +242,20 @@ def mentions(
     """
     own = F.array_compact(F.array(F.col("ticker")))
     title = F.upper(F.coalesce(F.col("title"), F.lit("")))
+    listed = _listed(universe)
     if substring is None:
-        rows = news.select(key, F.explode(F.array_union(own, symbol_tokens(title, pattern))).alias("ticker"))
+        found = F.array_union(own, symbol_tokens(title, pattern))
+        rows = news.select(key, F.explode(_tracked(found, listed)).alias("ticker"))
     else:
         rows = news.select(key, own.alias("_own"), F.split(title, "").alias("_chars"))
-        rows = rows.select(key, F.explode(F.array_union("_own", substrings(F.col("_chars"), substring))).alias("ticker"))
-    return dim_join(rows, universe.select("ticker"), ["ticker"], "left_semi")
+        found = F.array_union("_own", substrings(F.col("_chars"), substring))
+        rows = rows.select(key, F.explode(_tracked(found, listed)).alias("ticker"))
+    return _semi(rows, universe, listed)
 
 
 def related_news(news: DataFrame, ticker: str, k: int = 5) -> DataFrame:
     """The k newest articles of a ticker or naming it in title or description."""
-    text = padded(full_text())
-    hit = (F.col("ticker") == ticker) | has_term(text, ticker)
+    hit = (F.col("ticker") == ticker) | has_term(padded(full_text()), ticker)
     return news.where(hit).orderBy(F.desc_nulls_last("date"), F.asc("article_id")).limit(k)
 
 
@@ -202,8 +269,8 @@ def extract_entities(df: DataFrame, entities: Mapping[str, Sequence[str]], key:
             for name in names
         ]
     )
-    rows = df.select(key, padded(full_text()).alias("_text"))
-    return rows.select(key, F.explode(F.array_compact(found)).alias("e")).select(key, "e.kind", "e.name")
+    rows = once(df.select(key, "title", "description"), _text=padded(full_text()))
+    return explode_some(rows, [key], found, "e").select(key, "e.kind", "e.name")
 
 
 def resolve_company(terms: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -228,18 +295,18 @@ def resolve_company(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def score_sentiment(
+def sentiment_scores(
     df: DataFrame,
     lexicon: DataFrame,
     modifiers: DataFrame,
     key: str = "article_id",
     alpha: float = 15.0,
 ) -> DataFrame:
-    """Lexicon sentiment over the whole text: compound and positive/negative/neutral shares.
+    """(key, compound, positive, negative, neutral) of every article with a lexicon word.
 
     ``lexicon`` is (token, weight); ``modifiers`` is (prev, factor), factors that the
     word before applies to a weight (negative for negators, above one for boosters).
-    compound = s / sqrt(s^2 + alpha).  Tokens are exploded next to their article, so
+    compound = s / sqrt(s^2 + alpha).  Tokens are exploded next to their article id, so
     the sums are combined before the shuffle and the text itself never moves.
     """
     tokens = df.select(key, F.split(F.trim(padded(full_text())), " ").alias("_t"))
@@ -259,17 +326,23 @@ def score_sentiment(
         F.sum(F.when(w < 0, -w).otherwise(0.0)).alias("_m"),
         (F.max("n_tokens") - F.count("*")).alias("_plain"),
     )
-    out = df.join(hit, key, "left")
     total = F.col("_p") + F.col("_m") + F.col("_plain")
-    s = F.coalesce(F.col("_s"), F.lit(0.0))
-    return out.withColumns(
-        {
-            "sentiment_compound": s / F.sqrt(s * s + alpha),
-            "sentiment_positive": F.coalesce(F.try_divide(F.col("_p"), total), F.lit(0.0)),
-            "sentiment_negative": F.coalesce(F.try_divide(F.col("_m"), total), F.lit(0.0)),
-            "sentiment_neutral": F.coalesce(F.try_divide(F.col("_plain"), total), F.lit(1.0)),
-        }
-    ).drop("_s", "_p", "_m", "_plain")
+    s = F.col("_s")
+    share = lambda c: F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0))
+    return hit.select(
+        key,
+        (s / F.sqrt(s * s + alpha)).alias("sentiment_compound"),
+        share("_p").alias("sentiment_positive"),
+        share("_m").alias("sentiment_negative"),
+        share("_plain").alias("sentiment_neutral"),
+    )
+
+
+def score_sentiment(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame, key: str = "article_id", alpha: float = 15.0) -> DataFrame:
+    """Articles with their lexicon scores; without any lexicon word all neutral."""
+    out = df.join(sentiment_scores(df, lexicon, modifiers, key, alpha), key, "left")
+    none = {"sentiment_compound": 0.0, "sentiment_positive": 0.0, "sentiment_negative": 0.0, "sentiment_neutral": 1.0}
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in none.items()})
 
 
 def score_with_model(df: DataFrame, scorer, key: str = "article_id", batch: int = 256) -> DataFrame:
@@ -296,9 +369,3 @@ def score_with_model(df: DataFrame, scorer, key: str = "article_id", batch: int
     schema = f"{key} {df.schema[key].dataType.simpleString()}, sentiment_positive double, sentiment_negative double, sentiment_neutral double"
     scored = df.select(key, full_text().alias("_text")).mapInPandas(run, schema)
     return scored.withColumn("sentiment_compound", F.col("sentiment_positive") - F.col("sentiment_negative"))
-
-
-def best_per_article(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """First row per key by order; an article's rows are few, and the filter is pruned early."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")

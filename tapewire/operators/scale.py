@@ -38,6 +38,23 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores, F.xxhash64(*scan.columns)) if scan.rdd.getNumPartitions() < cores else scan
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    The optimizer rewrites a filter on a derived column into one on its definition,
+    and so repeats a costly text expression for every mention.  Passing the values
+    through a one-element explode keeps them: filters stay above it.
+    """
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    out = df.select(*[c for c in df.columns if c not in columns], F.explode(F.array(packed)).alias("_once"))
+    return out.select(*[c for c in df.columns if c not in columns], *[F.col("_once")[n].alias(n) for n in columns])
+
+
+def explode_some(df: DataFrame, keep: Sequence[str | Column], array: Column, name: str) -> DataFrame:
+    """Kept columns with one row per non-NULL element; the array expression is not repeated as a filter."""
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     """True when the frame has at most ``max_rows`` rows; reads no further than that."""
     return df.limit(max_rows + 1).count() <= max_rows

@@ -33,8 +33,8 @@ def ingest_pending(
         collected = pending_days(collected, read_ledger(spark, ledger))
     todo = dim_join(days, collected, ["day"], "left_semi").withColumn("scraped_at", stamp_day(F.col("day")))
     todo = todo.withColumn("event_time", F.coalesce(F.col("published_at"), F.col("scraped_at")))
-    rows = scorer(todo).withColumn("event_date", F.to_date("event_time"))
-    added = append_events(rows, store, "day-" + recorded_at.replace(":", "").replace(" ", "T"))
+    todo = todo.withColumn("event_date", F.to_date("event_time"))
+    added = append_events(todo, store, "day-" + recorded_at.replace(":", "").replace(" ", "T"), scorer=scorer)
     per_day = todo.groupBy("day").agg(F.count("*").alias("fetched"))
     append_ledger(
         per_day.select(

@@ -7,7 +7,7 @@ what it wrote and never touches another batch.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +43,7 @@ def append_events(
     identity: Sequence[str] | None = None,
     span: str = "scraped_at",
     slack: str = "0 seconds",
+    scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Append the rows that are not stored yet and return how many there were.
 
@@ -50,7 +51,8 @@ def append_events(
     ``event_key``: folded title and url, ticker, collection second).  Duplicates inside
     the batch go first, by map-side combining; stored keys are then anti-joined.
     Only stored rows whose ``span`` time lies within the batch's own, widened by
-    ``slack``, are compared: a range Parquet statistics can skip on.
+    ``slack``, are compared: a range Parquet statistics can skip on.  ``scorer`` adds
+    columns to the rows that are left, so nothing known already is scored again.
     """
     spark = df.sparkSession
     same = event_key() if identity is None else F.struct(*identity)
@@ -63,7 +65,9 @@ def append_events(
         near = F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen)
         stored = read_store(spark, path).where((F.col("batch") != batch) & near)
         fresh = fresh.join(stored.select(same.alias("_key")).distinct(), "_key", "left_anti")
-    _write(fresh.drop("_key").withColumn("batch", F.lit(batch)), path, [day, "batch"])
+    fresh = fresh.drop("_key")
+    rows = scorer(fresh) if scorer else fresh
+    _write(rows.withColumn("batch", F.lit(batch)), path, [day, "batch"])
     # a count over this batch's partitions alone, answered from Parquet footers
     return read_store(spark, path).where(F.col("batch") == batch).count() if exists(spark, path) else 0
 

@@ -44,9 +44,10 @@ def incremental_news(
     """
 
     def land(df: DataFrame, batch_id: int) -> None:
-        rows = scorer(df) if scorer else df
-        rows = rows.withColumn("event_date", F.to_date("event_time"))
-        append_events(rows, store, f"b{batch_id:012d}", identity=list(dedupe_on), span="event_time", slack=lateness)
+        rows = df.withColumn("event_date", F.to_date("event_time"))
+        append_events(
+            rows, store, f"b{batch_id:012d}", identity=list(dedupe_on), span="event_time", slack=lateness, scorer=scorer
+        )
 
     if stateful:
         stream = stream.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(list(dedupe_on))

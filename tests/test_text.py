@@ -188,3 +188,34 @@ def test_resolve_company(spark):
     al = spark.createDataFrame([("Apple Inc", "AAPL"), ("Appleton", "APN")], "name string, ticker string")
     got = {r.term: r.ticker for r in matching.resolve_company(terms, al).collect()}
     assert got == {"apple inc": "AAPL", "Apple": "AAPL", "the apple inc group": "AAPL", "zz": "ZZ"}
+
+
+def test_large_universe_matches_like_a_small_one(spark, monkeypatch):
+    uni = spark.createDataFrame([("BRK-B",), ("IT",), ("AAPL",), ("OIL",)], "ticker string")
+    art = spark.createDataFrame(
+        [(1, "AAPL", "AAPL and BRK.B", "it is oil, aapl"), (2, None, "nothing", None), (3, "ZZ", "Oil oil", "")],
+        "article_id long, ticker string, title string, description string",
+    )
+
+    def run():
+        found = matching.extract_tickers(art, uni, matching.full_text())
+        return (
+            sorted((r.article_id, r.position, r.ticker) for r in found.collect()),
+            sorted((r.article_id, r.ticker) for r in matching.assign_ticker(art, uni).collect()),
+            sorted((r.article_id, r.ticker) for r in matching.mentions(art, uni).collect()),
+            sorted((r.article_id, r.ticker) for r in matching.mentions(art, uni, substring=5).collect()),
+        )
+
+    small = run()
+    monkeypatch.setattr(matching, "LISTED_TICKERS", 0)
+    assert run() == small
+    assert small[0] == [(1, 0, "AAPL"), (1, 1, "BRK-B"), (1, 2, "IT"), (1, 3, "OIL"), (3, 0, "OIL")]
+
+
+def test_costly_text_is_evaluated_once(spark):
+    art = spark.createDataFrame([(1, "A", "s", "the title", "some text")], "article_id long, ticker string, source string, title string, description string")
+    flags = matching.keep_relevant(matching.relevance_flags(art, {"high": ["title"]}, ["some"], ["zz"], ["s"]))
+    plan = flags._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 1
+    hits = rules.match_rules(art, [rules.Rule("the", "x", "up", "r"), rules.Rule("text", "x", "up", "r")])
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
