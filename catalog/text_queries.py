@@ -582,7 +582,8 @@ def dedupe_exact(spark, sf):
 @query(
     "dedupe_title_cap",
     f"""WITH {ARTICLES}, k AS (SELECT article_id, lower(trim(title, ' ')) AS t, row_number() OVER (PARTITION BY lower(trim(title, ' ')) ORDER BY article_id) AS rn FROM articles)
-SELECT article_id FROM k WHERE rn = 1 AND t <> '' ORDER BY article_id LIMIT 500""",
+, capped AS (SELECT article_id FROM k WHERE rn = 1 AND t <> '' ORDER BY article_id LIMIT 500), n AS (SELECT count(*) AS n FROM articles)
+SELECT article_id FROM capped WHERE (SELECT n FROM n) > 500 UNION ALL SELECT article_id FROM articles WHERE (SELECT n FROM n) <= 500""",
 )
 def dedupe_title_cap(spark, sf):
     return dd.dedupe_title_cap(articles(spark, sf), 500).select("article_id")
