@@ -623,8 +623,8 @@ def model_confidence(spark, sf):
     return fix(out, "ml_confidence", "ml_score")
 
 
-# model scores come from the other half of the data: relevance as probability, odd users have none
-MODEL = f"""model AS (SELECT ticker, avg(relevance_score) * 2 - 0.5 AS p FROM news_events GROUP BY 1 HAVING count(*) % 2 = 0),
+# a stand-in model: relevance as probability, for tickers with no fewer high-impact than macro articles
+MODEL = f"""model AS (SELECT ticker, avg(relevance_score) * 2 - 0.5 AS p FROM news_events GROUP BY 1 HAVING count(*) FILTER (impact_level = 'high') >= count(*) FILTER (impact_level = 'macro')),
  merged AS (SELECT b.*, m.p AS mp, {five('m.p', 0.52, 0.505, 0.495, 0.48)} AS mrec FROM preds b LEFT JOIN model m ON b.ticker = m.ticker)"""
 CONFLICT = "news_count > 0 AND ((avg_sentiment < -0.3 AND mrec IN ('BUY', 'STRONG BUY')) OR (avg_sentiment > 0.3 AND mrec IN ('SELL', 'STRONG SELL')))"
 
@@ -655,9 +655,12 @@ def _model(spark, sf):
     p = (
         news(spark, sf)
         .groupBy("ticker")
-        .agg((F.avg("relevance_score") * 2 - 0.5).alias("ml_probability_up"), F.count("*").alias("n"))
-        .where("n % 2 = 0")
-        .drop("n")
+        .agg(
+            (F.avg("relevance_score") * 2 - 0.5).alias("ml_probability_up"),
+            (F.count_if(F.col("impact_level") == "high") >= F.count_if(F.col("impact_level") == "macro")).alias("known"),
+        )
+        .where("known")
+        .drop("known")
     )
     c = F.col("ml_probability_up")
     return p.withColumns(

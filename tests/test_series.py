@@ -38,7 +38,7 @@ def test_macd_matches_ewm(spark, n, chunk):
     assert column(ind.macd_hist(bars(spark, closes), chunk=chunk), "macd_hist") == pytest.approx(list(want), abs=1e-9)
 
 
-def test_rsi_flat_gain_and_reference_window(spark):
+def test_rsi_flat_gain_and_rolling_means(spark):
     assert column(ind.rsi(bars(spark, [5.0] * 5)), "rsi14") == [50.0] * 5
     up = bars(spark, [1.0, 2.0, 3.0])
     assert column(ind.rsi(up), "rsi14") == [50.0] * 3
