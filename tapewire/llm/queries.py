@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tapewire.llm import quality
+from tapewire.llm import decontaminate, langid, quality
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -24,3 +25,29 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.verdicts(table(spark, sf_dir, "documents"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select("doc_id", *counts, "base_failed", "kept")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+        "spans",
+    )
+
+
+def crc_mod(doc_id: str, n: int) -> Column:
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = langid.profiles(docs.where(crc_mod("doc_id", 4) != 2))
+    found = langid.identify(docs.select("doc_id", "text"), learned)
+    return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
