@@ -123,12 +123,12 @@ def fences(measured: DataFrame, by: tuple[str, str] = ("lang", "source"), fence:
     own = checkpointed(own)  # a sketch draws random bits: the groups and what they merge into must see the same one
     merged = [F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"{c}_up") for c in FIGURES]
     lang = own.groupBy(by[0]).agg(F.sum("__n").alias("__n_up"), *merged)
-    every = own.agg(*[F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(f"{c}_all") for c in FIGURES])
-    # one row: the sketch of everything has a fixed size
-    wide = null_safe(own, lang, [by[0]], "left").join(F.broadcast(every), F.lit(True), "left")
+    # one row of a fixed size: the sketches of everything
+    every = own.agg(*[F.kll_merge_agg_double(c, F.lit(SKETCH_K)).alias(c) for c in FIGURES]).first()
+    wide = null_safe(own, lang, [by[0]], "left")
 
     def pick(c: str) -> Column:
-        return F.when(F.col("__n") >= min_group, F.col(c)).when(F.col("__n_up") >= min_group, F.col(f"{c}_up")).otherwise(F.col(f"{c}_all"))
+        return F.when(F.col("__n") >= min_group, F.col(c)).when(F.col("__n_up") >= min_group, F.col(f"{c}_up")).otherwise(F.lit(every[c]))
 
     out = []
     for c, least in FIGURES.items():

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import decontaminate, langid, quality
+from tapewire.llm import chat, decontaminate, langid, quality, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,60 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     learned = langid.profiles(docs.where(crc_mod("doc_id", 4) != 2))
     found = langid.identify(docs.select("doc_id", "text"), learned)
     return found.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.archive(table(spark, sf_dir, "pages"))
+    return read.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
+SQL["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+ d AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS first_id,
+   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((
+     (CAST('0x' || substr(hex, CAST(1 + 10 * (i // 8) AS INTEGER), 10) AS BIGINT) >> (35 - 5 * (i % 8))) & 31) + 1 AS INTEGER), 1)), '') AS b32
+  FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, b32 AS payload_digest,
+ CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+ CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM d"""
+
+
+@query
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    read = chat.read_back(chat.expand(talks))
+    line = F.transform(F.max("turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    loss = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "")
+    return read.groupBy("conv_id").agg(
+        F.size(F.max("turns")).cast("long").alias("n_turns"),
+        F.sha2(F.array_join(line, ""), 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"),
+        F.sum("formatted_chars").alias("formatted_chars"),
+    )
+
+
+SQL["op3_chat_format"] = r"""
+WITH talks AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+ size AS (SELECT *, length('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10))
+   + length(regexp_extract_all(text, '<\\*\|(im_start|im_end|endoftext)\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')) AS chars FROM talks),
+ upto AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY turn) AS prefix,
+   turn = max(turn) OVER (PARTITION BY conv_id) AS is_last FROM size)
+SELECT conv_id, count(*) AS n_turns,
+ sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(prefix) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
+FROM upto GROUP BY conv_id"""
