@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, langid, quality, warc
+from tapewire.llm import bpe, chat, decontaminate, langid, passages, quality, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -116,3 +116,9 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     done = bpe.round_trip(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = passages.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "__cut.n_units", "__cut.n_removed", (F.col("__cut.n_removed") > 0).alias("removed"), "__cut.spans", "text")
