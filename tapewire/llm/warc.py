@@ -8,6 +8,7 @@ total length and takes off the chunked framing.
 
 from __future__ import annotations
 
+import gzip
 import uuid
 
 import pyarrow as pa
@@ -115,7 +116,7 @@ def records(rid: int, page_id: str | None, payload: bytes | None, digest: str, k
 def write_archives(classified: DataFrame, folder: str, segment_bytes: int = SEGMENT_BYTES, chunk_bytes: int = CHUNK_BYTES) -> None:
     """Write the rows of :func:`classify` as WARC files into ``folder``.
 
-    Every record is a row of Spark's text writer and the writer's line separator is the empty
+    The files are gzipped.  Every record is a row of Spark's text writer and the writer's line separator is the empty
     lines that end a record, so any file system Spark can reach will do.  The records of one page may land in
     different files.
     """
@@ -127,7 +128,7 @@ def write_archives(classified: DataFrame, folder: str, segment_bytes: int = SEGM
 
     rows = classified.select("rid", "page_id", "payload", "digest", "kind", "first_rid").mapInArrow(task, "record binary")
     text = rows.select(F.col("record").cast("string").alias("value"))
-    text.write.option("lineSep", END.decode()).option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(folder)
+    text.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).mode("overwrite").text(folder)
 
 
 def parsed(content: bytes) -> list[dict]:
@@ -168,7 +169,7 @@ def read_records(spark, folder: str) -> DataFrame:
     def task(batches):
         for batch in slices(batches, "content"):
             for content in batch.column("content").to_pylist():
-                yield from pa.Table.from_pylist(parsed(content), schema).to_batches(max_chunksize=RECORDS_PER_FILE)
+                yield from pa.Table.from_pylist(parsed(gzip.decompress(content)), schema).to_batches(max_chunksize=RECORDS_PER_FILE)
 
     return files.mapInArrow(task, RECORD)
 
