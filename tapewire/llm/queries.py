@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, langid, passages, quality, warc
+from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, passages, quality, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -122,3 +122,8 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = passages.dedupe(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "__cut.n_units", "__cut.n_removed", (F.col("__cut.n_removed") > 0).alias("removed"), "__cut.spans", "text")
+
+
+@query
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
