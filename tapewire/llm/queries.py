@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, passages, quality, warc
+from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, passages, quality, token_file, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -127,3 +127,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+@query
+def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    return token_file.write_and_read(table(spark, sf_dir, "documents"), tokenizer, vocabulary=49_408, end=2)
