@@ -16,11 +16,12 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapewire.llm.batches import as_binary, slices, spans, splits, word_codes
+from tapewire.llm.batches import slices, spans, splits, word_codes
 from tapewire.operators.scale import checkpointed
 from tapewire.session import shared_dir
 
@@ -28,7 +29,7 @@ MAGIC = b"TWCM0001"
 HEAD = struct.Struct("<8sIIQIIIII")  # magic, vocabulary, documents, ids, lanes, steps, bytes of the tables, bytes of the code, crc32 of the ids
 STEPS = 256  # ids in a lane
 BLOCK_IDS = 1 << 21
-CONTEXT_BITS = 20
+CONTEXT_BITS = 18
 GAIN = 24  # what one occurrence adds to an order-0 count
 LEVELS = 16  # confidence levels of a prediction
 
@@ -43,9 +44,9 @@ class Model:
         self.counts = np.ones(vocabulary, dtype=np.int64)
         self.upto = np.zeros(vocabulary + 1, dtype=np.int64)
         self.next1 = np.zeros(vocabulary, dtype=np.int32)
-        self.sure1 = np.zeros(vocabulary, dtype=np.int64)
+        self.sure1 = np.zeros(vocabulary, dtype=np.int8)
         self.next2 = np.zeros(1 << CONTEXT_BITS, dtype=np.int32)
-        self.sure2 = np.zeros(1 << CONTEXT_BITS, dtype=np.int64)
+        self.sure2 = np.zeros(1 << CONTEXT_BITS, dtype=np.int8)
         self.right = np.ones((2, LEVELS), dtype=np.int64)
         self.tried = np.full((2, LEVELS), 4, dtype=np.int64)
         self.last = np.zeros(lanes, dtype=np.int64)
@@ -64,7 +65,7 @@ class Model:
         self.a2, self.a1 = a2, a1
 
     def update(self, ids: np.ndarray) -> None:
-        self.counts += GAIN * np.bincount(ids, minlength=len(self.counts))
+        np.add.at(self.counts, ids, GAIN)
         for row, at, follows, sure, c, p in ((0, self.hash, self.next2, self.sure2, self.c2, self.p2), (1, self.last, self.next1, self.sure1, self.c1, self.p1)):
             hit = p == ids
             self.tried[row] += np.bincount(c, minlength=LEVELS)
@@ -216,39 +217,72 @@ def read_blocks(content: bytes) -> Iterator[tuple[list[int | None], np.ndarray,
 class Encoder:
     """Ids of whole texts by the tokenizers library, which sees every distinct piece between ASCII white space once.
 
-    The tokenizer's own first step cuts at white space, so pieces are independent.
+    The tokenizer cuts at white space and between a letter and a full stop or comma, and marks word ends in its tokens.  So
+    pieces are independent, and new words go to the library many at a time with a space between.
     """
 
     REMEMBERED = 200_000
+    TOGETHER = 2000
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.pool = np.empty(0, np.int32)
         self.first = np.empty(0, np.int64)
         self.count = np.empty(0, np.int64)
 
+    def _add(self, pieces: list[str], ids: np.ndarray, count: np.ndarray) -> None:
+        base = len(self.first)
+        self.known.update(zip(pieces, range(base, base + len(pieces))))
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
+        self.count = np.concatenate([self.count, count])
+        self.pool = np.concatenate([self.pool, ids])
+
+    def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        count = np.array([len(f) for f in found], dtype=np.int64)
+        return np.fromiter((i for f in found for i in f), np.int32, int(count.sum())), count
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
+        ends = np.flatnonzero(self.is_end[ids]) + 1
+        return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._one_by_one(words)
+
+    def _learn(self, pieces: list[str]) -> None:
+        stems = [p.rstrip(".,") for p in pieces]
+        cut = {p: (s, p[len(s) :]) for p, s in zip(pieces, stems) if s and len(s) < len(p) and s[-1].isalpha()}
+        need = {x for p in pieces for x in cut.get(p, (p,)) if x not in self.known}
+        words, others = [x for x in need if x.isalpha()], [x for x in need if not x.isalpha()]
+        for at in range(0, len(words), self.TOGETHER):
+            self._add(part := words[at : at + self.TOGETHER], *self._words(part))
+        if others:
+            self._add(others, *self._one_by_one(others))
+        if cut:
+            parts = np.array([[self.known[s], self.known[t]] for s, t in cut.values()]).ravel()
+            count = self.count[parts]
+            ids = self.pool[np.repeat(self.first[parts], count) + spans(count)]
+            self._add(list(cut), ids, count.reshape(-1, 2).sum(axis=1))
+
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
-        codes, pieces, at = word_codes(texts, lower=False)
+        # special tokens are found in the text as it stands; without one, letters may be lowered first
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        codes, pieces, at = word_codes(texts, lower=not special)
         pieces = pieces.to_pylist()
         if len(self.known) > self.REMEMBERED:
             self._forget()
         new = [p for p in pieces if p not in self.known]
         if new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-            count = np.array([len(f) for f in found], dtype=np.int64)
-            base = len(self.first)
-            self.known.update(zip(new, range(base, base + len(new))))
-            self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
-            self.count = np.concatenate([self.count, count])
-            self.pool = np.concatenate([self.pool, np.fromiter((i for f in found for i in f), np.int32, int(count.sum()))])
+            self._learn(new)
         place = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
         count = self.count[place]
         ids = self.pool[np.repeat(self.first[place], count) + spans(count)]
