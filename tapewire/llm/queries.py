@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, passages, quality, token_file, warc
+from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, lm_scoring, passages, quality, token_file, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -134,3 +134,10 @@ def op9_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         tokenizer = f.read()
     return token_file.write_and_read(table(spark, sf_dir, "documents"), tokenizer, vocabulary=49_408, end=2)
+
+
+@query
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = lm_scoring.score(docs, docs.where(crc_mod("doc_id", 5) != 1))
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
