@@ -229,8 +229,8 @@ def _encoded(batches, bpe: Bpe):
         )
 
 
-def _decoded(batches, bpe: Bpe):
-    for batch in slices(batches, "ids", SLICE):
+def _decoded(batches, bpe: Bpe, whole: bool = False):
+    for batch in batches if whole else slices(batches, "ids", SLICE):
         blobs = batch.column("ids").to_pylist()
         ids = np.frombuffer(b"".join(b or b"" for b in blobs), "<u4").astype(np.int64)
         data, at = bpe.decode(ids)
@@ -264,13 +264,15 @@ def decode(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return rows.mapInArrow(lambda batches: _decoded(batches, _of(sent, pattern)), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
 
 
-def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`encode` and :func:`decode` in one pass: (doc_id, n_tokens, ids, decoded)."""
+def round_trip(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """:func:`encode` and :func:`decode` in one pass: (doc_id, n_tokens, ids, decoded), with ``text`` last if it is kept."""
     slim, kind = _slim(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def task(batches):
         bpe = _of(sent, pattern)
-        return _decoded(_encoded(batches, bpe), bpe)
+        for batch in slices(batches, "text", SLICE):
+            for done in _decoded(_encoded([batch], bpe), bpe, whole=True):
+                yield done.append_column("text", batch.column("text")) if keep_text else done
 
-    return slim.mapInArrow(task, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return slim.mapInArrow(task, f"doc_id {kind}, n_tokens long, ids binary, decoded binary{', text string' * keep_text}")
