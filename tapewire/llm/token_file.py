@@ -259,7 +259,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         stems = [p.rstrip(".,") for p in pieces]
-        cut = {p: (s, p[len(s) :]) for p, s in zip(pieces, stems) if s and len(s) < len(p) and s[-1].isalpha()}
+        cut = {p: (s, p[len(s) :]) for p, s in zip(pieces, stems) if s and len(s) < len(p) and s[-1].lower().isalpha()}
         need = {x for p in pieces for x in cut.get(p, (p,)) if x not in self.known}
         words, others = [x for x in need if x.isalpha()], [x for x in need if not x.isalpha()]
         for at in range(0, len(words), self.TOGETHER):
