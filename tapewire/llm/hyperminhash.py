@@ -1,8 +1,8 @@
 """Near-duplicate groups from HyperMinHash sketches.
 
-A sketch has 128 registers; each holds the least hash of its bucket as a leading-zero count and
-the mantissa bits behind it.  Bands of four registers propose pairs, the collision-corrected
-Jaccard estimate drops most, whole shingle sets decide the rest, and linked documents form components.
+A register holds the least hash of its bucket as a leading-zero count and the mantissa bits behind it.
+Bands of four of 128 registers propose pairs; 512 registers, folded to a byte each, give a collision-corrected
+Jaccard estimate that drops most of them; whole shingle sets decide the rest, and linked documents form components.
 """
 
 from __future__ import annotations
@@ -17,13 +17,16 @@ from tapewire.llm.batches import as_binary, null_safe, slices, spans, word_codes
 from tapewire.operators.scale import checkpointed, fits
 
 BUCKET_BITS = 7
-REGISTERS = 1 << BUCKET_BITS
-REST = 64 - BUCKET_BITS
+REGISTERS = 1 << BUCKET_BITS  # for bands
+FINE_BITS = 9
+FINE = 1 << FINE_BITS  # for estimates
 MANTISSA = 10
+FOLDS = 255  # values of a folded register; 0 is an empty bucket
 BAND = 4  # registers a band: at a similarity of 0.8 all 32 bands miss a pair once in 20 million
 ERRORS = 5.0  # standard errors that an estimate may lie below the threshold before a pair is dropped
-BLOCK = 256  # rows of a bucket compared at a time
-BROADCAST_IDS = 500_000
+BLOCK = 1024  # rows of a bucket compared at a time
+BROADCAST_IDS = 50_000
+EDGES_A_TASK = 100_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -63,58 +66,62 @@ class Shingler:
         return out
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
-    """One row of 128 registers per set: (leading zeros + 1) << 10 | mantissa of the bucket's least hash, 0 for an empty bucket."""
+def registers(sets: list[np.ndarray], bits: int = BUCKET_BITS) -> np.ndarray:
+    """A row of 2 ** ``bits`` registers per sorted set: (leading zeros + 1) << 10 | mantissa of the bucket's least hash, 0 for an empty bucket."""
     size = np.array([len(s) for s in sets])
-    out = np.zeros((len(sets), REGISTERS), dtype=np.uint16)
+    out = np.zeros((len(sets), 1 << bits), dtype=np.uint16)
     if not size.sum():
         return out
     h = np.concatenate(sets)
     row = np.repeat(np.arange(len(sets)), size)
-    bucket = (h >> np.uint64(REST)).astype(np.int64)
-    least = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])]))  # the sets are sorted
-    rest = h[least] & np.uint64((1 << REST) - 1)
-    length = np.frexp(np.maximum(rest, 1).astype(np.float64))[1]
-    over = (np.uint64(1) << np.minimum(length, 63).astype(np.uint64)) <= rest  # a float may round up or down at a power of two
-    length = np.where(over, length + 1, length)
-    under = rest < (np.uint64(1) << np.maximum(length - 1, 0).astype(np.uint64))
-    length = np.where(under & (length > 1), length - 1, length)
+    bucket = (h >> np.uint64(64 - bits)).astype(np.int64)
+    least = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (row[1:] != row[:-1])]))
+    rest = h[least] & np.uint64((1 << (64 - bits)) - 1)
+    top = rest >> np.uint64(32)  # the bit length, found on halves that a float holds exactly
+    length = np.where(top > 0, np.frexp(top.astype(np.float64))[1] + 32, np.frexp((rest & np.uint64(0xFFFFFFFF)).astype(np.float64))[1])
+    length = np.maximum(length, 1)
     behind = length - 1
     shift = behind - MANTISSA
     tail = rest & ((np.uint64(1) << behind.astype(np.uint64)) - np.uint64(1))
     mantissa = np.where(shift >= 0, tail >> np.maximum(shift, 0).astype(np.uint64), tail << np.maximum(-shift, 0).astype(np.uint64))
-    out[row[least], bucket[least]] = ((REST - length + 1).astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
+    out[row[least], bucket[least]] = ((64 - bits - length + 1).astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
     return out
 
 
-def collisions(na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-    """Chance that a register of two sets is equal though the least hashes differ."""
-    la, lb = (np.maximum(n, 1)[:, None] / REGISTERS for n in (na, nb))
-    low = 0.5 ** (np.arange(REST) + 1.0)  # hashes with i leading zeros lie in [low, 2 low)
-    cell = low / (1 << MANTISSA)
-    return (la * lb * low * cell * np.exp(-(la + lb) * 1.5 * low)).sum(axis=1)
+def folded(rows: np.ndarray) -> np.ndarray:
+    """Registers as bytes; unequal ones agree once in ``FOLDS`` times."""
+    mixed = (rows.astype(np.uint32) * np.uint32(2654435769)) >> np.uint32(16)
+    return np.where(rows > 0, 1 + mixed % FOLDS, 0).astype(np.uint8)
 
 
-def estimates(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Collision-corrected Jaccard estimates of register rows, and how many registers each rests on."""
-    either = ((a != 0) | (b != 0)).sum(axis=1)
+def estimates(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Collision-corrected Jaccard estimates of folded rows, and how many registers each rests on."""
+    either = ((a | b) != 0).sum(axis=1)
     share = ((a == b) & (a != 0)).sum(axis=1) / np.maximum(either, 1)
-    chance = collisions(na, nb)
+    chance = 1 / FOLDS
     return np.clip((share - chance) / (1 - chance), 0, 1), either
 
 
 def passes(estimate: np.ndarray, rests_on: np.ndarray, na: np.ndarray, nb: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the similarity may reach the threshold: within ``ERRORS`` standard errors of it.
+
+    The registers are a sample without replacement of a union of ``(na + nb) / (1 + t)`` hashes.
+    """
     t = percent / 100
-    near = estimate + ERRORS * np.sqrt(t * (1 - t) / np.maximum(rests_on, 1)) >= t
+    k = np.maximum(rests_on, 1)
+    union = np.maximum((na + nb) / (1 + t), 2)
+    left_out = np.clip((union - k) / (union - 1), 0, 1)
+    error = np.sqrt(t * (1 - t) / k * left_out + (1 - t) / (FOLDS * k))
+    near = estimate + ERRORS * error + 1 / k >= t
     return near & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u2").reshape(-1, REGISTERS)
+def _matrix(column: pa.Array, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(-1, width)
 
 
 def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, digest, registers); ``digest`` names the shingle set, NULL without words."""
+    """Rows (doc_id, n_shingles, digest, registers, fine); ``digest`` names the shingle set, NULL without words."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
@@ -124,20 +131,21 @@ def sketches(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: st
             sets = shingler.sets(batch.column("text"))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             rows = [r.tobytes() for r in registers(sets).astype("<u2")]
+            fine = [r.tobytes() for r in folded(registers(sets, FINE_BITS))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "registers"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(rows, pa.binary()), pa.array(fine, pa.binary())],
+                names=["doc_id", "n_shingles", "digest", "registers", "fine"],
             )
 
-    return slim.mapInArrow(task, f"doc_id {kind}, n_shingles long, digest binary, registers binary")
+    return slim.mapInArrow(task, f"doc_id {kind}, n_shingles long, digest binary, registers binary, fine binary")
 
 
 def _bands(nodes: DataFrame) -> DataFrame:
-    """Rows (node, key): a key per band with a full register."""
+    """Rows (node, band, key): a key per band with a full register."""
     width = 2 * BAND
     parts = [(i, F.substring("registers", 1 + width * i, width)) for i in range(REGISTERS // BAND)]
-    keys = F.array(*[F.when(p != F.lit(bytes(width)), F.xxhash64(F.lit(i), p)) for i, p in parts])
-    return nodes.select("node", F.explode(F.array_compact(keys)).alias("key"))
+    keys = F.array(*[F.when(p != F.lit(bytes(width)), F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), p).alias("key"))) for i, p in parts])
+    return nodes.select("node", F.explode(F.array_compact(keys)).alias("at")).select("node", "at.band", "at.key")
 
 
 def _stars(live: DataFrame) -> DataFrame:
@@ -154,7 +162,7 @@ def _stars(live: DataFrame) -> DataFrame:
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(leader, member, estimate) of the pairs that may reach the threshold."""
-    side = lambda name, own: nodes.select(F.col("node").alias(name), F.col("registers").alias(f"r_{own}"), F.col("n").alias(f"n_{own}"))
+    side = lambda name, own: nodes.select(F.col("node").alias(name), F.col("fine").alias(f"r_{own}"), F.col("n").alias(f"n_{own}"))
     rows = pairs.join(side("member", "b"), "member").join(side("leader", "a"), "leader").select("leader", "member", "r_a", "r_b", "n_a", "n_b")
     kind = rows.schema["leader"].dataType.simpleString()
 
@@ -163,7 +171,7 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             na, nb = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            estimate, on = estimates(_matrix(batch.column("r_a")), _matrix(batch.column("r_b")), na, nb)
+            estimate, on = estimates(_matrix(batch.column("r_a"), "u1", FINE), _matrix(batch.column("r_b"), "u1", FINE))
             ok = pa.array(passes(estimate, on, na, nb, percent))
             yield pa.RecordBatch.from_arrays([batch.column("leader"), batch.column("member"), pa.array(estimate)], names=["leader", "member", "estimate"]).filter(ok)
 
@@ -202,29 +210,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) ->
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) for every node of the edges (leader, member): the least node it can reach.
+    """(node, comp) for the nodes of the edges (leader, member) that reach a lesser one: the least node each can reach.
 
-    Every round hooks each component to its least neighbour, follows the hooks to their ends by doubling and
-    contracts the edges; rounds grow with the logarithm of the longest path.
+    Every round hooks a node to its least neighbour, follows the hooks to their ends by doubling and contracts the
+    edges; rounds grow with the logarithm of the longest path.  Tables have as many partitions as their size asks for.
     """
-    left = checkpointed(edges.select(F.greatest("leader", "member").alias("hi"), F.least("leader", "member").alias("lo")).where("hi <> lo").distinct())
-    labels = checkpointed(left.select(F.explode(F.array("hi", "lo")).alias("node")).distinct().withColumn("comp", F.col("node")))
+    tasks = edges.count() // EDGES_A_TASK + 1
+    left = edges.select(F.greatest("leader", "member").alias("hi"), F.least("leader", "member").alias("lo")).where("hi <> lo")
+    labels = None
     while not left.isEmpty():
-        hooks = checkpointed(left.groupBy("hi").agg(F.min("lo").alias("lo")))
+        hooks = checkpointed(left.groupBy("hi").agg(F.min("lo").alias("lo")).coalesce(tasks))
         while True:
             ends = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("end"))
-            on = checkpointed(hooks.join(ends, "lo", "left").select("hi", F.coalesce("end", "lo").alias("lo"), F.col("end").isNotNull().alias("moved")))
+            on = hooks.join(ends, "lo", "left").select("hi", F.coalesce("end", "lo").alias("lo"), F.col("end").isNotNull().alias("moved"))
+            on = checkpointed(on.coalesce(tasks))
             hooks = on.select("hi", "lo")
             if on.where("moved").isEmpty():
                 break
-        to = hooks.select(F.col("hi").alias("comp"), F.col("lo").alias("end"))
-        labels = checkpointed(labels.join(to, "comp", "left").select("node", F.coalesce("end", "comp").alias("comp")))
+        if labels is None:
+            labels = hooks.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))
+        else:
+            to = hooks.select(F.col("hi").alias("comp"), F.col("lo").alias("end"))
+            moved = labels.join(to, "comp", "left").select("node", F.coalesce("end", "comp").alias("comp"))
+            labels = checkpointed(moved.unionByName(hooks.select(F.col("hi").alias("node"), F.col("lo").alias("comp"))).coalesce(tasks))
         for side in ("hi", "lo"):
-            left = left.join(hooks.select(F.col("hi").alias(side), F.col("lo").alias("end")), side, "left").select(
-                F.coalesce("end", side).alias(side), *[c for c in ("hi", "lo") if c != side]
-            )
-        left = checkpointed(left.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct())
-    return labels
+            to = hooks.select(F.col("hi").alias(side), F.col("lo").alias("end"))
+            left = left.join(to, side, "left").select(F.coalesce("end", side).alias(side), *[c for c in ("hi", "lo") if c != side])
+        left = left.where("hi <> lo").select(F.greatest("hi", "lo").alias("hi"), F.least("hi", "lo").alias("lo")).distinct()
+        left = checkpointed(left.coalesce(tasks))
+    return edges.select(F.col("leader").alias("node"), F.col("member").alias("comp")).limit(0) if labels is None else labels
 
 
 def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +246,13 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
 
     Buckets inside one component have nothing left to find.  The others are cut by set size, since sets that
     differ too much in size cannot be similar: a row joins its own size class and, as a guest, the next smaller
-    one.  A large class is cut into blocks, and block pairs are compared in parallel on registers.
+    one.  A large class is cut into blocks, and block pairs are compared in parallel on registers.  A pair counts in the first
+    band that it shares.
     """
     t = percent / 100
     step = float(np.log(1 / t)) + 1e-9
-    named = live.join(labels, "node", "left").join(nodes.select("node", "registers", "n"), "node")
-    named = named.select("key", "node", F.coalesce("comp", "node").alias("comp"), "n", F.floor(F.log("n") / step).alias("own"))
+    named = live.join(labels, "node", "left").join(nodes.select("node", "n"), "node")
+    named = named.select("key", "band", "node", F.coalesce("comp", "node").alias("comp"), "n", F.floor(F.log("n") / step).alias("own"))
     classed = named.withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
     mixed = classed.groupBy("key", "class").agg(
         F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((F.col("own") == F.col("class")).cast("int")).alias("any")
@@ -248,14 +263,15 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("task", F.xxhash64("key", "class", F.least("block", "other"), F.greatest("block", "other")))
     rows = rows.withColumn("split", F.col("block") != F.col("other"))
-    full = rows.select("task", "split", "block", "node", "comp", "n", (F.col("own") == F.col("class")).alias("owner")).join(nodes.select("node", "registers"), "node")
+    full = rows.select("task", "split", "block", "band", "node", "comp", "n", (F.col("own") == F.col("class")).alias("owner")).join(nodes.select("node", "registers", "fine"), "node")
     dealt = full.repartition("task").sortWithinPartitions("task")
     kind = dealt.schema["node"].dataType.simpleString()
 
     def compared(table: pa.Table):
-        task, split, block, comp, n, owner = (table.column(c).to_numpy() for c in ("task", "split", "block", "comp", "n", "owner"))
+        task, split, block, band, comp, n, owner = (table.column(c).to_numpy() for c in ("task", "split", "block", "band", "comp", "n", "owner"))
         node = table.column("node").combine_chunks()
-        regs = _matrix(table.column("registers"))
+        bands = _matrix(table.column("registers"), "<u8", REGISTERS // BAND)
+        fine = _matrix(table.column("fine"), "u1", FINE)
         first = np.flatnonzero(np.concatenate([[True], task[1:] != task[:-1]]))
         end = np.repeat(np.append(first[1:], len(task)), np.diff(np.append(first, len(task))))
         partners = end - np.arange(len(task)) - 1
@@ -268,8 +284,11 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
             ok = (comp[a] != comp[b]) & (owner[a] | owner[b]) & (~split[a] | (block[a] != block[b]))
             ok &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
             a, b = a[ok], b[ok]
+            same = (bands[a] == bands[b]) & (bands[a] != 0)
+            ok = same.argmax(axis=1) == band[a]
+            a, b = a[ok], b[ok]
             if len(a):
-                estimate, on = estimates(regs[a], regs[b], n[a], n[b])
+                estimate, on = estimates(fine[a], fine[b])
                 near = passes(estimate, on, n[a], n[b], percent)
                 if near.any():
                     yield pa.RecordBatch.from_arrays([node.take(pa.array(a[near])), node.take(pa.array(b[near]))], names=["leader", "member"])
@@ -289,7 +308,7 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
         if rest is not None and rest.num_rows:
             yield from compared(rest)
 
-    return dealt.mapInArrow(task, f"leader {kind}, member {kind}").distinct()
+    return dealt.mapInArrow(task, f"leader {kind}, member {kind}")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,7 +328,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     base = checkpointed(sketches(slim, shingle))
     nodes = base.where(F.col("digest").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("n_shingles").alias("n")
+        F.min("doc_id").alias("node"), F.first("registers").alias("registers"), F.first("fine").alias("fine"), F.first("n_shingles").alias("n")
     )
     nodes = checkpointed(nodes)
     known = nodes.where(F.col("node").isNotNull())
@@ -322,8 +341,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     labels = components(edges)
     cross = checkpointed(_across(live, labels, known, percent))
     if not cross.isEmpty():
-        edges = edges.unionByName(_verified(cross, slim, shingle, percent))
-        labels = components(edges)
+        labels = components(edges.unionByName(_verified(cross, slim, shingle, percent)))
     comp = nodes.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
     full = base.where(F.col("digest").isNotNull()).join(comp, "digest").select("doc_id", "n_shingles", "component_id")
     none = base.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
