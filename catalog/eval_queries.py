@@ -242,9 +242,8 @@ def article_features(spark, sf):
 
 
 def cuts_sql(cuts, column, source):
-    # with fewer than 100 rows the stated defaults apply
     return " UNION ALL ".join(
-        f"SELECT '{n}' AS name, {fxs(f'CASE WHEN count({column}) < 100 THEN {d} ELSE quantile_cont({column}, {p}) END')} AS value FROM {source}"
+        f"SELECT '{n}' AS name, {fxs(f'coalesce(quantile_cont({column}, {p}), {d})')} AS value, count({column}) AS n_rows FROM {source}"
         for n, (p, d) in cuts.items()
     )
 

@@ -273,7 +273,7 @@ def incremental_news(spark, sf):
     feed = stamped(spark, sf).withColumn("url", F.concat(F.lit("https://example.com/"), "lang"))
     feed.repartition(4, "article_id").write.parquet(src)
     stream = ingest.landed(spark, src, feed.schema, per_trigger=2)
-    ingest.run_to_end(ingest.incremental_news(stream, store, cp, light_scorer(spark), lateness="60 days"))
+    ingest.run_to_end(ingest.incremental_news(stream, store, cp, light_scorer(spark)))
     return st.read_store(spark, store).select("title", "lang")
 
 
@@ -316,7 +316,7 @@ def ingest_pending(spark, sf):
     return st.read_store(spark, store).groupBy("event_date").agg(F.count("*").alias("n"))
 
 
-QUICK = f"""WITH {NEWS.replace('news_events AS', 'all_news AS')}, news_events AS (SELECT * FROM all_news ORDER BY event_time DESC, article_id LIMIT 500), {BARS_U}, {QUOTES_U}, {SUMM}"""
+QUICK = f"""WITH {NEWS.replace('news_events AS', 'all_news AS')}, news_events AS (SELECT * FROM all_news WHERE event_time >= TIMESTAMP '2024-01-20 06:00:00'), {BARS_U}, {QUOTES_U}, {SUMM}"""
 
 
 @query(
@@ -326,7 +326,7 @@ SELECT ticker, news_count, {fxs('avg_sentiment')} AS avg_sentiment, {fxs('greate
 )
 def quick_update(spark, sf):
     q = ranking.last_quote(bars_u(spark, sf))
-    out = refresh.quick_update(news(spark, sf), q, q.select("ticker"), lambda df: df, AS_OF)
+    out = refresh.quick_update(news(spark, sf), q, q.select("ticker"), lambda df: df, AS_OF, "2024-01-20 06:00:00")
     return fix(out.select("ticker", "news_count", "avg_sentiment", "prediction_score", "sentiment_recommendation"), "avg_sentiment", "prediction_score")
 
 
@@ -402,10 +402,13 @@ def panel(spark, sf):
 P_SQL = f"WITH {NEWS}, {BARS_U}, {DAILY}, {LABELS_U}, {PANEL}"
 
 
-@query("time_split", P_SQL + " SELECT ticker, date, CASE WHEN date >= (SELECT min(d) FROM (SELECT DISTINCT date AS d FROM panel ORDER BY d DESC LIMIT 14) x) THEN 'test' ELSE 'train' END AS side FROM panel")
+LAST_SHARE = " SELECT ticker, date, CASE WHEN date >= (SELECT min(d) FROM (SELECT date AS d, row_number() OVER (ORDER BY date DESC) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM panel) y) x WHERE i <= ceil(n * {share})) THEN 'test' ELSE 'train' END AS side FROM panel"
+
+
+@query("time_split", P_SQL + LAST_SHARE.format(share=0.2))
 def time_split(spark, sf):
     rows = _labelled(spark, sf)
-    a, b = model.time_split(rows, 14)
+    a, b = model.time_split(rows)
     return a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("test"))).select("ticker", "date", "side")
 
 
@@ -415,9 +418,12 @@ def _labelled(spark, sf):
     return daily_panel(news(spark, sf), bars_u(spark, sf), with_technicals=False)
 
 
-@query("time_split_short", P_SQL + ", r AS (SELECT *, row_number() OVER (ORDER BY date, ticker) AS rn, count(*) OVER () AS n FROM panel) SELECT ticker, date, CASE WHEN rn <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS side FROM r")
+@query(
+    "time_split_short",
+    P_SQL + ", few AS (SELECT * FROM panel WHERE date <= DATE '2024-01-03')" + LAST_SHARE.format(share=0.5).replace("FROM panel", "FROM few"),
+)
 def time_split_short(spark, sf):
-    a, b = model.time_split(_labelled(spark, sf), 40)
+    a, b = model.time_split(_labelled(spark, sf).where("date <= '2024-01-03'"), 0.5)
     return a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("test"))).select("ticker", "date", "side")
 
 
@@ -428,7 +434,7 @@ def validation_slice(spark, sf):
 
 @query("training_rows", P_SQL + " SELECT ticker, date FROM panel WHERE direction_fwd IN (0, 1) AND news_count > 0")
 def training_rows(spark, sf):
-    return model.training_rows(_labelled(spark, sf)).select("ticker", "date")
+    return model.training_rows(_labelled(spark, sf), news_only=True).select("ticker", "date")
 
 
 @query("class_weight", P_SQL + f" SELECT ticker, date, {fxs('count(*) OVER () / (2.0 * count(*) OVER (PARTITION BY direction_fwd))')} AS weight FROM panel")
@@ -481,7 +487,7 @@ def model_roundtrip(spark, sf):
 
 
 def _split(spark, sf):
-    return model.time_split(model.training_rows(panel(spark, sf)), 7)
+    return model.time_split(model.training_rows(panel(spark, sf), news_only=True))
 
 
 @query("baseline_comparison")
@@ -499,7 +505,7 @@ def top_vote(spark, sf):
 
 @query("random_search")
 def random_search(spark, sf):
-    fit_part, tune = model.validation_slice(model.training_rows(panel(spark, sf)), 7)
+    fit_part, tune = model.validation_slice(model.training_rows(panel(spark, sf), news_only=True), 7)
     return model.random_search(fit_part, tune, 2, base=model.Boost(3, 3))
 
 
@@ -512,7 +518,7 @@ def feature_importance(spark, sf):
 
 @query("cross_validate")
 def cross_validate(spark, sf):
-    rows = model.training_rows(panel(spark, sf))
+    rows = model.training_rows(panel(spark, sf), news_only=True)
     return model.cross_validate(rows, model.forest(model.Forest(5, 3, 5), "direction_fwd", 42), 3)
 
 

@@ -551,8 +551,8 @@ def rank_recommend(spark, sf):
 @query(
     "latest_slice",
     f"""WITH {NEWS}, {BARS_U}, d AS (SELECT b.ticker, b.date, coalesce(n, 0) AS news_count FROM bars_u b LEFT JOIN (SELECT ticker, date, count(*) AS n FROM news_events WHERE {S} > 0 GROUP BY 1, 2) x ON b.ticker = x.ticker AND b.date = x.date),
- l AS (SELECT * FROM d WHERE date = (SELECT max(date) FROM d)), k AS (SELECT count(*) AS k FROM l WHERE news_count > 0)
-SELECT ticker, date, news_count FROM l WHERE news_count > 0 OR (SELECT k FROM k) < 5""",
+ l AS (SELECT * FROM d WHERE date = (SELECT max(date) FROM d))
+SELECT ticker, date, news_count FROM l""",
 )
 def latest_slice(spark, sf):
     per_day = news(spark, sf).where(F.col(S) > 0).groupBy("ticker", "date").agg(F.count("*").alias("news_count"))

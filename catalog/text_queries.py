@@ -582,11 +582,10 @@ def dedupe_exact(spark, sf):
 @query(
     "dedupe_title_cap",
     f"""WITH {ARTICLES}, k AS (SELECT article_id, lower(trim(title, ' ')) AS t, row_number() OVER (PARTITION BY lower(trim(title, ' ')) ORDER BY article_id) AS rn FROM articles)
-, capped AS (SELECT article_id FROM k WHERE rn = 1 AND t <> '' ORDER BY article_id LIMIT 500), n AS (SELECT count(*) AS n FROM articles)
-SELECT article_id FROM capped WHERE (SELECT n FROM n) > 500 UNION ALL SELECT article_id FROM articles WHERE (SELECT n FROM n) <= 500""",
+SELECT article_id FROM k WHERE rn = 1 OR t = ''""",
 )
 def dedupe_title_cap(spark, sf):
-    return dd.dedupe_title_cap(articles(spark, sf), 500).select("article_id")
+    return dd.dedupe_titles(articles(spark, sf)).select("article_id")
 
 
 # first-come-first-kept over the similar pairs, one node at a time
@@ -599,7 +598,8 @@ FUZZY = f"""WITH RECURSIVE {ARTICLES}, t AS (SELECT article_id, trim({pad_sql('t
  g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
   SELECT p.i, CASE WHEN list_has_any(p.earlier, g.kept) THEN g.kept ELSE list_append(g.kept, p.n) END FROM g JOIN pre p ON p.i = g.i + 1),
  last AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
-SELECT id AS article_id FROM reps WHERE id NOT IN (SELECT n FROM nodes) OR list_contains((SELECT kept FROM last), id)"""
+SELECT id AS article_id FROM reps WHERE id NOT IN (SELECT n FROM nodes) OR list_contains((SELECT kept FROM last), id)
+UNION ALL SELECT article_id FROM articles WHERE NOT coalesce(length(title) >= 10 AND trim({pad_sql('title')}) <> '', FALSE)"""
 
 
 @query("dedupe_fuzzy", FUZZY)

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 EPOCH_FLOOR = "2000-01-01"
 # The spellings of time found in feeds, most specific first.
 TIME_FORMATS = (
-    "yyyy-MM-dd'T'HH:mm:ss.SSSXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
     "yyyy-MM-dd'T'HH:mm:ssXXX",
     "yyyy-MM-dd'T'HH:mm:ss",
+    "yyyy-MM-dd HH:mm:ss.SSSSSS",
     "yyyy-MM-dd HH:mm:ss",
     "d MMM yyyy HH:mm:ss Z",
     "yyyyMMdd'T'HHmmss'Z'",

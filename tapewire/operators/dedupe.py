@@ -1,8 +1,7 @@
 """Exact and near-duplicate removal.
 
-Survivors are found on narrow (key, id) rows by map-side combining and the full rows
-follow by a semi join on the unique id, so a group of copies holding a third of the
-table costs one row per task, not one task.
+An exact survivor is carried through a map-side combining aggregate as a whole row, so a group of
+copies holding a third of the table costs one row per task, and a row delivered twice under one id stays once.
 """
 
 from __future__ import annotations
@@ -12,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tapewire.functions.text import normalize_url
 from tapewire.operators.matching import padded
-from tapewire.operators.scale import attach, checkpointed, dim_join, fits
+from tapewire.operators.scale import checkpointed, dim_join
 
-PAIR_BUCKET = 64
+BLOCK = 512  # sets of a bucket that are compared in one task
 
 
 def folded_title() -> Column:
@@ -22,16 +21,23 @@ def folded_title() -> Column:
 
 
 def _keep_first(df: DataFrame, keys: dict[str, Column], key: str) -> DataFrame:
-    first = df.select(F.col(key), *[c.alias(n) for n, c in keys.items()]).groupBy(*keys).agg(F.min(key).alias(key))
-    return df.join(first.select(key), key, "left_semi")
+    """The row of the least id per key; a NULL id comes last."""
+    rows = df.select(*[c.alias(n) for n, c in keys.items()], F.struct(*df.columns).alias("_row"))
+    order = F.struct(F.col(f"_row.{key}").isNull(), F.col(f"_row.{key}"))
+    return rows.groupBy(*keys).agg(F.min_by("_row", order).alias("_row")).select("_row.*")
+
+
+def _alone(df: DataFrame, key: str) -> Column:
+    """Tells rows with a blank title apart: by id, without one by their contents."""
+    plain = [c for c, t in df.dtypes if not t.startswith("map")]
+    own = F.coalesce(F.col(key).cast("string"), F.xxhash64(*plain).cast("string"))
+    return F.when(folded_title() == "", own)
 
 
 def dedupe_exact(df: DataFrame, key: str = "article_id") -> DataFrame:
-    """First article per (normalised url, whole lower-case title); blank titles are all kept."""
+    """First article per (normalised url, whole lower-case title); articles with blank titles are all kept."""
     url = F.coalesce(normalize_url(F.col("url")), F.lit(""))
-    # a blank title is told apart by its own id, so each such row is its own group
-    alone = F.when(folded_title() == "", F.col(key))
-    return _keep_first(df, {"_url": url, "_title": folded_title(), "_alone": alone}, key)
+    return _keep_first(df, {"_url": url, "_title": folded_title(), "_alone": _alone(df, key)}, key)
 
 
 def dedupe_keys(df: DataFrame, keys: list[str], key: str = "article_id") -> DataFrame:
@@ -39,11 +45,9 @@ def dedupe_keys(df: DataFrame, keys: list[str], key: str = "article_id") -> Data
     return _keep_first(df, {f"_k{i}": F.col(c) for i, c in enumerate(keys)}, key)
 
 
-def dedupe_title_cap(df: DataFrame, n: int, key: str = "article_id") -> DataFrame:
-    """Above n rows: distinct non-blank titles, first n by id.  At most n rows: unchanged."""
-    if fits(df, n):
-        return df
-    return _keep_first(df.where(folded_title() != ""), {"_title": folded_title()}, key).orderBy(key).limit(n)
+def dedupe_titles(df: DataFrame, key: str = "article_id") -> DataFrame:
+    """First article per whole lower-case title, at every size; articles with blank titles are all kept."""
+    return _keep_first(df, {"_title": folded_title(), "_alone": _alone(df, key)}, key)
 
 
 # ---- near duplicates -------------------------------------------------------------------------
@@ -65,52 +69,49 @@ def word_sets(df: DataFrame, min_chars: int, key: str) -> DataFrame:
     )
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, key: str, floor: float) -> DataFrame:
-    """The (a, b) pairs whose word sets reach the similarity floor."""
-    left = sets.select(F.col(key).alias("a"), F.col("words").alias("_wa"), F.col("n").alias("_na"))
-    right = sets.select(F.col(key).alias("b"), F.col("words").alias("_wb"), F.col("n").alias("_nb"))
-    both = attach(attach(pairs, left, ["a"], "inner"), right, ["b"], "inner")
-    shared = F.size(F.array_intersect("_wa", "_wb"))
-    return both.where(2.0 * shared >= floor * (F.col("_na") + F.col("_nb")) - 1e-9).select("a", "b")
-
+def _pairs_alike(sets: DataFrame, floor: float, key: str, block: int) -> DataFrame:
+    """The (a, b) pairs, a before b, whose similarity 2*shared/(na+nb) reaches the floor.
 
-def near_duplicates(sets: DataFrame, floor: float, key: str, bucket: int = PAIR_BUCKET) -> DataFrame:
+    A set of n words shares at least ``need`` with any set as similar, so similar sets meet
+    in one of their rarest n - need + 1 words, and in two of their rarest n - need + 2 where two must be shared.  Sets are
+    keyed by such words or pairs of words.  Large buckets are cut into blocks whose pairs are compared in
+    parallel; the similarity is part of the join condition, so only similar pairs leave it.
+    """
+    share = floor / (2 - floor)
+    least = lambda n: F.ceil(n * share - 1e-9)
+    need = least(F.col("n"))
+    head = lambda more: F.slice("words", 1, F.least(F.col("n"), F.col("n") - need + more).cast("int"))
+    ones = F.transform(head(1), lambda w: F.xxhash64(w))
+    # a partner may be so small that one shared word is enough for it
+    small = least(least(F.col("n"))) <= 1
+    twos = F.flatten(
+        F.transform(head(2), lambda w, i: F.transform(F.slice(head(2), i + 2, F.size(head(2))), lambda v: F.xxhash64(F.least(w, v), F.greatest(w, v))))
+    )
+    keys = F.when(need <= 1, ones).when(small, F.concat(ones, twos)).otherwise(twos)
+    # a checkpoint keeps the keys from being worked out again for each side of the join
+    rows = checkpointed(sets.select(key, "words", "n", F.explode(F.array_distinct(keys)).alias("k")))
+    sizes = rows.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "k").withColumn("blk", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"lo": F.least("blk", "other"), "hi": F.greatest("blk", "other")})
+    dealt = checkpointed(dealt.select("k", "lo", "hi", "blk", key, "words", "n"))
+    left, right = dealt.alias("x"), dealt.alias("y")
+    same = (F.col("x.k") == F.col("y.k")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    ordered = (F.col(f"x.{key}") < F.col(f"y.{key}")) & ((F.col("x.lo") == F.col("x.hi")) | (F.col("x.blk") != F.col("y.blk")))
+    total = F.col("x.n") + F.col("y.n")
+    sized = 2.0 * F.least("x.n", "y.n") >= floor * total - 1e-9
+    alike = 2.0 * F.size(F.array_intersect("x.words", "y.words")) >= floor * total - 1e-9
+    pairs = left.join(right, same & ordered & sized & alike)
+    return pairs.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
+
+
+def near_duplicates(sets: DataFrame, floor: float, key: str, block: int = BLOCK) -> DataFrame:
     """Ids a first-come-first-kept pass would drop: each is similar to an earlier kept one.
 
-    Similarity is 2*shared/(a+b) over word sets.  Two sets that reach the floor share
-    a word among their rarest ones (prefix filtering), so only titles meeting in such
-    a word's bucket are compared, and the result is exact:
-
-    1. While a bucket is larger than ``bucket``: an id that is the earliest undecided
-       one in all its buckets is certainly kept, so its bucket mates are compared with
-       it alone (one comparison per member, never all pairs) and similar ones dropped.
-    2. Buckets are now small: their pairs are verified once, and kept/dropped spreads
-       along the similar pairs until nothing is undecided.
+    All similar pairs are found at once; kept/dropped then spreads along them until nothing is undecided.
     """
-    need = F.ceil(F.col("n") * (floor / (2 - floor)) - 1e-9)
-    prefix = F.slice("words", 1, (F.col("n") - need + 1).cast("int"))
-    buckets = checkpointed(sets.select(key, F.explode(prefix).alias("w")))
+    edges = checkpointed(_pairs_alike(sets, floor, key, block))
     dropped: list[DataFrame] = []
-
-    while True:
-        sizes = buckets.groupBy("w").agg(F.count("*").alias("n"), F.min(key).alias("lead"))
-        if sizes.where(F.col("n") > bucket).isEmpty():
-            break
-        led = attach(buckets, sizes, ["w"], "inner")
-        kept = led.groupBy(key).agg(F.min(F.col("lead") == F.col(key)).alias("first")).where("first").select(key)
-        kept = checkpointed(kept)
-        pairs = dim_join(
-            led.where(F.col("lead") != F.col(key)), kept.select(F.col(key).alias("lead")), ["lead"], "left_semi"
-        )
-        pairs = pairs.select(F.col("lead").alias("a"), F.col(key).alias("b")).distinct()
-        gone = checkpointed(_similar(pairs, sets, key, floor).select(F.col("b").alias(key)).distinct())
-        dropped.append(gone)
-        buckets = checkpointed(buckets.join(kept.unionByName(gone), key, "left_anti"))
-
-    members = buckets.groupBy("w").agg(F.sort_array(F.collect_list(key)).alias("m")).where(F.size("m") > 1)
-    heads = members.select("m", F.posexplode("m").alias("i", "a"))
-    pairs = heads.select("a", F.explode(F.slice("m", F.col("i") + 2, F.lit(bucket))).alias("b")).distinct()
-    edges = checkpointed(_similar(pairs, sets, key, floor))
     while not edges.isEmpty():
         blocked = edges.select(F.col("b").alias("a")).distinct()
         kept = edges.select("a").distinct().join(blocked, "a", "left_anti")
@@ -127,7 +128,11 @@ def near_duplicates(sets: DataFrame, floor: float, key: str, bucket: int = PAIR_
 
 
 def dedupe_fuzzy(df: DataFrame, floor: float = 0.85, min_chars: int = 10, key: str = "article_id") -> DataFrame:
-    """First of each run of near-equal titles in id order; titles under ``min_chars`` are dropped."""
+    """First of each run of near-equal titles in id order; titles under ``min_chars``, blank and NULL ones pass uncompared."""
     sets = checkpointed(word_sets(df, min_chars, key))
     keep = sets.select(key).join(near_duplicates(sets, floor, key), key, "left_anti")
-    return df.join(keep, key, "left_semi")
+    compared = F.coalesce((F.length("title") >= min_chars) & (F.trim(padded(F.col("title"))) != ""), F.lit(False))
+    rest = df.where(~compared)
+    # a row delivered twice under one id stays once
+    first = dedupe_keys(df.where(compared).join(keep, key, "left_semi"), [key], key)
+    return first.unionByName(rest)

@@ -102,6 +102,8 @@ def _positions(df: DataFrame, chunk: int) -> DataFrame:
 def _ema(df: DataFrame, value: str, spans: Mapping[str, int], chunk: int) -> DataFrame:
     within = W.partitionBy("ticker", "_chunk").orderBy("_pos").rowsBetween(W.unboundedPreceding, 0)
     by_chunk = W.partitionBy("ticker").orderBy("_chunk")
+    if min(spans.values()) < 2:
+        raise ValueError("a span of one row is the value itself")
     keep = {name: 1 - 2 / (span + 1) for name, span in spans.items()}
     local, result = {}, {}
     for name, d in keep.items():

@@ -106,7 +106,7 @@ def asof_forward(articles: DataFrame, bars: DataFrame, h: int = 1, key: str = "a
 
     The lookup runs on distinct (ticker, day) pairs, bounded by the calendar per
     ticker: pairs and bars are unioned and each pair takes the first bar at or after
-    it.  Articles then join the result by equality, salted because one ticker-day may
+    it, found by a running frame from the newest date down.  Articles then join the result by equality, salted because one ticker-day may
     hold a large part of them.  Articles without a full horizon are dropped.
     """
     s = W.partitionBy("ticker").orderBy("date")
@@ -117,10 +117,11 @@ def asof_forward(articles: DataFrame, bars: DataFrame, h: int = 1, key: str = "a
     days = articles.select("ticker", "date").distinct()
     q_type = bar_rows.schema["_q"].dataType
     pairs = days.select("ticker", "date", F.lit(0).alias("_bar"), F.lit(None).cast(q_type).alias("_q"))
-    following = W.partitionBy("ticker").orderBy("date", "_bar").rowsBetween(0, W.unboundedFollowing)
+    # newest first, a day's bar before its pair: a running frame, one step a row
+    so_far = W.partitionBy("ticker").orderBy(F.desc("date"), F.desc("_bar")).rowsBetween(W.unboundedPreceding, 0)
     located = (
         pairs.unionByName(bar_rows)
-        .withColumn("_next", F.first("_q", ignorenulls=True).over(following))
+        .withColumn("_next", F.last("_q", ignorenulls=True).over(so_far))
         .where("_bar = 0")
         .select("ticker", "date", "_next.*")
         .where(F.col("close_fwd").isNotNull())

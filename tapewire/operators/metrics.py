@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tapewire.functions.numeric import interval
-from tapewire.operators.scale import approx_quantiles, exact_quantiles, fits, global_running, union_all
+from tapewire.operators.scale import approx_quantiles, exact_quantiles, global_running, union_all
 
 # ---- thresholds ------------------------------------------------------------------------------
 
@@ -36,17 +36,20 @@ CONFIDENCE_CUTS = {"high": (0.75, 0.7), "medium": (0.50, 0.5), "low": (0.25, 0.3
 
 
 def thresholds(
-    df: DataFrame, column: str, cuts: Mapping[str, tuple[float, float]], min_rows: int = 100, exact: bool = True
+    df: DataFrame, column: str, cuts: Mapping[str, tuple[float, float]], exact: bool = True
 ) -> DataFrame:
-    """Rows (name, value): the quantile cut points of a column, or the defaults below ``min_rows``."""
+    """Rows (name, value, n_rows): the quantile cut points of a column and how many values they rest on.
+
+    Without a single value the stated defaults apply.
+    """
     spark = df.sparkSession
     known = df.where(F.col(column).isNotNull())
     rows = [(name, p, default) for name, (p, default) in cuts.items()]
     names = spark.createDataFrame(rows, "name string, prob double, fallback double")
-    if fits(known, min_rows - 1):
-        return names.select("name", F.col("fallback").alias("value"))
     values = (exact_quantiles if exact else approx_quantiles)(known, column, [p for _, p, _ in rows])
-    return names.join(values, "prob").select("name", "value")
+    n = known.agg(F.count("*").alias("n_rows"))
+    found = names.join(values, "prob", "left").select("name", F.coalesce("value", "fallback").alias("value"))
+    return found.withColumn("n_rows", n.scalar())
 
 
 # ---- classification ----------------------------------------------------------------------------

@@ -25,9 +25,16 @@ def newest_first_cap(df: DataFrame, n: int, time_col: str = "event_time", key: s
 
 
 def page(df: DataFrame, order: Sequence[Column], offset: int = 0, limit: int | None = None) -> DataFrame:
-    """A slice of the ordered rows."""
-    out = df.orderBy(*order).offset(offset)
-    return out if limit is None else out.limit(limit)
+    """A slice of the ordered rows; ``order`` must be total.
+
+    A limited slice is a top-k of offset + limit rows.  Without a limit the rows behind the offset are numbered block by block, so
+    no task holds the table.
+    """
+    if limit is not None:
+        return df.orderBy(*order).offset(offset).limit(limit)
+    if offset <= 0:
+        return df.orderBy(*order)
+    return global_row_number(df, order, "_rn").where(F.col("_rn") > offset).drop("_rn").orderBy(*order)
 
 
 def top_predictions(preds: DataFrame, k: int = 10, min_news: int = 0, worst: bool = False) -> DataFrame:
@@ -70,10 +77,12 @@ def is_top_source(df: DataFrame, k: int = 10) -> DataFrame:
 def rank_recommend(preds: DataFrame, p: str = "ml_probability_up", name: str = "ml_recommendation") -> DataFrame:
     """Label by rank: the top and bottom 5 % are strong, the next ones up to 10 % plain.
 
-    Each band has at least one member; where bands overlap on few rows buys win.
+    Each band has at least one member; where bands overlap on few rows buys win.  A row without a
+    probability takes no part in the ranking and is a HOLD.
     Positions come from range-partitioned blocks, so no single task ranks the table.
     """
-    ranked = global_row_number(preds, [F.desc(p), F.asc("ticker")], "_down")
+    unknown = preds.where(F.col(p).isNull()).withColumn(name, F.lit("HOLD"))
+    ranked = global_row_number(preds.where(F.col(p).isNotNull()), [F.desc(p), F.asc("ticker")], "_down")
     n = ranked.agg(F.count("*")).scalar()
     ranked = ranked.withColumn("_n", n)
     # ascending order breaks ties by ticker too, so it is not just n - down + 1
@@ -87,7 +96,7 @@ def rank_recommend(preds: DataFrame, p: str = "ml_probability_up", name: str = "
         .when(F.col("_up") <= plain, "SELL")
         .otherwise("HOLD")
     )
-    return ranked.withColumn(name, rec).drop("_down", "_up", "_n")
+    return ranked.withColumn(name, rec).drop("_down", "_up", "_n").unionByName(unknown)
 
 
 def _ascending_position(ranked: DataFrame, p: str) -> DataFrame:
@@ -105,11 +114,10 @@ def _ascending_position(ranked: DataFrame, p: str) -> DataFrame:
     ).drop("_d1", "_m")
 
 
-def latest_slice(panel: DataFrame, min_with_news: int = 5) -> DataFrame:
-    """Rows of the newest date; only those with news if there are enough of them."""
+def latest_slice(panel: DataFrame, news_only: bool = False) -> DataFrame:
+    """Rows of the newest date, on request only those with news."""
     latest = panel.where(F.col("date") == panel.select(F.max("date")).scalar())
-    enough = latest.select(F.count_if(F.col("news_count") > 0) >= min_with_news).scalar()
-    return latest.where((F.col("news_count") > 0) | ~enough)
+    return latest.where(F.col("news_count") > 0) if news_only else latest
 
 
 def last_quote(bars: DataFrame) -> DataFrame:

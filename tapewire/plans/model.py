@@ -12,11 +12,12 @@ from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tapewire.functions.scores import PANEL_PROBABILITY, model_confidence, model_score, recommend
 from tapewire.operators.metrics import auc, binary_metrics
 from tapewire.operators.ranking import latest_slice, rank_recommend
-from tapewire.operators.scale import global_row_number, union_all
+from tapewire.operators.scale import union_all
 
 FEATURES = (
     "news_count", "sent_mean", "sent_std", "sent_min", "sent_max", "relevance_mean", "high_impact_count", "macro_count",
@@ -62,14 +63,13 @@ def last_dates_cut(panel: DataFrame, n: int) -> DataFrame:
     return panel.select("date").distinct().orderBy(F.desc("date")).limit(n).agg(F.min("date").alias("cut"))
 
 
-def time_split(panel: DataFrame, test_days: int = 14, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """The newest ``test_days`` dates are the test set; with hardly more dates, the last fifth of the rows."""
-    if panel.select("date").distinct().limit(test_days + 2).count() <= test_days + 1:
-        rows = global_row_number(panel, [F.col("date"), F.col("ticker")], "_rn")
-        n = rows.agg(F.floor(F.count("*") * share)).scalar()
-        rows = rows.withColumn("_cut", n)
-        return rows.where("_rn <= _cut").drop("_rn", "_cut"), rows.where("_rn > _cut").drop("_rn", "_cut")
-    cut = last_dates_cut(panel, test_days).scalar()
+def time_split(panel: DataFrame, share: float = 0.2) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the newest ``share`` of the dates, rounded up, is the test set; a date is never cut."""
+    dates = panel.select("date").distinct()
+    # a row per calendar day reaches this window
+    place = dates.withColumn("_i", F.row_number().over(W.orderBy(F.desc("date"))))
+    n = F.ceil(dates.agg(F.count("*")).scalar() * share)
+    cut = place.where(F.col("_i") <= n).agg(F.min("date")).scalar()
     return panel.where(F.col("date") < cut), panel.where(F.col("date") >= cut)
 
 
@@ -79,12 +79,10 @@ def validation_slice(train: DataFrame, days: int = 7) -> tuple[DataFrame, DataFr
     return train.where(F.col("date") < cut), train.where(F.col("date") >= cut)
 
 
-def training_rows(panel: DataFrame, min_news_rows: int = 50) -> DataFrame:
-    """Labelled rows; only those with news once there are enough of them."""
+def training_rows(panel: DataFrame, news_only: bool = False) -> DataFrame:
+    """Labelled rows, on request only those with news."""
     labelled = panel.where(F.col("direction_fwd").isin(0, 1) & F.col("return_fwd").isNotNull())
-    with_news = labelled.where(F.col("news_count") > 0)
-    enough = with_news.limit(min_news_rows).count() >= min_news_rows
-    return with_news if enough else labelled
+    return labelled.where(F.col("news_count") > 0) if news_only else labelled
 
 
 def class_weight(df: DataFrame, label: str = "direction_fwd", name: str = "weight") -> DataFrame:
@@ -297,9 +295,9 @@ def predict_latest(ensemble: Ensemble, panel: DataFrame) -> DataFrame:
     return rank_recommend(scored)
 
 
-def train(panel: DataFrame, path: str, trained_at: str, plan: Plan = Plan(), test_days: int = 14) -> tuple[Ensemble, DataFrame]:
+def train(panel: DataFrame, path: str, trained_at: str, plan: Plan = Plan(), test_share: float = 0.2, news_only: bool = False) -> tuple[Ensemble, DataFrame]:
     """Split, fit, evaluate on the newest dates, store members and a meta row."""
-    train_part, test_part = time_split(training_rows(panel), test_days)
+    train_part, test_part = time_split(training_rows(panel, news_only), test_share)
     ensemble = train_ensemble(train_part, plan)
     meta = evaluate(ensemble, test_part).select(
         F.lit(trained_at).cast("timestamp").alias("trained_at"),

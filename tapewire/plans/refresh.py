@@ -12,7 +12,7 @@ from tapewire.operators.aggregates import ticker_sentiment
 from tapewire.operators.dedupe import dedupe_exact
 from tapewire.operators.joins import merge_model_scores, pending_days, ticker_signals
 from tapewire.operators.matching import keep_relevant
-from tapewire.operators.ranking import last_quote, newest_first_cap
+from tapewire.operators.ranking import last_quote
 from tapewire.operators.scale import dim_join, union_all
 from tapewire.plans.panel import model_panel
 from tapewire.sources.store import append_events, append_ledger, exists, read_ledger
@@ -51,9 +51,9 @@ def ingest_pending(
     return added
 
 
-def quick_update(news: DataFrame, quotes: DataFrame, universe: DataFrame, scorer: Scorer, as_of: str, n: int = 500) -> DataFrame:
-    """Predictions from the n newest articles and the last known quotes."""
-    scored = scorer(newest_first_cap(news, n))
+def quick_update(news: DataFrame, quotes: DataFrame, universe: DataFrame, scorer: Scorer, as_of: str, since: str) -> DataFrame:
+    """Predictions from all articles since a moment and the last known quotes."""
+    scored = scorer(news.where(F.col("event_time") >= F.lit(since).cast("timestamp")))
     return ticker_signals(universe, ticker_sentiment(scored, as_of), quotes)
 
 

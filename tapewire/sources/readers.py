@@ -28,6 +28,10 @@ def newest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*columns).orderBy(F.desc_nulls_last("event_time"))
 
 
+# columns that only the feed shape has
+FEED_ONLY = ("ticker", "author", "content", "topics", "scraped_at", "is_reputable")
+
+
 # ---- raw day files ------------------------------------------------------------------------------
 
 
@@ -56,6 +60,7 @@ def web_to_article(web: DataFrame) -> DataFrame:
         F.col("snippet").alias("description"),
         F.col("language"),
         "day",
+        *[F.lit(None).cast(FEED_ARTICLE[c].dataType).alias(c) for c in FEED_ONLY],
     )
 
 
@@ -65,7 +70,7 @@ def articles_of(days: DataFrame) -> DataFrame:
     feed = days.select("day", F.explode("feed").alias("a")).select("a.*", "day")
     feed = feed.select(
         "source", "title", "url", parse_time([F.col("published_at")], F.col("day").cast("timestamp")).alias("published_at"),
-        "description", F.lit(None).cast("string").alias("language"), "day",
+        "description", F.lit(None).cast("string").alias("language"), "day", *FEED_ONLY,
     )
     return web.unionByName(feed)
 

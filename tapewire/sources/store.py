@@ -42,7 +42,7 @@ def append_events(
     key: str = "article_id",
     identity: Sequence[str] | None = None,
     span: str = "scraped_at",
-    slack: str = "0 seconds",
+    horizon: str | None = None,
     scorer: Callable[[DataFrame], DataFrame] | None = None,
 ) -> int:
     """Append the rows that are not stored yet and return how many there were.
@@ -50,20 +50,22 @@ def append_events(
     Two rows are the same article when their ``identity`` columns agree (by default
     ``event_key``: folded title and url, ticker, collection second).  Duplicates inside
     the batch go first, by map-side combining; stored keys are then anti-joined.
-    Only stored rows whose ``span`` time lies within the batch's own, widened by
-    ``slack``, are compared: a range Parquet statistics can skip on.  ``scorer`` adds
+    All stored keys are compared, of which only the identity columns are read.  With a ``horizon`` only stored
+    rows whose ``span`` time is missing or lies within the batch's own, widened by it, are: a range Parquet statistics can skip
+    on; a batch with a missing ``span`` is still compared with everything.  ``scorer`` adds
     columns to the rows that are left, so nothing known already is scored again.
     """
     spark = df.sparkSession
     same = event_key() if identity is None else F.struct(*identity)
     fresh = dedupe_keys(df.withColumn("_key", same), ["_key"], key)
     if exists(spark, path):
-        ends = df.agg(F.min(span).alias("lo"), F.max(span).alias("hi")).first()
-        if ends.lo is None:
-            return 0
-        widen = F.expr(f"INTERVAL {slack}")
-        near = F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen)
-        stored = read_store(spark, path).where((F.col("batch") != batch) & near)
+        stored = read_store(spark, path).where(F.col("batch") != batch)
+        if horizon is not None:
+            ends = df.agg(F.min(span).alias("lo"), F.max(span).alias("hi"), F.count_if(F.col(span).isNull()).alias("missing")).first()
+            if ends.lo is not None and not ends.missing:
+                widen = F.expr(f"INTERVAL {horizon}")
+                near = F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen)
+                stored = stored.where(near | F.col(span).isNull())
         fresh = fresh.join(stored.select(same.alias("_key")).distinct(), "_key", "left_anti")
     fresh = fresh.drop("_key")
     rows = scorer(fresh) if scorer else fresh

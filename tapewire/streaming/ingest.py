@@ -31,23 +31,26 @@ def incremental_news(
     scorer: Scorer | None = None,
     dedupe_on: Sequence[str] = ("title", "url"),
     lateness: str = "2 days",
+    horizon: str | None = None,
     stateful: bool = False,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Drop repeats seen within the lateness, score, and append what is not stored yet.
+    """Drop repeats, score, and append what is not stored yet.
 
-    Repeats are found per micro-batch by map-side combining and against the store's
-    recent rows, so a text copied a million times never meets in one task and the
-    store is the only state.  ``stateful`` adds the stream's own duplicate state in
+    Repeats are found per micro-batch by map-side combining and against all stored
+    keys, however old, so a text copied a million times never meets in one task and the
+    store is the only state.  A ``horizon`` limits the comparison to stored rows of about the batch's own
+    times, for feeds that may repeat old titles.  ``stateful`` adds the stream's own duplicate state in
     front, for feeds with small batches and even keys.  Scoring runs inside the
     micro-batch; a repeated micro-batch writes the same ``batch`` partition again.
     """
 
     def land(df: DataFrame, batch_id: int) -> None:
-        rows = df.withColumn("event_date", F.to_date("event_time"))
+        rows = df.withColumn("event_date", F.to_date("event_time")).persist()  # several actions read the micro-batch
         append_events(
-            rows, store, f"b{batch_id:012d}", identity=list(dedupe_on), span="event_time", slack=lateness, scorer=scorer
+            rows, store, f"b{batch_id:012d}", identity=list(dedupe_on), span="event_time", horizon=horizon, scorer=scorer
         )
+        rows.unpersist()
 
     if stateful:
         stream = stream.withWatermark("event_time", lateness).dropDuplicatesWithinWatermark(list(dedupe_on))

@@ -16,11 +16,12 @@ def ids(df):
     return sorted(r.article_id for r in df.collect())
 
 
-def greedy(titles, floor=0.85, min_chars=10):
+def greedy(titles, floor=0.85, min_chars=10, short=False):
     kept, sets = [], []
     for i, t in enumerate(titles):
         words = set(t.lower().split())
         if len(t) < min_chars or not words:
+            kept += [i] * short
             continue
         if all(2 * len(words & s) < floor * (len(words) + len(s)) - 1e-9 for s in sets):
             kept.append(i)
@@ -42,9 +43,8 @@ def near_copies(n, seed):
 
 
 @pytest.mark.parametrize("bucket,seed", [(64, 1), (64, 2), (3, 3), (2, 4)])
-def test_fuzzy_equals_the_sequential_pass(spark, monkeypatch, bucket, seed):
-    # a small bucket bound forces the one-leader-per-bucket rounds
-    monkeypatch.setattr(dd, "PAIR_BUCKET", bucket)
+def test_fuzzy_equals_the_sequential_pass(spark, bucket, seed):
+    # small blocks cut every bucket
     titles = near_copies(90, seed)
     sets = dd.checkpointed(dd.word_sets(frame(spark, titles), 10, "article_id"))
     gone = {r.article_id for r in dd.near_duplicates(sets, 0.85, "article_id", bucket).collect()}
@@ -56,7 +56,7 @@ def test_fuzzy_chain_keeps_the_far_end(spark):
     a = "one two three four five six seven eight nine ten"
     b = a.replace("one", "uno")
     c = b.replace("two", "dos").replace("three", "tres")
-    assert ids(dd.dedupe_fuzzy(frame(spark, [a, b, c, "short", a.upper()]))) == greedy([a, b, c, "short", a])
+    assert ids(dd.dedupe_fuzzy(frame(spark, [a, b, c, "short", a.upper()]))) == greedy([a, b, c, "short", a], short=True)
 
 
 def test_fuzzy_is_idempotent(spark):
@@ -71,7 +71,33 @@ def test_exact_keeps_first_and_all_blank_titles(spark):
     assert ids(dd.dedupe_exact(df)) == [0, 2, 3, 4]
 
 
-def test_title_cap_only_above_the_cap(spark):
-    df = frame(spark, ["a", "A", "", "b", "c"])
-    assert ids(dd.dedupe_title_cap(df, 5)) == [0, 1, 2, 3, 4]
-    assert ids(dd.dedupe_title_cap(df, 2)) == [0, 3]
+def test_titles_are_deduplicated_at_every_size(spark):
+    assert ids(dd.dedupe_titles(frame(spark, ["a", "A", "", "b", "c", " "]))) == [0, 2, 3, 4, 5]
+
+
+def test_a_redelivered_id_stays_once(spark):
+    rows = [(1, "Some long title", "u"), (1, "Some long title", "u"), (2, "some LONG title", "u"), (None, "other", "v"), (None, None, "w")]
+    df = spark.createDataFrame(rows, "article_id long, title string, url string")
+    for out in (dd.dedupe_exact(df), dd.dedupe_keys(df, ["title", "url"]).where("article_id = 1"), dd.dedupe_fuzzy(df)):
+        assert out.where("article_id = 1").count() == 1
+    assert dd.dedupe_exact(df).count() == 3 and dd.dedupe_fuzzy(df).count() == 3
+
+
+@pytest.mark.parametrize("floor", [0.5, 0.7, 0.85])
+def test_short_sets_meet_longer_ones(spark, floor):
+    rng = random.Random(8)
+    titles = [" ".join(rng.sample([f"word{i}" for i in range(9)], rng.randint(2, 6))) for _ in range(60)]
+    assert ids(dd.dedupe_fuzzy(frame(spark, titles), floor)) == greedy(titles, floor)
+
+
+def test_checkpoints_do_not_follow_the_number_of_titles(spark, monkeypatch):
+    rng = random.Random(5)
+    vocab = [f"word{i}" for i in range(60)]
+    made = []
+    monkeypatch.setattr(dd, "checkpointed", lambda df, f=dd.checkpointed: made.append(1) or f(df))
+    counts = []
+    for n in (300, 3000):
+        made.clear()
+        dd.dedupe_fuzzy(frame(spark, [" ".join(rng.sample(vocab, 8)) for _ in range(n)])).count()
+        counts.append(len(made))
+    assert counts[1] <= counts[0] + 2

@@ -189,7 +189,7 @@ def test_staleness_of_an_empty_ledger_asks_for_a_refresh(spark):
 def test_time_split_never_mixes_dates(spark):
     rows = [(f"T{i % 5}", dt.date(2024, 1, 1) + dt.timedelta(days=i // 5)) for i in range(200)]
     panel = spark.createDataFrame(rows, "ticker string, date date")
-    train, test = model.time_split(panel, 14)
+    train, test = model.time_split(panel, 0.35)
     assert train.agg(F.max("date")).first()[0] < test.agg(F.min("date")).first()[0]
     assert test.select("date").distinct().count() == 14
 
@@ -204,3 +204,36 @@ def test_category_index_is_alphabetical_with_unknown(spark):
     df = spark.createDataFrame([("b",), (None,), ("a",)], "sector string")
     got = {r.sector: r.code for r in model.category_index(df, "sector", "code").collect()}
     assert got == {None: 0.0, "a": 1.0, "b": 2.0}
+
+
+def test_a_batch_without_times_is_stored_and_compared(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = [(1, "a", "u", "2024-01-01"), (2, "b", "u", None)]
+    df = spark.createDataFrame(rows, "article_id long, title string, url string, at string").withColumns(
+        {"event_time": F.to_timestamp("at"), "event_date": F.lit(dt.date(2024, 1, 1))}
+    ).drop("at")
+    for horizon in (None, "1 day"):
+        out = f"{path}-{horizon}"
+        same = dict(identity=["title", "url"], span="event_time", horizon=horizon)
+        assert st.append_events(df.where("article_id = 1"), out, "one", **same) == 1
+        assert st.append_events(df, out, "two", **same) == 1
+        assert st.append_events(df.where("event_time is null"), out, "three", **same) == 0
+
+
+def test_an_old_title_is_known_however_late_it_returns(spark, tmp_path):
+    src, store, cp = (str(tmp_path / x) for x in ("src", "store", "cp"))
+    land(spark, [article(1, "a")], src)
+    schema = spark.read.parquet(src).schema
+    for later in (0, 200):
+        if later:
+            land(spark, [article(2, "a", later), article(3, "new", later)], src)
+        ingest.run_to_end(ingest.incremental_news(ingest.landed(spark, src, schema), store, cp))
+    assert sorted(r.article_id for r in st.read_store(spark, store).collect()) == [1, 3]
+
+
+def test_times_with_microseconds(spark):
+    from tapewire.functions.text import parse_time
+
+    texts = ["2024-01-02T03:04:05.123456", "2024-01-02T03:04:05.123456+00:00", "2024-01-02 03:04:05.5", "2024-01-02T03:04:05Z"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_time([F.col("t")]).alias("p"))
+    assert [r.p.microsecond for r in df.collect()] == [123456, 123456, 500000, 0]

@@ -113,11 +113,24 @@ def test_rank_bands_overlap_on_few_rows(spark):
     assert [r.ml_recommendation for r in one] == ["STRONG BUY"]
 
 
-def test_latest_slice_falls_back_to_all(spark):
+def test_rows_without_a_probability_are_held(spark):
+    p = spark.createDataFrame([("A", 0.9), ("B", None), ("C", 0.1)], "ticker string, ml_probability_up double")
+    got = {r.ticker: r.ml_recommendation for r in ranking.rank_recommend(p).collect()}
+    assert got == {"A": "STRONG BUY", "B": "HOLD", "C": "STRONG SELL"}
+
+
+def test_offset_without_limit_is_not_collected(spark):
+    df = spark.range(50).withColumn("v", F.col("id") % 7)
+    out = ranking.page(df, [F.desc("v"), F.asc("id")], offset=45)
+    assert [r.id for r in out.collect()] == [r.id for r in df.orderBy(F.desc("v"), "id").collect()][45:]
+    assert "CollectLimit" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_latest_slice_keeps_all_unless_asked(spark):
     rows = [(f"T{i}", DAY, 1 if i < 4 else 0) for i in range(8)]
     panel = spark.createDataFrame(rows, "ticker string, date date, news_count int")
     assert ranking.latest_slice(panel).count() == 8
-    assert ranking.latest_slice(panel, min_with_news=4).count() == 4
+    assert ranking.latest_slice(panel, news_only=True).count() == 4
 
 
 def test_losers_are_worst_first(spark):

@@ -142,10 +142,12 @@ def test_metrics_with_one_class_and_ties(spark):
     assert metrics.auc(tied, "label", "p").first().auc == pytest.approx(0.875)
 
 
-def test_thresholds_fall_back_on_little_data(spark):
-    df = spark.range(99).select(F.col("id").cast("double").alias("v"))
-    got = {r.name: r.value for r in metrics.thresholds(df, "v", metrics.CONFIDENCE_CUTS).collect()}
-    assert got == {"high": 0.7, "medium": 0.5, "low": 0.3}
+def test_thresholds_are_quantiles_at_every_size(spark):
+    df = spark.range(5).select(F.col("id").cast("double").alias("v"))
+    got = {r.name: (r.value, r.n_rows) for r in metrics.thresholds(df, "v", metrics.CONFIDENCE_CUTS).collect()}
+    assert got == {"high": (3.0, 5), "medium": (2.0, 5), "low": (1.0, 5)}
+    none = {r.name: (r.value, r.n_rows) for r in metrics.thresholds(df.limit(0), "v", metrics.CONFIDENCE_CUTS).collect()}
+    assert none == {"high": (0.7, 0), "medium": (0.5, 0), "low": (0.3, 0)}
     got = {r.name: r.value for r in metrics.thresholds(spark.range(101).selectExpr("double(id) v"), "v", metrics.CONFIDENCE_CUTS).collect()}
     assert got == {"high": 75.0, "medium": 50.0, "low": 25.0}
 
