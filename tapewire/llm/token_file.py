@@ -221,14 +221,18 @@ class Encoder:
     pieces are independent, and new words go to the library many at a time with a space between.
     """
 
-    REMEMBERED = 200_000
-    TOGETHER = 2000
+    REMEMBERED = 400_000
+    TOGETHER = 20_000
 
     def __init__(self, tokenizer: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer)
+        # lower-case ASCII words are past every normaliser and are one pre-token each: white space alone parts them
+        self.plain = Tokenizer.from_str(tokenizer)
+        self.plain.normalizer = None
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab()
         self.is_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.is_end[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -252,8 +256,8 @@ class Encoder:
         count = np.array([len(f) for f in found], dtype=np.int64)
         return np.fromiter((i for f in found for i in f), np.int32, int(count.sum())), count
 
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
+    def _words(self, words: list[str], tokenizer) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.int32)
         ends = np.flatnonzero(self.is_end[ids]) + 1
         return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._one_by_one(words)
 
@@ -261,9 +265,12 @@ class Encoder:
         stems = [p.rstrip(".,") for p in pieces]
         cut = {p: (s, p[len(s) :]) for p, s in zip(pieces, stems) if s and len(s) < len(p) and s[-1].lower().isalpha()}
         need = {x for p in pieces for x in cut.get(p, (p,)) if x not in self.known}
-        words, others = [x for x in need if x.isalpha()], [x for x in need if not x.isalpha()]
-        for at in range(0, len(words), self.TOGETHER):
-            self._add(part := words[at : at + self.TOGETHER], *self._words(part))
+        others = [x for x in need if not x.isalpha()]
+        plain = [x for x in need if x.isalpha() and x.isascii() and x.islower()]
+        words = [x for x in need if x.isalpha() and not (x.isascii() and x.islower())]
+        for tokenizer, some in ((self.plain, plain), (self.tokenizer, words)):
+            for at in range(0, len(some), self.TOGETHER):
+                self._add(part := some[at : at + self.TOGETHER], *self._words(part, tokenizer))
         if others:
             self._add(others, *self._one_by_one(others))
         if cut:
