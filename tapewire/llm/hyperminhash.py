@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapewire.llm.batches import as_binary, null_safe, slices, spans, word_codes
-from tapewire.operators.scale import checkpointed, fits
+from tapewire.operators.scale import checkpointed
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS  # for bands
@@ -194,12 +194,12 @@ def _with_sets(rows: DataFrame, shingle: int, name: str) -> DataFrame:
     return rows.mapInArrow(task, f"{schema}, {name} array<long>")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose whole shingle sets reach the threshold, checkpointed.
+def _verified(pairs: DataFrame, n: int, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The ``n`` pairs whose whole shingle sets reach the threshold, checkpointed.
 
     Ids of at most ``BROADCAST_IDS`` pairs are broadcast to the scan of the texts; more are joined by shuffle.
     """
-    small = F.broadcast if fits(pairs, BROADCAST_IDS) else (lambda df: df)
+    small = F.broadcast if n <= BROADCAST_IDS else (lambda df: df)
     members = docs.join(small(pairs.select("leader", "member")), F.col("doc_id") == F.col("member")).select("leader", "member", "text")
     leaders = pairs.select("leader").distinct()
     leading = docs.join(small(leaders), F.col("doc_id") == F.col("leader")).select("leader", "text")
@@ -219,7 +219,7 @@ def components(edges: DataFrame) -> DataFrame:
     left = edges.select(F.greatest("leader", "member").alias("hi"), F.least("leader", "member").alias("lo")).where("hi <> lo")
     labels = None
     while not left.isEmpty():
-        hooks = checkpointed(left.groupBy("hi").agg(F.min("lo").alias("lo")).coalesce(tasks))
+        hooks = left.groupBy("hi").agg(F.min("lo").alias("lo"))
         while True:
             ends = hooks.select(F.col("hi").alias("lo"), F.col("lo").alias("end"))
             on = hooks.join(ends, "lo", "left").select("hi", F.coalesce("end", "lo").alias("lo"), F.col("end").isNotNull().alias("moved"))
@@ -253,6 +253,7 @@ def _across(live: DataFrame, labels: DataFrame, nodes: DataFrame, percent: int)
     step = float(np.log(1 / t)) + 1e-9
     named = live.join(labels, "node", "left").join(nodes.select("node", "n"), "node")
     named = named.select("key", "band", "node", F.coalesce("comp", "node").alias("comp"), "n", F.floor(F.log("n") / step).alias("own"))
+    named = checkpointed(named)  # narrow, and read twice
     classed = named.withColumn("class", F.explode(F.array("own", F.col("own") - 1)))
     mixed = classed.groupBy("key", "class").agg(
         F.count("*").alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max((F.col("own") == F.col("class")).cast("int")).alias("any")
@@ -335,13 +336,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     keys = _bands(known)
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     live = checkpointed(keys.join(shared, "key"))
-    near = checkpointed(_estimated(_stars(live), known, percent))
+    near = _estimated(_stars(live), known, percent)
     best = checkpointed(near.groupBy("member").agg(F.max(F.struct("estimate", "leader"))["leader"].alias("leader")).select("leader", "member"))
-    edges = _verified(best, slim, shingle, percent)
+    edges = _verified(best, best.count(), slim, shingle, percent)
     labels = components(edges)
     cross = checkpointed(_across(live, labels, known, percent))
-    if not cross.isEmpty():
-        labels = components(edges.unionByName(_verified(cross, slim, shingle, percent)))
+    if n := cross.count():
+        labels = components(edges.unionByName(_verified(cross, n, slim, shingle, percent)))
     comp = nodes.join(labels, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id"))
     full = base.where(F.col("digest").isNotNull()).join(comp, "digest").select("doc_id", "n_shingles", "component_id")
     none = base.where(F.col("digest").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
