@@ -72,7 +72,11 @@ def day_files(spark, sf):
         F.concat("source", F.lit(".example.com")).alias("domain"), F.col("lang").alias("language"),
         F.concat(day, F.lit("T101112Z")).alias("seendate"), "title", "url", F.col("description").alias("snippet"),
     )
-    feed = F.struct("source", "title", "url", "ticker", F.date_format("date", "yyyy-MM-dd").alias("published_at"), "description")
+    stamp = F.date_format("date", "yyyy-MM-dd")
+    feed = F.struct(
+        "source", "title", "url", "ticker", stamp.alias("published_at"), "description", F.col("title").alias("content"), stamp.alias("scraped_at"),
+        F.concat(F.lit("by "), "lang").alias("author"), F.array("lang").alias("topics"), (F.col("article_id") % 2 == 0).alias("is_reputable"),
+    )
     files = a.groupBy(block.alias("block"), day.alias("d")).agg(F.collect_list(web).alias("web"), F.collect_list(feed).alias("feed"))
     kind = F.col("block") % 3
     meta = F.struct(F.size("web").alias("fetched"))
@@ -90,11 +94,14 @@ DAYF = f"""f AS (SELECT *, article_id // 50 AS block, DATE '2024-01-01' + CAST((
 @query(
     "read_raw_days",
     f"""WITH {ARTICLES}, {DAYF} SELECT CASE WHEN block % 3 = 0 THEN source ELSE 'web:' || source || '.example.com' END AS source, title, description, url, day,
+ CASE WHEN block % 3 = 0 THEN ticker END AS ticker, CASE WHEN block % 3 = 0 THEN 'by ' || lang END AS author, CASE WHEN block % 3 = 0 THEN title END AS content,
+ CASE WHEN block % 3 = 0 THEN lang END AS topic, CASE WHEN block % 3 = 0 THEN CAST(date AS VARCHAR) END AS scraped_at, CASE WHEN block % 3 = 0 THEN article_id % 2 = 0 END AS is_reputable,
  CASE WHEN block % 3 = 0 THEN CAST(date AS TIMESTAMP) ELSE CAST(day AS TIMESTAMP) + INTERVAL 36672 SECOND END AS published_at FROM f WHERE block % 3 < 2""",
 )
 def read_raw_days(spark, sf):
     out = rd.articles_of(rd.parse_day_files(day_files(spark, sf)))
-    return out.drop("language").withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
+    out = out.withColumn("topic", F.get("topics", F.lit(0))).drop("language", "topics")
+    return out.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
 @query("day_status", f"WITH {ARTICLES}, {DAYF} SELECT day, CAST(sum(CASE WHEN block % 3 = 2 THEN 0 ELSE 1 END) AS BIGINT) AS rows, count(DISTINCT block) FILTER (block % 3 = 2) AS corrupt FROM f GROUP BY 1")
@@ -454,16 +461,22 @@ def soft_vote(spark, sf):
     return fix(model.soft_vote(n, {"a": 1.2, "b": 1.0, "c": 0.8}).select("article_id", "probability"), "probability")
 
 
-@query("hash_folds")
+DEALT = P_SQL + ", dealt AS (SELECT *, row_number() OVER (ORDER BY direction_fwd NULLS FIRST, md5(ticker || '|' || CAST(date AS VARCHAR) || '|42'), ticker, date) AS rn FROM panel)"
+
+
+@query("hash_folds", DEALT + " SELECT ticker, date, direction_fwd, CAST((rn - 1) % 5 AS INTEGER) AS fold FROM dealt")
 def hash_folds(spark, sf):
-    return model.hash_fold(_labelled(spark, sf), ["ticker", "date"], 5).groupBy("fold", "direction_fwd").agg(F.count("*").alias("n"))
+    return model.stratified_fold(_labelled(spark, sf), ["ticker", "date"], 5).select("ticker", "date", "direction_fwd", "fold")
 
 
-@query("stratified_holdout")
+@query(
+    "stratified_holdout",
+    DEALT + " SELECT ticker, date, CASE WHEN rn * 8000 // 10000 > (rn - 1) * 8000 // 10000 THEN 'train' ELSE 'test' END AS side, direction_fwd FROM dealt",
+)
 def stratified_holdout(spark, sf):
     a, b = model.holdout(_labelled(spark, sf), ["ticker", "date"])
     both = a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("test")))
-    return both.groupBy("side", "direction_fwd").agg(F.count("*").alias("n"))
+    return both.select("ticker", "date", "side", "direction_fwd")
 
 
 @query("train_and_predict_latest")

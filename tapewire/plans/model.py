@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from tapewire.functions.scores import PANEL_PROBABILITY, model_confidence, model_score, recommend
 from tapewire.operators.metrics import auc, binary_metrics
 from tapewire.operators.ranking import latest_slice, rank_recommend
-from tapewire.operators.scale import union_all
+from tapewire.operators.scale import checkpointed, global_row_number, union_all
 
 FEATURES = (
     "news_count", "sent_mean", "sent_std", "sent_min", "sent_max", "relevance_mean", "high_impact_count", "macro_count",
@@ -92,16 +92,24 @@ def class_weight(df: DataFrame, label: str = "direction_fwd", name: str = "weigh
     return df.withColumn(name, n / (2.0 * size))
 
 
-def hash_fold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
-    """A repeatable fold number per row; every class is spread over the folds evenly."""
-    return df.withColumn("fold", F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(k)).cast("int"))
+def _dealt(df: DataFrame, keys: Sequence[str], label: str, seed: int) -> DataFrame:
+    """Rows numbered in ``_rn``: class by class, inside a class in the order of an md5 of the keys."""
+    mark = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+    return global_row_number(df.withColumn("_mark", mark), [F.col(label), F.col("_mark"), *map(F.col, keys)], "_rn").drop("_mark")
 
 
-def holdout(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Random but repeatable split; by key hash it keeps class shares on both sides."""
-    b = F.pmod(F.xxhash64(*keys, F.lit(seed)), F.lit(10_000))
-    edge = int(share * 10_000)
-    return df.where(b < edge), df.where(b >= edge)
+def stratified_fold(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, label: str = "direction_fwd") -> DataFrame:
+    """A repeatable fold number per row; a class's rows are dealt to the folds in turn, so its counts differ by one at most."""
+    return _dealt(df, keys, label, seed).withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_rn")
+
+
+def holdout(df: DataFrame, keys: Sequence[str], share: float = 0.8, seed: int = 42, label: str = "direction_fwd") -> tuple[DataFrame, DataFrame]:
+    """(train, test): a repeatable split that deals every class in the same proportion."""
+    edge = round(share * 10_000)
+    upto = lambda n: F.floor(n * edge / 10_000)
+    # the train set grows by one wherever its share of the rows so far passes a whole number
+    dealt = checkpointed(_dealt(df, keys, label, seed).withColumn("_train", upto(F.col("_rn")) > upto(F.col("_rn") - 1)).drop("_rn"))
+    return dealt.where("_train").drop("_train"), dealt.where("not _train").drop("_train")
 
 
 def category_index(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -260,7 +268,7 @@ def top_vote(table: DataFrame, fitted: Mapping[str, PipelineModel], k: int = 3,
 
 def cross_validate(df: DataFrame, estimator, k: int = 5, keys: Sequence[str] = ("ticker", "date"), features: Sequence[str] = FEATURES, label: str = "direction_fwd", scale: bool = False) -> DataFrame:
     """Accuracy per fold of a repeatable k-fold split."""
-    folds = hash_fold(df.where(F.col(label).isNotNull()), keys, k)
+    folds = stratified_fold(df.where(F.col(label).isNotNull()), keys, k, label=label)
     out = []
     for i in range(k):
         model = fit(folds.where(F.col("fold") != i), estimator, features, label, scale)
