@@ -309,7 +309,16 @@ def term_hits(spark, sf):
     return mt.term_hits(a, "txt", terms, "article_id", 2)
 
 
-@query("score_with_model")
+def letters_sql(letters):
+    return "(" + " + ".join(f"length(t) - length(replace(t, '{c}', ''))" for c in letters) + ")"
+
+
+@query(
+    "score_with_model",
+    f"""WITH {ARTICLES}, x AS (SELECT article_id, {FULL} AS t FROM articles),
+ s AS (SELECT article_id, {letters_sql('aeiou')} / greatest(length(t), 1) AS p, {letters_sql('nrst')} / greatest(length(t), 1) AS m FROM x)
+SELECT article_id, {fxs('p')} AS sentiment_positive, {fxs('m')} AS sentiment_negative, {fxs('1 - p - m')} AS sentiment_neutral, {fxs('p - m')} AS sentiment_compound FROM s""",
+)
 def score_with_model(spark, sf):
     # a stand-in scorer: shares of vowels and consonants of each whole text
     def scorer(texts):
@@ -506,9 +515,8 @@ IMPACT = f"""{HITS}, ri AS (SELECT h.article_id, m.ticker, h.direction, h.reason
   SELECT article_id, ticker, direction, reason, rule_id, floor(confidence * 1e6 + 0.5001) / 1e6 AS confidence FROM ri) q) x WHERE rn = 1)"""
 
 
-def best_rows(spark, sf):
-    rows = fix(rl.rule_impact(rated(spark, sf), RULES, sector_map(spark, sf), ["ASIA"]), "confidence")
-    return rl.best_impact(rows)
+def sector_rows(spark, sf):
+    return fix(rl.sector_impact(rated(spark, sf), RULES, ["ASIA"]), "confidence")
 
 
 @query("impact_confidence", f"WITH {ARTICLES}, {SECTORS}, {RATED}, {IMPACT} SELECT article_id, ticker, direction, rule_id, {fxs('confidence')} AS confidence FROM ri")
@@ -519,7 +527,7 @@ def impact_confidence(spark, sf):
 
 @query("best_impact", f"WITH {ARTICLES}, {SECTORS}, {RATED}, {IMPACT} SELECT article_id, ticker, direction, reason, confidence, rule_id FROM best")
 def best_impact(spark, sf):
-    return best_rows(spark, sf)
+    return rl.best_by_ticker(sector_rows(spark, sf), sector_map(spark, sf))
 
 
 @query(
@@ -528,7 +536,7 @@ def best_impact(spark, sf):
 SELECT article_id, direction, ticker, confidence, rank FROM r WHERE rank <= 10""",
 )
 def impact_summary(spark, sf):
-    return rl.impact_summary(best_rows(spark, sf))
+    return rl.impact_summary(sector_rows(spark, sf), sector_map(spark, sf))
 
 
 @query("sectors_hit", f"WITH {ARTICLES}, {HITS} SELECT DISTINCT article_id, sector FROM hits")

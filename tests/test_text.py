@@ -118,6 +118,22 @@ def test_signals_skip_unpriced_and_keep_newsless(spark):
     assert [(r.ticker, r.news_count, r.sentiment_recommendation, r.confidence) for r in got] == [("BRK.B", 0, "HOLD", 0.0)]
 
 
+def test_sector_first_equals_ticker_first(spark):
+    rows = [(1, "tech", "positive", "a", 0.5, 1), (1, "tech", "positive", "b", 0.7, 2), (1, "bank", "positive", "c", 0.7, 0), (1, "bank", "negative", "d", 0.4, 3), (2, "tech", "neutral", "e", 0.9, 1)]
+    hits = spark.createDataFrame(rows, "article_id long, sector string, direction string, reason string, confidence double, rule_id int")
+    places = spark.createDataFrame([("tech", f"T{i}") for i in range(6)] + [("bank", f"B{i}") for i in range(6)] + [("bank", "T1")], "sector string, ticker string")
+    slow = rules.best_impact(rules.sector_fanout(hits, places).drop("sector"))
+    columns = slow.columns
+    assert sorted(rules.best_by_ticker(hits, places).select(columns).collect()) == sorted(slow.collect())
+    want = {}
+    for r in sorted(slow.where("direction <> 'neutral'").collect(), key=lambda r: (-r.confidence, r.ticker)):
+        want.setdefault((r.article_id, r.direction), []).append(r.ticker)
+    got = {}
+    for r in sorted(rules.impact_summary(hits, places, 4).collect(), key=lambda r: r["rank"]):
+        got.setdefault((r.article_id, r.direction), []).append(r.ticker)
+    assert got == {k: v[:4] for k, v in want.items()}
+
+
 def test_rules_and_best_impact_tie(spark):
     art = spark.createDataFrame([(1, "Oil jumps", "sanctions hit")], "article_id long, title string, description string")
     rs = [rules.Rule("oil", "energy", "positive", "first"), rules.Rule("OIL", "energy", "positive", "second")]
