@@ -185,6 +185,19 @@ def append_events(spark, sf):
     return st.read_store(spark, out).select("event_date", "article_id")
 
 
+@query(
+    "compact",
+    f"""WITH {ARTICLES} SELECT date AS event_date, CASE WHEN date < DATE '2024-01-15' THEN 'compact' WHEN lang = 'en' THEN 'one' ELSE 'two' END AS batch, count(*) AS n FROM articles GROUP BY 1, 2""",
+)
+def compact(spark, sf):
+    old, new = scratch(spark), scratch(spark)
+    a = stamped(spark, sf).withColumns({"scraped_at": F.col("date").cast("timestamp"), "ticker": F.lit(None).cast("string")})
+    a = a.withColumns({"url": F.concat(F.lit("https://example.com/"), F.col("article_id")), "title": F.concat("title", F.col("article_id"))})
+    st.append_events(a.where("lang = 'en'"), old, "one")
+    st.append_events(a.where("lang <> 'en'"), old, "two")
+    return st.compact(spark, old, new, "2024-01-15").groupBy("event_date", "batch").agg(F.count("*").alias("n"))
+
+
 @query(
     "upsert_batch",
     f"WITH {ARTICLES} SELECT DATE '2024-03-01' AS batch_date, count(DISTINCT title) - count(DISTINCT title) FILTER (lang = 'en') AS added, count(DISTINCT title) AS total FROM articles",

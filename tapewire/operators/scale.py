@@ -73,7 +73,8 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], l
 
 
 def _salted(fact: DataFrame, small: DataFrame, on: Sequence[str], salts: int) -> tuple[DataFrame, DataFrame]:
-    fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*fact.columns), F.lit(salts)))
+    plain = [c for c, t in fact.dtypes if "map<" not in t]  # maps have no hash
+    fact = fact.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)))
     small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     return fact, small
 

@@ -18,6 +18,9 @@ from tapewire.operators.joins import event_key
 from tapewire.schema import LEDGER
 
 
+WRITERS = 4  # tasks, and so files, a day and batch
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path holds any data yet."""
     try:
@@ -69,11 +72,28 @@ def append_events(
         fresh = fresh.join(stored.select(same.alias("_key")).distinct(), "_key", "left_anti")
     fresh = fresh.drop("_key")
     rows = scorer(fresh) if scorer else fresh
-    _write(rows.withColumn("batch", F.lit(batch)), path, [day, "batch"])
+    _write(_by_day(rows.withColumn("batch", F.lit(batch)), day, key), path, [day, "batch"])
     # a count over this batch's partitions alone, answered from Parquet footers
     return read_store(spark, path).where(F.col("batch") == batch).count() if exists(spark, path) else 0
 
 
+def _by_day(df: DataFrame, day: str, key: str) -> DataFrame:
+    """Rows dealt to at most ``WRITERS`` tasks a day, so that a day gets few files and a hot day still several writers."""
+    return df.repartition(F.col(day), F.pmod(F.xxhash64(key), F.lit(WRITERS)))
+
+
+def compact(spark: SparkSession, path: str, new_path: str, closed_before: str, day: str = "event_date", key: str = "article_id") -> DataFrame:
+    """A new version of the store in which every day before ``closed_before`` is one batch of at most ``WRITERS`` files.
+
+    Later days keep their batches, so a micro-batch that is repeated still overwrites its own.
+    """
+    old = read_store(spark, path)
+    closed = F.col(day) < F.lit(closed_before).cast("date")
+    batch = F.when(closed, F.lit("compact")).otherwise(F.col("batch"))
+    _write(_by_day(old.withColumn("batch", batch), day, key), new_path, [day, "batch"])
+    return read_store(spark, new_path)
+
+
 def _write(df: DataFrame, path: str, partitions: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 

@@ -237,3 +237,17 @@ def test_times_with_microseconds(spark):
     texts = ["2024-01-02T03:04:05.123456", "2024-01-02T03:04:05.123456+00:00", "2024-01-02 03:04:05.5", "2024-01-02T03:04:05Z"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select(parse_time([F.col("t")]).alias("p"))
     assert [r.p.microsecond for r in df.collect()] == [123456, 123456, 500000, 0]
+
+
+def test_a_day_has_few_files_and_compaction_fewer(spark, tmp_path):
+    path, new = str(tmp_path / "store"), tmp_path / "new"
+    for b in range(3):
+        rows = [article(100 * b + i, f"t{b}-{i}", hours=12 * (i % 4)) for i in range(60)]
+        st.append_events(frame(spark, rows).repartition(16), path, f"b{b}")
+    days = {p.parent.parent for p in (tmp_path / "store").rglob("*.parquet")}
+    assert all(len(list(d.rglob("*.parquet"))) <= 3 * st.WRITERS for d in days)
+    out = st.compact(spark, path, str(new), "2024-01-02")
+    assert sorted(r.article_id for r in out.collect()) == sorted(r.article_id for r in st.read_store(spark, path).collect())
+    assert [p.name for p in (new / "event_date=2024-01-01").iterdir()] == ["batch=compact"]
+    assert len(list((new / "event_date=2024-01-01").rglob("*.parquet"))) <= st.WRITERS
+    assert len(list((new / "event_date=2024-01-02").iterdir())) == 3
