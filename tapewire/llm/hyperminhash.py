@@ -205,8 +205,9 @@ def _verified(pairs: DataFrame, n: int, docs: DataFrame, shingle: int, percent:
     leading = docs.join(small(leaders), F.col("doc_id") == F.col("leader")).select("leader", "text")
     rows = _with_sets(members, shingle, "b").join(_with_sets(leading, shingle, "a"), "leader")
     both = F.size(F.array_intersect("a", "b"))
+    # nothing behind the join needs a leader's rows together, so adaptive execution may split a hot leader
     linked = rows.select("leader", "member", both.alias("both"), (F.size("a") + F.size("b")).alias("sum"))
-    return checkpointed(linked.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("leader", "member").distinct())
+    return checkpointed(linked.where(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("leader", "member"))
 
 
 def components(edges: DataFrame) -> DataFrame:
