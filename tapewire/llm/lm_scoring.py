@@ -25,7 +25,7 @@ FREQUENT = 1000  # words with an output of their own
 DICTIONARY = 1 << 18  # words whose counts are broadcast; the rest are joined
 BUCKETS = 64  # inputs shared by all other words, by their last letters
 ROUNDS = 4
-SLICE = 32 << 20
+SLICE = 24 << 20
 PART = 8192  # numbers in a row of weights
 FAN_IN = 256
 
@@ -77,15 +77,15 @@ class Vocabulary:
         index = self.index()
         codes, words, at = word_codes(texts)
         names = words.to_pylist()
-        place = np.array([index.get(w, -1) for w in names], dtype=np.int64) if names else np.empty(0, np.int64)
-        bucket = np.array([xxhash.xxh32_intdigest(w[-2:].encode("utf-8", "surrogatepass")) % BUCKETS for w in names], dtype=np.int64)
+        place = np.fromiter((index.get(w, -1) for w in names), np.int32, len(names))
+        bucket = np.fromiter((xxhash.xxh32_intdigest(w[-2:].encode("utf-8", "surrogatepass")) % BUCKETS for w in names), np.int32, len(names))
         known = (place >= 0) & (place < self.k)
         end = index[END]
-        codes = np.insert(codes.astype(np.int64), at[1:], -1)
+        codes = np.insert(codes.astype(np.int32), at[1:], -1)
         at = at + np.arange(len(at))
-        pick = lambda values, last: np.append(values, last)[codes]  # noqa: E731  code -1 takes the value of the end mark
-        target = pick(np.where(known, place, self.k), end)
-        x = gru.inputs_of(pick(np.where(known, place, self.k + bucket), end), at, end)
+        pick = lambda values, last: np.append(values, np.int32(last))[codes]  # noqa: E731  code -1 takes the value of the end mark
+        target = pick(np.where(known, place, np.int32(self.k)), end)
+        x = gru.inputs_of(pick(np.where(known, place, np.int32(self.k) + bucket), end), at, end)
         return pick(place, end), target, x, at, names, codes
 
 
@@ -203,7 +203,7 @@ def score(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: s
             }
             unknown = np.flatnonzero(place < 0)
             owner = np.searchsorted(at, unknown, "right") - 1
-            pair, n = np.unique(owner * max(1, len(names)) + codes[unknown], return_counts=True)
+            pair, n = np.unique(owner.astype(np.int64) * max(1, len(names)) + codes[unknown], return_counts=True)
             owner, code = np.divmod(pair, max(1, len(names)))
             ends = np.searchsorted(owner, np.arange(len(at) - 1), "right").astype(np.int32)
             rare = pa.ListArray.from_arrays(
