@@ -42,6 +42,16 @@ def word_codes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, pa.Arra
     return codes[full], coded.dictionary, before[bounds - bounds[0]]
 
 
+_BUILT: dict[type, tuple[object, object]] = {}
+
+
+def built_once(kind: type, value, *rest):
+    """``kind(value, *rest)``, built once per worker process and broadcast value; holding the value keeps its identity from passing on."""
+    if kind not in _BUILT or _BUILT[kind][0] is not value:
+        _BUILT[kind] = (value, kind(value, *rest))
+    return _BUILT[kind][1]
+
+
 def as_binary(values: pa.Array) -> list[bytes]:
     return values.cast(pa.binary()).to_pylist()
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tapewire.llm.batches import slices, spans
+from tapewire.llm.batches import built_once, slices, spans
 
 NONE = np.int32(2**31 - 1)
 WIDTHS = (2, 4, 6, 8, 12, 16, 24, 32, 64, 128, 256)  # longer pre-tokens are merged with a heap
@@ -208,15 +208,8 @@ class Bpe:
         return self.bytes[np.repeat(self.start[ids], n) + spans(n)], np.concatenate([[0], np.cumsum(n)])
 
 
-_BUILT: dict[int, Bpe] = {}
-
-
 def _of(sent, pattern: str) -> Bpe:
-    key = id(sent.value)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = Bpe(sent.value, pattern)
-    return _BUILT[key]
+    return built_once(Bpe, sent.value, pattern)
 
 
 def _encoded(batches, bpe: Bpe):

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewire.llm.batches import slices
+from tapewire.llm.batches import built_once, slices
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20  # item text in one automaton: about 2 million nodes in each task
@@ -93,9 +93,6 @@ def _offsets(text: str, intervals: list[tuple[int, int]]) -> list[list[int]]:
     return [[places[a][0], places[b - 1][1]] for a, b in intervals]
 
 
-_BUILT: dict[int, Items] = {}  # one automaton per broadcast and worker
-
-
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> Iterator[list[tuple[str, str]]]:
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
@@ -132,11 +129,7 @@ def scan(
         sent = spark.sparkContext.broadcast(block)
 
         def task(batches, sent=sent):
-            key = id(sent.value)
-            if key not in _BUILT:
-                _BUILT.clear()
-                _BUILT[key] = Items(sent.value, window)
-            items = _BUILT[key]
+            items = built_once(Items, sent.value, window)
             for batch in slices(batches, text_col):
                 texts = batch.column(text_col).to_pylist()
                 earlier = batch.column(found).to_pylist() if found in batch.schema.names else repeat(None)

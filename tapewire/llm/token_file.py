@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapewire.llm.batches import slices, spans, splits, word_codes
+from tapewire.llm.batches import built_once, slices, spans, splits, word_codes
 from tapewire.operators.scale import checkpointed
 from tapewire.session import shared_dir
 
@@ -297,9 +297,6 @@ class Encoder:
         return np.insert(ids, upto[1:], end), np.diff(upto) + 1
 
 
-_BUILT: dict[int, Encoder] = {}
-
-
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write their ids to ``folder`` in ascending order of the integer id.
 
@@ -314,11 +311,7 @@ def write(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, folder: st
     ordered = slim.repartitionByRange(splits(slim), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
 
     def task(batches: Iterable[pa.RecordBatch]):
-        key = id(sent.value)
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = Encoder(sent.value)
-        encoder = _BUILT[key]
+        encoder = built_once(Encoder, sent.value)
         doc_ids, lengths, ids, size = [], [], [], 0
 
         def block():
