@@ -2,8 +2,8 @@
 
 Per-document figures come from array functions inside the row.  For every
 (lang, source) a mergeable KLL sketch of each figure is built; a far-out fence
-(quartiles plus a multiple of their distance) replaces a fixed cut-off, and the
-documents are joined with the fences and filtered.
+(an outer quantile plus a multiple of its distance from an inner one) replaces a
+fixed cut-off, and the documents are joined with the fences and filtered.
 """
 
 from __future__ import annotations
@@ -20,11 +20,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
 LONG_MAX = 2**63 - 1
 
-# figure -> least distance from the nearer quartile to the fence; a group of equal
-# documents has quartiles without a distance, and its fence would cut at any change
-FIGURES = {"word_length": 4.0, "symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.30}
+# figure -> (outer and inner quantile, part of ``fence`` by which their distance is taken, least width).  Most documents
+# have no symbols and no repeats, so those figures have a spread only in the tail; junk reaches below the 95th percentile
+# of symbols.  The least width is for groups of equal documents, whose fence would cut at any change.
+FIGURES = {
+    "word_length": (0.75, 0.25, 1.0, 0.25),
+    "symbol_share": (0.90, 0.50, 1.0, 0.02),
+    "dup_line_share": (0.99, 0.50, 0.25, 0.02),
+    "repeat_share": (0.99, 0.50, 0.25, 0.02),
+}
 SKETCH_K = 400  # rank error under 1 %
-FENCE = 4.0  # times the distance of the quartiles
+FENCE = 4.0  # times the distance of the quantiles
 MIN_GROUP = 200  # documents; smaller groups take their language's merged sketch
 
 
@@ -131,10 +137,10 @@ def fences(measured: DataFrame, by: tuple[str, str] = ("lang", "source"), fence:
         return F.when(F.col("__n") >= min_group, F.col(c)).when(F.col("__n_up") >= min_group, F.col(f"{c}_up")).otherwise(F.lit(every[c]))
 
     out = []
-    for c, least in FIGURES.items():
-        q1, q3 = (F.kll_sketch_get_quantile_double(pick(c), F.lit(p)) for p in (0.25, 0.75))
-        width = F.greatest(F.lit(fence) * (q3 - q1), F.lit(least))
-        out += [(q1 - width).alias(f"lo_{c}"), (q3 + width).alias(f"hi_{c}")]
+    for c, (outer, inner, part, least) in FIGURES.items():
+        low, high = (F.kll_sketch_get_quantile_double(pick(c), F.lit(p)) for p in (inner, outer))
+        width = F.greatest(F.lit(fence * part) * (high - low), F.lit(least))
+        out += [(low - width).alias(f"lo_{c}"), (high + width).alias(f"hi_{c}")]
     return checkpointed(wide.select(*by, *out))
 
 

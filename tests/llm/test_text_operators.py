@@ -46,6 +46,24 @@ def test_quality_fence_adapts_to_the_group_and_keeps_columns(spark):
     assert quality.keep_good(odd_docs(spark)).columns == odd_docs(spark).columns
 
 
+def test_quality_fence_follows_the_spread_of_the_group(spark):
+    """Each odd document lies inside quartile +- (4 characters, 0.10, 0.30, 0.30)."""
+    plain = [f"word{i}" for i in range(60)]
+    lines = [" ".join(plain[i : i + 5]) for i in range(0, 60, 5)]
+    odd = {
+        "long": " ".join(f"longr{i:03}" for i in range(60)),
+        "symbols": " ".join([f"wor#{i}" for i in range(18)] + plain[18:]),
+        "lines": "\n".join(lines + lines[:4]),
+    }
+    normal = [(f"{lang}{i}", " ".join([*plain, f"tail{i}"]), lang) for lang in ("en", "de") for i in range(300)]
+    rows = normal + [(k, t, "en") for k, t in odd.items()]
+    # where symbols or long words are the rule, the same documents stay
+    rows += [(f"code{i}", " ".join([f"wor#{k}" for k in range(8 + i % 20)] + plain[8 + i % 20 :]), "code") for i in range(300)] + [("code", odd["symbols"], "code")]
+    rows += [(f"wide{i}", " ".join(f"{'x' * (i % 4)}word{k}" for k in range(60)), "wide") for i in range(300)] + [("wide", odd["long"], "wide")]
+    docs = spark.createDataFrame([(*r, "a") for r in rows], "doc_id string, text string, lang string, source string")
+    assert {r.doc_id for r in quality.keep_good(docs).collect()} == {r[0] for r in rows} - set(odd)
+
+
 def test_decontamination_equals_brute_force(spark):
     item = " ".join(f"b{i}" for i in range(20))
     bench = spark.createDataFrame([(1, item), (2, "short  Answer"), (3, None), (4, "..."), (10, item), (None, "zeta eta")], "item_id long, text string")
