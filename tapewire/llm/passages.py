@@ -1,6 +1,7 @@
-"""Substring dedup by hashing lines and the sentences inside them.
+"""Substring dedup by hashing lines, the sentences inside them and content-defined pieces of those.
 
-Units are normalised and hashed, digests are grouped over all documents, the earliest
+A piece begins where the hash of two neighbouring words is the least of those around it, so a passage gives the same
+pieces wherever it stands in a line.  Units are normalised and hashed, digests are grouped over all documents, the earliest
 ranked occurrence stays, and runs of later ones are cut out with their original offsets.
 """
 
@@ -8,29 +9,82 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewire.llm.batches import null_safe, slices
+from tapewire.llm.batches import null_safe, slices, spans
 from tapewire.operators.scale import checkpointed
 
 MIN_WORDS = 20  # a shorter run of repeated units stays: everyday phrases and headings
+REACH = 3  # a piece begins where a pair of words hashes below its neighbours up to so many words away
 _CUT = re.compile(r"(?<=[.!?])\s+|\n\s*")
+_SPACE = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
+# scripts without spaces: every letter is a token, and two count as a word
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_WEIGHTS = np.random.default_rng(7).integers(0, 1 << 63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def _tokens(text: str):
+    """(code points, where tokens begin, where they end, which are letters of a script without spaces or None)."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    space = _SPACE[np.minimum(codes, len(_SPACE) - 1)]
+    begin = np.append(True, space[:-1])
+    letter = None
+    if len(codes) and codes.max() >= _UNSPACED[0][0]:
+        letter = np.zeros(len(codes), bool)
+        for a, b in _UNSPACED:
+            letter |= (codes >= a) & (codes <= b)
+        begin |= letter
+        begin[1:] |= letter[:-1]
+    begin = begin[: len(codes)] & ~space
+    starts = np.flatnonzero(begin)
+    ends = np.flatnonzero(~space & np.append((begin | space)[1:], True)[: len(codes)]) + 1
+    return codes, starts, ends, letter[starts] if letter is not None and letter.any() else None
+
+
+def _pieces(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """First tokens of all units, given those of the sentences; a piece has more than ``REACH`` tokens."""
+    n = len(starts)
+    if n <= 2 * REACH + 1:
+        return firsts
+    sizes = ends - starts
+    place = spans(sizes)  # inside the token
+    at = np.repeat(starts, sizes) + place
+    h = np.add.reduceat(codes[at] * _WEIGHTS[np.minimum(place, len(_WEIGHTS) - 1)], np.cumsum(sizes) - sizes)
+    h = (h ^ (h >> np.uint64(32))) * _WEIGHTS[0]
+    pair = h[:-1] * _WEIGHTS[1] + h[1:]  # pair k: tokens k and k + 1
+    inner = pair[REACH : n - 1 - REACH]
+    least = np.ones(len(inner), bool)
+    for d in range(1, REACH + 1):
+        least &= (inner < pair[REACH - d : n - 1 - REACH - d]) & (inner < pair[REACH + d : n - 1 - REACH + d])
+    cut = np.flatnonzero(least) + REACH + 1
+    own = np.searchsorted(firsts, cut, "right")
+    inside = (cut - firsts[own - 1] > REACH) & (np.append(firsts, n)[own] - cut > REACH)  # all compared pairs in one sentence
+    return np.sort(np.concatenate([firsts, cut[inside]]))
 
 
 def units(text: str | None) -> list[tuple[int, int, int, bytes]]:
-    """(start, end, words, digest) of every unit with a word; lines, cut again behind sentence ends."""
-    out, at = [], 0
+    """(start, end, words, digest) of every unit: lines, cut behind sentence ends, and those at content-defined words."""
     text = text or ""
-    for stop, after in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
-        words = text[at:stop].lower().split()
-        if words:
-            out.append((at, stop, len(words), xxhash.xxh3_128_digest(" ".join(words).encode("utf-8", "surrogatepass"))))
-        at = after
-    return out
+    low = text.lower()
+    codes, starts, ends, letter = _tokens(low)
+    n = len(starts)
+    if not n:
+        return []
+    words = low.split() if letter is None else [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    begins, stops = (starts, ends) if len(low) == len(text) else _tokens(text)[1:3]
+    firsts = np.unique(np.searchsorted(begins, [0, *(m.end() for m in _CUT.finditer(text))]))
+    edges = np.append(_pieces(codes, starts, ends, firsts[firsts < n]), n)
+    counts = np.diff(edges) if letter is None else np.diff(edges) - np.add.reduceat(letter.astype(np.int64), edges[:-1]) // 2
+    begins, stops, edges = begins[edges[:-1]], stops[edges[1:] - 1], edges.tolist()
+    begins[0] = 0
+    texts = [" ".join(words[a:b]) for a, b in zip(edges, edges[1:])]
+    digests = [xxhash.xxh3_128_digest(x.encode("utf-8", "surrogatepass")) for x in texts]
+    return list(zip(begins.tolist(), stops.tolist(), counts.tolist(), digests))
 
 
 def cuts(text: str | None, repeated: set[int], min_words: int = MIN_WORDS) -> tuple[list[tuple[int, int]], int, int]:
@@ -46,7 +100,7 @@ def cuts(text: str | None, repeated: set[int], min_words: int = MIN_WORDS) -> tu
     for _, _, _, digest in own:
         flags.append(digest in digests or digest in seen)
         seen.add(digest)
-    spans, removed, k = [], 0, 0
+    found, removed, k = [], 0, 0
     while k < len(own):
         if not flags[k]:
             k += 1
@@ -55,10 +109,10 @@ def cuts(text: str | None, repeated: set[int], min_words: int = MIN_WORDS) -> tu
         while j < len(own) and flags[j]:
             j += 1
         if sum(u[2] for u in own[k:j]) >= min_words:
-            spans.append((own[k][0], own[j][0] if j < len(own) else len(text)))
+            found.append((own[k][0], own[j][0] if j < len(own) else len(text)))
             removed += j - k
         k = j
-    return spans, removed, len(own)
+    return found, removed, len(own)
 
 
 def without(text: str | None, spans: list[tuple[int, int]]) -> str | None:
@@ -78,9 +132,10 @@ def _row_hash(text_col: str):
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, row_hash, units): numbers of the units whose digest an earlier ranked row has.
 
-    Rows rank by id, then by a hash of the text.  Each text sends a digest once, a task's rows of one digest are
-    combined before the shuffle, and only digests of several rows come back, by a join
-    that adaptive execution can split; a line that a third of the documents share is no special case.
+    Rows rank by id, then by a hash of the text.  Each text sends a digest once.  Half digests of several rows are
+    found first, so that the ranks and whole digests of the many others are not shuffled for the count; a task's rows
+    of one digest are combined before a shuffle, and the joins are ones that
+    adaptive execution can split; a line that a third of the documents share is no special case.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), _row_hash(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -97,15 +152,19 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 digest += first.keys()
             if owner:
                 at = pa.array(owner, pa.int64())
+                half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number, pa.int32()), pa.array(digest, pa.binary())],
-                    names=["doc_id", "row_hash", "unit", "digest"],
+                    [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number, pa.int32()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())],
+                    names=["doc_id", "row_hash", "unit", "key", "rest"],
                 )
 
-    rows = checkpointed(slim.mapInArrow(task, f"doc_id {kind}, row_hash long, unit int, digest binary"))
+    rows = checkpointed(slim.mapInArrow(task, f"doc_id {kind}, row_hash long, unit int, key long, rest long"))
+    row = F.xxhash64("doc_id", "row_hash")
+    several = rows.groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least != most").select("key")
+    some = checkpointed(rows.join(several, "key", "left_semi"))
     rank = F.struct("doc_id", "row_hash")
-    shared = rows.groupBy("digest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
-    later = rows.join(shared.select("digest", "first"), "digest").where(rank != F.col("first"))
+    shared = some.groupBy("key", "rest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
+    later = some.join(shared.select("key", "rest", "first"), ["key", "rest"]).where(rank != F.col("first"))
     return later.groupBy("doc_id", "row_hash").agg(F.collect_list("unit").alias("units"))
 
 

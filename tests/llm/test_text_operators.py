@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import re
 
 import pytest
@@ -134,6 +135,30 @@ def test_passages_odd_rows(spark):
     assert passages.dedupe(no_docs(spark)).count() == 0
 
 
+def test_passages_inside_longer_lines(spark):
+    """Passages of over 50 words without a sentence end, set into lines that go on before and behind them."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    said = [" ".join(fresh(55)) for _ in range(40)]
+    rows = [(i, " ".join([*fresh(30), p, *fresh(30)])) for i, p in enumerate(said)]
+    rows += [(100 + i, " ".join([*fresh(1 + i), p.upper(), *fresh(40 - i)])) for i, p in enumerate(said)]
+    letters = "".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(120))
+    rows += [(200, "".join(map(chr, range(0x5000, 0x5040))) + letters), (201, letters + "".join(map(chr, range(0x6000, 0x6040))))]
+    rows += [(300, "一二三四五六七八"), (301, "一二三四五六七八")]  # four words' length
+    texts = dict(rows)
+    for r in passages.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        spans = r["__cut"].spans
+        if not 100 <= r.doc_id < 300 or r.doc_id == 200:
+            assert r.text == texts[r.doc_id] and not spans
+            continue
+        a, b = spans[0]
+        assert len(spans) == 1
+        if r.doc_id == 201:
+            assert texts[201][a:b] in letters and b - a >= 80
+        else:
+            assert texts[r.doc_id][a:b].strip().lower() in said[r.doc_id - 100] and len(texts[r.doc_id][a:b].split()) >= passages.MIN_WORDS
+
+
 def test_language_id(spark):
     rows = QUERIES["op10_language_id"](spark, SF).join(table(spark, "documents"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in rows) >= 0.95 * len(rows) > 0
