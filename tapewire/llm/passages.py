@@ -142,25 +142,24 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def task(batches):
         for batch in slices(batches, "text"):
-            owner, number, digest = [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            ends, number, digest = [0], [], []
+            for text in batch.column("text").to_pylist():
                 first: dict[bytes, int] = {}
                 for k, unit in enumerate(units(text)):
                     first.setdefault(unit[3], k)
-                owner += [i] * len(first)
                 number += first.values()
                 digest += first.keys()
-            if owner:
-                at = pa.array(owner, pa.int64())
-                half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(at), batch.column("row_hash").take(at), pa.array(number, pa.int32()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())],
-                    names=["doc_id", "row_hash", "unit", "key", "rest"],
-                )
-
-    rows = checkpointed(slim.mapInArrow(task, f"doc_id {kind}, row_hash long, unit int, key long, rest long"))
+                ends.append(len(number))
+            half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            values = [pa.array(number, pa.int32()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in values]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), *lists], names=["doc_id", "row_hash", "unit", "key", "rest"])
+
+    # a row a text: a checkpoint's rows are not compressed, and one row a digest would take three times the space
+    texts = checkpointed(slim.mapInArrow(task, f"doc_id {kind}, row_hash long, unit array<int>, key array<long>, rest array<long>"))
+    rows = texts.select("doc_id", "row_hash", F.inline(F.arrays_zip("unit", "key", "rest")))
     row = F.xxhash64("doc_id", "row_hash")
-    several = rows.groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least != most").select("key")
+    several = texts.select("doc_id", "row_hash", F.explode("key").alias("key")).groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least != most").select("key")
     some = checkpointed(rows.join(several, "key", "left_semi"))
     rank = F.struct("doc_id", "row_hash")
     shared = some.groupBy("key", "rest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
