@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, hyperminhash, langid, lm_scoring, passages, quality, token_file, warc
+from tapewire.llm import bpe, chat, decontaminate, filter_audit, hyperminhash, langid, lm_scoring, passages, quality, token_file, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -141,3 +141,39 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = lm_scoring.score(docs, docs.where(crc_mod("doc_id", 5) != 1))
     return scored.select("doc_id", (crc_mod("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+ w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM d),
+ l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+ m AS (SELECT part, good, toxic,
+   CASE WHEN len(words) < 100 THEN 1 ELSE 0 END
+   + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+   + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) THEN 4 ELSE 0 END
+   + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+   + CASE WHEN first_id < w.doc_id THEN 16 ELSE 0 END AS mask FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+ letters AS (SELECT substr('ABCDE', i + 1, 1) AS letter, 1 << i AS bit FROM (SELECT CAST(unnest(range(5)) AS INT) AS i)),
+ walk(filter_order, applied) AS (
+   SELECT '', 0 UNION ALL SELECT filter_order || letter, applied | bit FROM walk JOIN letters ON applied & bit = 0),
+ orders AS (SELECT filter_order, CAST(unnest(range(1, 6)) AS INT) AS step FROM walk WHERE length(filter_order) = 5),
+ steps AS (SELECT o.filter_order, step, letter, bit, w.applied FROM orders o JOIN letters ON letter = substr(o.filter_order, step, 1)
+   JOIN walk w ON w.filter_order = left(o.filter_order, step - 1)),
+ cells AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good = 1) AS good, count(*) FILTER (toxic = 1) AS toxic FROM m GROUP BY 1, 2),
+ r AS (SELECT part, filter_order, step, letter,
+   coalesce(sum(n) FILTER (mask & (applied | bit) = 0), 0) AS kept,
+   coalesce(sum(n) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS removed,
+   coalesce(sum(n) FILTER (mask & applied <> 0 AND mask & bit <> 0), 0) AS redundant,
+   coalesce(sum(n) FILTER (mask = bit), 0) AS unique_fails,
+   coalesce(sum(good) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS good_lost,
+   coalesce(sum(toxic) FILTER (mask & applied = 0 AND mask & bit <> 0), 0) AS toxic_lost
+  FROM cells CROSS JOIN steps GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+ CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+ CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM r"""
