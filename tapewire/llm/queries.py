@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, filter_audit, hyperminhash, langid, lm_scoring, passages, quality, token_file, warc
+from tapewire.llm import bpe, chat, decontaminate, filter_audit, hyperminhash, langid, lm_scoring, passages, quality, token_file, turn_repair, warc
+from tapewire.llm.batches import null_safe
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -177,3 +178,79 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
 FROM r"""
+
+
+def damaged(talks: DataFrame) -> DataFrame:
+    """The turns with faults put in: by a hash of conversation and turn a row is dropped, emptied, cut off, repeated or given to the user."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(text("conv_id"), F.lit(":"), text("turn")).cast("binary")) % 20
+    rows = talks.select("conv_id", "turn", text("role").alias("role"), text("text").alias("text"), kind.alias("kind")).where("kind <> 0")
+    said = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.when(F.col("kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+    return rows.select("conv_id", "turn", role.alias("role"), said.alias("text"), copies.alias("copy")).drop("copy")
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = table(spark, sf_dir, "conversations")
+    counts = turn_repair.summarise(turn_repair.repair(damaged(talks)), ordered=True)
+    every = null_safe(talks.select("conv_id").distinct(), counts, ["conv_id"], "left")
+    empty = {"audit": F.lit(""), "repaired_sha256": F.sha2(F.lit(""), 256)}
+    return every.select("conv_id", *[F.coalesce(c, empty.get(c, F.lit(0))).alias(c) for c in counts.columns if c != "conv_id"])
+
+
+# ``vec`` holds the cost vectors behind each row, from the last row to the first; ``walk`` takes one letter a level.
+SQL["op12_turn_repair"] = r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+   list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ascii(x) AS BIGINT)) AS bytes
+  FROM conversations),
+ hashed AS (SELECT *, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b:
+   list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 20 AS kind FROM keyed),
+ damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+   CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hashed WHERE kind <> 0),
+ placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)) AS i,
+   count(*) OVER (PARTITION BY conv_id) AS n FROM damaged),
+ flagged AS (SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank,
+   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+   CASE WHEN regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 0 ELSE 1 END AS cut, left(role, 1) AS c,
+   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+ turns AS (SELECT *, blank OR again AS must FROM flagged),
+ vec(conv_id, i, v) AS (
+  SELECT conv_id, n, [0, 4, 2, 0] FROM turns WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, [least(c0, 2 + c2, 4 + c3), least(c1, 2 + c2, 4 + c3), least(c2, 2 + c3), least(c3, 2 + c2)] FROM (
+   SELECT t.conv_id, t.i - 1 AS i,
+    least(3 + v[1], CASE WHEN must THEN 99999999 ELSE 2 + cut + v[3] END, CASE WHEN must OR c NOT IN ('s', 'u') THEN 99999999 WHEN c = 's' THEN cut + v[2] ELSE cut + v[3] END) AS c0,
+    least(3 + v[2], CASE WHEN must THEN 99999999 ELSE 2 + cut + v[3] END, CASE WHEN must OR c <> 'u' THEN 99999999 ELSE cut + v[3] END) AS c1,
+    least(3 + v[3], CASE WHEN must THEN 99999999 ELSE 2 + cut + v[4] END, CASE WHEN must OR c <> 'a' THEN 99999999 ELSE cut + v[4] END) AS c2,
+    least(3 + v[4], CASE WHEN must THEN 99999999 ELSE 2 + cut + v[3] END, CASE WHEN must OR c <> 'u' THEN 99999999 ELSE cut + v[3] END) AS c3
+   FROM vec JOIN turns t ON t.conv_id = vec.conv_id AND t.i = vec.i)),
+ walk(conv_id, i, st, audit, said) AS (
+  SELECT conv_id, CAST(1 AS BIGINT), 1, '', CAST([] AS VARCHAR[]) FROM turns WHERE i = 1
+  UNION ALL
+  SELECT conv_id, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN st WHEN 'K' THEN keep ELSE nxt END, audit || letter,
+   CASE letter WHEN 'D' THEN said WHEN 'I' THEN list_append(said, CASE nxt WHEN 3 THEN 'user:' ELSE 'assistant:' END)
+    WHEN 'K' THEN list_append(said, role || ':' || text) ELSE list_append(said, CASE nxt WHEN 3 THEN 'user:' ELSE 'assistant:' END || text) END
+  FROM (SELECT *, CASE WHEN here[st] = 3 + after[st] THEN 'D' WHEN here[st] = 2 + here[nxt] THEN 'I'
+     WHEN NOT must AND keep > 0 AND here[st] = cut + after[keep] THEN 'K' ELSE 'R' END AS letter
+    FROM (SELECT w.conv_id, w.i, w.st, w.audit, w.said, h.v AS here, a.v AS after, t.must, t.cut, t.role, t.text,
+       CASE w.st WHEN 3 THEN 4 ELSE 3 END AS nxt,
+       CASE WHEN t.c = 's' AND w.st = 1 THEN 2 WHEN t.c = 'u' AND w.st <> 3 THEN 3 WHEN t.c = 'a' AND w.st = 3 THEN 4 ELSE 0 END AS keep
+      FROM walk w JOIN vec h ON h.conv_id = w.conv_id AND h.i = w.i - 1
+       LEFT JOIN turns t ON t.conv_id = w.conv_id AND t.i = w.i
+       LEFT JOIN vec a ON a.conv_id = w.conv_id AND a.i = w.i
+      WHERE h.v[w.st] > 0 OR t.i IS NOT NULL))),
+ done AS (SELECT conv_id, max_by(audit, length(audit)) AS audit, max_by(said, length(audit)) AS said FROM walk GROUP BY conv_id),
+ counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank,
+   count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut = 1 AND NOT must) AS truncated,
+   count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY conv_id)
+SELECT e.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+ coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v[1], 0) AS BIGINT) AS cost,
+ coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) e LEFT JOIN counts c ON c.conv_id = e.conv_id
+ LEFT JOIN done d ON d.conv_id = e.conv_id LEFT JOIN vec ON vec.conv_id = e.conv_id AND vec.i = 0"""
