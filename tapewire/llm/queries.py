@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapewire.llm import bpe, chat, decontaminate, filter_audit, hyperminhash, langid, lm_scoring, passages, quality, token_file, turn_repair, warc
+from tapewire.llm import bpe, chat, decontaminate, filter_audit, hyperminhash, langid, lm_scoring, passages, quality, simhash, token_file, turn_repair, warc
 from tapewire.llm.batches import null_safe
+from tapewire.operators.scale import checkpointed
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -180,6 +181,12 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
 FROM r"""
 
 
+@query
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beside = checkpointed(simhash.beside_edited(table(spark, sf_dir, "documents")))
+    return simhash.with_links(beside)
+
+
 def damaged(talks: DataFrame) -> DataFrame:
     """The turns with faults put in: by a hash of conversation and turn a row is dropped, emptied, cut off, repeated or given to the user."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
