@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +27,7 @@ BLOCKS = 8  # tables; a block of 32 bits each, one more than the radius
 CHUNK = 2_048  # fingerprints of a bucket that one task compares with as many others
 PIECE, LONG = 8, 32  # a word of over 32 bytes is taken in pieces of 8, for scripts without spaces
 TOKENS = 1 << 16  # terms whose bits are unpacked at a time
+BLOCK_BYTES = 64 << 20  # of text in a block of consecutive documents
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 SEEDS = GOLDEN * np.arange(1, BITS // 64 + 1, dtype=np.uint64)  # modulo 2^64
 
@@ -64,7 +64,7 @@ def signatures(texts: pa.Array) -> np.ndarray:
     """
     words, bounds = _word_hashes(texts)
     n = len(texts)
-    votes = np.zeros((n, BITS), np.int64)
+    votes = np.zeros((n, BITS), np.int32)
     counts = np.diff(bounds)
     if not len(words):
         return np.zeros((n, BITS // 8), np.uint8)
@@ -75,12 +75,12 @@ def signatures(texts: pa.Array) -> np.ndarray:
     for at in range(0, len(terms), TOKENS):
         part, own = terms[at : at + TOKENS], owner[at : at + TOKENS]
         lanes = np.stack([_mix(part + seed) for seed in SEEDS], axis=1)
-        bits = np.unpackbits(lanes.view(np.uint8), axis=1)
-        # sums of at most 255 terms of one text fit a byte
+        bits = np.unpackbits(lanes.view(np.uint8)).view(np.uint64).reshape(len(part), -1)  # eight votes a word
         begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         length = np.diff(np.concatenate([begin, [len(part)]]))
-        cuts = np.repeat(begin, -(-length // 255)) + 255 * spans(-(-length // 255))
-        np.add.at(votes, own[cuts], np.add.reduceat(bits, cuts, axis=0, dtype=np.uint8))
+        cuts = np.repeat(begin, -(-length // 255)) + 255 * spans(-(-length // 255))  # sums of at most 255 terms of one text fit a byte
+        for first, last, text in zip(cuts.tolist(), [*cuts[1:].tolist(), len(part)], own[cuts].tolist()):
+            votes[text] += bits[first:last].sum(axis=0).view(np.uint8)
     return np.packbits(2 * votes > counts[:, None], axis=1)
 
 
@@ -119,9 +119,10 @@ def _dealt(slim: DataFrame) -> DataFrame:
     Block bounds are exact: ids and hashes are sorted over all partitions, and one pair of bounds a block comes to
     the driver.  Texts are shuffled once.  Rows equal in id and text are sent once a task.
     """
-    keys = checkpointed(slim.groupBy("doc_id", "digest").agg(F.count("*").alias("n")).drop("n"))
+    keys = checkpointed(slim.groupBy("doc_id", "digest").agg(F.max(F.octet_length("text")).alias("size")))
+    blocks = max(splits(slim), (keys.agg(F.sum("size")).first()[0] or 0) // BLOCK_BYTES)
     order = F.struct(F.col("doc_id").isNotNull(), "doc_id", "digest")
-    ranged = keys.repartitionByRange(4 * splits(slim), "doc_id", "digest").select(order.alias("k"), F.spark_partition_id().alias("p"))
+    ranged = keys.repartitionByRange(blocks, "doc_id", "digest").select(order.alias("k"), F.spark_partition_id().alias("p"))
     tops = sorted(_key(r.k.doc_id, r.k.digest) for r in ranged.groupBy("p").agg(F.max("k").alias("k")).select("k").collect())
     field = slim.schema["doc_id"]
 
@@ -143,9 +144,10 @@ def _dealt(slim: DataFrame) -> DataFrame:
                     block.append((b + 1) % len(tops))
                     lead.append(True)
             taken = batch.take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(lead, pa.bool_()), *taken.columns], names=["block", "lead", *batch.schema.names])
+            yield pa.RecordBatch.from_arrays([pa.array(block, pa.int32()), pa.array(lead, pa.bool_()), *taken.columns], names=["block", "lead", *batch.schema.names])
 
-    return slim.mapInArrow(task, f"block long, lead boolean, doc_id {field.dataType.simpleString()}, digest long, text string")
+    dealt = slim.mapInArrow(task, f"block int, lead boolean, doc_id {field.dataType.simpleString()}, digest long, text string")
+    return dealt.repartitionById(max(1, len(tops)), "block")
 
 
 def beside_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,8 +159,7 @@ def beside_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     document.  NULL texts are empty.  An empty table gives no rows; the next of an only document is itself.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("digest"), "text")
-    dealt = _dealt(slim).repartition(splits(slim), "block")
-    ordered = dealt.sortWithinPartitions("block", "lead", F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
+    ordered = _dealt(slim).sortWithinPartitions("block", "lead", F.col("doc_id").desc_nulls_last(), F.col("digest").desc())
     field = slim.schema["doc_id"]
     id_type = to_arrow_type(field.dataType)
 
@@ -195,94 +196,123 @@ def beside_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return ordered.mapInArrow(task, f"doc_id {field.dataType.simpleString()}, {out}")
 
 
-def _cells(prints: DataFrame, blocks: int) -> DataFrame:
-    """Rows (t, key, a, b, own, bits, n) of the block tables, a bucket of over CHUNK fingerprints dealt to cells of chunk pairs."""
-    width = BITS // 8 // blocks
-    table = prints.select("bits", "n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("t"))
-    table = table.withColumn("key", F.substring("bits", F.col("t") * width + 1, F.lit(width)))
-    large = table.groupBy("t", "key").agg(F.count("*").alias("m")).where(F.col("m") > CHUNK)
-    chunks = F.coalesce(F.ceil(F.col("m") / CHUNK), F.lit(1))
-    dealt = table.join(large, ["t", "key"], "left").withColumns({"own": F.pmod(F.xxhash64("bits"), chunks), "chunks": chunks})
-    each = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    return each.select("t", "key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "bits", "n")
-
+def _links(t: int, left: np.ndarray, right: np.ndarray, rows: np.ndarray, n: np.ndarray, radius: int, blocks: int) -> np.ndarray:
+    """Documents that each row is linked with by the pairs of ``left`` and ``right``, equal or disjoint sets of rows.
 
-def _links(t: int, a: int, b: int, own: np.ndarray, bits: np.ndarray, n: np.ndarray, radius: int, blocks: int) -> np.ndarray:
-    """Documents linked with each row of a cell.  A pair that agrees in several blocks counts in the first of them only."""
-    lanes = bits.reshape(len(bits), blocks, -1)
-    left = np.arange(len(own)) if a == b else np.flatnonzero(own == a)
-    right = left if a == b else np.flatnonzero(own == b)
-    found = np.zeros(len(own), np.int64)
+    The rows are those of table ``t``, whose block stands first and the blocks before it last; a pair that agrees in one
+    of these was found in that block's table.
+    """
+    lanes = rows.reshape(len(rows), blocks, -1)
+    found = np.zeros(len(rows), np.int64)
+    same = left is right
     strip = max(1, (1 << 22) // max(1, len(right) * BITS // 8))
     for at in range(0, len(left), strip):
-        rows = left[at : at + strip]
-        apart = np.bitwise_count(lanes[rows][:, None] ^ lanes[right][None]).sum(axis=3, dtype=np.int64)
-        near = (apart.sum(axis=2) <= radius) & (apart[:, :, :t] > 0).all(axis=2)
-        if a == b:
-            near &= rows[:, None] != right[None]
-        found[rows] += near @ n[right]
-        if a != b:
-            found[right] += n[rows] @ near
+        some = left[at : at + strip]
+        apart = np.bitwise_count(lanes[some][:, None] ^ lanes[right][None]).sum(axis=3, dtype=np.int64)
+        near = (apart.sum(axis=2) <= radius) & (apart[:, :, blocks - t :] > 0).all(axis=2)
+        if same:
+            near &= some[:, None] != right[None]
+        found[some] += near @ n[right]
+        if not same:
+            found[right] += n[some] @ near
     return found
 
 
+def _raw(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BITS // 8)
+
+
+def _found(t: int, rows: np.ndarray, n: np.ndarray, near: np.ndarray | None) -> pa.RecordBatch:
+    """Rows (t, rotated, n, near); ``near`` is NULL where a bucket is yet to be compared."""
+    bits = pa.array([r.tobytes() for r in rows], pa.binary())
+    counts = pa.nulls(len(rows), pa.int64()) if near is None else pa.array(near, pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), t), pa.int32()), bits, pa.array(n, pa.int64()), counts], names=["t", "rotated", "n", "near"])
+
+
+_FOUND = "t int, rotated binary, n long, near long"
+
+
+def _buckets(table: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Links inside the buckets of the block tables; rows of a bucket of over CHUNK fingerprints come back uncompared."""
+    width = BITS // 8 // blocks
+    key = F.substring("rotated", 1, width)
+    ordered = table.repartition("t", key).sortWithinPartitions("t", "rotated")
+
+    def settled(t, rows, n):
+        if len(rows) > CHUNK:
+            yield _found(t, rows, n, None)
+        elif len(rows) > 1:
+            every = np.arange(len(rows))
+            near = _links(t, every, every, rows, n, radius, blocks)
+            if near.any():
+                yield _found(t, rows[near > 0], n[near > 0], near[near > 0])
+
+    def task(batches) -> Iterator[pa.RecordBatch]:
+        held, large = None, None  # the bucket that may go on, and the key of one that is large already
+        for batch in batches:
+            t, rows, n = batch.column("t").to_numpy(), _raw(batch.column("rotated")), batch.column("n").to_numpy()
+            if held is not None:
+                t, rows, n = (np.concatenate(x) for x in zip(held, (t, rows, n)))
+            new = np.concatenate([[True], (t[1:] != t[:-1]) | (rows[1:, :width] != rows[:-1, :width]).any(axis=1)])
+            begin = np.flatnonzero(new).tolist()
+            for first, last in zip(begin, [*begin[1:], None]):
+                bucket = int(t[first]), rows[first, :width].tobytes()
+                if bucket == large:
+                    yield _found(bucket[0], rows[first:last], n[first:last], None)
+                    held = None
+                elif last is not None:
+                    if last - first > 1:
+                        yield from settled(bucket[0], rows[first:last], n[first:last])
+                elif len(rows) - first > CHUNK:
+                    yield _found(bucket[0], rows[first:], n[first:], None)
+                    held, large = None, bucket
+                else:
+                    held = t[first:], rows[first:], n[first:]
+        if held is not None:
+            yield from settled(int(held[0][0]), held[1], held[2])
+
+    return ordered.mapInArrow(task, _FOUND)
+
+
+def _chunk_pairs(large: DataFrame, radius: int, blocks: int) -> DataFrame:
+    """Links inside large buckets: chunks of about CHUNK rows, every pair of chunks in a group of its own."""
+    key = F.substring("rotated", 1, BITS // 8 // blocks)
+    rows = large.select("t", key.alias("key"), "rotated", "n")
+    sizes = rows.groupBy("t", "key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    dealt = rows.join(sizes, ["t", "key"]).withColumn("own", F.pmod(F.xxhash64("rotated"), F.col("chunks")))
+    each = dealt.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    cells = each.select("t", "key", F.least("own", "j").alias("a"), F.greatest("own", "j").alias("b"), "own", "rotated", "n")
+
+    def compare(group: pa.Table) -> pa.Table:
+        t, a, b = (group.column(c)[0].as_py() for c in ("t", "a", "b"))
+        rows, own, n = _raw(group.column("rotated")), group.column("own").to_numpy(), group.column("n").to_numpy()
+        left = np.flatnonzero(own == a)
+        near = _links(t, left, left if a == b else np.flatnonzero(own == b), rows, n, radius, blocks)
+        return pa.Table.from_batches([_found(t, rows[near > 0], n[near > 0], near[near > 0])])
+
+    return cells.groupBy("t", "key", "a", "b").applyInArrow(compare, _FOUND)
+
+
 def near_counts(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """Rows (fingerprint, n, class_id, near): documents that have it, the least id of them, documents of other fingerprints within ``radius`` bits.
 
     ``prints`` has (doc_id, fingerprint).  Copies are counted before any comparison, so equal texts are never
-    paired.  ``blocks`` must divide 32 bytes and be more than ``radius``: by the pigeonhole principle no pair is
-    missed.  Rare buckets of over CHUNK different fingerprints are compared chunk by chunk in separate tasks.
+    paired.  Table t holds every fingerprint rotated so that block t stands first, and is grouped by that block.  ``blocks`` must divide 32 bytes and be
+    more than ``radius``: by the pigeonhole principle no pair is missed.  Rare buckets of over CHUNK different fingerprints are
+    compared chunk by chunk in separate tasks.
     """
     if blocks <= radius or (BITS // 8) % blocks:
         raise ValueError("more blocks than the radius are needed, of whole bytes")
+    width = BITS // 8 // blocks
     classes = checkpointed(prints.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")))
-    cells = _cells(classes.select(F.unhex("fingerprint").alias("bits"), "n"), blocks)
-    place = ["t", "key", "a", "b"]
-    ordered = cells.repartition(*place).sortWithinPartitions(*place)
-
-    def compared(rest: pa.Table, last: bool) -> tuple[list, pa.Table]:
-        """Links of the whole cells of ``rest``, and the rows of the cell that may go on."""
-        m = rest.num_rows
-        if not m:
-            return [], rest
-        marks = rest.select(place).combine_chunks()
-        new = np.zeros(m, bool)
-        new[0] = True
-        for c in place:
-            column = marks.column(c)
-            new[1:] |= pc.not_equal(column.slice(1), column.slice(0, m - 1)).to_numpy(zero_copy_only=False) if m > 1 else new[1:]
-        begin = np.flatnonzero(new)
-        ends = np.concatenate([begin[1:], [m]])
-        if not last:
-            begin, ends = begin[:-1], ends[:-1]
-        out = []
-        pick = np.flatnonzero(ends - begin > 1)
-        if len(pick):
-            own, n, t, a, b = (rest.column(c).to_numpy() for c in ("own", "n", "t", "a", "b"))
-            raw = np.frombuffer(b"".join(rest.column("bits").to_pylist()), np.uint8).reshape(m, -1)
-            for k in pick:
-                s = slice(begin[k], ends[k])
-                found = _links(int(t[s.start]), int(a[s.start]), int(b[s.start]), own[s], raw[s], n[s], radius, blocks)
-                out += [(raw[s.start + i].tobytes().hex(), int(found[i])) for i in np.flatnonzero(found)]
-        return out, rest.slice(int(ends[-1]) if len(ends) else 0)
-
-    def task(batches) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            piece = pa.Table.from_batches([batch])
-            out, rest = compared(pa.concat_tables([rest, piece]) if rest is not None else piece, False)
-            if out:
-                yield emit(out)
-        if rest is not None:
-            out, _ = compared(rest, True)
-            if out:
-                yield emit(out)
-
-    def emit(rows):
-        prints_, counts = zip(*rows)
-        return pa.RecordBatch.from_arrays([pa.array(prints_, pa.string()), pa.array(counts, pa.int64())], names=["fingerprint", "near"])
-
-    near = ordered.mapInArrow(task, "fingerprint string, near long").groupBy("fingerprint").agg(F.sum("near").alias("near"))
+    table = classes.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("t"), F.unhex("fingerprint").alias("bits"), "n")
+    at = F.col("t") * width
+    rotated = F.concat(F.substring("bits", at + 1, F.lit(BITS // 8)), F.substring("bits", F.lit(1), at))
+    first = checkpointed(_buckets(table.select("t", rotated.alias("rotated"), "n"), radius, blocks))
+    found = first.where("near IS NOT NULL").unionByName(_chunk_pairs(first.where("near IS NULL"), radius, blocks))
+    back = F.lit(BITS // 8) - at
+    bits = F.concat(F.substring("rotated", back + 1, F.lit(BITS // 8)), F.substring("rotated", F.lit(1), back))
+    near = found.groupBy(F.lower(F.hex(bits)).alias("fingerprint")).agg(F.sum("near").alias("near"))
     joined = classes.join(near, "fingerprint", "left")
     return joined.select("fingerprint", "n", "class_id", F.coalesce("near", F.lit(0)).alias("near"))
 
