@@ -129,41 +129,102 @@ def _row_hash(text_col: str):
     return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
+CHUNK_BITS = 1 << 19  # bits of a Bloom filter that one task builds
+MAX_CHUNKS = 1024  # 64 MB, the most that is broadcast; beyond two bits a key nothing is filtered
+HOT_KEYS, SALTS = 10_000, 32  # the most frequent digests, dealt over so many tasks each
+
+
+def _probes(key: np.ndarray, chunks: int) -> tuple[np.ndarray, np.ndarray]:
+    """Chunk of each key, and its four bits in there."""
+    bits = [(key >> np.int64(s)) % CHUNK_BITS for s in (0, 13, 26, 39)]
+    return (key >> np.int64(32)) % chunks, np.stack(bits, axis=1)
+
+
+class _Seen:
+    """Which half digests may occur in several texts (never wrongly no), and which occur most."""
+
+    def __init__(self, chunks: list[bytes], hot: list[int]):
+        self.bits = np.frombuffer(b"".join(chunks), np.uint8).reshape(len(chunks), -1) if chunks else None
+        self.hot = np.array(sorted(hot), np.int64)
+
+    def maybe(self, key: np.ndarray) -> np.ndarray:
+        if self.bits is None:
+            return np.ones(len(key), bool)
+        chunk, at = _probes(key, len(self.bits))
+        return ((self.bits[chunk[:, None], at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
+
+    def salt(self, key: np.ndarray, row: np.ndarray) -> np.ndarray:
+        return np.where(np.isin(key, self.hot), row % SALTS, 0)
+
+
+def _seen(counted: DataFrame) -> _Seen:
+    """From rows (key, n): one chunk of the filter a group, at most 64 MB in all, and at most HOT_KEYS keys."""
+    total = counted.count()
+    hot = [r.key for r in counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).where(F.col("n") > 2 * SALTS).collect()]
+    chunks = min(MAX_CHUNKS, total * 12 // CHUNK_BITS + 1)
+    if total * 2 > chunks * CHUNK_BITS:
+        return _Seen([], hot)
+
+    def build(group: pa.Table) -> pa.Table:
+        _, at = _probes(group.column("key").to_numpy(), chunks)
+        bits = np.zeros(CHUNK_BITS, np.uint8)
+        bits[at.ravel()] = 1
+        return pa.table({"chunk": group.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    built = counted.select(F.pmod(F.shiftright("key", 32), F.lit(chunks)).alias("chunk"), "key").groupBy("chunk").applyInArrow(build, "chunk long, bits binary")
+    found = {r.chunk: bytes(r.bits) for r in built.collect()}
+    return _Seen([found.get(c, bytes(CHUNK_BITS // 8)) for c in range(chunks)], hot)
+
+
 def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, row_hash, units): numbers of the units whose digest an earlier ranked row has.
 
-    Rows rank by id, then by a hash of the text.  Each text sends a digest once.  Half digests of several rows are
-    found first, so that the ranks and whole digests of the many others are not shuffled for the count; a task's rows
-    of one digest are combined before a shuffle, and the joins are ones that
-    adaptive execution can split; a line that a third of the documents share is no special case.
+    Rows rank by id, then by a hash of the text.  The texts are cut twice: first only half digests are counted,
+    combined by task, so that nothing else of the many that occur once is ever shuffled or stored; then the digests that a Bloom
+    filter of the repeated halves lets through are ranked whole, which is exact whatever the filter lets through.  The most
+    frequent digests, such as a line that a third of the documents share, are dealt over several tasks each.
     """
+    spark = docs.sparkSession
     slim = docs.select(F.col(id_col).alias("doc_id"), _row_hash(text_col).alias("row_hash"), F.col(text_col).alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
 
-    def task(batches):
+    def halves(batch) -> tuple[list[int], list[int], np.ndarray]:
+        """Digests of a batch, each once a text: how many a text has, their units' numbers, both halves."""
+        sizes, number, digest = [], [], []
+        for text in batch.column("text").to_pylist():
+            first: dict[bytes, int] = {}
+            for k, unit in enumerate(units(text)):
+                first.setdefault(unit[3], k)
+            number += first.values()
+            digest += first.keys()
+            sizes.append(len(first))
+        return sizes, number, np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+
+    def count(batches):
         for batch in slices(batches, "text"):
-            ends, number, digest = [0], [], []
-            for text in batch.column("text").to_pylist():
-                first: dict[bytes, int] = {}
-                for k, unit in enumerate(units(text)):
-                    first.setdefault(unit[3], k)
-                number += first.values()
-                digest += first.keys()
-                ends.append(len(number))
-            half = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
-            values = [pa.array(number, pa.int32()), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy())]
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), v) for v in values]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), *lists], names=["doc_id", "row_hash", "unit", "key", "rest"])
-
-    # a row a text: a checkpoint's rows are not compressed, and one row a digest would take three times the space
-    texts = checkpointed(slim.mapInArrow(task, f"doc_id {kind}, row_hash long, unit array<int>, key array<long>, rest array<long>"))
-    rows = texts.select("doc_id", "row_hash", F.inline(F.arrays_zip("unit", "key", "rest")))
-    row = F.xxhash64("doc_id", "row_hash")
-    several = texts.select("doc_id", "row_hash", F.explode("key").alias("key")).groupBy("key").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least != most").select("key")
-    some = checkpointed(rows.join(several, "key", "left_semi"))
+            key, n = np.unique(halves(batch)[2][:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    counted = slim.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    seen = spark.sparkContext.broadcast(_seen(checkpointed(counted)))
+
+    def again(batches):
+        for batch in slices(batches, "text"):
+            sizes, number, half = halves(batch)
+            row = np.repeat(np.arange(batch.num_rows), sizes)
+            keep = np.flatnonzero(seen.value.maybe(half[:, 0]))
+            row, half = row[keep], half[keep]
+            salt = seen.value.salt(half[:, 0], batch.column("row_hash").to_numpy()[row])
+            own = [batch.column(c).take(pa.array(row)) for c in ("doc_id", "row_hash")]
+            values = [pa.array(np.array(number, np.int32)[keep]), pa.array(half[:, 0].copy()), pa.array(half[:, 1].copy()), pa.array(salt.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([*own, *values], names=["doc_id", "row_hash", "unit", "key", "rest", "salt"])
+
+    some = checkpointed(slim.mapInArrow(again, f"doc_id {kind}, row_hash long, unit int, key long, rest long, salt int"))
     rank = F.struct("doc_id", "row_hash")
-    shared = some.groupBy("key", "rest").agg(F.min(rank).alias("first"), F.max(rank).alias("last")).where(F.col("first") != F.col("last"))
-    later = some.join(shared.select("key", "rest", "first"), ["key", "rest"]).where(rank != F.col("first"))
+    first = some.groupBy("key", "rest").agg(F.min(rank).alias("first"), F.max("salt").alias("hot"))
+    # only a hot digest has a salt above 0; the others go to one group
+    dealt = first.select("key", "rest", "first", F.explode(F.when(F.col("hot") > 0, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    later = some.join(dealt, ["key", "rest", "salt"]).where(rank != F.col("first"))
     return later.groupBy("doc_id", "row_hash").agg(F.collect_list("unit").alias("units"))
 
 
