@@ -11,15 +11,12 @@ from pyspark.sql import types as T
 from tapewire.functions.text import blank_to_null, day_from_name, market_symbol, parse_time
 from tapewire.operators.scale import first_per_key
 from tapewire.schema import FEED_ARTICLE, HISTORY, NEWS_EVENTS_CSV, TICKER_DIM, WEB_DAY
+from tapewire.sources.quoted_csv import read_quoted
 
 
 def read_events(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Quoted, multi-line event CSV with malformed rows skipped; meant to be landed as Parquet once."""
-    df = (
-        spark.read.schema(NEWS_EVENTS_CSV)
-        .options(header=True, multiLine=True, escape='"', mode="DROPMALFORMED", enforceSchema=False)
-        .csv(path)
-    )
+    """Quoted, multi-line event CSV with malformed rows skipped; a large file is read in ranges by many tasks."""
+    df = read_quoted(spark, path, NEWS_EVENTS_CSV)
     return df if columns is None else df.select(*columns)
 
 
