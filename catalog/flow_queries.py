@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.bars_queries import DAILY, LABELS_U, PANEL
@@ -16,6 +18,7 @@ from catalog.registry import fix, fxs, query
 from catalog.text_queries import S, TERMS, lexicon, modifiers
 from catalog.views import ARTICLES, BARS, BARS_U, DIM, NEWS, QUOTES, articles, bars, bars_u, news, quotes, ticker_dim
 from tapewire.functions.scores import label_sentiment
+from tapewire.functions.text import day_from_name
 from tapewire.operators import aggregates as ag
 from tapewire.operators import matching as mt
 from tapewire.operators import ranking
@@ -26,6 +29,7 @@ from tapewire.session import shared_dir
 from tapewire.sources import readers as rd
 from tapewire.sources import store as st
 from tapewire.sources.quoted_csv import malformed
+from tapewire.streaming import backfill as bf
 from tapewire.streaming import ingest
 
 
@@ -353,6 +357,45 @@ def ingest_pending(spark, sf):
     return st.read_store(spark, store).groupBy("event_date").agg(F.count("*").alias("n"))
 
 
+def landed_days(spark, sf):
+    """The raw day files in a folder a day, one file each; the broken ones and the last days of the month, which have none, included."""
+    out = scratch(spark)
+    files = day_files(spark, sf).withColumn("day", day_from_name(F.col("file_name")))
+    files.repartition(4, "day").select("day", "value").write.option("maxRecordsPerFile", 1).partitionBy("day").text(out)
+    return out
+
+
+BACKFILL = f"""WITH {ARTICLES}, {DAYF}, u AS (SELECT day, block, lower(trim(title, ' ')) AS t, lower(trim(url, ' ')) AS u, coalesce(CASE WHEN block % 3 = 0 THEN ticker END, '') AS k FROM f WHERE block % 3 < 2),
+ cal AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS day)"""
+
+
+@query(
+    "backfill",
+    BACKFILL + """ SELECT cal.day, CAST(coalesce(calls, 0) AS INTEGER) AS calls, coalesce(fetched, 0) AS fetched, coalesce(appended, 0) AS appended, CAST(coalesce(corrupt, 0) AS INTEGER) AS corrupt,
+ CASE WHEN corrupt > 0 THEN 'unreadable file' END AS error, row_number() OVER (ORDER BY cal.day) AS place
+FROM cal LEFT JOIN (SELECT day, count(DISTINCT block) AS calls, count(*) FILTER (block % 3 < 2) AS fetched, count(DISTINCT block) FILTER (block % 3 = 2) AS corrupt FROM f GROUP BY day) a ON cal.day = a.day
+ LEFT JOIN (SELECT day, count(DISTINCT (t, u, k)) AS appended FROM u GROUP BY day) b ON cal.day = b.day""",
+)
+def backfill_q(spark, sf):
+    """A run that dies on the twelfth day, then one that goes on behind it; ``place`` counts the days in the order they were recorded."""
+    landing, store, led, cp = landed_days(spark, sf), scratch(spark), scratch(spark), scratch(spark)
+    args = (spark, landing, store, led, cp, "2024-01-01", "2024-01-31")
+
+    def dies(df):
+        if df.where("day = '2024-01-12'").limit(1).count():
+            raise RuntimeError("killed")
+        return df
+
+    try:
+        bf.finish(bf.backfill(*args, dies, days_per_batch=4))
+    except StreamingQueryException:
+        pass
+    bf.finish(bf.backfill(*args, lambda df: df, days_per_batch=4))
+    place = F.row_number().over(Window.orderBy("recorded_at", "day"))  # 31 rows
+    every = spark.read.parquet(led).withColumn("place", place.cast("long"))
+    return every.select("day", "calls", "fetched", "appended", "corrupt", "error", "place")
+
+
 QUICK = f"""WITH {NEWS.replace('news_events AS', 'all_news AS')}, news_events AS (SELECT * FROM all_news WHERE event_time >= TIMESTAMP '2024-01-20 06:00:00'), {BARS_U}, {QUOTES_U}, {SUMM}"""
 
 

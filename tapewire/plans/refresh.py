@@ -15,39 +15,33 @@ from tapewire.operators.matching import keep_relevant
 from tapewire.operators.ranking import last_quote
 from tapewire.operators.scale import dim_join, union_all
 from tapewire.plans.panel import model_panel
-from tapewire.sources.store import append_events, append_ledger, exists, read_ledger
+from tapewire.sources.store import append_events, append_ledger, day_records, exists, read_ledger, read_path, read_store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
 def ingest_pending(
-    spark: SparkSession, days: DataFrame, store: str, ledger: str, scorer: Scorer, recorded_at: str
+    spark: SparkSession, days: DataFrame, store: str, ledger: str, scorer: Scorer, recorded_at: str, status: DataFrame | None = None
 ) -> int:
     """Ingest the days in ``days`` (rows tagged with ``day``) the ledger does not list yet.
 
-    All pending days are scored in one job.  The ledger is written last, so a run
-    that dies is repeated; the store's key check makes the repetition harmless.
+    All pending days are scored in one job.  ``status`` (day, calls, fetched, corrupt, error), as ``readers.file_status`` gives it, says
+    how the days were fetched and may name days without rows; by default a day is one call that gave its rows.  The
+    ledger is written last, so a run that dies is repeated; the store's key check makes the repetition harmless.
     """
-    collected = days.select("day").distinct()
+    if status is None:
+        none = F.lit(None).cast("string").alias("error")
+        status = days.groupBy("day").agg(F.count("*").alias("fetched")).select("day", F.lit(1).alias("calls"), "fetched", F.lit(0).alias("corrupt"), none)
+    due = status.select("day").distinct()
     if exists(spark, ledger):
-        collected = pending_days(collected, read_ledger(spark, ledger))
-    todo = dim_join(days, collected, ["day"], "left_semi").withColumn("scraped_at", stamp_day(F.col("day")))
+        due = pending_days(due, read_ledger(spark, ledger))
+    todo = dim_join(days, due, ["day"], "left_semi").withColumn("scraped_at", stamp_day(F.col("day")))
     todo = todo.withColumn("event_time", F.coalesce(F.col("published_at"), F.col("scraped_at")))
     todo = todo.withColumn("event_date", F.to_date("event_time"))
-    added = append_events(todo, store, "day-" + recorded_at.replace(":", "").replace(" ", "T"), scorer=scorer)
-    per_day = todo.groupBy("day").agg(F.count("*").alias("fetched"))
-    append_ledger(
-        per_day.select(
-            "day",
-            F.lit(1).alias("calls"),
-            "fetched",
-            F.lit(None).cast("long").alias("appended"),
-            F.lit(0).alias("corrupt"),
-            F.lit(None).cast("string").alias("error"),
-            F.lit(recorded_at).cast("timestamp").alias("recorded_at"),
-        ),
-        ledger,
-    )
+    batch = "day-" + recorded_at.replace(":", "").replace(" ", "T")
+    added = append_events(todo, store, batch, scorer=scorer)
+    written = read_path(spark, lambda: read_store(spark, store).where(F.col("batch") == batch).select("day"))
+    append_ledger(day_records(due, status, written, F.lit(recorded_at).cast("timestamp")), ledger)
     return added
 
 

@@ -82,6 +82,15 @@ def status_of(days: DataFrame) -> DataFrame:
     return days.select("day", F.when(F.col("corrupt"), 0).otherwise(rows).alias("rows"), "corrupt", F.col("meta.error").alias("error"))
 
 
+def file_status(days: DataFrame) -> DataFrame:
+    """One row per day: files, articles in them, unreadable files and the first error a file reports."""
+    per_file = status_of(days)
+    error = F.coalesce(F.col("error"), F.when(F.col("corrupt"), F.lit("unreadable file")))
+    return per_file.groupBy("day").agg(
+        F.count("*").alias("calls"), F.sum("rows").alias("fetched"), F.count_if("corrupt").alias("corrupt"), F.min(error).alias("error")
+    )
+
+
 def day_status(spark: SparkSession, path: str) -> DataFrame:
     return status_of(parse_day_files(_day_files(spark, path)))
 

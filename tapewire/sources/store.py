@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.operators.dedupe import dedupe_keys
@@ -21,17 +21,21 @@ from tapewire.schema import LEDGER
 WRITERS = 4  # tasks, and so files, a day and batch
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path holds any data yet."""
+def read_path(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame | None:
+    """``read()``, or None where its path holds nothing yet."""
     try:
-        spark.read.parquet(path)
-        return True
+        return read()
     except AnalysisException as exc:  # an absent or empty path is the normal first run
         if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return False
+            return None
         raise
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path holds any data yet."""
+    return read_path(spark, lambda: spark.read.parquet(path)) is not None
+
+
 def read_store(spark: SparkSession, path: str) -> DataFrame:
     """The stored events; filters on ``event_date`` prune partitions."""
     return spark.read.parquet(path)
@@ -172,6 +176,18 @@ def ledger_rows(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, LEDGER)
 
 
+def day_records(due: DataFrame, status: DataFrame, written: DataFrame | None, recorded_at: Column) -> DataFrame:
+    """Ledger records of the days in ``due``: what was fetched, from ``status`` (day, calls, fetched, corrupt, error), and how many rows
+    of ``written`` (day) are new.  A day that neither names gets a record of zeros.  One row a day throughout."""
+    found = due.select("day").distinct().join(status, "day", "left")
+    if written is not None:
+        found = found.join(written.groupBy("day").agg(F.count("*").alias("appended")), "day", "left")
+    else:
+        found = found.withColumn("appended", F.lit(0).cast("long"))
+    zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
+    return found.select("day", zero("calls", "int"), zero("fetched", "long"), zero("appended", "long"), zero("corrupt", "int"), "error", recorded_at.alias("recorded_at"))
+
+
 def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
