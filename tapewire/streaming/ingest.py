@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tapewire.operators.aggregates import NEWS_COLUMNS, daily_news
 from tapewire.operators.scale import dim_join, first_per_key
-from tapewire.sources.store import append_events, exists
+from tapewire.sources.store import append_events, exists, read_store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -123,6 +125,121 @@ def late_rows(
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+# sums that a day's figures follow from, and merge by addition (lo, hi: by the least and the greatest)
+_SUMS = {"n": int, "s": float, "ss": float, "lo": float, "hi": float, "sn": int, "r": float, "rn": int, "high": int, "macro": int}
+_FIELDS = ["event_time", "article_id", "source", "sentiment_compound", "impact_level", "relevance_score"]
+_OUT = ["kind", "ticker", "date", *_FIELDS, *_SUMS]
+
+
+def _closing(key, frames, state) -> Iterator[pd.DataFrame]:
+    """One (ticker, day): rows behind the watermark go out as they are, the others into the sums; the timer of the day's end closes it."""
+    ticker, day = key
+    end = int((pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000)
+    sums = dict(zip(_SUMS, state.get)) if state.exists else None
+    if state.hasTimedOut:
+        state.remove()
+        yield _bucket("closed", ticker, day, sums)
+        return
+    fresh = False
+    for rows in frames:
+        if end <= state.getCurrentWatermarkMs():
+            yield rows.assign(kind="late", **{c: None for c in _SUMS})[_OUT]
+            continue
+        v, w = rows["sentiment_compound"].dropna(), rows["relevance_score"].dropna()
+        part = dict(
+            n=len(rows), s=v.sum(), ss=(v * v).sum(), lo=v.min() if len(v) else None, hi=v.max() if len(v) else None, sn=len(v),
+            r=w.sum(), rn=len(w), high=(rows["impact_level"] == "high").sum(), macro=(rows["impact_level"] == "macro").sum(),
+        )
+        sums = part if sums is None else _merged(sums, part)
+        fresh = True
+    if fresh:
+        state.update(tuple(None if sums[c] is None else kind(sums[c]) for c, kind in _SUMS.items()))
+        state.setTimeoutTimestamp(end)
+        yield _bucket("open", ticker, day, sums)
+
+
+def _merged(a: dict, b: dict) -> dict:
+    pick = {"lo": min, "hi": max}
+    some = lambda c: [x[c] for x in (a, b) if x[c] is not None]
+    return {c: (pick[c](some(c)) if some(c) else None) if c in pick else a[c] + b[c] for c in _SUMS}
+
+
+def _bucket(kind: str, ticker, day, sums: dict) -> pd.DataFrame:
+    return pd.DataFrame([{"kind": kind, "ticker": ticker, "date": day, **{c: None for c in _FIELDS}, **sums}], columns=_OUT)
+
+
+def closing_days(
+    stream: DataFrame, out: str, side: str, checkpoint: str, lateness: str = "3 days", available_now: bool = True
+) -> StreamingQuery:
+    """Daily sums per (ticker, UTC day) that close behind the watermark; rows that come later go to the side table.
+
+    One stateful operator does both, so a row is counted or set aside, never both or neither: the query's own
+    watermark decides, and a timer at the end of a day emits its last version and drops the state.  ``out`` is partitioned by
+    day and batch (``state`` is open or closed), ``side`` likewise; a repeated micro-batch replaces its own partitions.
+    A key's rows of a micro-batch pass in pieces and only sums are kept.
+    """
+    # An operator never sees rows behind the watermark of its own time column.  So the clock is the event time, of
+    # whose watermark the query takes the least, and the column that reaches the operator is one that is never late.
+    rows = stream.withWatermark("event_time", lateness)
+    rows = rows.select("ticker", F.to_date("event_time").alias("date"), *_FIELDS[1:], (F.col("event_time") + F.expr("INTERVAL 0 SECOND")).alias("event_time"))
+    rows = rows.where("date IS NOT NULL").withColumn("passes", F.lit("2200-01-01").cast("timestamp")).withWatermark("passes", "0 seconds")
+    kinds = {int: "long", float: "double"}
+    sums = ", ".join(f"{c} {kinds[k]}" for c, k in _SUMS.items())
+    schema = f"kind string, ticker string, date date, {', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in _FIELDS)}, {sums}"
+    found = rows.groupBy("ticker", "date").applyInPandasWithState(_closing, schema, sums, "append", GroupStateTimeout.EventTimeTimeout)
+
+    def land(df: DataFrame, batch_id: int) -> None:
+        rows = df.withColumn("batch", F.lit(batch_id)).persist()  # written to two tables
+        late = rows.where("kind = 'late'").select("ticker", "date", *_FIELDS, "batch")
+        days = rows.where("kind <> 'late'").select("ticker", "date", F.col("kind").alias("state"), *_SUMS, "batch")
+        for table, path in ((late, side), (days, out)):
+            table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
+        rows.unpersist()
+
+    writer = found.writeStream.outputMode("append").foreachBatch(land).option("checkpointLocation", checkpoint)
+    conf, one = stream.sparkSession.conf, "spark.sql.streaming.statefulOperator.allowMultiple"
+    before = conf.get(one, None)
+    conf.set(one, "false")  # a query takes its settings when it starts; two time columns need a single stateful operator
+    try:
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+    finally:
+        conf.unset(one) if before is None else conf.set(one, before)
+
+
+def _figures(rows: DataFrame) -> DataFrame:
+    """The daily news columns from sums."""
+    mean = F.col("s") / F.col("sn")
+    spread = F.greatest(F.col("ss") - F.col("s") * mean, F.lit(0.0)) / (F.col("sn") - 1)
+    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    return rows.select(
+        "ticker", "date", F.col("n").alias("news_count"), zero(F.when(F.col("sn") > 0, mean), "sent_mean"), zero(F.when(F.col("sn") > 1, F.sqrt(spread)), "sent_std"),
+        zero(F.col("lo"), "sent_min"), zero(F.col("hi"), "sent_max"), zero(F.when(F.col("rn") > 0, F.col("r") / F.col("rn")), "relevance_mean"),
+        F.col("high").alias("high_impact_count"), F.col("macro").alias("macro_count"), *[c for c in ("state",) if c in rows.columns],
+    )
+
+
+def day_sums(spark: SparkSession, out: str, since: str | None = None) -> DataFrame:
+    """The latest version of each (ticker, day) that :func:`closing_days` wrote; ``since`` reads only the partitions of later days."""
+    rows = read_store(spark, out)
+    rows = rows if since is None else rows.where(F.col("date") >= F.lit(since).cast("date"))
+    return first_per_key(rows, ["ticker", "date"], [F.struct("batch", F.when(F.col("state") == "closed", 1).otherwise(0))], last=True).drop("batch")
+
+
+def with_late(days: DataFrame, late: DataFrame) -> DataFrame:
+    """Daily figures with late rows counted in: their sums are merged into the (ticker, day) they belong to.
+
+    Only late rows and one row per (ticker, day) are read, whatever the number of articles; equal to a full recount.
+    """
+    s, r, level = F.col("sentiment_compound"), F.col("relevance_score"), F.col("impact_level")
+    more = late.groupBy("ticker", "date").agg(
+        F.count("*").alias("n"), F.sum(s).alias("s"), F.sum(s * s).alias("ss"), F.min(s).alias("lo"), F.max(s).alias("hi"), F.count(s).alias("sn"),
+        F.sum(r).alias("r"), F.count(r).alias("rn"), F.count_if(level == "high").alias("high"), F.count_if(level == "macro").alias("macro"),
+    )
+    both = days.select("ticker", "date", *_SUMS).unionByName(more)
+    pick = {"lo": F.min, "hi": F.max}
+    return _figures(both.groupBy("ticker", "date").agg(*[pick.get(c, F.sum)(c).alias(c) for c in _SUMS]))
+
+
 def repair(buckets: DataFrame, events: DataFrame, late: DataFrame) -> DataFrame:
     """Buckets with the days of late rows recomputed in full from the stored events.
 

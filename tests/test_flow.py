@@ -165,6 +165,32 @@ def test_daily_bucket_counts_late_rows_inside_the_watermark_only(spark, tmp_path
     assert {(r.ticker, r.date): r.news_count for r in fixed.collect()} == want
 
 
+def test_days_close_behind_the_watermark_and_late_rows_are_set_aside(spark, tmp_path):
+    src, out, side, cp = (str(tmp_path / x) for x in ("src", "out", "side", "cp"))
+    day = 24
+    steps = [
+        [article(1, "a"), article(2, "b")],
+        [article(3, "c", 10 * day)],
+        [article(4, "late inside", 8 * day)],
+        [article(5, "late beyond", 1), article(6, "d", 10 * day)],
+        [article(7, "late again", 2)],
+    ]
+    for rows in steps:
+        land(spark, rows, src)
+        stream = ingest.landed(spark, src, spark.read.parquet(src).schema).withColumn("source", F.lit("wire"))
+        ingest.run_to_end(ingest.closing_days(stream, out, side, cp, lateness="3 days"))
+    days = ingest.day_sums(spark, out)
+    assert {str(r.date): (r.state, r.n) for r in days.collect()} == {"2024-01-01": ("closed", 2), "2024-01-09": ("open", 1), "2024-01-11": ("open", 2)}
+    late = spark.read.parquet(side)
+    assert sorted(r.article_id for r in late.collect()) == [5, 7]
+    events = spark.read.parquet(src).withColumn("date", F.to_date("event_time"))
+    names = ["ticker", "date", "news_count", "sent_mean", "sent_std", "sent_min", "sent_max", "relevance_mean", "high_impact_count", "macro_count"]
+    rounded = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(names).collect()}
+    assert rounded(ingest.with_late(days, late)) == rounded(daily_news(events))
+    recent = ingest.day_sums(spark, out, since="2024-01-09")
+    assert recent.count() == 2 and "PartitionFilters: [isnotnull(date" in recent._jdf.queryExecution().toString()
+
+
 # ---- drivers and models ----------------------------------------------------------------------------
 
 
