@@ -105,26 +105,37 @@ def _pairs_alike(sets: DataFrame, floor: float, key: str, block: int) -> DataFra
     return pairs.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
 
 
-def near_duplicates(sets: DataFrame, floor: float, key: str, block: int = BLOCK) -> DataFrame:
-    """Ids a first-come-first-kept pass would drop: each is similar to an earlier kept one.
+def greedy_dropped(edges: DataFrame, key: str) -> DataFrame:
+    """Ids a first-come-first-kept pass drops, given the similar pairs (a, b), a before b, as rows (key).
 
-    All similar pairs are found at once; kept/dropped then spreads along them until nothing is undecided.
+    An id is dropped if a kept one stands before it among its partners.  Each undecided id has one condition per earlier
+    partner, "that one is kept", possibly negated.  In a round every condition on a decided id becomes a constant, and every
+    condition on an id that has a single condition itself is replaced by that one, so a chain of n similar titles
+    halves each round instead of losing a link.  An id with a condition and its negation is dropped.
     """
-    edges = checkpointed(_pairs_alike(sets, floor, key, block))
-    dropped: list[DataFrame] = []
-    while not edges.isEmpty():
-        blocked = edges.select(F.col("b").alias("a")).distinct()
-        kept = edges.select("a").distinct().join(blocked, "a", "left_anti")
-        gone = checkpointed(edges.join(kept, "a", "left_semi").select(F.col("b").alias(key)).distinct())
-        dropped.append(gone)
-        # pairs of a dropped id settle nothing more; pairs of a kept id are settled
-        for side in ("a", "b"):
-            edges = edges.join(gone.select(F.col(key).alias(side)), side, "left_anti")
-        edges = checkpointed(edges)
-    out = dropped[0] if dropped else sets.select(key).limit(0)
-    for d in dropped[1:]:
-        out = out.unionByName(d)
-    return out
+    conditions = checkpointed(edges.select("b", "a", F.lit(False).alias("neg")).distinct())
+    gone = conditions.select("b").limit(0)
+    while not conditions.isEmpty():
+        own = conditions.groupBy(F.col("b").alias("_x")).agg(F.count("*").alias("_n"), F.min("a").alias("_a"), F.min("neg").alias("_neg"))
+        known = conditions.join(own, F.col("a") == F.col("_x"), "left").join(gone.select(F.col("b").alias("_g")), F.col("a") == F.col("_g"), "left")
+        decided = F.col("_x").isNull()
+        value = F.when(decided, F.col("_g").isNull() != F.col("neg"))  # kept is true
+        single = F.col("_n") == 1
+        step = checkpointed(
+            known.select(
+                "b", F.when(single, F.col("_a")).otherwise(F.col("a")).alias("a"), F.when(single, F.col("neg") == F.col("_neg")).otherwise(F.col("neg")).alias("neg"), value.alias("value")
+            ).distinct()
+        )
+        both = step.where("value IS NULL").groupBy("b", "a").agg(F.count("*").alias("n")).where("n > 1")
+        now = step.where("value").select("b").unionByName(both.select("b")).distinct()
+        gone = gone.unionByName(now)
+        conditions = checkpointed(step.where("value IS NULL").select("b", "a", "neg").join(now, "b", "left_anti"))
+    return gone.select(F.col("b").alias(key))
+
+
+def near_duplicates(sets: DataFrame, floor: float, key: str, block: int = BLOCK) -> DataFrame:
+    """Ids a first-come-first-kept pass would drop: each is similar to an earlier kept one."""
+    return greedy_dropped(checkpointed(_pairs_alike(sets, floor, key, block)), key)
 
 
 def dedupe_fuzzy(df: DataFrame, floor: float = 0.85, min_chars: int = 10, key: str = "article_id") -> DataFrame:
@@ -136,3 +147,81 @@ def dedupe_fuzzy(df: DataFrame, floor: float = 0.85, min_chars: int = 10, key: s
     # a row delivered twice under one id stays once
     first = dedupe_keys(df.where(compared).join(keep, key, "left_semi"), [key], key)
     return first.unionByName(rest)
+
+
+# ---- similarity of characters --------------------------------------------------------------------
+
+
+def _edits(n: Column, floor: float) -> Column:
+    """The most edits between a title of n characters and a longer one that is similar to it."""
+    return F.floor(n * ((1 - floor) / floor) + 1e-9).cast("int")
+
+
+def _chunk(n: Column, floor: float) -> Column:
+    """Longest chunk, of up to 6 characters, of which a title of n characters has more than edits can touch."""
+    out = F.lit(1)
+    for q in range(2, 7):
+        out = F.when(F.floor(n / q) > _edits(n, floor), q).otherwise(out)
+    return out
+
+
+def _grams(text: Column, q: Column, step: Column) -> Column:
+    """(gram, place) of every ``step``-th run of q characters."""
+    at = F.sequence(F.lit(1), F.length(text) - q + 1, step)
+    return F.transform(at, lambda i: F.struct(F.substr(text, i, q).alias("g"), i.alias("place")))
+
+
+def pairs_by_edits(titles: DataFrame, floor: float, key: str, block: int = BLOCK) -> DataFrame:
+    """The (a, b) pairs of titles (key, f), a before b, with ``1 - edits / longer length`` of at least ``floor``.
+
+    A title is cut into chunks of a few characters; an edit touches one chunk, so of one more chunks than edits are allowed one
+    stands unchanged in every similar title, moved by no more places than edits.  The rarest chunks of
+    one side meet the runs of as many characters of the other in the same stretch of places and lengths, which is exact.
+    Large buckets are cut into blocks, and lengths, places and at last the edit distance are part of the join condition: only similar pairs leave it.
+    """
+    if floor <= 0.5:
+        raise ValueError("a floor above one half is needed: otherwise no part of a title need stay unchanged")
+    rows = checkpointed(titles.select(key, "f", F.length("f").alias("n")))
+    q = _chunk(F.col("n"), floor)
+    cut = rows.select(key, "f", "n", q.alias("q")).select(key, "f", "n", "q", F.explode(_grams(F.col("f"), F.col("q"), F.col("q"))).alias("c")).select("*", "c.*")
+    common = cut.groupBy("q", "g").agg(F.count("*").alias("df"))
+    ranked = dim_join(cut.select(key, "n", "q", "g", "place"), common, ["q", "g"])
+    rarest = ranked.groupBy(key, "n", "q").agg(F.sort_array(F.collect_list(F.struct("df", "g", "place"))).alias("l"))
+    rarest = rarest.select(key, "n", "q", F.explode(F.slice("l", F.lit(1), _edits(F.col("n"), floor) + 1)).alias("c")).select(key, "n", "q", "c.g", "c.place")
+    width = F.greatest(2 * _edits(F.col("n"), floor), F.lit(8))  # stretches of places, by the title's own length
+    left = rarest.select(key, "q", "g", "n", "place", width.alias("w"), F.floor(F.col("place") / width).alias("s"))
+    # partners' lengths say which chunk lengths and stretches a title's runs may be looked up by
+    lengths = F.sequence(F.ceil(F.col("n") * floor - 1e-9).cast("int"), F.floor(F.col("n") / floor + 1e-9).cast("int"))
+    shape = lambda m: F.struct(_chunk(m, floor).alias("q"), F.greatest(2 * _edits(m, floor), F.lit(8)).alias("w"))
+    looked = rows.select(key, "n", "f", F.explode(F.array_distinct(F.transform(lengths, shape))).alias("s")).select(key, "n", "f", "s.*").where("n >= q")
+    runs = looked.select(key, "n", "q", "w", F.explode(_grams(F.col("f"), F.col("q"), F.lit(1))).alias("c")).select(key, "n", "q", "w", "c.*")
+    reach = F.col("w").cast("int")
+    stretches = F.sequence(F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / F.col("w")), F.floor((F.col("place") + reach) / F.col("w")))
+    right = runs.select(key, "n", "q", "g", "place", "w", F.explode(stretches).alias("s"))
+    meet = ["q", "g", "w", "s"]
+    sizes = left.groupBy(*meet).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    left = left.join(sizes, meet).withColumn("blk", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
+    right = right.join(sizes, meet).withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    text = rows.select(F.col(key).alias("_id"), "f")
+    x, y = left.alias("x"), right.alias("y")
+    same = (F.col("x.blk") == F.col("y.blk")) & (F.col(f"x.{key}") != F.col(f"y.{key}"))
+    for c in meet:
+        same = same & (F.col(f"x.{c}") == F.col(f"y.{c}"))
+    longer = F.greatest("x.n", "y.n")
+    allowed = F.floor(longer * (1 - floor) + 1e-9)
+    near = (F.abs(F.col("x.n") - F.col("y.n")) <= allowed) & (F.abs(F.col("x.place") - F.col("y.place")) <= allowed)
+    ends = (F.least(F.col(f"x.{key}"), F.col(f"y.{key}")).alias("a"), F.greatest(F.col(f"x.{key}"), F.col(f"y.{key}")).alias("b"))
+    met = x.join(y, same & near).select(*ends).distinct()
+    sides = met.join(text.withColumnsRenamed({"_id": "a", "f": "fa"}), "a").join(text.withColumnsRenamed({"_id": "b", "f": "fb"}), "b")
+    edits = F.levenshtein("fa", "fb")
+    return sides.where(edits <= F.floor(F.greatest(F.length("fa"), F.length("fb")) * (1 - floor) + 1e-9)).select("a", "b")
+
+
+def dedupe_similar(df: DataFrame, floor: float = 0.85, min_chars: int = 10, key: str = "article_id") -> DataFrame:
+    """First of each run of titles alike by characters: dropped where an earlier kept title, folded and trimmed, needs edits
+    of at most ``1 - floor`` of the longer one's length.  Shorter, blank and NULL titles pass uncompared; equal titles are compared once."""
+    compared = F.coalesce(F.length(folded_title()) >= min_chars, F.lit(False))
+    titles = checkpointed(df.where(compared).groupBy(folded_title().alias("f")).agg(F.min(key).alias(key)))
+    keep = titles.select(key).join(greedy_dropped(checkpointed(pairs_by_edits(titles, floor, key)), key), key, "left_anti")
+    first = dedupe_keys(df.where(compared).join(keep, key, "left_semi"), [key], key)
+    return first.unionByName(df.where(~compared))

@@ -101,3 +101,80 @@ def test_checkpoints_do_not_follow_the_number_of_titles(spark, monkeypatch):
         dd.dedupe_fuzzy(frame(spark, [" ".join(rng.sample(vocab, 8)) for _ in range(n)])).count()
         counts.append(len(made))
     assert counts[1] <= counts[0] + 2
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return row[-1]
+
+
+def greedy_edits(titles, floor, min_chars=10):
+    kept = []
+    for i, t in enumerate(titles):
+        t = t.lower().strip()
+        if len(t) < min_chars:
+            kept.append((i, None))
+        elif not any(
+            k is not None and abs(len(k) - len(t)) <= (1 - floor) * max(len(k), len(t)) + 1e-9 and edits(k, t) <= int(max(len(k), len(t)) * (1 - floor) + 1e-9) for _, k in kept
+        ):
+            kept.append((i, t))
+    return [i for i, _ in kept]
+
+
+def mistyped(n, seed):
+    """Titles of 5 to 90 characters with a few characters changed, put in or left out, many behind a common beginning."""
+    rng = random.Random(seed)
+    letters = "abcdefghij étü"
+    word = lambda k: "".join(rng.choice(letters) for _ in range(k))
+    base = [("breaking news: " if i % 2 else "") + word(rng.choice([5, 9, 12, 20, 40, 75])) for i in range(max(3, n // 12))]
+    out = []
+    for _ in range(n):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([0, 1, 2, 4, 7, 12])):
+            at = rng.randrange(len(t) + 1)
+            kind = rng.random()
+            t[at : at + (kind < 0.66)] = [] if kind < 0.33 else [rng.choice(letters)]
+        out.append("".join(t))
+    return out
+
+
+@pytest.mark.parametrize("n,floor,seed", [(1000, 0.85, 1), (200, 0.7, 2), (200, 0.95, 3)])
+def test_similar_equals_brute_force_on_edit_ratio(spark, n, floor, seed):
+    titles = mistyped(n, seed)
+    assert ids(dd.dedupe_similar(frame(spark, titles), floor)) == greedy_edits(titles, floor)
+
+
+def test_similar_in_small_blocks_and_odd_rows(spark, monkeypatch):
+    monkeypatch.setattr(dd.pairs_by_edits, "__defaults__", (2,))
+    titles = mistyped(80, 5) + ["", "   ", "short"]
+    df = frame(spark, titles)
+    assert ids(dd.dedupe_similar(df.unionByName(df).repartition(3))) == sorted([*greedy_edits(titles, 0.85), *[i for i, t in enumerate(titles) if len(t.strip()) < 10]])
+    assert dd.dedupe_similar(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        dd.dedupe_similar(df, 0.5)
+
+
+def test_a_long_chain_is_settled_in_few_rounds(spark, monkeypatch):
+    rounds = []
+    real = dd.checkpointed
+    monkeypatch.setattr(dd, "checkpointed", lambda df: rounds.append(1) or real(df))
+    n = 1000
+    chain = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert ids(dd.greedy_dropped(chain, "article_id")) == list(range(1, n, 2))
+    assert (len(rounds) - 1) / 2 <= 15
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_greedy_on_any_graph(spark, seed):
+    rng = random.Random(seed)
+    n = 120
+    pairs = {(a, b) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(160)) if a < b} | {(i, i + 1) for i in range(30, 90)}
+    dropped = set()
+    for b in range(n):
+        if any((a, b) in pairs and a not in dropped for a in range(b)):
+            dropped.add(b)
+    assert ids(dd.greedy_dropped(spark.createDataFrame(sorted(pairs), "a long, b long"), "article_id")) == sorted(dropped)
