@@ -613,3 +613,24 @@ UNION ALL SELECT article_id FROM articles WHERE NOT coalesce(length(title) >= 10
 @query("dedupe_fuzzy", FUZZY)
 def dedupe_fuzzy(spark, sf):
     return dd.dedupe_fuzzy(articles(spark, sf)).select("article_id")
+
+
+# the same with edits of characters; every character becomes one byte first, since levenshtein counts bytes here
+SIMILAR = f"""WITH RECURSIVE {ARTICLES}, t AS (SELECT article_id, lower(trim(coalesce(title, ''), ' ')) AS t FROM articles),
+ long AS (SELECT t, min(article_id) AS id FROM t WHERE length(t) >= 10 GROUP BY t),
+ chars AS (SELECT list(DISTINCT c) AS cs FROM (SELECT unnest(string_split(t, '')) AS c FROM long) x),
+ reps AS (SELECT id, length(t) AS n, array_to_string(list_transform(string_split(t, ''), lambda c: chr(CAST(list_position(cs, c) AS INTEGER))), '') AS f FROM long, chars),
+ e AS (SELECT a.id AS a, b.id AS b FROM reps a JOIN reps b ON a.id < b.id AND abs(a.n - b.n) <= floor(greatest(a.n, b.n) * 0.15 + 1e-9)
+  WHERE levenshtein(a.f, b.f) <= floor(greatest(a.n, b.n) * 0.15 + 1e-9)),
+ nodes AS (SELECT n, row_number() OVER (ORDER BY n) AS i FROM (SELECT a AS n FROM e UNION SELECT b FROM e) x),
+ pre AS (SELECT i, n, coalesce((SELECT list(a) FROM e WHERE b = n), []) AS earlier FROM nodes),
+ g(i, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+  SELECT p.i, CASE WHEN list_has_any(p.earlier, g.kept) THEN g.kept ELSE list_append(g.kept, p.n) END FROM g JOIN pre p ON p.i = g.i + 1),
+ last AS (SELECT kept FROM g ORDER BY i DESC LIMIT 1)
+SELECT id AS article_id FROM reps WHERE id NOT IN (SELECT n FROM nodes) OR list_contains((SELECT kept FROM last), id)
+UNION ALL SELECT article_id FROM t WHERE length(t) < 10"""
+
+
+@query("dedupe_similar", SIMILAR)
+def dedupe_similar(spark, sf):
+    return dd.dedupe_similar(articles(spark, sf)).select("article_id")

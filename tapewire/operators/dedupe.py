@@ -188,11 +188,12 @@ def pairs_by_edits(titles: DataFrame, floor: float, key: str, block: int = BLOCK
     ranked = dim_join(cut.select(key, "n", "q", "g", "place"), common, ["q", "g"])
     rarest = ranked.groupBy(key, "n", "q").agg(F.sort_array(F.collect_list(F.struct("df", "g", "place"))).alias("l"))
     rarest = rarest.select(key, "n", "q", F.explode(F.slice("l", F.lit(1), _edits(F.col("n"), floor) + 1)).alias("c")).select(key, "n", "q", "c.g", "c.place")
-    width = F.greatest(2 * _edits(F.col("n"), floor), F.lit(8))  # stretches of places, by the title's own length
-    left = rarest.select(key, "q", "g", "n", "place", width.alias("w"), F.floor(F.col("place") / width).alias("s"))
+    # stretches of places, at least as wide as the edits of the title allow, in powers of two so that few widths occur
+    width = lambda m: F.pow(2.0, F.ceil(F.log2(F.greatest(2 * _edits(m, floor), F.lit(8)).cast("double")))).cast("int")
+    left = rarest.select(key, "q", "g", "n", "place", width(F.col("n")).alias("w")).withColumn("s", F.floor(F.col("place") / F.col("w")))
     # partners' lengths say which chunk lengths and stretches a title's runs may be looked up by
     lengths = F.sequence(F.ceil(F.col("n") * floor - 1e-9).cast("int"), F.floor(F.col("n") / floor + 1e-9).cast("int"))
-    shape = lambda m: F.struct(_chunk(m, floor).alias("q"), F.greatest(2 * _edits(m, floor), F.lit(8)).alias("w"))
+    shape = lambda m: F.struct(_chunk(m, floor).alias("q"), width(m).alias("w"))
     looked = rows.select(key, "n", "f", F.explode(F.array_distinct(F.transform(lengths, shape))).alias("s")).select(key, "n", "f", "s.*").where("n >= q")
     runs = looked.select(key, "n", "q", "w", F.explode(_grams(F.col("f"), F.col("q"), F.lit(1))).alias("c")).select(key, "n", "q", "w", "c.*")
     reach = F.col("w").cast("int")
@@ -213,8 +214,9 @@ def pairs_by_edits(titles: DataFrame, floor: float, key: str, block: int = BLOCK
     ends = (F.least(F.col(f"x.{key}"), F.col(f"y.{key}")).alias("a"), F.greatest(F.col(f"x.{key}"), F.col(f"y.{key}")).alias("b"))
     met = x.join(y, same & near).select(*ends).distinct()
     sides = met.join(text.withColumnsRenamed({"_id": "a", "f": "fa"}), "a").join(text.withColumnsRenamed({"_id": "b", "f": "fb"}), "b")
-    edits = F.levenshtein("fa", "fb")
-    return sides.where(edits <= F.floor(F.greatest(F.length("fa"), F.length("fb")) * (1 - floor) + 1e-9)).select("a", "b")
+    most = F.floor(F.greatest(F.length("fa"), F.length("fb")) * (1 - floor) + 1e-9).cast("int")
+    edits = F.call_function("levenshtein", "fa", "fb", most)  # -1 beyond the most
+    return sides.where(edits >= 0).select("a", "b")
 
 
 def dedupe_similar(df: DataFrame, floor: float = 0.85, min_chars: int = 10, key: str = "article_id") -> DataFrame:
