@@ -192,17 +192,19 @@ def extract_tickers(
     """One row per (article, tracked symbol found), ``position`` in order of appearance.
 
     A small universe is matched inside the row, so only hits are exploded next to the
-    text.  A large one is matched on narrow (key, symbol) rows that join back by key.
+    text.  A large one is matched on narrow (key, text hash, symbol) rows that join back by both, which gives the same rows.
     """
     listed = _listed(universe)
     base = df.drop("ticker")
     if listed is not None:
         found = _tracked(symbol_tokens(text, pattern), listed)
         return base.select("*", F.posexplode(found).alias("position", "ticker"))
-    tokens = df.select(key, F.posexplode(symbol_tokens(text, pattern)).alias("_p", "ticker"))
-    hits = _semi(tokens, universe, None).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_p", "ticker"))).alias("_h"))
-    hits = hits.select(key, F.posexplode(F.col("_h.ticker")).alias("position", "ticker"))
-    return base.join(hits, key)
+    same = F.xxhash64(text)
+    tokens = df.select(F.col(key).alias("_id"), same.alias("_same"), F.posexplode(symbol_tokens(text, pattern)).alias("_p", "ticker"))
+    hits = _semi(tokens, universe, None).groupBy("_id", "_same").agg(F.sort_array(F.collect_set(F.struct("_p", "ticker"))).alias("_h"))
+    hits = hits.select("_id", "_same", F.posexplode(F.col("_h.ticker")).alias("position", "ticker"))
+    marked = base.withColumn("_text", same)
+    return marked.join(hits, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same"))).drop("_id", "_same", "_text")
 
 
 def assign_ticker(df: DataFrame, universe: DataFrame, key: str = "article_id", pattern: str = SYMBOL) -> DataFrame:
@@ -299,7 +301,7 @@ def sentiment_scores(
     df: DataFrame,
     lexicon: DataFrame,
     modifiers: DataFrame,
-    key: str = "article_id",
+    key: str | list[str] = "article_id",
     alpha: float = 15.0,
 ) -> DataFrame:
     """(key, compound, positive, negative, neutral) of every article with a lexicon word.
@@ -307,30 +309,34 @@ def sentiment_scores(
     ``lexicon`` is (token, weight); ``modifiers`` is (prev, factor), factors that the
     word before applies to a weight (negative for negators, above one for boosters).
     compound = s / sqrt(s^2 + alpha).  Tokens are exploded next to their article id, so
-    the sums are combined before the shuffle and the text itself never moves.
+    the text itself never moves; a text's hits are a set of places, so a row delivered twice scores as once.
     """
-    tokens = df.select(key, F.split(F.trim(padded(full_text())), " ").alias("_t"))
+    keys = [key] if isinstance(key, str) else key
+    tokens = df.select(*keys, F.split(F.trim(padded(full_text())), " ").alias("_t"))
     pairs = F.transform(
         F.col("_t"),
-        lambda t, i: F.struct(t.alias("token"), F.when(i > 0, F.get(F.col("_t"), i - 1)).alias("prev")),
+        lambda t, i: F.struct(i.alias("at"), t.alias("token"), F.when(i > 0, F.get(F.col("_t"), i - 1)).alias("prev")),
     )
-    rows = tokens.select(key, F.size("_t").alias("n_tokens"), F.explode(pairs).alias("p")).select(
-        key, "n_tokens", "p.token", "p.prev"
+    rows = tokens.select(*keys, F.size("_t").alias("n_tokens"), F.explode(pairs).alias("p")).select(
+        *keys, "n_tokens", "p.at", "p.token", "p.prev"
     )
     rows = dim_join(rows, lexicon.select("token", "weight"), ["token"], "inner")
     rows = dim_join(rows, modifiers.select("prev", "factor"), ["prev"], "left")
     w = F.col("weight") * F.coalesce(F.col("factor"), F.lit(1.0))
-    hit = rows.groupBy(key).agg(
-        F.sum(w).alias("_s"),
-        F.sum(F.when(w > 0, w).otherwise(0.0)).alias("_p"),
-        F.sum(F.when(w < 0, -w).otherwise(0.0)).alias("_m"),
-        (F.max("n_tokens") - F.count("*")).alias("_plain"),
+    places = rows.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct("at", w.alias("w")))).alias("_hits"), F.max("n_tokens").alias("_n"))
+    add = lambda pick: F.aggregate("_hits", F.lit(0.0), lambda acc, h: acc + pick(h["w"]))
+    hit = places.select(
+        *keys,
+        add(lambda v: v).alias("_s"),
+        add(lambda v: F.when(v > 0, v).otherwise(0.0)).alias("_p"),
+        add(lambda v: F.when(v < 0, -v).otherwise(0.0)).alias("_m"),
+        (F.col("_n") - F.size("_hits")).alias("_plain"),
     )
     total = F.col("_p") + F.col("_m") + F.col("_plain")
     s = F.col("_s")
     share = lambda c: F.coalesce(F.try_divide(F.col(c), total), F.lit(0.0))
     return hit.select(
-        key,
+        *keys,
         (s / F.sqrt(s * s + alpha)).alias("sentiment_compound"),
         share("_p").alias("sentiment_positive"),
         share("_m").alias("sentiment_negative"),
@@ -339,8 +345,10 @@ def sentiment_scores(
 
 
 def score_sentiment(df: DataFrame, lexicon: DataFrame, modifiers: DataFrame, key: str = "article_id", alpha: float = 15.0) -> DataFrame:
-    """Articles with their lexicon scores; without any lexicon word all neutral."""
-    out = df.join(sentiment_scores(df, lexicon, modifiers, key, alpha), key, "left")
+    """Articles with their lexicon scores; without any lexicon word all neutral.  Rows of one id with different texts are scored apart."""
+    marked = df.withColumn("_text", F.xxhash64(full_text()))
+    scores = sentiment_scores(marked, lexicon, modifiers, [key, "_text"], alpha).withColumnRenamed(key, "_id").withColumnRenamed("_text", "_same")
+    out = marked.join(scores, F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same")), "left").drop("_id", "_same", "_text")
     none = {"sentiment_compound": 0.0, "sentiment_positive": 0.0, "sentiment_negative": 0.0, "sentiment_neutral": 1.0}
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in none.items()})
 

@@ -237,3 +237,22 @@ def test_costly_text_is_evaluated_once(spark):
     assert plan.count("regexp_replace") == 1
     hits = rules.match_rules(art, [rules.Rule("the", "x", "up", "r"), rules.Rule("text", "x", "up", "r")])
     assert hits._jdf.queryExecution().optimizedPlan().toString().count("RLIKE") == 2
+
+
+def test_a_row_delivered_twice_scores_as_once(spark):
+    lexicon = spark.createDataFrame([("good", 1.5), ("bad", -2.0)], "token string, weight double")
+    modifiers = spark.createDataFrame([("not", -0.5)], "prev string, factor double")
+    rows = [(1, "good news, not bad, good", None), (1, "good news, not bad, good", None), (1, "bad", None), (None, "good", None), (2, "plain", None)]
+    df = spark.createDataFrame(rows, "article_id long, title string, description string").repartition(3)
+    got = sorted((r.article_id or 0, r.title, round(r.sentiment_compound, 4)) for r in matching.score_sentiment(df, lexicon, modifiers).collect())
+    c = lambda s: round(s / (s * s + 15) ** 0.5, 4)
+    assert got == [(0, "good", c(1.5)), (1, "bad", c(-2.0)), (1, "good news, not bad, good", c(4.0)), (1, "good news, not bad, good", c(4.0)), (2, "plain", 0.0)]
+
+
+@pytest.mark.parametrize("listed", [2000, 0])
+def test_tickers_of_rows_that_share_an_id(spark, monkeypatch, listed):
+    monkeypatch.setattr(matching, "LISTED_TICKERS", listed)
+    universe = spark.createDataFrame([("AAA",), ("BBB",)], "ticker string")
+    df = spark.createDataFrame([(1, "AAA up"), (1, "BBB up, AAA"), (1, "AAA up"), (None, "BBB"), (2, "CCC")], "article_id long, title string")
+    got = sorted((r.article_id or 0, r.title, r.position, r.ticker) for r in matching.extract_tickers(df, universe, F.col("title")).collect())
+    assert got == [(0, "BBB", 0, "BBB"), (1, "AAA up", 0, "AAA"), (1, "AAA up", 0, "AAA"), (1, "BBB up, AAA", 0, "BBB"), (1, "BBB up, AAA", 1, "AAA")]
