@@ -15,7 +15,8 @@ from tapewire.operators.matching import keep_relevant
 from tapewire.operators.ranking import last_quote
 from tapewire.operators.scale import dim_join, union_all
 from tapewire.plans.panel import model_panel
-from tapewire.sources.store import append_events, append_ledger, day_records, exists, read_ledger, read_path, read_store
+from tapewire.sources.paths import read_path
+from tapewire.sources.store import append_events, append_ledger, day_records, exists, read_ledger, read_store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -40,7 +41,7 @@ def ingest_pending(
     todo = todo.withColumn("event_date", F.to_date("event_time"))
     batch = "day-" + recorded_at.replace(":", "").replace(" ", "T")
     added = append_events(todo, store, batch, scorer=scorer)
-    written = read_path(spark, lambda: read_store(spark, store).where(F.col("batch") == batch).select("day"))
+    written = read_path(lambda: read_store(spark, store).where(F.col("batch") == batch).select("day"))
     append_ledger(day_records(due, status, written, F.lit(recorded_at).cast("timestamp")), ledger)
     return added
 

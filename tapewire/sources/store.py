@@ -9,31 +9,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.operators.dedupe import dedupe_keys
 from tapewire.operators.joins import event_key
 from tapewire.schema import LEDGER
+from tapewire.sources import identity as identity_index
+from tapewire.sources.paths import read_path, write_partitions
 
 
 WRITERS = 4  # tasks, and so files, a day and batch
 
 
-def read_path(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame | None:
-    """``read()``, or None where its path holds nothing yet."""
-    try:
-        return read()
-    except AnalysisException as exc:  # an absent or empty path is the normal first run
-        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a path holds any data yet."""
-    return read_path(spark, lambda: spark.read.parquet(path)) is not None
+    return read_path(lambda: spark.read.parquet(path)) is not None
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
@@ -56,29 +47,47 @@ def append_events(
 
     Two rows are the same article when their ``identity`` columns agree (by default
     ``event_key``: folded title and url, ticker, collection second).  Duplicates inside
-    the batch go first, by map-side combining; stored keys are then anti-joined.
-    All stored keys are compared, of which only the identity columns are read.  With a ``horizon`` only stored
-    rows whose ``span`` time is missing or lies within the batch's own, widened by it, are: a range Parquet statistics can skip
-    on; a batch with a missing ``span`` is still compared with everything.  ``scorer`` adds
+    the batch go first, by map-side combining; then those that another batch has stored, however old: the identity index
+    says which of its files may hold one of the batch's keys, and only these are read.  A store without an index gets one first.
+    With a ``horizon`` only stored rows whose ``span`` time is missing or lies within the batch's own, widened by it, are compared: a
+    range Parquet statistics can skip on; a batch with a missing ``span`` is still compared with everything.  ``scorer`` adds
     columns to the rows that are left, so nothing known already is scored again.
+
+    The index is written behind the rows; a batch that dies in between is repeated, and replaces both.
     """
     spark = df.sparkSession
     same = event_key() if identity is None else F.struct(*identity)
     fresh = dedupe_keys(df.withColumn("_key", same), ["_key"], key)
     if exists(spark, path):
-        stored = read_store(spark, path).where(F.col("batch") != batch)
+        stored = read_store(spark, path)
         if horizon is not None:
-            ends = df.agg(F.min(span).alias("lo"), F.max(span).alias("hi"), F.count_if(F.col(span).isNull()).alias("missing")).first()
-            if ends.lo is not None and not ends.missing:
-                widen = F.expr(f"INTERVAL {horizon}")
-                near = F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen)
-                stored = stored.where(near | F.col(span).isNull())
-        fresh = fresh.join(stored.select(same.alias("_key")).distinct(), "_key", "left_anti")
+            near = _near(df, stored.where(F.col("batch") != batch), span, horizon)
+            fresh = fresh.join(near.select(same.alias("_key")).distinct(), "_key", "left_anti")
+        else:
+            keyed = fresh.select("*", *identity_index.digest(F.col("_key")))
+            files = identity_index.files_to_open(spark, keyed.select("k1", "k2"), path, batch)
+            if files is None:
+                identity_index.record(stored.select("batch", *identity_index.digest(same)), path)
+                files = identity_index.files_to_open(spark, keyed.select("k1", "k2"), path, batch)
+            fresh = keyed.join(identity_index.stored_keys(spark, path, files), ["k1", "k2"], "left_anti").drop("k1", "k2")
     fresh = fresh.drop("_key")
     rows = scorer(fresh) if scorer else fresh
-    _write(_by_day(rows.withColumn("batch", F.lit(batch)), day, key), path, [day, "batch"])
-    # a count over this batch's partitions alone, answered from Parquet footers
-    return read_store(spark, path).where(F.col("batch") == batch).count() if exists(spark, path) else 0
+    write_partitions(_by_day(rows.withColumn("batch", F.lit(batch)), day, key), path, [day, "batch"])
+    written = read_path(lambda: read_store(spark, path).where(F.col("batch") == batch))
+    if written is None:
+        return 0
+    if horizon is None:
+        identity_index.record(written.select("batch", *identity_index.digest(same)), path)
+    return written.count()  # of this batch's partitions alone, from Parquet footers
+
+
+def _near(df: DataFrame, stored: DataFrame, span: str, horizon: str) -> DataFrame:
+    """Stored rows of about the batch's own times."""
+    ends = df.agg(F.min(span).alias("lo"), F.max(span).alias("hi"), F.count_if(F.col(span).isNull()).alias("missing")).first()
+    if ends.lo is None or ends.missing:
+        return stored
+    widen = F.expr(f"INTERVAL {horizon}")
+    return stored.where(F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen) | F.col(span).isNull())
 
 
 def _by_day(df: DataFrame, day: str, key: str) -> DataFrame:
@@ -94,14 +103,10 @@ def compact(spark: SparkSession, path: str, new_path: str, closed_before: str, d
     old = read_store(spark, path)
     closed = F.col(day) < F.lit(closed_before).cast("date")
     batch = F.when(closed, F.lit("compact")).otherwise(F.col("batch"))
-    _write(_by_day(old.withColumn("batch", batch), day, key), new_path, [day, "batch"])
+    write_partitions(_by_day(old.withColumn("batch", batch), day, key), new_path, [day, "batch"])
     return read_store(spark, new_path)
 
 
-def _write(df: DataFrame, path: str, partitions: list[str]) -> None:
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
-
-
 def upsert_batch(df: DataFrame, path: str, day: str, run: str, key: str = "article_id") -> DataFrame:
     """Add a day's unseen titles to the history; returns one row of (batch_date, added, total)."""
     spark = df.sparkSession
@@ -109,7 +114,7 @@ def upsert_batch(df: DataFrame, path: str, day: str, run: str, key: str = "artic
     if exists(spark, path):
         seen = read_store(spark, path).where((F.col("batch_date") == F.lit(day).cast("date")) & (F.col("run") != run))
         rows = rows.join(seen.select("title").distinct(), "title", "left_anti").select(*rows.columns)
-    _write(rows.withColumn("run", F.lit(run)), path, ["batch_date", "run"])
+    write_partitions(rows.withColumn("run", F.lit(run)), path, ["batch_date", "run"])
     stored = read_store(spark, path).where(F.col("batch_date") == F.lit(day).cast("date"))
     return stored.agg(
         F.lit(day).cast("date").alias("batch_date"),
@@ -126,14 +131,14 @@ def retained(store: DataFrame, keep_days: int, as_of: str, day: str = "batch_dat
 def retain(spark: SparkSession, path: str, new_path: str, keep_days: int, as_of: str) -> DataFrame:
     """Write the retained batches as a new version; the old path is never overwritten in place."""
     kept = retained(read_store(spark, path), keep_days, as_of)
-    _write(kept, new_path, ["batch_date", "run"])
+    write_partitions(kept, new_path, ["batch_date", "run"])
     return read_store(spark, new_path)
 
 
 def rescore(spark: SparkSession, path: str, new_path: str, scorer) -> DataFrame:
     """Re-run scoring (``DataFrame -> DataFrame``) over the store into a new version path."""
     old = read_store(spark, path)
-    _write(scorer(old), new_path, ["event_date", "batch"])
+    write_partitions(scorer(old), new_path, ["event_date", "batch"])
     return read_store(spark, new_path)
 
 
@@ -159,7 +164,7 @@ def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 def write_patterns(report: DataFrame, path: str) -> None:
     """Long pattern rows, one folder per pattern."""
-    _write(report, path, ["pattern"])
+    write_partitions(report, path, ["pattern"])
 
 
 def patterns_as_json(report: DataFrame) -> DataFrame:

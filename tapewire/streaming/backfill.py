@@ -19,7 +19,8 @@ from pyspark.sql.types import StructType
 from tapewire.functions.text import stamp_day
 from tapewire.operators.scale import union_all
 from tapewire.sources import readers as rd
-from tapewire.sources.store import append_events, append_ledger, day_records, read_path, read_store
+from tapewire.sources.paths import read_path
+from tapewire.sources.store import append_events, append_ledger, day_records, read_store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -62,7 +63,7 @@ def day_files(spark: SparkSession, landing: str, days: list[dt.date]) -> DataFra
     """(file_name, value): whole texts of the files in the folders ``day=yyyy-mm-dd`` of these days; a missing folder is an empty day."""
     frames = []
     for day in days:
-        folder = read_path(spark, lambda d=day: spark.read.text(f"{landing}/day={d.isoformat()}", wholetext=True))
+        folder = read_path(lambda d=day: spark.read.text(f"{landing}/day={d.isoformat()}", wholetext=True))
         if folder is not None:
             frames.append(folder.select(F.lit(day.isoformat()).alias("file_name"), "value"))
     return union_all(frames) if frames else spark.createDataFrame([], "file_name string, value string")
@@ -78,7 +79,7 @@ def ingest_days(spark: SparkSession, landing: str, days: list[dt.date], store: s
     todo = todo.withColumn("event_time", F.coalesce(F.col("published_at"), F.col("scraped_at")))
     todo = todo.withColumns({"event_date": F.to_date("event_time"), "article_id": F.xxhash64("url", "title", "ticker", "scraped_at")})
     append_events(todo, store, batch, scorer=scorer)
-    written = read_path(spark, lambda: read_store(spark, store).where(F.col("batch") == batch).select("day"))
+    written = read_path(lambda: read_store(spark, store).where(F.col("batch") == batch).select("day"))
     due = spark.createDataFrame([(d,) for d in days], "day date")
     at = F.current_timestamp() if recorded_at is None else F.lit(recorded_at).cast("timestamp")
     append_ledger(day_records(due, rd.file_status(parsed), written, at), ledger)
