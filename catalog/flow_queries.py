@@ -481,7 +481,7 @@ def full_refresh_panel(spark, sf):
     f"WITH {NEWS}, {BARS_U}, q AS (SELECT count(DISTINCT ticker) AS n FROM bars_u) SELECT 'news' AS step, count(*) FILTER (source <> 'view') AS rows FROM news_events UNION ALL SELECT 'quotes', n FROM q UNION ALL SELECT 'predictions', n FROM q UNION ALL SELECT 'panel', count(*) FROM bars_u",
 )
 def full_refresh_counts(spark, sf):
-    return refresh.step_counts(refresh.write_refresh(refreshed(spark, sf), scratch(spark)))
+    return refresh.run_refresh(refreshed(spark, sf), scratch(spark))[1].select("step", "rows")
 
 
 @query("maintain", f"WITH {ARTICLES}, {BARS}, a AS (SELECT count(*) AS n FROM articles) SELECT count(*) AS panel_rows, (SELECT n FROM a) AS stored FROM bars")

@@ -18,6 +18,7 @@ from tapewire.functions.scores import PANEL_PROBABILITY, model_confidence, model
 from tapewire.operators.metrics import auc, binary_metrics
 from tapewire.operators.ranking import latest_slice, rank_recommend
 from tapewire.operators.scale import checkpointed, global_row_number, union_all
+from tapewire.plans.kernel import kernel_svc
 
 FEATURES = (
     "news_count", "sent_mean", "sent_std", "sent_min", "sent_max", "relevance_mean", "high_impact_count", "macro_count",
@@ -162,7 +163,7 @@ def probability_up(model: PipelineModel, df: DataFrame, features: Sequence[str],
         p = vector_to_array("probability")[1]
     else:
         p = 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-    extra = [c for c in ("_raw", "features", "rawPrediction", "probability", "prediction") if c in out.columns and c not in df.columns]
+    extra = [c for c in ("_raw", "features", "kernel", "rawPrediction", "probability", "prediction") if c in out.columns and c not in df.columns]
     return out.withColumn("_p", p).drop(*extra).withColumnRenamed("_p", name)
 
 
@@ -238,13 +239,16 @@ def random_search(train: DataFrame, tune: DataFrame, trials: int = 30, seed: int
     return union_all(rows)
 
 
-def baselines(trees: int = 100, rounds: int = 100, steps: int = 100, label: str = "direction_fwd", seed: int = 42) -> dict[str, tuple[object, bool]]:
+def baselines(
+    trees: int = 100, rounds: int = 100, steps: int = 100, label: str = "direction_fwd", seed: int = 42, features: Sequence[str] = FEATURES
+) -> dict[str, tuple[object, bool]]:
     """Plain classifiers to compare with: name to (estimator, needs scaling)."""
     return {
         "logistic": (LogisticRegression(maxIter=steps, **_common(label)), True),
         "forest": (forest(Forest(trees, 10, 5), label, seed), False),
         "boosted": (boost(Boost(rounds, 5, 0.1, 1.0), label, seed), False),
         "linear_svc": (LinearSVC(maxIter=steps, **_common(label)), True),
+        "kernel_svc": (kernel_svc(len(features), label, steps=steps, seed=seed), True),
     }
 
 
