@@ -334,6 +334,31 @@ def score_with_model(spark, sf):
     return fix(mt.score_with_model(articles(spark, sf), scorer), *cols)
 
 
+@query(
+    "score_with_fallback",
+    f"""WITH {ARTICLES}, {SCORED_A}, x AS (SELECT *, {FULL} AS t FROM scored_a),
+ s AS (SELECT *, length(t) % 3 = 0 AS broken, {letters_sql('aeiou')} / greatest(length(t), 1) AS p, {letters_sql('nrst')} / greatest(length(t), 1) AS m FROM x)
+SELECT article_id, {fxs('CASE WHEN broken THEN sentiment_positive ELSE p END')} AS sentiment_positive, {fxs('CASE WHEN broken THEN sentiment_negative ELSE m END')} AS sentiment_negative,
+ {fxs('CASE WHEN broken THEN sentiment_neutral ELSE 1 - p - m END')} AS sentiment_neutral, {fxs('CASE WHEN broken THEN sentiment_compound ELSE p - m END')} AS sentiment_compound,
+ CASE WHEN broken THEN 'lexicon' ELSE 'model' END AS scored_by FROM s""",
+)
+def score_with_fallback(spark, sf):
+    """The stand-in scorer fails on any batch that holds a text whose length is a multiple of three."""
+
+    def load():
+        def scorer(texts):
+            if any(len(t) % 3 == 0 for t in texts):
+                raise RuntimeError("the model does not answer")
+            shares = [(sum(map(t.count, "aeiou")) / max(len(t), 1), sum(map(t.count, "nrst")) / max(len(t), 1)) for t in texts]
+            return [(p, n, 1 - p - n) for p, n in shares]
+
+        return scorer
+
+    out = mt.score_with_fallback(articles(spark, sf), load, lexicon(spark), modifiers(spark))
+    cols = ("sentiment_positive", "sentiment_negative", "sentiment_neutral", S)
+    return fix(out.select("article_id", *cols, "scored_by"), *cols)
+
+
 # ---- symbols and names -------------------------------------------------------------------------
 
 UNIVERSE = ["THE", "OF", "TH", "ER", "AN", "ERIN", "THON", "THAN", "LES", "UND", "POR", "ING", "NT", "RE", "DE"]

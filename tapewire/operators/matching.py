@@ -8,12 +8,14 @@ text's word groups and equi joins, which gives the same answer.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tapewire.operators.scale import dim_join, explode_some, once
+from tapewire.operators.scale import checkpointed, dim_join, explode_some, once
 
 TOKEN_GAP = r"[^\p{L}\p{N}]+"
 
@@ -283,9 +285,13 @@ def resolve_company(terms: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     t = terms.select("term", F.trim(padded(F.col("term"))).alias("_q"))
     a = aliases.select(F.trim(padded(F.col("name"))).alias("_n"), "ticker")
-    exact = t.join(a, t["_q"] == a["_n"]).select("term", "ticker", F.lit(0).alias("rank"), "_n")
-    name_in_term = t.select("term", F.explode(word_runs(F.col("_q"))).alias("_n")).join(a, "_n")
-    term_in_name = a.select("ticker", "_n", F.explode(word_runs(F.col("_n"))).alias("_q")).join(t, "_q")
+    # a name, and a run of words that names share, keep the ticker that would win: one row each, combined before the shuffle
+    names = a.groupBy("_n").agg(F.min("ticker").alias("ticker"))
+    runs = names.select("ticker", "_n", F.explode(word_runs(F.col("_n"))).alias("_q"))
+    runs = runs.groupBy("_q").agg(F.min(F.struct("_n", "ticker")).alias("w")).select("_q", "w.*")
+    exact = dim_join(t.withColumnRenamed("_q", "_n"), names, ["_n"]).select("term", "ticker", F.lit(0).alias("rank"), "_n")
+    name_in_term = dim_join(t.select("term", F.explode(word_runs(F.col("_q"))).alias("_n")), names, ["_n"])
+    term_in_name = dim_join(t, runs, ["_q"])
     near = name_in_term.select("term", "ticker", F.lit(1).alias("rank"), "_n").unionByName(
         term_in_name.select("term", "ticker", F.lit(1).alias("rank"), "_n")
     )
@@ -377,3 +383,53 @@ def score_with_model(df: DataFrame, scorer, key: str = "article_id", batch: int
     schema = f"{key} {df.schema[key].dataType.simpleString()}, sentiment_positive double, sentiment_negative double, sentiment_neutral double"
     scored = df.select(key, full_text().alias("_text")).mapInPandas(run, schema)
     return scored.withColumn("sentiment_compound", F.col("sentiment_positive") - F.col("sentiment_negative"))
+
+
+def score_with_fallback(
+    df: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple]]], lexicon: DataFrame, modifiers: DataFrame, key: str = "article_id", batch: int = 256
+) -> DataFrame:
+    """Articles scored by an external text model, and by the lexicon where the model gives nothing; ``scored_by`` says which.
+
+    ``load()`` returns a scorer, ``list[str] -> list[(pos, neg, neu)]``; it is called once a worker, and a model that cannot be loaded leaves
+    everything to the lexicon.  A batch on which the scorer fails is tried again text by text, so what
+    falls back depends on the texts and not on how they were dealt.  Only narrow scores are stored and shuffled.
+    """
+    from pyspark.ml.functions import predict_batch_udf
+
+    def make():
+        try:
+            scorer = load()
+        except Exception:  # any reason for which the model is not there
+            return lambda texts: np.full((len(texts), 3), np.nan)
+
+        def one(text):
+            try:
+                return scorer([text])[0]
+            except Exception:  # the scorer is foreign code
+                return (np.nan,) * 3
+
+        def predict(texts):
+            flat = [str(t) for t in np.ravel(texts)]
+            try:
+                found = scorer(flat)
+            except Exception:
+                found = [one(t) for t in flat]
+            return np.array(found, float).reshape(len(flat), 3)
+
+        return predict
+
+    model = predict_batch_udf(make, return_type=T.ArrayType(T.DoubleType()), batch_size=batch)
+    marked = df.withColumn("_text", F.xxhash64(full_text()))
+    found = checkpointed(marked.select(F.col(key).alias("_id"), F.col("_text").alias("_same"), model(full_text()).alias("_m")))
+    names = ("sentiment_positive", "sentiment_negative", "sentiment_neutral")
+    there = F.col("_m")[0].isNotNull() & ~F.isnan(F.col("_m")[0])  # what is no number may come back as NULL
+    by_model = found.where(there).dropDuplicates(["_id", "_same"]).select("_id", "_same", *[F.col("_m")[i].alias(n) for i, n in enumerate(names)])
+    by_model = by_model.withColumn("sentiment_compound", F.col("sentiment_positive") - F.col("sentiment_negative"))
+    left = found.where(~there).select("_id", "_same").distinct()
+    same = F.col(key).eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_same"))
+    rest = marked.join(left, same, "left_semi")
+    by_lexicon = sentiment_scores(rest, lexicon, modifiers, [key, "_text"]).withColumnsRenamed({key: "_id", "_text": "_same"})
+    scores = by_model.withColumn("scored_by", F.lit("model")).unionByName(by_lexicon.withColumn("scored_by", F.lit("lexicon")))
+    out = marked.join(scores, same, "left").drop("_id", "_same", "_text")
+    none = {"sentiment_compound": 0.0, "sentiment_positive": 0.0, "sentiment_negative": 0.0, "sentiment_neutral": 1.0, "scored_by": "lexicon"}
+    return out.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in none.items()})

@@ -256,3 +256,33 @@ def test_tickers_of_rows_that_share_an_id(spark, monkeypatch, listed):
     df = spark.createDataFrame([(1, "AAA up"), (1, "BBB up, AAA"), (1, "AAA up"), (None, "BBB"), (2, "CCC")], "article_id long, title string")
     got = sorted((r.article_id or 0, r.title, r.position, r.ticker) for r in matching.extract_tickers(df, universe, F.col("title")).collect())
     assert got == [(0, "BBB", 0, "BBB"), (1, "AAA up", 0, "AAA"), (1, "AAA up", 0, "AAA"), (1, "BBB up, AAA", 0, "BBB"), (1, "BBB up, AAA", 1, "AAA")]
+
+
+def test_a_model_that_is_not_there_leaves_all_to_the_lexicon(spark, tmp_path):
+    lexicon = spark.createDataFrame([("good", 1.5)], "token string, weight double")
+    modifiers = spark.createDataFrame([], "prev string, factor double")
+    loads = str(tmp_path / "loads")
+
+    def absent():
+        raise OSError("no such model")
+
+    def present():
+        with open(loads, "a") as out:
+            out.write("x")
+        return lambda texts: [(0.5, 0.25, 0.25) for _ in texts]
+
+    rows = [(i % 50, f"good news {i % 50}", None) for i in range(60)] + [(None, "plain", None)]
+    df = spark.createDataFrame(rows, "article_id long, title string, description string").coalesce(1)
+    out = matching.score_with_fallback(df, absent, lexicon, modifiers).collect()
+    assert len(out) == 61 and {r.scored_by for r in out} == {"lexicon"}
+    assert {round(r.sentiment_compound, 4) for r in out} == {0.0, round(1.5 / (1.5**2 + 15) ** 0.5, 4)}
+    out = matching.score_with_fallback(df, present, lexicon, modifiers, batch=7).collect()
+    assert len(out) == 61 and {(r.scored_by, r.sentiment_compound) for r in out} == {("model", 0.25)}
+    assert len(open(loads).read()) == 1  # one worker, nine batches
+
+
+def test_a_word_in_every_name(spark):
+    aliases = spark.createDataFrame([(f"Company {i:03d} Inc", f"T{i:03d}") for i in range(300)] + [("Company 005 Inc", "AAA")], "name string, ticker string")
+    terms = spark.createDataFrame([("inc",), ("company 007 inc",), ("005",), ("the company 009 inc shop",), ("none",)], "term string")
+    got = {r.term: r.ticker for r in matching.resolve_company(terms, aliases).collect()}
+    assert got == {"inc": "T000", "company 007 inc": "T007", "005": "AAA", "the company 009 inc shop": "T009", "none": "NONE"}
