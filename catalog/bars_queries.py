@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import fix, fxs, query
-from catalog.views import BARS, BARS_U, NEWS, QUOTES, bars, bars_u, news, quotes
+from catalog.views import BARS, BARS_U, NEWS, QUOTES, bars, bars_u, news, quotes, table
 from tapewire.operators import indicators as ind
 from tapewire.operators import ranking
+from tapewire.operators.intraday import intraday_bars
 from tapewire.plans import panel as pn
 
 PRICE = ("open", "high", "low", "close")
@@ -248,3 +249,43 @@ def union_tickers(spark, sf):
     return both.groupBy("ticker").agg(
         F.count("*").alias("bars"), F.min("date").alias("first_day"), F.max("date").alias("last_day")
     )
+
+
+# ---- inside a day ---------------------------------------------------------------------------------
+
+
+def sessions(spark, sf):
+    """Nine to five; Saturdays until one, no Sundays."""
+    days = table(spark, sf, "events").select(F.to_date("ts").alias("date")).distinct()
+    hour = lambda h: F.timestamp_seconds(F.unix_seconds(F.col("date").cast("timestamp")) + h * 3600)
+    close = F.when(F.dayofweek("date") == 7, hour(13)).otherwise(hour(17))
+    return days.where(F.dayofweek("date") != 1).select("date", hour(9).alias("opens"), close.alias("closes"))
+
+
+def intraday_sql(minutes):
+    return f"""WITH t AS (SELECT 'U' || CAST(user_id AS VARCHAR) AS ticker, CAST(ts AS DATE) AS date, ts, event_id, value AS price, CAST(ts AS DATE) + INTERVAL 9 HOUR AS opens,
+  CAST(ts AS DATE) + CASE WHEN isodow(ts) = 6 THEN INTERVAL 13 HOUR ELSE INTERVAL 17 HOUR END AS closes FROM events WHERE isodow(ts) <> 7),
+ b AS (SELECT ticker, date, opens, CAST(floor((epoch(date_trunc('second', ts)) - epoch(opens)) / {minutes * 60}) AS BIGINT) AS slot, min_by(price, (ts, event_id)) AS o, max(price) AS h, min(price) AS l,
+   max_by(price, (ts, event_id)) AS c, sum(price) AS v, count(*) AS n FROM t WHERE ts >= opens AND ts < closes GROUP BY 1, 2, 3, 4),
+ g AS (SELECT *, unnest(generate_series(slot, coalesce(lead(slot) OVER (PARTITION BY ticker, date ORDER BY slot) - 1, slot))) AS a FROM b)
+SELECT ticker, date, CAST(opens + to_seconds(a * {minutes * 60}) AS TIMESTAMP) AS start, CASE WHEN a = slot THEN o ELSE c END AS open, CASE WHEN a = slot THEN h ELSE c END AS high,
+ CASE WHEN a = slot THEN l ELSE c END AS low, c AS close, {fxs('CASE WHEN a = slot THEN v ELSE 0 END')} AS volume, CAST(CASE WHEN a = slot THEN n ELSE 0 END AS BIGINT) AS trades FROM g"""
+
+
+def intraday(spark, sf, minutes):
+    ticks = table(spark, sf, "events").select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"),
+        F.col("value").alias("volume"), F.col("event_id").alias("tick_id"),
+    )
+    out = intraday_bars(ticks, sessions(spark, sf), minutes)
+    return fix(out, "volume").withColumns({"start": F.col("start").cast("timestamp_ntz"), "trades": F.col("trades").cast("long")})
+
+
+@query("intraday_5m", intraday_sql(5))
+def intraday_5m(spark, sf):
+    return intraday(spark, sf, 5)
+
+
+@query("intraday_1h", intraday_sql(60))
+def intraday_1h(spark, sf):
+    return intraday(spark, sf, 60)

@@ -142,3 +142,20 @@ def test_empty_bars(spark):
     empty = bars(spark, [1.0]).where(F.lit(False))
     assert ind.technicals(empty).collect() == []
     assert ranking.last_quote(empty).collect() == []
+
+
+def test_a_gap_inside_a_session_is_filled_and_none_across(spark):
+    import datetime as dt
+
+    from tapewire.operators.intraday import intraday_bars
+
+    at = lambda d, h, m, s=0: dt.datetime(2024, 1, d, h, m, s)
+    ticks = [("A", at(2, 9, 0), 10.0, 1.0, 1), ("A", at(2, 9, 4, 59), 12.0, 1.0, 2), ("A", at(2, 9, 4, 59), 11.0, 1.0, 3), ("A", at(2, 9, 16), 9.0, None, 4)]
+    ticks += [("A", at(2, 8, 59), 99.0, 1.0, 5), ("A", at(2, 10, 0), 99.0, 1.0, 6), ("A", at(3, 9, 30), 8.0, 1.0, 7), ("A", at(4, 9, 30), 8.0, 1.0, 8), ("B", at(2, 9, 0), None, 1.0, 9)]
+    frame = spark.createDataFrame(ticks, "ticker string, ts timestamp, price double, volume double, tick_id long")
+    sessions = spark.createDataFrame([(dt.date(2024, 1, d), at(d, 9, 0), at(d, 10, 0)) for d in (2, 3)], "date date, opens timestamp, closes timestamp")
+    rows = [(r.start.day, r.start.minute, r.open, r.high, r.low, r.close, r.volume, r.trades) for r in intraday_bars(frame, sessions, 5).orderBy("start").collect()]
+    assert rows == [
+        (2, 0, 10.0, 12.0, 10.0, 11.0, 3.0, 3), (2, 5, 11.0, 11.0, 11.0, 11.0, 0.0, 0), (2, 10, 11.0, 11.0, 11.0, 11.0, 0.0, 0), (2, 15, 9.0, 9.0, 9.0, 9.0, 0.0, 1),
+        (3, 30, 8.0, 8.0, 8.0, 8.0, 1.0, 1),
+    ]
