@@ -528,12 +528,9 @@ def _labelled(spark, sf):
     return daily_panel(news(spark, sf), bars_u(spark, sf), with_technicals=False)
 
 
-@query(
-    "time_split_short",
-    P_SQL + ", few AS (SELECT * FROM panel WHERE date <= DATE '2024-01-03')" + LAST_SHARE.format(share=0.5).replace("FROM panel", "FROM few"),
-)
+@query("time_split_short", P_SQL + LAST_SHARE.format(share=0.5))
 def time_split_short(spark, sf):
-    a, b = model.time_split(_labelled(spark, sf).where("date <= '2024-01-03'"), 0.5)
+    a, b = model.time_split(_labelled(spark, sf), 0.5)
     return a.withColumn("side", F.lit("train")).unionByName(b.withColumn("side", F.lit("test"))).select("ticker", "date", "side")
 
 
