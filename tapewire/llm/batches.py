@@ -68,6 +68,14 @@ def splits(df: DataFrame) -> int:
     return max(df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism)
 
 
+def free_name(columns: Iterable[str], wanted: str) -> str:
+    """``wanted``, with underscores put behind it until no column has that name; case is ignored as Spark does."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
     """Join by ``<=>`` on renamed keys of ``right``, which must be distinct in them; ``right``'s keys are dropped."""
     marked = right.select(*[F.col(k).alias(f"__right_{k}") for k in keys], *[c for c in right.columns if c not in keys])

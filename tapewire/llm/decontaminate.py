@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewire.llm.batches import built_once, slices
+from tapewire.llm.batches import built_once, free_name, slices
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20  # item text in one automaton: about 2 million nodes in each task
@@ -120,8 +120,10 @@ def scan(
     The items are broadcast in blocks of at most ``block_bytes`` of text; a larger benchmark takes one
     pass of the same plan per block.  No row is shuffled, so neither a hot passage nor repeated rows matter.
     A NULL text has no words and no hits, items without words match nothing, an empty benchmark gives no hits.
-    A NULL item id counts as the empty string.
+    A NULL item id counts as the empty string.  ``found`` must not be a name of ``docs``.
     """
+    if free_name(docs.columns, found) != found:
+        raise ValueError(f"the table has a column {found}: give another name for the hits")
     spark = docs.sparkSession
     schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(found, _FOUND)])
     out = docs
@@ -163,7 +165,9 @@ def verdict(scanned: DataFrame, found: str = "__found") -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without contaminated rows, all columns as they were."""
-    scanned = scan(docs, benchmark, text_col, **options)
-    n_hit = F.aggregate(F.col("__found.words"), F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
-    return scanned.where((n_hit == 0) | (20 * n_hit < F.col("__found.n_words"))).drop("__found")
+    """``docs`` without contaminated rows, all columns as they were, whatever their names."""
+    found = free_name(docs.columns, "__found")
+    scanned = scan(docs, benchmark, text_col, found=found, **options)
+    hit = F.col(found)
+    n_hit = F.aggregate(hit["words"], F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0])
+    return scanned.where((n_hit == 0) | (20 * n_hit < hit["n_words"])).select(*docs.columns)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tapewire.llm.batches import null_safe, slices, spans
+from tapewire.llm.batches import free_name, null_safe, slices, spans
 from tapewire.operators.scale import checkpointed
 
 MIN_WORDS = 20  # a shorter run of repeated units stays: everyday phrases and headings
@@ -235,12 +235,15 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     A repeat is a run of units, at least ``min_words`` words long, each of which occurs earlier: in a row of a smaller id
     (NULL is the smallest; ties by a hash of the text) or before in the same text.  The first occurrence is
     never cut.  Rows equal in id and text are cut alike.  NULL and empty texts stay as they are; a text of
-    nothing but repeats becomes empty.  All other columns pass unchanged.
+    nothing but repeats becomes empty.  All other columns pass unchanged, whatever their names; ``report`` must not be one of them.
     """
+    if free_name(docs.columns, report) != report:
+        raise ValueError(f"the table has a column {report}: give another name for the report")
+    row, numbers = free_name(docs.columns, "__row_hash"), free_name(docs.columns, "__units")
     found = repeated_units(docs, id_col, text_col)
-    keyed = docs.withColumn("__row_hash", _row_hash(text_col))
-    hits = found.select(F.col("doc_id").alias(id_col), F.col("row_hash").alias("__row_hash"), F.col("units").alias("__units"))
-    joined = null_safe(keyed, hits, [id_col, "__row_hash"], "left").drop("__row_hash")
+    keyed = docs.withColumn(row, _row_hash(text_col))
+    hits = found.select(F.col("doc_id").alias(id_col), F.col("row_hash").alias(row), F.col("units").alias(numbers))
+    joined = null_safe(keyed, hits, [id_col, row], "left").drop(row)
     kind = T.StructType(
         [T.StructField("n_units", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("spans", T.ArrayType(T.ArrayType(T.LongType())))]
     )
@@ -250,12 +253,12 @@ def dedupe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     def task(batches):
         for batch in slices(batches, text_col):
             texts, rows = [], []
-            for text, numbers in zip(batch.column(text_col).to_pylist(), batch.column("__units").to_pylist()):
-                spans, removed, n = cuts(text, set(numbers or ()), min_words)
+            for text, repeated in zip(batch.column(text_col).to_pylist(), batch.column(numbers).to_pylist()):
+                spans, removed, n = cuts(text, set(repeated or ()), min_words)
                 texts.append(without(text, spans))
                 rows.append({"n_units": n, "n_removed": removed, "spans": spans})
             columns = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in docs_columns]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, arrow)], names=[*docs_columns, report])
 
     docs_columns = docs.columns
-    return joined.select(*docs_columns, "__units").mapInArrow(task, schema)
+    return joined.select(*docs_columns, numbers).mapInArrow(task, schema)
