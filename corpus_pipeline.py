@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapewire.llm import bpe, decontaminate, hyperminhash, passages, quality
+from tapewire.llm.batches import free_name
 from tapewire.session import shared_dir
 
 
@@ -27,11 +28,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages that occur earlier; ``n_chars`` follows the text.  A text of nothing else stays as an empty one."""
-    done = passages.dedupe(docs)
+    cut = free_name(docs.columns, "__cut")
+    done = passages.dedupe(docs, report=cut)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        done = done.withColumn("n_chars", F.when(F.col("__cut.n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return done.drop("__cut")
+        done = done.withColumn("n_chars", F.when(F.col(cut)["n_removed"] > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return done.drop(cut)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
