@@ -13,15 +13,18 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog.bars_queries import DAILY, LABELS_U, PANEL
-from catalog.news_queries import AS_OF, PREDS, QUOTES_U, SUMM
+from catalog.news_queries import AS_OF, MOMENTUM, PREDS, QUOTES_U, SCORE, SUMM, WITH_PREDS, five, preds
 from catalog.registry import fix, fxs, query
-from catalog.text_queries import S, TERMS, lexicon, modifiers
-from catalog.views import ARTICLES, BARS, BARS_U, DIM, NEWS, QUOTES, articles, bars, bars_u, news, quotes, ticker_dim
+from catalog.text_queries import FIN, FLAGGED, S, SCORED_A, SOURCES, STOP, TERMS, lexicon, modifiers, pad_sql
+from catalog.views import (
+    ARTICLES, BARS, BARS_U, DIM, NAMED, NAMED_CODE, NEWS, QUOTES, articles, bars, bars_u, named_articles, news, quotes, ticker_dim,
+)
 from tapewire.functions.scores import label_sentiment
 from tapewire.functions.text import day_from_name
 from tapewire.operators import aggregates as ag
 from tapewire.operators import matching as mt
 from tapewire.operators import ranking
+from tapewire.operators.joins import enrich_quotes
 from tapewire.plans import backtest, model, refresh
 from tapewire.plans.panel import model_panel
 from tapewire.schema import NEWS_EVENTS, conform
@@ -240,12 +243,40 @@ def retain(spark, sf):
 
 @query("write_snapshot", f"WITH {BARS}, {QUOTES} SELECT ticker, {figs(('price', 'change_percent'))} FROM quotes WHERE price > 2000")
 def write_snapshot(spark, sf):
-    from catalog.news_queries import preds
+    return fix(snapshot(spark, sf)["quotes"].select("ticker", "price", "change_percent"), "price", "change_percent")
+
 
+def snapshot(spark, sf):
+    """News, predictions and quotes with company and sector, written and read back."""
     out = scratch(spark)
     q = quotes(spark, sf).withColumn("price", F.when(F.col("price") > 2000, F.col("price")).otherwise(0.0))
-    st.write_snapshot(news(spark, sf), preds(spark, sf), q, out)
-    return fix(st.read_snapshot(spark, out)["quotes"].select("ticker", "price", "change_percent"), "price", "change_percent")
+    st.write_snapshot(news(spark, sf), preds(spark, sf), enrich_quotes(q, ticker_dim(spark, sf)), out)
+    return st.read_snapshot(spark, out)
+
+
+@query(
+    "write_snapshot_companies",
+    f"""WITH {BARS}, {QUOTES}, {DIM} SELECT q.ticker, coalesce(d.company_name, q.ticker) AS company_name, coalesce(d.sector, 'Unknown') AS sector
+FROM quotes q LEFT JOIN ticker_dim d ON q.ticker = d.ticker WHERE price > 2000""",
+)
+def write_snapshot_companies(spark, sf):
+    return snapshot(spark, sf)["quotes"].select("ticker", "company_name", "sector")
+
+
+@query(
+    "write_snapshot_predictions",
+    WITH_PREDS + f""" SELECT ticker, company_name, sector, news_count, {fxs('avg_sentiment', 4)} AS news_sentiment_score, {fxs(MOMENTUM, 4)} AS momentum_normalized,
+ {fxs('prediction_score')} AS prediction_score, recommendation FROM preds""",
+)
+def write_snapshot_predictions(spark, sf):
+    p = snapshot(spark, sf)["predictions"].drop("avg_sentiment", "confidence")
+    return fix(fix(p, "prediction_score"), "news_sentiment_score", "momentum_normalized", digits=4)
+
+
+@query("write_snapshot_news", f"WITH {NEWS} SELECT ticker, source, event_time, impact_level, count(*) AS n, {fxs(f'sum({S})', 4)} AS total FROM news_events GROUP BY ALL")
+def write_snapshot_news(spark, sf):
+    n = snapshot(spark, sf)["news"].groupBy("ticker", "source", "event_time", "impact_level")
+    return fix(n.agg(F.count("*").alias("n"), F.sum(S).alias("total")), "total", digits=4)
 
 
 @query(
@@ -484,6 +515,112 @@ def full_refresh_counts(spark, sf):
     return refresh.run_refresh(refreshed(spark, sf), scratch(spark))[1].select("step", "rows")
 
 
+# ---- articles that serve several tickers: whole texts, scored, attributed and joined to company and sector ----
+
+
+def named_scored(spark, sf):
+    return mt.score_sentiment(named_articles(spark, sf), lexicon(spark), modifiers(spark))
+
+
+def text_chain(spark):
+    """Sentiment, impact, relevance and flags from the whole text."""
+    return lambda df: mt.relevance_flags(mt.score_sentiment(df, lexicon(spark), modifiers(spark)), TERMS, FIN, STOP, SOURCES)
+
+
+def served_sql(rows, where="true"):
+    """Summary ``summ`` over the rows of a CTE, one for each ticker that an article serves."""
+    return f"""{DIM}, news_events AS (SELECT a.article_id, u.ticker, a.title, a.date, a.event_time, a.{S} FROM {rows} a
+ JOIN ticker_dim u ON a.ticker = u.ticker OR contains({pad_sql('a.title')}, ' ' || lower(u.ticker) || ' ') WHERE {where}), {SUMM}"""
+
+
+SIGNALS_S = f"""base AS (
+ SELECT d.ticker, d.sector, d.company_name, q.price, q.change_percent AS chg, coalesce(s.n, 0) AS news_count, coalesce(s.m, 0) AS avg_sentiment,
+  coalesce(s.rec, 'HOLD') AS srec, coalesce(s.conf, 0) AS confidence FROM ticker_dim d JOIN quotes q ON d.ticker = q.ticker LEFT JOIN summ s ON d.ticker = s.ticker WHERE q.price > 0),
+ preds AS (SELECT *, {SCORE} AS prediction_score, {five(SCORE, 0.5, 0.2, -0.2, -0.5)} AS recommendation FROM base)
+SELECT ticker, company_name, sector, news_count, {fxs('avg_sentiment', 4)} AS news_sentiment_score, {fxs(MOMENTUM, 4)} AS momentum_normalized,
+ {fxs('prediction_score')} AS prediction_score, recommendation, srec AS sentiment_recommendation, {fxs('confidence')} AS confidence FROM preds"""
+SIGNAL_COLUMNS = (
+    "ticker", "company_name", "sector", "news_count", "news_sentiment_score", "momentum_normalized", "prediction_score", "recommendation",
+    "sentiment_recommendation", "confidence",
+)
+
+
+def signals(df):
+    out = fix(df.select(*SIGNAL_COLUMNS), "prediction_score", "confidence")
+    return fix(out, "news_sentiment_score", "momentum_normalized", digits=4)
+
+
+@query("per_mention", f"WITH {NAMED}, {DIM} SELECT article_id, u.ticker, a.title FROM articles a JOIN ticker_dim u ON a.ticker = u.ticker OR contains({pad_sql('a.title')}, ' ' || lower(u.ticker) || ' ')")
+def per_mention(spark, sf):
+    out = mt.per_mention(named_articles(spark, sf), ticker_dim(spark, sf), NAMED_CODE)
+    return out.select("article_id", "ticker", "title")
+
+
+@query(
+    "ticker_sentiment_mentions",
+    f"""WITH {NAMED}, {SCORED_A}, {served_sql('scored_a')} SELECT ticker, n AS article_count, {fxs('m')} AS avg_sentiment, p AS positive_count, q AS negative_count,
+ n - p - q AS neutral_count, rec AS recommendation, {fxs('conf')} AS confidence FROM summ""",
+)
+def ticker_sentiment_mentions(spark, sf):
+    out = ag.ticker_sentiment(named_scored(spark, sf), AS_OF, universe=ticker_dim(spark, sf), pattern=NAMED_CODE)
+    return fix(out, "avg_sentiment", "confidence")
+
+
+@query(
+    "recent_articles_mentions",
+    f"""WITH {NAMED}, {SCORED_A}, {served_sql('scored_a')} SELECT ticker, article_id, CAST(rn AS INTEGER) AS rn FROM (
+ SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY event_time DESC, article_id) AS rn FROM news_events) x WHERE rn <= 5""",
+)
+def recent_articles_mentions(spark, sf):
+    out = ag.recent_articles(named_articles(spark, sf), universe=ticker_dim(spark, sf), pattern=NAMED_CODE)
+    return out.select("ticker", "article_id", "rn")
+
+
+@query(
+    "daily_sentiment_trend_mentions",
+    f"WITH {NAMED}, {SCORED_A}, {served_sql('scored_a')} SELECT date, {fxs(f'avg({S})')} AS avg_sentiment FROM news_events WHERE ticker = 'S3' GROUP BY 1",
+)
+def daily_sentiment_trend_mentions(spark, sf):
+    return fix(ag.daily_sentiment_trend(named_scored(spark, sf), "S3", NAMED_CODE), "avg_sentiment")
+
+
+SINCE_TEXT = "2024-01-08 12:00:00"
+
+
+@query("quick_update_text", f"WITH {NAMED}, {SCORED_A}, {BARS}, {QUOTES}, " + served_sql("scored_a", f"a.event_time >= TIMESTAMP '{SINCE_TEXT}'") + f", {SIGNALS_S}")
+def quick_update_text(spark, sf):
+    u = ticker_dim(spark, sf)
+    out = refresh.quick_update(named_articles(spark, sf), quotes(spark, sf), u, text_chain(spark), AS_OF, SINCE_TEXT, u, NAMED_CODE)
+    return signals(out)
+
+
+KEPT_TEXT = f"""{SCORED_A}, {FLAGGED}, firsts AS (SELECT article_id FROM (
+ SELECT article_id, row_number() OVER (PARTITION BY coalesce(source || '/' || lang, ''), lower(trim(title, ' ')) ORDER BY article_id) AS rn FROM articles) x WHERE rn = 1),
+ kept AS (SELECT s.* FROM scored_a s JOIN firsts USING (article_id) JOIN fl ON s.article_id = fl.article_id
+  WHERE (is_relevant OR is_impactful OR fl.ticker IS NOT NULL OR CAST(relevance_score AS DOUBLE) >= 0.25) AND NOT is_irrelevant)"""
+
+
+def refreshed_text(spark, sf):
+    u = ticker_dim(spark, sf)
+    return refresh.refresh_in_steps(
+        named_articles(spark, sf), bars(spark, sf), u, text_chain(spark), AS_OF, scratch(spark), dim=u, pattern=NAMED_CODE
+    )
+
+
+@query("full_refresh_text_predictions", f"WITH {NAMED}, {KEPT_TEXT}, {BARS}, {QUOTES}, {served_sql('kept')}, {SIGNALS_S}")
+def full_refresh_text_predictions(spark, sf):
+    return signals(refreshed_text(spark, sf)[0]["predictions"])
+
+
+@query(
+    "full_refresh_text_counts",
+    f"""WITH {NAMED}, {KEPT_TEXT}, {BARS}, {QUOTES} SELECT 'news' AS step, count(*) AS rows, true AS timed FROM kept UNION ALL SELECT 'quotes', count(*), true FROM quotes
+UNION ALL SELECT 'predictions', count(*) FILTER (price > 0), true FROM quotes UNION ALL SELECT 'panel', count(*), true FROM bars""",
+)
+def full_refresh_text_counts(spark, sf):
+    return refreshed_text(spark, sf)[1].select("step", "rows", (F.col("seconds") > 0).alias("timed"))
+
+
 @query("maintain", f"WITH {ARTICLES}, {BARS}, a AS (SELECT count(*) AS n FROM articles) SELECT count(*) AS panel_rows, (SELECT n FROM a) AS stored FROM bars")
 def maintain(spark, sf):
     store, led, panel_path = scratch(spark), scratch(spark), scratch(spark)

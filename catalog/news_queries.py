@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import fix, fxs, query
 from catalog.views import (
-    ARTICLES, BARS, BARS_U, DIM, NEWS, QUOTES, articles, bars_u, news, quotes, scored, table, ticker_dim,
+    ARTICLES, BARS, BARS_U, DIM, DIM_U, NEWS, QUOTES, articles, bars_u, customer_dim, news, quotes, scored, table, ticker_dim,
 )
 from tapewire.functions import scores as sc
 from tapewire.operators import aggregates as ag
@@ -110,6 +110,7 @@ def news_top_lists(spark, sf):
 # users as tickers: sentiment summary joined to the quote of their value series
 
 QUOTES_U = QUOTES.replace("quotes AS", "quotes_u AS").replace("FROM bars)", "FROM bars_u)")
+MOMENTUM = "greatest(-1, least(1, chg / 10))"
 SCORE = "greatest(-1, least(1, 0.6 * avg_sentiment + 0.3 * greatest(-1, least(1, chg / 10)) + 0.1 * least(1, news_count / 20.0)))"
 FIVE = "CASE WHEN {c} >= {a} THEN 'STRONG BUY' WHEN {c} >= {b} THEN 'BUY' WHEN {c} <= {d} THEN 'STRONG SELL' WHEN {c} <= {e} THEN 'SELL' ELSE 'HOLD' END"
 
@@ -118,9 +119,9 @@ def five(c, a, b, e, d):
     return FIVE.format(c=c, a=a, b=b, d=d, e=e)
 
 
-PREDS = f"""base AS (
- SELECT s.ticker, 'sector' || CAST(s.n % 7 AS VARCHAR) AS sector, q.price, q.change_percent AS chg, s.n AS news_count, s.m AS avg_sentiment,
-  s.p AS pos, s.q AS neg, s.conf AS confidence, s.rec AS srec FROM summ s JOIN quotes_u q ON s.ticker = q.ticker WHERE q.price > 0),
+PREDS = f"""{DIM_U}, base AS (
+ SELECT s.ticker, coalesce(d.sector, 'Unknown') AS sector, coalesce(d.company_name, s.ticker) AS company_name, q.price, q.change_percent AS chg, s.n AS news_count, s.m AS avg_sentiment,
+  s.p AS pos, s.q AS neg, s.conf AS confidence, s.rec AS srec FROM summ s JOIN quotes_u q ON s.ticker = q.ticker LEFT JOIN customer_dim d ON s.ticker = d.ticker WHERE q.price > 0),
  preds AS (SELECT *, {SCORE} AS prediction_score, {five(SCORE, 0.5, 0.2, -0.2, -0.5)} AS recommendation FROM base)"""
 WITH_PREDS = f"WITH {NEWS}, {BARS_U}, {QUOTES_U}, {SUMM}, {PREDS}"
 
@@ -130,18 +131,18 @@ def preds(spark, sf):
 
     summary = ag.ticker_sentiment(news(spark, sf), AS_OF)
     q = ranking.last_quote(bars_u(spark, sf))
-    rows = ticker_signals(summary.select("ticker"), summary, q)
-    return rows.withColumn("sector", F.concat(F.lit("sector"), (F.col("news_count") % 7).cast("string")))
+    return ticker_signals(summary.select("ticker"), summary, q, customer_dim(spark, sf))
 
 
 @query(
     "ticker_signals",
-    WITH_PREDS + f""" SELECT ticker, {fxs('price')} AS price, {fxs('chg')} AS price_change_percent, news_count, {fxs('avg_sentiment')} AS avg_sentiment,
+    WITH_PREDS + f""" SELECT ticker, company_name, sector, {fxs('avg_sentiment', 4)} AS news_sentiment_score, {fxs(MOMENTUM, 4)} AS momentum_normalized, {fxs('price')} AS price, {fxs('chg')} AS price_change_percent, news_count, {fxs('avg_sentiment')} AS avg_sentiment,
  pos AS positive_news, neg AS negative_news, {fxs('prediction_score')} AS prediction_score, recommendation, srec AS sentiment_recommendation,
  {fxs('confidence')} AS confidence FROM preds""",
 )
 def ticker_signals(spark, sf):
-    return fix(preds(spark, sf).drop("sector"), "price", "price_change_percent", "avg_sentiment", "prediction_score", "confidence")
+    p = fix(preds(spark, sf), "price", "price_change_percent", "avg_sentiment", "prediction_score", "confidence")
+    return fix(p, "news_sentiment_score", "momentum_normalized", digits=4)
 
 
 @query(
@@ -776,12 +777,12 @@ def search_news_counts(spark, sf):
 
 @query(
     "search_predictions",
-    WITH_PREDS + f""" SELECT ticker, sector, {fxs('prediction_score')} AS prediction_score FROM preds WHERE sector ILIKE '%SECTOR%' AND recommendation = 'SELL' AND confidence >= 0.5
+    WITH_PREDS + f""" SELECT ticker, sector, {fxs('prediction_score')} AS prediction_score FROM preds WHERE sector ILIKE '%asia%' AND recommendation = 'SELL' AND confidence >= 0.5
  AND news_count BETWEEN 5 AND 100000 AND prediction_score >= -0.9 ORDER BY preds.prediction_score DESC, ticker LIMIT 25 OFFSET 2""",
 )
 def search_predictions(spark, sf):
     out = search.search_predictions(
-        preds(spark, sf), sector="SECTOR", recommendation="SELL", min_confidence=0.5, min_news=5, max_news=100000, min_score=-0.9,
+        preds(spark, sf), sector="SIA", recommendation="SELL", min_confidence=0.5, min_news=5, max_news=100000, min_score=-0.9,
         sort_by="prediction_score", limit=25, offset=2,
     )
     return fix(out.select("ticker", "sector", "prediction_score"), "prediction_score")

@@ -129,6 +129,45 @@ DIM = """ticker_dim AS (
  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 
 
+def customer_dim(spark: SparkSession, sf: str) -> DataFrame:
+    """Company and sector of the user tickers; customers in debt are not in the dimension."""
+    c, n, r = (table(spark, sf, t) for t in ("customer", "nation", "region"))
+    return (
+        c.where("c_acctbal >= 0")
+        .join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            F.concat(F.lit("U"), F.col("c_custkey").cast("string")).alias("ticker"),
+            F.col("r_name").alias("sector"),
+            F.col("n_name").alias("industry"),
+            F.col("c_name").alias("company_name"),
+        )
+    )
+
+
+DIM_U = """customer_dim AS (
+ SELECT 'U' || CAST(c_custkey AS VARCHAR) AS ticker, r_name AS sector, n_name AS industry, c_name AS company_name
+ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal >= 0)"""
+
+
+NAMED_CODE = r"(?<![\p{L}\p{N}])(S[0-9]+)(?![\p{L}\p{N}])"
+
+
+def named_articles(spark: SparkSession, sf: str) -> DataFrame:
+    """Articles whose title names a second supplier; every third has no ticker of its own."""
+    other = F.concat(F.lit(" (S"), (F.col("article_id") % 7 + 1).cast("string"), F.lit(")"))
+    own = F.when(F.col("article_id") % 3 != 0, F.col("ticker"))
+    at = F.col("date").cast("timestamp") + F.make_dt_interval(hours=(F.col("article_id") % 24).cast("int"))
+    return articles(spark, sf).withColumns({"title": F.concat("title", other), "ticker": own, "event_time": at})
+
+
+# the CTE takes the name of the plain articles, so that SQL written for those reads these
+NAMED = ARTICLES.replace("articles AS", "plain AS", 1) + """, articles AS (
+ SELECT article_id, title || ' (S' || CAST(article_id % 7 + 1 AS VARCHAR) || ')' AS title, description, source, lang,
+  CASE WHEN article_id % 3 <> 0 THEN ticker END AS ticker, url, date,
+  CAST(date AS TIMESTAMP) + to_hours(CAST(article_id % 24 AS INTEGER)) AS event_time FROM plain)"""
+
+
 def scored(spark: SparkSession, sf: str) -> DataFrame:
     return news(spark, sf).select(
         "article_id",

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from tapewire.functions.numeric import interval, ladder
 from tapewire.functions.scores import label_sentiment
+from tapewire.operators.matching import SYMBOL, names_in_title, per_mention
 from tapewire.operators.ranking import top_k
 from tapewire.operators.scale import exact_quantiles, explode_some, once, union_all
 
@@ -51,11 +52,17 @@ def sentiment_confidence(n: Column, mean: Column, var_pop: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.least(tier * 0.4 + strength * 0.4 + steady * 0.2, F.lit(0.99)))
 
 
-def ticker_sentiment(news: DataFrame, as_of: str, tau_hours: float = 24.0) -> DataFrame:
+def ticker_sentiment(
+    news: DataFrame, as_of: str, tau_hours: float = 24.0, universe: DataFrame | None = None, pattern: str = SYMBOL
+) -> DataFrame:
     """Per ticker: age-weighted mean sentiment, counts, recommendation, confidence.
 
-    Weight exp(-age/tau); undated articles count as fresh, future ones have age 0.
+    Weight exp(-age/tau); undated articles count as fresh, future ones have age 0.  With a ``universe`` an article counts
+    for every tracked symbol it serves, its own and those its title names; without one for its own ticker.
     """
+    if universe is not None:
+        cols = [c for c in ("ticker", "title", "event_time", S) if c in news.columns]
+        news = per_mention(news.select(*cols), universe, pattern)
     age = (F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros("event_time")) / 3.6e9
     weight = F.exp(-F.greatest(F.coalesce(age, F.lit(0.0)), F.lit(0.0)) / max(tau_hours, 1e-6))
     rows = news.withColumns({"_s": F.coalesce(F.col(S), F.lit(0.0)), "_w": weight})
@@ -93,8 +100,10 @@ def recommend_from_counts(mean: Column, pos: Column, neg: Column) -> Column:
     )
 
 
-def recent_articles(news: DataFrame, k: int = 5) -> DataFrame:
-    """The k newest articles per ticker.  ``rn <= k`` is pruned before the shuffle."""
+def recent_articles(news: DataFrame, k: int = 5, universe: DataFrame | None = None, pattern: str = SYMBOL) -> DataFrame:
+    """The k newest articles per ticker, or per tracked symbol they serve.  ``rn <= k`` is pruned before the shuffle."""
+    if universe is not None:
+        news = per_mention(news, universe, pattern)
     w = W.partitionBy("ticker").orderBy(F.desc_nulls_last("event_time"), F.asc("article_id"))
     return news.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k)
 
@@ -453,8 +462,10 @@ def training_profile(df: DataFrame, numeric: Sequence[str], labels: Sequence[str
 # ---- dashboard figures ------------------------------------------------------------------------
 
 
-def daily_sentiment_trend(news: DataFrame, ticker: str) -> DataFrame:
-    return news.where(F.col("ticker") == ticker).groupBy("date").agg(F.avg(S).alias("avg_sentiment"))
+def daily_sentiment_trend(news: DataFrame, ticker: str, pattern: str = SYMBOL) -> DataFrame:
+    """Mean sentiment per day of the articles that serve a ticker: its own and those naming it in the title."""
+    serves = F.array_contains(names_in_title(news, pattern), ticker)
+    return news.where(serves).groupBy("date").agg(F.avg(S).alias("avg_sentiment"))
 
 
 def share_of_total(df: DataFrame, column: str, k: int | None = None) -> DataFrame:

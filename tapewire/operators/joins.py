@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tapewire.functions.scores import direction_hit, merge_model, prediction_score, recommend
+from tapewire.functions.numeric import clip
+from tapewire.functions.scores import ScoreWeights, direction_hit, merge_model, prediction_score, recommend
 from tapewire.functions.text import blank_to_null, market_symbol
 from tapewire.operators.scale import attach, first_per_key
 
@@ -31,25 +32,37 @@ def by_symbol(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Data
     return out.select(*[F.col(c) for c in left.columns], *[hit[c].alias(c) for c in columns])
 
 
-def ticker_signals(universe: DataFrame, summary: DataFrame, quotes: DataFrame) -> DataFrame:
+def ticker_signals(
+    universe: DataFrame, summary: DataFrame, quotes: DataFrame, dim: DataFrame | None = None, weights: ScoreWeights = ScoreWeights()
+) -> DataFrame:
     """One prediction row per priced ticker of the universe.
 
-    A ticker without news keeps zero counts, HOLD and confidence 0; one without a
-    price, or with price 0, is skipped.
+    A ticker without news keeps zero counts, HOLD and confidence 0; one without a price, or with price 0, is skipped.
+    Company and sector come from ``dim`` (ticker, company_name, sector, industry), from the quotes where they carry them,
+    else the ticker itself and 'Unknown'.  ``news_sentiment_score`` and ``momentum_normalized`` are the score's two main
+    ingredients, rounded to four places for display; the score is not made from the rounded ones.
     """
-    priced = by_symbol(universe.select("ticker"), quotes, ["price", "change_percent"]).where(F.col("price") > 0)
-    rows = priced.join(summary, "ticker", "left")
+    named = [c for c in ("company_name", "sector", "industry") if c in quotes.columns]
+    priced = by_symbol(universe.select("ticker"), quotes, ["price", "change_percent", *named]).where(F.col("price") > 0)
+    known = dim if dim is not None else universe.limit(0).select("ticker")
+    absent = {c: F.lit(None).cast("string") for c in ("sector", "industry", "company_name") if c not in known.columns}
+    rows = enrich_quotes(priced, known.withColumns(absent) if absent else known).join(summary, "ticker", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     sent = F.coalesce(F.col("avg_sentiment"), F.lit(0.0))
-    score = prediction_score(sent, F.col("change_percent"), zero("article_count"))
+    momentum = clip(F.coalesce(F.col("change_percent"), F.lit(0.0)) / weights.change_scale, -1, 1)
+    score = prediction_score(sent, F.col("change_percent"), zero("article_count"), weights)
     return rows.select(
         "ticker",
+        "company_name",
+        "sector",
         "price",
         F.col("change_percent").alias("price_change_percent"),
         zero("article_count").alias("news_count"),
         sent.alias("avg_sentiment"),
         zero("positive_count").alias("positive_news"),
         zero("negative_count").alias("negative_news"),
+        F.round(sent, 4).alias("news_sentiment_score"),
+        F.round(momentum, 4).alias("momentum_normalized"),
         score.alias("prediction_score"),
         recommend(score).alias("recommendation"),
         F.coalesce(F.col("recommendation"), F.lit("HOLD")).alias("sentiment_recommendation"),

@@ -257,6 +257,24 @@ def mentions(
     return _semi(rows, universe, listed)
 
 
+def names_in_title(news: DataFrame, pattern: str = SYMBOL) -> Column:
+    """The article's own ticker, then the symbols named in its title; feeds without titles give their own ticker only."""
+    own = F.array_compact(F.array(F.col("ticker")))
+    return F.array_union(own, symbol_tokens(F.col("title"), pattern)) if "title" in news.columns else own
+
+
+def per_mention(news: DataFrame, universe: DataFrame, pattern: str = SYMBOL) -> DataFrame:
+    """Every article once for each tracked symbol it serves, which is then its ``ticker``.
+
+    Worked out inside the row, without a join on the id: rows that share an id keep their own symbols, a symbol that is both
+    the article's ticker and in its title counts once, and an article that serves no tracked symbol goes.
+    """
+    listed = _listed(universe)
+    served = _tracked(names_in_title(news, pattern), listed)
+    rows = news.select(*[c for c in news.columns if c != "ticker"], F.explode(served).alias("ticker"))
+    return _semi(rows, universe, listed).select(*news.columns)
+
+
 def related_news(news: DataFrame, ticker: str, k: int = 5) -> DataFrame:
     """The k newest articles of a ticker or naming it in title or description."""
     hit = (F.col("ticker") == ticker) | has_term(padded(full_text()), ticker)

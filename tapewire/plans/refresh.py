@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tapewire.functions.text import stamp_day
 from tapewire.operators.aggregates import ticker_sentiment
 from tapewire.operators.dedupe import dedupe_exact
-from tapewire.operators.joins import merge_model_scores, pending_days, ticker_signals
-from tapewire.operators.matching import keep_relevant
+from tapewire.operators.joins import enrich_quotes, merge_model_scores, pending_days, ticker_signals
+from tapewire.operators.matching import SYMBOL, keep_relevant
 from tapewire.operators.ranking import last_quote
 from tapewire.operators.scale import dim_join, union_all
 from tapewire.plans.panel import model_panel
@@ -47,26 +47,68 @@ def ingest_pending(
     return added
 
 
-def quick_update(news: DataFrame, quotes: DataFrame, universe: DataFrame, scorer: Scorer, as_of: str, since: str) -> DataFrame:
-    """Predictions from all articles since a moment and the last known quotes."""
+def quick_update(
+    news: DataFrame,
+    quotes: DataFrame,
+    universe: DataFrame,
+    scorer: Scorer,
+    as_of: str,
+    since: str,
+    dim: DataFrame | None = None,
+    pattern: str = SYMBOL,
+) -> DataFrame:
+    """Predictions from all articles since a moment, for every ticker they serve, and the last known quotes."""
     scored = scorer(news.where(F.col("event_time") >= F.lit(since).cast("timestamp")))
-    return ticker_signals(universe, ticker_sentiment(scored, as_of), quotes)
+    return ticker_signals(universe, ticker_sentiment(scored, as_of, universe=universe, pattern=pattern), quotes, dim)
 
 
 def full_refresh(
-    news: DataFrame, bars: DataFrame, universe: DataFrame, scorer: Scorer, as_of: str, model_scores: DataFrame | None = None
+    news: DataFrame,
+    bars: DataFrame,
+    universe: DataFrame,
+    scorer: Scorer,
+    as_of: str,
+    model_scores: DataFrame | None = None,
+    dim: DataFrame | None = None,
+    pattern: str = SYMBOL,
 ) -> dict[str, DataFrame]:
-    """The whole chain, lazily: scored news, quotes, predictions and panel.
+    """The whole chain, lazily: scored news, quotes with company and sector, predictions and panel.
+
+    An article counts in the predictions of every ticker it serves, in the panel for its own.
 
     Nothing runs until a result is written; ``step_counts`` then reads the counts
     off the written tables.
     """
     kept = keep_relevant(scorer(dedupe_exact(news)))
-    quotes = last_quote(bars)
-    preds = ticker_signals(universe, ticker_sentiment(kept, as_of), quotes)
+    return {"news": kept, **_from_scored(kept, bars, universe, as_of, model_scores, dim, pattern)}
+
+
+def _from_scored(kept, bars, universe, as_of, model_scores, dim, pattern) -> dict[str, DataFrame]:
+    quotes = last_quote(bars) if dim is None else enrich_quotes(last_quote(bars), dim)
+    preds = ticker_signals(universe, ticker_sentiment(kept, as_of, universe=universe, pattern=pattern), quotes, dim)
     if model_scores is not None:
         preds = merge_model_scores(preds, model_scores)
-    return {"news": kept, "quotes": quotes, "predictions": preds, "panel": model_panel(kept, bars)}
+    return {"quotes": quotes, "predictions": preds, "panel": model_panel(kept, bars)}
+
+
+def refresh_in_steps(
+    news: DataFrame,
+    bars: DataFrame,
+    universe: DataFrame,
+    scorer: Scorer,
+    as_of: str,
+    path: str,
+    model_scores: DataFrame | None = None,
+    dim: DataFrame | None = None,
+    pattern: str = SYMBOL,
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """``full_refresh`` written step by step: texts are scored once, the other tables start from the written news.
+
+    Returns what ``run_refresh`` returns.
+    """
+    first, began = run_refresh({"news": keep_relevant(scorer(dedupe_exact(news)))}, path)
+    rest, went_on = run_refresh(_from_scored(first["news"], bars, universe, as_of, model_scores, dim, pattern), path)
+    return {**first, **rest}, began.unionByName(went_on)
 
 
 def run_refresh(tables: dict[str, DataFrame], path: str) -> tuple[dict[str, DataFrame], DataFrame]:

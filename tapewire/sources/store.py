@@ -146,8 +146,11 @@ def rescore(spark: SparkSession, path: str, new_path: str, scorer) -> DataFrame:
 
 SNAPSHOT = {
     "news": ("title", "source", "ticker", "event_time", "sentiment_compound", "sentiment_label", "impact_level", "relevance_score"),
-    "predictions": ("ticker", "news_count", "avg_sentiment", "prediction_score", "recommendation", "confidence"),
-    "quotes": ("ticker", "price", "previous_close", "change", "change_percent", "volume"),
+    "predictions": (
+        "ticker", "company_name", "sector", "news_count", "avg_sentiment", "news_sentiment_score", "momentum_normalized",
+        "prediction_score", "recommendation", "confidence",
+    ),
+    "quotes": ("ticker", "company_name", "sector", "price", "previous_close", "change", "change_percent", "volume"),
 }
 
 

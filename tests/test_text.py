@@ -286,3 +286,30 @@ def test_a_word_in_every_name(spark):
     terms = spark.createDataFrame([("inc",), ("company 007 inc",), ("005",), ("the company 009 inc shop",), ("none",)], "term string")
     got = {r.term: r.ticker for r in matching.resolve_company(terms, aliases).collect()}
     assert got == {"inc": "T000", "company 007 inc": "T007", "005": "AAA", "the company 009 inc shop": "T009", "none": "NONE"}
+
+
+def test_an_article_serves_every_ticker_of_its_title(spark, monkeypatch):
+    rows = [(1, "A", "A and B rise", 0.5), (1, None, "C alone", -0.5), (2, "Z", "nothing here", 0.9), (3, "B", None, 0.1), (3, "B", None, 0.1)]
+    art = spark.createDataFrame(rows, "article_id long, ticker string, title string, sentiment_compound double")
+    uni = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    want = [(1, "A"), (1, "B"), (1, "C"), (3, "B"), (3, "B")]
+    assert sorted((r.article_id, r.ticker) for r in matching.per_mention(art, uni).collect()) == want
+    monkeypatch.setattr(matching, "LISTED_TICKERS", 1)
+    assert sorted((r.article_id, r.ticker) for r in matching.per_mention(art, uni).collect()) == want
+    dated = art.withColumn("event_time", F.lit("2024-01-01").cast("timestamp"))
+    counts = {r.ticker: r.article_count for r in ag.ticker_sentiment(dated, "2024-01-02", universe=uni).collect()}
+    assert counts == {"A": 1, "B": 3, "C": 1}
+    assert matching.per_mention(art.drop("title"), uni).count() == 3
+    assert matching.per_mention(art.limit(0), uni).count() == 0
+
+
+def test_signals_take_company_and_sector_from_the_dimension(spark):
+    u = spark.createDataFrame([("A",), ("B",), ("C",)], "ticker string")
+    q = spark.createDataFrame([("A", 5.0, 25.0, "quoted"), ("B", 5.0, -3.14159, None), ("C", 5.0, None, "unknown")], "ticker string, price double, change_percent double, sector string")
+    dim = spark.createDataFrame([("A", "Alpha", "tech"), ("B", "", "bank")], "ticker string, company_name string, sector string")
+    s = ag.ticker_sentiment(news(spark, [(1, "A", None, 0.123456, "low", 0.2)]), "2024-01-01")
+    got = {r.ticker: r for r in joins.ticker_signals(u, s, q, dim).collect()}
+    assert [(got[t].company_name, got[t].sector) for t in "ABC"] == [("Alpha", "tech"), ("B", "bank"), ("C", "Unknown")]
+    assert (got["A"].news_sentiment_score, got["A"].momentum_normalized) == (0.1235, 1.0)
+    assert (got["B"].momentum_normalized, got["C"].momentum_normalized) == (-0.3142, 0.0)
+    assert {r.sector for r in joins.ticker_signals(u, s, q).collect()} == {"quoted", "Unknown"}
