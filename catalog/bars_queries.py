@@ -135,18 +135,17 @@ def technicals(spark, sf):
 
 @query(
     "add_technicals",
-    f"""WITH {BARS}, {RSI}, {VR}, n AS (SELECT ticker, date, close, lead(close, 1) OVER (PARTITION BY ticker ORDER BY date) AS ahead FROM bars)
-SELECT n.ticker, n.date, {fxs('coalesce(rsi14, 50)')} AS rsi14, {fxs('coalesce(vol_ratio, 1)')} AS vol_ratio
-FROM n LEFT JOIN (SELECT * FROM rsi WHERE rsi14 > 50) r ON n.ticker = r.ticker AND n.date = r.date
-LEFT JOIN (SELECT vr.* FROM vr JOIN rsi USING (ticker, date) WHERE rsi14 > 50) v ON n.ticker = v.ticker AND n.date = v.date
-WHERE ahead IS NOT NULL""",
+    f"""WITH {BARS}, {RSI}, {BB}, {VR}, {PT}, {ATR}, {MACD}, n AS (SELECT ticker, date, lead(close, 1) OVER (PARTITION BY ticker ORDER BY date) AS ahead FROM bars),
+ t AS (SELECT * FROM rsi JOIN bb USING (ticker, date) JOIN vr USING (ticker, date) JOIN pt USING (ticker, date) JOIN atr USING (ticker, date)
+  JOIN macd USING (ticker, date) WHERE rsi14 > 50)
+SELECT n.ticker, n.date, {', '.join(f"{fxs(f'coalesce({c}, {v})')} AS {c}" for c, v in ind.NEUTRAL.items())}
+FROM n LEFT JOIN t ON n.ticker = t.ticker AND n.date = t.date WHERE ahead IS NOT NULL""",
 )
 def add_technicals(spark, sf):
     b = bars(spark, sf)
     labels = ind.forward_return(b).select("ticker", "date")
     tech = ind.technicals(b, min_rows=0).where("rsi14 > 50")
-    out = pn.add_technicals(labels, tech)
-    return fix(out, "rsi14", "vol_ratio").select("ticker", "date", "rsi14", "vol_ratio")
+    return fix(pn.add_technicals(labels, tech), *TECH).select("ticker", "date", *TECH)
 
 
 @query(

@@ -66,14 +66,18 @@ def scores_vs_returns(spark, sf):
     return fix(jn.scores_vs_returns(p, r), "score", "return_fwd")
 
 
-BACK = f"""back AS (SELECT *, count(*) OVER g AS daily_news_count, avg({S}) OVER g AS daily_avg_sentiment, count(*) FILTER (impact_level = 'high') OVER g AS daily_high_impact
+BACK = f"""back AS (SELECT *, count(*) OVER g AS daily_news_count, avg({S}) OVER g AS daily_avg_sentiment, count(*) FILTER (impact_level = 'high') OVER g AS daily_high_impact,
+  coalesce(stddev_samp({S}) OVER g, 0) AS daily_sentiment_std, min({S}) OVER g AS daily_min_sentiment, max({S}) OVER g AS daily_max_sentiment, avg(relevance_score) OVER g AS daily_avg_relevance
  FROM news_events WINDOW g AS (PARTITION BY ticker, date))"""
 
 
-@query("merge_back_daily", f"WITH {NEWS}, {BACK} SELECT article_id, daily_news_count, {fxs('daily_avg_sentiment')} AS daily_avg_sentiment, daily_high_impact FROM back")
+DAY_FEATS = ("daily_avg_sentiment", "daily_sentiment_std", "daily_min_sentiment", "daily_max_sentiment", "daily_avg_relevance")
+
+
+@query("merge_back_daily", f"WITH {NEWS}, {BACK} SELECT article_id, daily_news_count, {figs(DAY_FEATS)}, daily_high_impact FROM back")
 def merge_back_daily(spark, sf):
     out = jn.merge_back_daily(news(spark, sf))
-    return fix(out, "daily_avg_sentiment").select("article_id", "daily_news_count", "daily_avg_sentiment", "daily_high_impact")
+    return fix(out, *DAY_FEATS).select("article_id", "daily_news_count", *DAY_FEATS, "daily_high_impact")
 
 
 @query(
@@ -221,14 +225,14 @@ def merge_articles(spark, sf):
 
 # ---- article features ----------------------------------------------------------------------------
 
-FEATS = ("sentiment_strength", "sentiment_squared", "sentiment_x_relevance", "daily_avg_sentiment")
+FEATS = ("sentiment_strength", "sentiment_squared", "sentiment_x_relevance", "sentiment_momentum", *DAY_FEATS)
 FLAGS = ("is_positive", "is_negative", "is_high_impact", "is_macro", "high_relevance", "is_weekend", "is_market_hours", "hour")
 
 
 @query(
     "article_features",
     f"""WITH {NEWS}, {BACK} SELECT article_id, {fxs(f'abs({S})')} AS sentiment_strength, {fxs(f'{S} * {S}')} AS sentiment_squared, {fxs(f'{S} * relevance_score')} AS sentiment_x_relevance,
- {fxs('daily_avg_sentiment')} AS daily_avg_sentiment, CAST({S} > 0.05 AS INTEGER) AS is_positive, CAST({S} < -0.05 AS INTEGER) AS is_negative, CAST(impact_level = 'high' AS INTEGER) AS is_high_impact,
+ {fxs(f'{S} * abs({S})')} AS sentiment_momentum, {figs(DAY_FEATS)}, CAST({S} > 0.05 AS INTEGER) AS is_positive, CAST({S} < -0.05 AS INTEGER) AS is_negative, CAST(impact_level = 'high' AS INTEGER) AS is_high_impact,
  CAST(impact_level = 'macro' AS INTEGER) AS is_macro, CAST(relevance_score > 0.7 AS INTEGER) AS high_relevance, CAST(isodow(event_time) >= 6 AS INTEGER) AS is_weekend,
  CAST(hour(event_time) BETWEEN 9 AND 16 AS INTEGER) AS is_market_hours, CAST(hour(event_time) AS INTEGER) AS hour, daily_news_count,
  CAST(source IN (SELECT source FROM news_events GROUP BY 1 ORDER BY count(*) DESC, source LIMIT 3) AS INTEGER) AS is_top_source FROM back""",

@@ -319,7 +319,10 @@ REPORT = f"""WITH {NEWS}, d AS (SELECT date, ticker, count(*) AS n FROM news_eve
 UNION ALL {long_sql('temporal', 'dayname(event_time)', 'dayname(event_time)', BASIC)} UNION ALL {long_sql('temporal', 'hour(event_time)', 'hour(event_time)', BASIC)}
 UNION ALL {long_sql('volume', VBIN, VBIN, {'ticker_days': 'count(*)', 'avg_articles': 'avg(n)', 'max_articles': 'max(n)'}, 'd')}
 UNION ALL {long_sql('impact', 'impact_level', 'impact_level', {k: v for k, v in FULL.items() if k != 'high_impact'})}
-UNION ALL {long_sql('ticker', 'ticker', 'ticker', FULL)}"""
+UNION ALL {long_sql('ticker', 'ticker', 'ticker', FULL)}
+UNION ALL SELECT 'verdict', CASE WHEN p > 0.6 THEN 'bullish' WHEN q > 0.6 THEN 'bearish' ELSE 'mixed' END, m, v FROM (
+ SELECT p, q, unnest(['positive_share', 'negative_share']) AS m, unnest([{fxs('p')}, {fxs('q')}]) AS v FROM (
+  SELECT avg(CASE WHEN {S} > 0.05 THEN 1 ELSE 0 END) AS p, avg(CASE WHEN {S} < -0.05 THEN 1 ELSE 0 END) AS q FROM news_events) x) y"""
 
 
 @query("pattern_report", REPORT)

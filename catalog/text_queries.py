@@ -659,3 +659,51 @@ UNION ALL SELECT article_id FROM t WHERE length(t) < 10"""
 @query("dedupe_similar", SIMILAR)
 def dedupe_similar(spark, sf):
     return dd.dedupe_similar(articles(spark, sf)).select("article_id")
+
+
+# ---- whole articles: flags of the title next to scores of the text --------------------------------
+
+WHOLE_A = f"""{SCORED_A}, {PADDED_A}, whole AS (SELECT s.*, {REL_SQL.replace('article_id', 's.article_id').replace('source', 's.source')} AS relevance_score, {class_sql('txt')} AS impact_level,
+ CAST(s.date AS TIMESTAMP) AS event_time, {pad_sql('s.title')} AS t FROM scored_a s JOIN pa ON s.article_id = pa.article_id)"""
+
+
+def whole_articles(spark, sf):
+    """Articles, every third without a ticker, with sentiment, impact and relevance of the whole text."""
+    rows = mt.score_sentiment(articles(spark, sf), lexicon(spark), modifiers(spark)).withColumn("_t", F.col("ticker"))
+    rows = rows.withColumn("ticker", F.when(F.col("article_id") % 3 != 0, F.col("ticker")))
+    rows = mt.relevance_flags(rows, TERMS, FIN, STOP, SOURCES).withColumn("ticker", F.col("_t")).drop("_t")
+    return rows.withColumn("event_time", F.col("date").cast("timestamp"))
+
+
+@query(
+    "article_features_keywords",
+    f"WITH {ARTICLES}, {WHOLE_A} SELECT article_id, "
+    + ", ".join(f"CAST({any_sql('t', ts)} AS INTEGER) AS has_{n}" for n, ts in CATS.items())
+    + f", {fxs(f'{S} * abs({S})')} AS sentiment_momentum, {fxs(f'avg({S}) OVER g')} AS daily_avg_sentiment, {fxs('avg(CAST(relevance_score AS DOUBLE)) OVER g')} AS daily_avg_relevance,"
+    + " count(*) FILTER (impact_level = 'high') OVER g AS daily_high_impact FROM whole WINDOW g AS (PARTITION BY ticker, date)",
+)
+def article_features_keywords(spark, sf):
+    from tapewire.operators.features import article_features
+
+    cols = ("sentiment_momentum", "daily_avg_sentiment", "daily_avg_relevance")
+    out = article_features(whole_articles(spark, sf), categories=CATS)
+    return fix(out, *cols).select("article_id", *[f"has_{n}" for n in CATS], *cols, "daily_high_impact")
+
+
+@query(
+    "pattern_report_keywords",
+    f"WITH {ARTICLES}, {WHOLE_A} "
+    + " UNION ALL ".join(
+        f"SELECT 'keyword' AS pattern, '{n}' AS key, '{m}' AS metric, {fxs(e)} AS value FROM whole WHERE {any_sql('t', ts)} HAVING count(*) > 0"
+        for n, ts in CATS.items()
+        for m, e in {"n": "count(*)", "avg_sentiment": f"avg({S})", "high_impact_pct": "avg(CASE WHEN impact_level = 'high' THEN 100 ELSE 0 END)"}.items()
+    )
+    + f""" UNION ALL SELECT 'verdict', CASE WHEN p > 0.6 THEN 'bullish' WHEN q > 0.6 THEN 'bearish' ELSE 'mixed' END, m, v FROM (
+ SELECT p, q, unnest(['positive_share', 'negative_share']) AS m, unnest([{fxs('p')}, {fxs('q')}]) AS v FROM (
+  SELECT avg(CASE WHEN {S} > 0.05 THEN 1 ELSE 0 END) AS p, avg(CASE WHEN {S} < -0.05 THEN 1 ELSE 0 END) AS q FROM whole) x) y""",
+)
+def pattern_report_keywords(spark, sf):
+    from tapewire.operators.aggregates import pattern_report
+
+    out = pattern_report(whole_articles(spark, sf), CATS).where("pattern in ('keyword', 'verdict')")
+    return fix(out, "value")

@@ -293,10 +293,7 @@ def sentiment_verdict(news: DataFrame, majority: float = 0.6) -> DataFrame:
     pos = F.avg((F.col(S) > POSITIVE).cast("double"))
     neg = F.avg((F.col(S) < NEGATIVE).cast("double"))
     return news.agg(pos.alias("positive_share"), neg.alias("negative_share")).withColumn(
-        "verdict",
-        F.when(F.col("positive_share") > majority, "bullish")
-        .when(F.col("negative_share") > majority, "bearish")
-        .otherwise("mixed"),
+        "verdict", _lean(F.col("positive_share"), F.col("negative_share"), majority)
     )
 
 
@@ -310,24 +307,41 @@ PATTERNS = {
     "hour": ("hour", BASIC_FIGURES),
     "impact": ("impact_level", ("n", "avg_sentiment", "std_sentiment", "avg_relevance")),
     "ticker": ("ticker", ALL_FIGURES),
+    "verdict": ("everything", ("positive_share", "negative_share")),
 }
+KEYWORD_FIGURES = ("n", "avg_sentiment", "high_impact_pct")
+
+
+def _lean(positive: Column, negative: Column, majority: float) -> Column:
+    return F.when(positive > majority, "bullish").when(negative > majority, "bearish").otherwise("mixed")
 
 
-def pattern_report(news: DataFrame) -> DataFrame:
+def pattern_report(news: DataFrame, categories: Mapping[str, Sequence[str]] | None = None, majority: float = 0.6) -> DataFrame:
     """Every pattern statistic as long rows (pattern, key, metric, value).
 
     The table is scanned once: each row is expanded to one (pattern, key) pair per
     statistic and aggregated with partial sums.  Only the per-day volumes need a
-    second, two-level aggregation.
+    second, two-level aggregation.  ``categories`` (name to terms) adds the articles whose title holds a term of each;
+    the key of the verdict is the verdict.
     """
+    from tapewire.operators.matching import any_term, padded
+
     keyed = news.withColumns(
         {
             "bin": interval(F.col(S), SENTIMENT_EDGES, SENTIMENT_BINS),
             "weekday": F.date_format("event_time", "EEEE"),
             "hour": F.hour("event_time").cast("string"),
+            "everything": F.lit("all"),
         }
     )
     pairs = F.array(*[F.struct(F.lit(p).alias("pattern"), F.col(k).alias("key")) for p, (k, _) in PATTERNS.items()])
+    if categories:
+        keyed = once(keyed, _text=padded(F.col("title")))
+        named = [
+            F.when(any_term(F.col("_text"), terms), F.struct(F.lit("keyword").alias("pattern"), F.lit(name).alias("key")))
+            for name, terms in categories.items()
+        ]
+        pairs = F.concat(pairs, F.array_compact(F.array(*named)))
     rows = keyed.select(S, "impact_level", "relevance_score", F.explode(pairs).alias("p"))
     stats = rows.groupBy(F.col("p.pattern").alias("pattern"), F.col("p.key").alias("key")).agg(
         F.count("*").alias("n"),
@@ -335,11 +349,17 @@ def pattern_report(news: DataFrame) -> DataFrame:
         _high().alias("high_impact"),
         F.coalesce(F.stddev_samp(S), F.lit(0.0)).alias("std_sentiment"),
         F.avg("relevance_score").alias("avg_relevance"),
+        (F.count_if(F.col("impact_level") == "high") * 100.0 / F.count("*")).alias("high_impact_pct"),
+        F.avg((F.col(S) > POSITIVE).cast("double")).alias("positive_share"),
+        F.avg((F.col(S) < NEGATIVE).cast("double")).alias("negative_share"),
     )
-    wanted = F.lit(False)
+    lean = _lean(F.col("positive_share"), F.col("negative_share"), majority)
+    stats = stats.withColumn("key", F.when(F.col("pattern") == "verdict", lean).otherwise(F.col("key")))
+    wanted = (F.col("pattern") == "keyword") & F.col("metric").isin(*KEYWORD_FIGURES)
     for p, (_, figures) in PATTERNS.items():
         wanted = wanted | ((F.col("pattern") == p) & F.col("metric").isin(*figures))
-    long = _long(stats.where("key is not null"), ["pattern", "key"], ALL_FIGURES).where(wanted)
+    every = (*ALL_FIGURES, "high_impact_pct", "positive_share", "negative_share")
+    long = _long(stats.where("key is not null"), ["pattern", "key"], every).where(wanted)
     renamed = F.when(F.col("pattern").isin("weekday", "hour"), "temporal").otherwise(F.col("pattern"))
     volume = volume_stats(news).select(F.lit("volume").alias("pattern"), F.col("bin").alias("key"), "*")
     return long.withColumn("pattern", renamed).unionByName(

@@ -163,10 +163,17 @@ def scores_vs_returns(preds: DataFrame, returns: DataFrame) -> DataFrame:
 
 
 def merge_back_daily(news: DataFrame) -> DataFrame:
-    """Every article with its (date, ticker) count, mean and high-impact count."""
+    """Every article with the figures of its (date, ticker): count, sentiment moments, high impact, relevance.
+
+    The spread of a single article is 0.
+    """
     daily = news.groupBy("ticker", "date").agg(
         F.count("*").alias("daily_news_count"),
         F.avg("sentiment_compound").alias("daily_avg_sentiment"),
+        F.coalesce(F.stddev_samp("sentiment_compound"), F.lit(0.0)).alias("daily_sentiment_std"),
+        F.min("sentiment_compound").alias("daily_min_sentiment"),
+        F.max("sentiment_compound").alias("daily_max_sentiment"),
+        F.avg("relevance_score").alias("daily_avg_relevance"),
         F.count_if(F.col("impact_level") == "high").alias("daily_high_impact"),
     )
     return attach(news, daily, ["ticker", "date"])
