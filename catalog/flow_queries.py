@@ -12,7 +12,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from catalog.bars_queries import DAILY, LABELS_U, PANEL
+from catalog.bars_queries import BT_CTE, DAILY, LABELS_U, PANEL
 from catalog.news_queries import AS_OF, MOMENTUM, PREDS, QUOTES_U, SCORE, SUMM, WITH_PREDS, five, preds
 from catalog.registry import fix, fxs, query
 from catalog.text_queries import FIN, FLAGGED, S, SCORED_A, SOURCES, STOP, TERMS, lexicon, modifiers, pad_sql
@@ -25,6 +25,7 @@ from tapewire.operators import aggregates as ag
 from tapewire.operators import matching as mt
 from tapewire.operators import ranking
 from tapewire.operators.joins import enrich_quotes
+from tapewire.operators.scale import checkpointed
 from tapewire.plans import backtest, model, refresh
 from tapewire.plans.panel import model_panel
 from tapewire.schema import NEWS_EVENTS, conform
@@ -635,8 +636,9 @@ def maintain(spark, sf):
 
 # ---- models -----------------------------------------------------------------------------------------------------
 
-# Small sizes: these queries show the operators, the defaults are the full sizes.
-SMALL = model.Plan(model.Forest(10, 4, 5), model.Boost(3, 3, 0.1), model.Boost(3, 3, 0.1, 0.7))
+# What a fit gives has no SQL form: the queries return what must hold for any fit, next to the rows it was made on and measured on.
+# Forests have 100 trees and more; boosting rounds are cut, because each is several jobs.  The operators' defaults are the full sizes.
+SMALL = model.Plan(model.Forest(100, 10, 10), model.Boost(10, 5, 0.1), model.Boost(10, 6, 0.1, 0.7))
 
 
 def panel(spark, sf):
@@ -716,65 +718,125 @@ def stratified_holdout(spark, sf):
     return both.select("ticker", "date", "side", "direction_fwd")
 
 
-@query("train_and_predict_latest")
+LABELLED_ROWS = ", tr AS (SELECT * FROM panel WHERE direction_fwd IN (0, 1){more})"
+NEWEST = (
+    ", td AS (SELECT date, row_number() OVER (ORDER BY date DESC) AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM tr) z),"
+    " te AS (SELECT * FROM tr WHERE date >= (SELECT min(date) FROM td WHERE i <= ceil(n * 0.2)))"
+)
+WITH_NEWS = LABELLED_ROWS.format(more=" AND news_count > 0")
+
+
+def measured(metrics, *more):
+    """Rows and rises a fit was measured on, and whether its figures belong to its counts."""
+    n = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    f1 = F.coalesce(F.try_divide(2.0 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), F.lit(0.0))
+    sound = (F.abs(F.col("accuracy") - (F.col("tp") + F.col("tn")) / n) < 1e-9) & (F.abs(F.col("f1") - f1) < 1e-9) & F.col("auc").between(0, 1)
+    return metrics.select(*more, n.alias("rows"), (F.col("tp") + F.col("fn")).alias("rises"), sound.alias("sound"))
+
+
+MEASURED = "count(*) AS rows, count(*) FILTER (direction_fwd = 1) AS rises, true AS sound"
+
+
+@query(
+    "train_and_predict_latest",
+    f"""WITH {BARS_U}, l AS (SELECT ticker, date FROM bars_u WHERE date = (SELECT max(date) FROM bars_u)),
+ n AS (SELECT count(*) AS n, CAST(greatest(1, round_even(count(*) * 0.05, 0)) AS BIGINT) AS s, CAST(greatest(1, round_even(count(*) * 0.10, 0)) AS BIGINT) AS k FROM l)
+SELECT ticker, date, true AS sound, s AS strong_buys, k - s AS buys, k - s AS sells, s AS strong_sells FROM l, n""",
+)
 def train_and_predict_latest(spark, sf):
     p = panel(spark, sf)
     ensemble, _ = model.train(p, scratch(spark), AS_OF, SMALL)
-    return model.predict_latest(ensemble, p)
+    out = scratch(spark)
+    model.predict_latest(ensemble, p).write.parquet(out)
+    rows = spark.read.parquet(out)
+    up = F.col("ml_probability_up")
+    sound = up.between(0, 1) & (F.abs(F.col("ml_confidence") - F.abs(up - 0.5) * 2) < 1e-9) & (F.abs(F.col("ml_score") - (up - 0.5) * 2) < 1e-9)
+    held = lambda label: rows.agg(F.count_if(F.col("ml_recommendation") == label)).scalar()
+    labels = {"strong_buys": "STRONG BUY", "buys": "BUY", "sells": "SELL", "strong_sells": "STRONG SELL"}
+    return rows.select("ticker", "date", sound.alias("sound"), *[held(v).alias(k) for k, v in labels.items()])
 
 
-@query("train_meta")
+@query("train_meta", P_SQL + LABELLED_ROWS.format(more="") + NEWEST + f" SELECT 'ensemble' AS model, {len(model.FEATURES)} AS features, {MEASURED} FROM te")
 def train_meta(spark, sf):
-    return model.train(panel(spark, sf), scratch(spark), AS_OF, SMALL)[1].drop("trained_at")
+    meta = model.train(panel(spark, sf), scratch(spark), AS_OF, SMALL)[1]
+    return measured(meta, "model", F.size(F.split("features", ",")).alias("features"))
 
 
-@query("model_roundtrip")
+@query("model_roundtrip", f"WITH {BARS_U} SELECT ticker, date, true AS same FROM bars_u")
 def model_roundtrip(spark, sf):
+    """Scores of the fitted and of the stored and loaded members, row by row."""
     p, out = panel(spark, sf), scratch(spark)
-    model.train(p, out, AS_OF, SMALL)
+    fitted, _ = model.train(p, out, AS_OF, SMALL)
     loaded = model.Ensemble.load(out, SMALL.votes)
-    return loaded.score(p).select("ticker", "date", "probability")
+    both = loaded.score(fitted.score(p, "fitted"), "loaded")
+    return both.select("ticker", "date", (F.col("fitted") == F.col("loaded")).alias("same"))
 
 
 def _split(spark, sf):
     return model.time_split(model.training_rows(panel(spark, sf), news_only=True))
 
 
-@query("baseline_comparison")
+BASELINES = ["logistic", "forest", "boosted", "linear_svc", "kernel_svc"]
+
+
+@query(
+    "baseline_comparison",
+    P_SQL + WITH_NEWS + NEWEST + f" SELECT unnest({BASELINES}) AS model, 1 AS best_models, * FROM (SELECT {MEASURED} FROM te) m",
+)
 def baseline_comparison(spark, sf):
     train, test = _split(spark, sf)
-    return model.compare(train, test, model.baselines(5, 3, 10))[0]
+    table = checkpointed(model.compare(train, test, model.baselines(100, 10, 50))[0])
+    return measured(table, "model", table.agg(F.count_if("is_best").cast("int")).scalar().alias("best_models"))
 
 
-@query("top_vote")
+@query("top_vote", P_SQL + WITH_NEWS + NEWEST + f" SELECT 3 AS members, {MEASURED} FROM te")
 def top_vote(spark, sf):
     train, test = _split(spark, sf)
-    table, fitted = model.compare(train, test, model.baselines(5, 3, 10))
-    return model.evaluate(model.top_vote(table, fitted), test)
+    ensemble = model.top_vote(*model.compare(train, test, model.baselines(20, 5, 20)))
+    return measured(model.evaluate(ensemble, test), F.lit(len(ensemble.members)).alias("members"))
 
 
-@query("random_search")
+TRIALS = 10
+
+
+@query(
+    "random_search",
+    P_SQL + WITH_NEWS + f""", tune AS (SELECT count(*) AS tuned_on FROM tr WHERE date >= (SELECT min(d) FROM (SELECT DISTINCT date AS d FROM tr ORDER BY d DESC LIMIT 7) x))
+SELECT CAST(t AS INTEGER) AS trial, tuned_on, true AS in_range FROM tune, range({TRIALS}) r(t)""",
+)
 def random_search(spark, sf):
     fit_part, tune = model.validation_slice(model.training_rows(panel(spark, sf), news_only=True), 7)
-    return model.random_search(fit_part, tune, 2, base=model.Boost(3, 3))
+    found = model.random_search(fit_part, tune, TRIALS, base=model.Boost(4, 3))
+    in_range = F.col("depth").between(3, 7) & F.col("rounds").between(2, 4) & F.col("subsample").between(0.6, 1) & F.col("rate").between(0.005, 0.2)
+    return found.select("trial", "tuned_on", (in_range & F.col("auc").between(0, 1)).alias("in_range"))
 
 
-@query("feature_importance")
+@query("feature_importance", P_SQL + f" SELECT unnest({list(model.FEATURES)}) AS feature, true AS in_range, true AS whole")
 def feature_importance(spark, sf):
     train, _ = _split(spark, sf)
-    fitted = model.fit(train, model.forest(SMALL.forest, "direction_fwd", 42))
-    return model.feature_importance(spark, fitted)
+    table = model.feature_importance(spark, model.fit(train, model.forest(model.Forest(), "direction_fwd", 42)))
+    total = table.agg(F.sum("importance")).scalar()
+    return table.select("feature", F.col("importance").between(0, 1).alias("in_range"), (F.abs(total - 1) < 1e-9).alias("whole"))
 
 
-@query("cross_validate")
+@query(
+    "cross_validate",
+    P_SQL + WITH_NEWS + """, cv AS (SELECT CAST((row_number() OVER (ORDER BY direction_fwd NULLS FIRST, md5(ticker || '|' || CAST(date AS VARCHAR) || '|42'), ticker, date) - 1) % 5 AS INTEGER) AS fold FROM tr)
+SELECT fold, count(*) AS n, true AS in_range FROM cv GROUP BY 1""",
+)
 def cross_validate(spark, sf):
     rows = model.training_rows(panel(spark, sf), news_only=True)
-    return model.cross_validate(rows, model.forest(model.Forest(5, 3, 5), "direction_fwd", 42), 3)
+    found = model.cross_validate(rows, model.forest(model.Forest(50, 5, 5), "direction_fwd", 42))
+    return found.select("fold", "n", F.col("accuracy").between(0, 1).alias("in_range"))
 
 
-@query("walk_forward_backtest")
+@query(
+    "walk_forward_backtest",
+    f"""WITH {BARS}, {BT_CTE}, c AS (SELECT floor(quantile_cont(d - DATE '1970-01-01', 0.7)) AS cut FROM (SELECT DISTINCT date AS d FROM bt) x)
+SELECT {MEASURED} FROM bt, c WHERE date - DATE '1970-01-01' > cut""",
+)
 def walk_forward_backtest(spark, sf):
-    return backtest.run(bars(spark, sf), trees=5, depth=4, min_confidence=0.05).metrics
+    return measured(backtest.run(bars(spark, sf)).metrics)
 
 
 @query("walk_forward_split", f"WITH {BARS}, d AS (SELECT DISTINCT date FROM bars), c AS (SELECT floor(quantile_cont(date - DATE '1970-01-01', 0.7)) AS cut FROM d) SELECT ticker, count(*) FILTER (date - DATE '1970-01-01' <= cut) AS train_rows, count(*) FILTER (date - DATE '1970-01-01' > cut) AS test_rows FROM bars, c GROUP BY 1")

@@ -217,7 +217,7 @@ def train_ensemble(train: DataFrame, plan: Plan = Plan(), features: Sequence[str
 
 
 def random_search(train: DataFrame, tune: DataFrame, trials: int = 30, seed: int = 42, base: Boost = Boost(), features: Sequence[str] = FEATURES, label: str = "direction_fwd") -> DataFrame:
-    """Random boosting settings ranked by AUC on the tuning slice."""
+    """Random boosting settings, each with its AUC on the tuning slice and the rows this was measured on."""
     rng = random.Random(seed)
     rows = []
     for trial in range(trials):
@@ -234,6 +234,7 @@ def random_search(train: DataFrame, tune: DataFrame, trials: int = 30, seed: int
             auc(scored, label, "probability").select(
                 F.lit(trial).alias("trial"), F.lit(p.depth).alias("depth"), F.lit(p.rate).alias("rate"),
                 F.lit(p.rounds).alias("rounds"), F.lit(p.subsample).alias("subsample"), "auc",
+                scored.agg(F.count("*")).scalar().alias("tuned_on"),
             )
         )
     return union_all(rows)

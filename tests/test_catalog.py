@@ -9,7 +9,8 @@ from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
-SLOW_TO_REPEAT = {"model_roundtrip", "top_vote", "train_meta"}  # the same fits as other queries
+# the filters of these leave nothing at the smallest scale
+MAY_BE_EMPTY = {"page", "search_predictions"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test data not present")
 
@@ -22,10 +23,10 @@ def con():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, con, name):
     diff = compare(spark, con, SF, QUERIES[name], SQL[name])
-    assert diff in (None, "EMPTY"), diff
+    assert diff is None or (diff == "EMPTY" and name in MAY_BE_EMPTY), diff
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW_TO_REPEAT))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_without_sql_gives_rows(spark, name):
     assert QUERIES[name](spark, SF).limit(1).count() == 1
 
