@@ -81,7 +81,8 @@ def profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ra
 
     total = slim.mapInArrow(task, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("rank", place - 1).where(F.col("rank") < ranks).select("lang", "gram", "rank")
+    # the limit stands on the row number itself: only so does it reach the tasks before the shuffle
+    return total.withColumn("place", place).where(F.col("place") <= ranks).select("lang", "gram", (F.col("place") - 1).alias("rank"))
 
 
 class Profiles:

@@ -286,3 +286,16 @@ def test_pipeline_on_odd_rows(spark):
     assert corpus_pipeline.STAGES[4][1](spark, docs, SF).where("not round_trip").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs(spark), SF).count() == 0
+
+
+def test_a_language_is_ranked_before_its_grams_meet_in_one_task(spark, capsys):
+    from tapewire.llm import langid
+
+    docs = spark.createDataFrame([("ab ab abc", "x"), ("zz", "y"), (None, "x"), ("q", None)], "text string, lang string")
+    learned = langid.profiles(docs, ranks=3)
+    got = sorted((r["lang"], r["rank"], r["gram"]) for r in learned.collect())
+    # by hand: " a", "a" and "ab" stand three times each in x, ties go by code; "zz" has z twice, then " z"
+    a, b, z, gap = ord("a"), ord("b"), ord("z"), 32
+    assert got == [("x", 0, a), ("x", 1, b), ("x", 2, gap << 21 | a), ("y", 0, z), ("y", 1, gap << 21 | z), ("y", 2, z << 21 | gap)]
+    learned.explain()
+    assert "WindowGroupLimit" in capsys.readouterr().out
