@@ -135,7 +135,8 @@ def dim_upsert(spark, sf):
     f"""WITH {DIM}, r AS (SELECT replace(upper(trim(' ' || lower(ticker) || '.A ')), '.', '-') AS ticker, CASE WHEN industry LIKE '%1' THEN NULL ELSE industry END AS industry FROM ticker_dim) SELECT * FROM r""",
 )
 def read_ticker_dim(spark, sf):
-    from tapewire.sources.readers import clean_ticker_dim
+    from catalog.flow_queries import scratch
+    from tapewire.sources import readers
 
     d = ticker_dim(spark, sf).select(
         F.concat(F.lit(" "), F.lower("ticker"), F.lit(".A ")).alias("ticker"),
@@ -145,7 +146,10 @@ def read_ticker_dim(spark, sf):
         F.lit("2024-01-02").cast("timestamp").alias("updated_at"),
     )
     older = d.withColumns({"industry": F.lit("old"), "updated_at": F.lit("2024-01-01").cast("timestamp")})
-    return clean_ticker_dim(d.unionByName(older)).select("ticker", "industry")
+    out = scratch(spark)
+    both = d.unionByName(older).select("ticker", "sector", "industry", "company_name", "updated_at")
+    both.write.csv(out, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return readers.read_ticker_dim(spark, out).select("ticker", "industry")
 
 
 @query(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from catalog.bars_queries import BT_CTE, DAILY, LABELS_U, PANEL
 from catalog.news_queries import AS_OF, MOMENTUM, PREDS, QUOTES_U, SCORE, SUMM, WITH_PREDS, five, preds
 from catalog.registry import fix, fxs, query
-from catalog.text_queries import FIN, FLAGGED, S, SCORED_A, SOURCES, STOP, TERMS, lexicon, modifiers, pad_sql
+from catalog.text_queries import FIN, FLAGGED, LABEL, S, SCORED_A, SOURCES, STOP, TERMS, lexicon, modifiers, pad_sql
 from catalog.views import (
     ARTICLES, BARS, BARS_U, DIM, NAMED, NAMED_CODE, NEWS, QUOTES, articles, bars, bars_u, named_articles, news, quotes, ticker_dim,
 )
@@ -162,12 +162,19 @@ def history_texts(spark, sf):
 
 @query("read_history", f"WITH {ARTICLES} SELECT date AS batch_date, title, ticker, CAST(article_id AS DOUBLE) AS relevance_score FROM articles")
 def read_history(spark, sf):
-    return rd.parse_history(history_texts(spark, sf)).select("batch_date", "title", "ticker", "relevance_score")
+    return stored_history(spark, sf).select("batch_date", "title", "ticker", "relevance_score")
+
+
+def stored_history(spark, sf):
+    """The history documents, a file each, read back."""
+    out = scratch(spark)
+    history_texts(spark, sf).write.option("maxRecordsPerFile", 1).text(out)
+    return rd.read_history(spark, out)
 
 
 @query("export_training", f"WITH {ARTICLES} SELECT date AS batch_date, title, description, source, ticker FROM articles")
 def export_training(spark, sf):
-    flat = rd.export_training(rd.parse_history(history_texts(spark, sf)))
+    flat = rd.export_training(stored_history(spark, sf))
     return flat.select("batch_date", "title", "description", "source", "ticker")
 
 
@@ -330,11 +337,11 @@ def light_scorer(spark):
     return score
 
 
-@query("rescore", f"WITH {ARTICLES} SELECT article_id, lang AS sentiment_label FROM articles")
+@query("rescore", f"WITH {ARTICLES}, {SCORED_A} SELECT article_id, {LABEL.format(c=S)} AS sentiment_label, {fxs(S)} AS {S} FROM scored_a")
 def rescore(spark, sf):
     old, new = scratch(spark), scratch(spark)
     st.append_events(stamped(spark, sf).withColumn("sentiment_label", F.lit("old")), old, "b1")
-    return st.rescore(spark, old, new, lambda df: df.withColumn("sentiment_label", F.col("lang"))).select("article_id", "sentiment_label")
+    return fix(st.rescore(spark, old, new, light_scorer(spark)).select("article_id", "sentiment_label", S), S)
 
 
 # ---- streams ------------------------------------------------------------------------------------------------
@@ -622,18 +629,6 @@ def full_refresh_text_counts(spark, sf):
     return refreshed_text(spark, sf)[1].select("step", "rows", (F.col("seconds") > 0).alias("timed"))
 
 
-@query("maintain", f"WITH {ARTICLES}, {BARS}, a AS (SELECT count(*) AS n FROM articles) SELECT count(*) AS panel_rows, (SELECT n FROM a) AS stored FROM bars")
-def maintain(spark, sf):
-    store, led, panel_path = scratch(spark), scratch(spark), scratch(spark)
-    score = light_scorer(spark)
-    days = collected(spark, sf)
-    refresh.maintain(
-        spark, days, bars(spark, sf), store, led, panel_path, lambda df: score(df).withColumn("relevance_score", F.lit(0.0)), "2024-02-01 00:00:00"
-    )
-    stored = st.read_store(spark, store).agg(F.count("*")).scalar()
-    return spark.read.parquet(panel_path).agg(F.count("*").alias("panel_rows")).withColumn("stored", stored)
-
-
 # ---- models -----------------------------------------------------------------------------------------------------
 
 # What a fit gives has no SQL form: the queries return what must hold for any fit, next to the rows it was made on and measured on.
@@ -737,6 +732,28 @@ def measured(metrics, *more):
 MEASURED = "count(*) AS rows, count(*) FILTER (direction_fwd = 1) AS rises, true AS sound"
 
 
+@query(
+    "maintain",
+    f"WITH {ARTICLES}, {BARS}, a AS (SELECT count(*) AS n FROM articles), tr AS (SELECT ticker, date, CAST(ahead / close > 1 AS INTEGER) AS direction_fwd"
+    " FROM (SELECT *, lead(close) OVER (PARTITION BY ticker ORDER BY date) AS ahead FROM bars) b WHERE ahead IS NOT NULL)"
+    + NEWEST + f" SELECT (SELECT count(*) FROM bars) AS panel_rows, (SELECT n FROM a) AS stored, 3 AS members, {MEASURED} FROM te",
+)
+def maintain(spark, sf):
+    """Ingest, panel, and a model fitted on it: the stored model is loaded, its meta row says what it was measured on."""
+    store, led, panel_path, fitted = (scratch(spark) for _ in range(4))
+    score = light_scorer(spark)
+    tiny = model.Plan(model.Forest(5, 3, 5), model.Boost(2, 2, 0.1), model.Boost(2, 2, 0.1))
+    refresh.maintain(
+        spark, collected(spark, sf), bars(spark, sf), store, led, panel_path, lambda df: score(df).withColumn("relevance_score", F.lit(0.0)),
+        "2024-02-01 00:00:00", train=lambda rows: model.train(rows, fitted, AS_OF, tiny),
+    )
+    stored = st.read_store(spark, store).agg(F.count("*")).scalar()
+    rows = spark.read.parquet(panel_path).agg(F.count("*")).scalar()
+    members = len(model.Ensemble.load(fitted, tiny.votes).members)
+    meta = measured(spark.read.parquet(f"{fitted}/meta"), F.lit(members).alias("members"))
+    return meta.withColumns({"panel_rows": rows, "stored": stored})
+
+
 @query(
     "train_and_predict_latest",
     f"""WITH {BARS_U}, l AS (SELECT ticker, date FROM bars_u WHERE date = (SELECT max(date) FROM bars_u)),
