@@ -124,20 +124,20 @@ DAYF = f"""f AS (SELECT *, article_id // 50 AS block, DATE '2024-01-01' + CAST((
  CASE WHEN block % 3 = 0 THEN CAST(date AS TIMESTAMP) ELSE CAST(day AS TIMESTAMP) + INTERVAL 36672 SECOND END AS published_at FROM f WHERE block % 3 < 2""",
 )
 def read_raw_days(spark, sf):
-    out = rd.articles_of(rd.parse_day_files(day_files(spark, sf)))
+    out = rd.read_raw_days(spark, landed_days(spark, sf))
     out = out.withColumn("topic", F.get("topics", F.lit(0))).drop("language", "topics")
     return out.withColumn("published_at", F.col("published_at").cast("timestamp_ntz"))
 
 
 @query("day_status", f"WITH {ARTICLES}, {DAYF} SELECT day, CAST(sum(CASE WHEN block % 3 = 2 THEN 0 ELSE 1 END) AS BIGINT) AS rows, count(DISTINCT block) FILTER (block % 3 = 2) AS corrupt FROM f GROUP BY 1")
 def day_status(spark, sf):
-    out = rd.status_of(rd.parse_day_files(day_files(spark, sf)))
+    out = rd.day_status(spark, landed_days(spark, sf))
     return out.groupBy("day").agg(F.sum("rows").alias("rows"), F.count_if("corrupt").alias("corrupt"))
 
 
 @query("list_days", f"WITH {ARTICLES}, {DAYF} SELECT DISTINCT day FROM f")
 def list_days(spark, sf):
-    return rd.days_of(day_files(spark, sf).select("file_name"))
+    return rd.list_days(spark, landed_days(spark, sf))
 
 
 @query("web_article_to_article", f"WITH {ARTICLES} SELECT 'web:' || source AS source, title, url, lang AS language FROM articles")

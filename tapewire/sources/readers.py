@@ -32,8 +32,14 @@ FEED_ONLY = ("ticker", "author", "content", "topics", "scraped_at", "is_reputabl
 # ---- raw day files ------------------------------------------------------------------------------
 
 
+def _dated_name() -> Column:
+    """A file's name; in a folder a day (``day=2024-01-31``) the folder's day goes in front, whatever the file is called."""
+    folder = F.regexp_extract("_metadata.file_path", r"/day=([^/]+)/[^/]*$", 1)
+    return F.concat_ws("/", F.nullif(folder, F.lit("")), "_metadata.file_name").alias("file_name")
+
+
 def _day_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_name").alias("file_name"))
+    return spark.read.text(path, wholetext=True).select("value", _dated_name())
 
 
 def parse_day_files(files: DataFrame) -> DataFrame:
@@ -101,8 +107,8 @@ def days_of(names: DataFrame) -> DataFrame:
 
 
 def list_days(spark: SparkSession, path: str) -> DataFrame:
-    """Days present, from file names only (no file content is read)."""
-    return days_of(spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_name").alias("file_name")))
+    """Days present, from file and folder names only (no file content is read)."""
+    return days_of(spark.read.format("binaryFile").load(path).select(_dated_name()))
 
 
 # ---- history document -----------------------------------------------------------------------------
