@@ -72,7 +72,7 @@ def append_events(
             fresh = keyed.join(identity_index.stored_keys(spark, path, files), ["k1", "k2"], "left_anti").drop("k1", "k2")
     fresh = fresh.drop("_key")
     rows = scorer(fresh) if scorer else fresh
-    write_partitions(_by_day(rows.withColumn("batch", F.lit(batch)), day, key), path, [day, "batch"])
+    write_partitions(by_day(rows.withColumn("batch", F.lit(batch)), day, key), path, [day, "batch"])
     written = read_path(lambda: read_store(spark, path).where(F.col("batch") == batch))
     if written is None:
         return 0
@@ -90,7 +90,7 @@ def _near(df: DataFrame, stored: DataFrame, span: str, horizon: str) -> DataFram
     return stored.where(F.col(span).between(F.lit(ends.lo) - widen, F.lit(ends.hi) + widen) | F.col(span).isNull())
 
 
-def _by_day(df: DataFrame, day: str, key: str) -> DataFrame:
+def by_day(df: DataFrame, day: str, key: str) -> DataFrame:
     """Rows dealt to at most ``WRITERS`` tasks a day, so that a day gets few files and a hot day still several writers."""
     return df.repartition(F.col(day), F.pmod(F.xxhash64(key), F.lit(WRITERS)))
 
@@ -103,7 +103,7 @@ def compact(spark: SparkSession, path: str, new_path: str, closed_before: str, d
     old = read_store(spark, path)
     closed = F.col(day) < F.lit(closed_before).cast("date")
     batch = F.when(closed, F.lit("compact")).otherwise(F.col("batch"))
-    write_partitions(_by_day(old.withColumn("batch", batch), day, key), new_path, [day, "batch"])
+    write_partitions(by_day(old.withColumn("batch", batch), day, key), new_path, [day, "batch"])
     return read_store(spark, new_path)
 
 

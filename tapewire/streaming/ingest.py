@@ -13,7 +13,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tapewire.operators.aggregates import NEWS_COLUMNS, daily_news
 from tapewire.operators.scale import dim_join, first_per_key
-from tapewire.sources.store import append_events, exists, read_store
+from tapewire.sources.store import append_events, by_day, exists, read_store
 
 Scorer = Callable[[DataFrame], DataFrame]
 
@@ -131,52 +131,64 @@ _FIELDS = ["event_time", "article_id", "source", "sentiment_compound", "impact_l
 _OUT = ["kind", "ticker", "date", *_FIELDS, *_SUMS]
 
 
+# the state of a group of tickers on a day: a row per ticker, column by column; a double that is missing is NaN
+_STATE = ", ".join(["ticker array<string>", *[f"{c} array<{'long' if kind is int else 'double'}>" for c, kind in _SUMS.items()]])
+
+
+def _sums(rows: pd.DataFrame) -> pd.DataFrame:
+    """The sums of every ticker of the rows, in :data:`_SUMS`' columns."""
+    v, w, level = rows["sentiment_compound"].astype(float), rows["relevance_score"].astype(float), rows["impact_level"]
+    parts = {
+        "n": 1, "s": v, "ss": v * v, "lo": v, "hi": v, "sn": v.notna().astype(int), "r": w, "rn": w.notna().astype(int),
+        "high": (level == "high").astype(int), "macro": (level == "macro").astype(int),
+    }
+    return _merged(pd.DataFrame({"ticker": rows["ticker"], **parts}))
+
+
+def _merged(sums: pd.DataFrame) -> pd.DataFrame:
+    """One row per ticker; a NULL ticker is a ticker."""
+    by, added = sums.groupby("ticker", dropna=False, sort=False), [c for c in _SUMS if c not in ("lo", "hi")]
+    return by[added].sum().assign(lo=by["lo"].min(), hi=by["hi"].max()).reset_index()
+
+
 def _closing(key, frames, state) -> Iterator[pd.DataFrame]:
-    """One (ticker, day): rows behind the watermark go out as they are, the others into the sums; the timer of the day's end closes it."""
-    ticker, day = key
+    """A day of a group of tickers: rows behind the watermark go out as they are, the others into the sums; the timer of the day's end closes it."""
+    _, day = key
     end = int((pd.Timestamp(day) + pd.Timedelta(days=1)).timestamp() * 1000)
-    sums = dict(zip(_SUMS, state.get)) if state.exists else None
+    held = pd.DataFrame(dict(zip(["ticker", *_SUMS], state.get))) if state.exists else None
     if state.hasTimedOut:
         state.remove()
-        yield _bucket("closed", ticker, day, sums)
+        yield _bucket("closed", day, held)
         return
-    fresh = False
+    parts = []
     for rows in frames:
         if end <= state.getCurrentWatermarkMs():
             yield rows.assign(kind="late", **{c: None for c in _SUMS})[_OUT]
             continue
-        v, w = rows["sentiment_compound"].dropna(), rows["relevance_score"].dropna()
-        part = dict(
-            n=len(rows), s=v.sum(), ss=(v * v).sum(), lo=v.min() if len(v) else None, hi=v.max() if len(v) else None, sn=len(v),
-            r=w.sum(), rn=len(w), high=(rows["impact_level"] == "high").sum(), macro=(rows["impact_level"] == "macro").sum(),
-        )
-        sums = part if sums is None else _merged(sums, part)
-        fresh = True
-    if fresh:
-        state.update(tuple(None if sums[c] is None else kind(sums[c]) for c, kind in _SUMS.items()))
+        parts.append(_sums(rows))
+    if parts:
+        fresh = pd.concat(parts)
+        sums = _merged(pd.concat([held, fresh]) if held is not None else fresh)
+        names = [None if pd.isna(t) else t for t in sums["ticker"]]
+        state.update((names, *[sums[c].astype(kind).tolist() for c, kind in _SUMS.items()]))
         state.setTimeoutTimestamp(end)
-        yield _bucket("open", ticker, day, sums)
-
-
-def _merged(a: dict, b: dict) -> dict:
-    pick = {"lo": min, "hi": max}
-    some = lambda c: [x[c] for x in (a, b) if x[c] is not None]
-    return {c: (pick[c](some(c)) if some(c) else None) if c in pick else a[c] + b[c] for c in _SUMS}
+        yield _bucket("open", day, sums[sums["ticker"].isin(fresh["ticker"])])
 
 
-def _bucket(kind: str, ticker, day, sums: dict) -> pd.DataFrame:
-    return pd.DataFrame([{"kind": kind, "ticker": ticker, "date": day, **{c: None for c in _FIELDS}, **sums}], columns=_OUT)
+def _bucket(kind: str, day, sums: pd.DataFrame) -> pd.DataFrame:
+    return sums.assign(kind=kind, date=day, **{c: None for c in _FIELDS})[_OUT]
 
 
 def closing_days(
-    stream: DataFrame, out: str, side: str, checkpoint: str, lateness: str = "3 days", available_now: bool = True
+    stream: DataFrame, out: str, side: str, checkpoint: str, lateness: str = "3 days", available_now: bool = True, groups: int = 16
 ) -> StreamingQuery:
     """Daily sums per (ticker, UTC day) that close behind the watermark; rows that come later go to the side table.
 
     One stateful operator does both, so a row is counted or set aside, never both or neither: the query's own
     watermark decides, and a timer at the end of a day emits its last version and drops the state.  ``out`` is partitioned by
     day and batch (``state`` is open or closed), ``side`` likewise; a repeated micro-batch replaces its own partitions.
-    A key's rows of a micro-batch pass in pieces and only sums are kept.
+    The tickers of a day are kept in ``groups`` states, each read and written as a whole, so that calls follow days and
+    groups, not tickers; all of a day close together.  A state's rows of a micro-batch pass in pieces and only sums are kept.
     """
     # An operator never sees rows behind the watermark of its own time column.  So the clock is the event time, of
     # whose watermark the query takes the least, and the column that reaches the operator is one that is never late.
@@ -186,14 +198,15 @@ def closing_days(
     kinds = {int: "long", float: "double"}
     sums = ", ".join(f"{c} {kinds[k]}" for c, k in _SUMS.items())
     schema = f"kind string, ticker string, date date, {', '.join(f'{c} {rows.schema[c].dataType.simpleString()}' for c in _FIELDS)}, {sums}"
-    found = rows.groupBy("ticker", "date").applyInPandasWithState(_closing, schema, sums, "append", GroupStateTimeout.EventTimeTimeout)
+    rows = rows.withColumn("group", F.pmod(F.xxhash64("ticker"), F.lit(groups)))
+    found = rows.groupBy("group", "date").applyInPandasWithState(_closing, schema, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
     def land(df: DataFrame, batch_id: int) -> None:
         rows = df.withColumn("batch", F.lit(batch_id)).persist()  # written to two tables
         late = rows.where("kind = 'late'").select("ticker", "date", *_FIELDS, "batch")
         days = rows.where("kind <> 'late'").select("ticker", "date", F.col("kind").alias("state"), *_SUMS, "batch")
         for table, path in ((late, side), (days, out)):
-            table.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
+            by_day(table, "date", "ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "batch").parquet(path)
         rows.unpersist()
 
     writer = found.writeStream.outputMode("append").foreachBatch(land).option("checkpointLocation", checkpoint)

@@ -191,6 +191,24 @@ def test_days_close_behind_the_watermark_and_late_rows_are_set_aside(spark, tmp_
     assert recent.count() == 2 and "PartitionFilters: [isnotnull(date" in recent._jdf.queryExecution().toString()
 
 
+def test_a_day_has_a_bounded_number_of_states_and_files(spark, tmp_path):
+    src, out, side, cp = (str(tmp_path / x) for x in ("src", "out", "side", "cp"))
+    names = [None, *[f"T{i}" for i in range(150)]]
+    for step in range(2):  # tickers of the second file are old and new
+        rows = [article(1000 * step + i, f"t{i}") for i in range(300)]
+        tickers = spark.createDataFrame([(1000 * step + i, names[(i + 60 * step) % len(names)]) for i in range(300)], "article_id long, ticker string")
+        frame(spark, rows).drop("ticker").join(tickers, "article_id").coalesce(1).write.mode("append").parquet(src)
+    stream = ingest.landed(spark, src, spark.read.parquet(src).schema, per_trigger=1).withColumn("source", F.lit("wire"))
+    query = ingest.closing_days(stream, out, side, cp, lateness="3 days")
+    ingest.run_to_end(query)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 16
+    assert len(list((tmp_path / "out").rglob("*.parquet"))) <= 2 * st.WRITERS
+    events = spark.read.parquet(src).withColumn("date", F.to_date("event_time"))
+    figures = ["ticker", "date", "news_count", "sent_mean", "sent_min", "sent_max", "relevance_mean"]
+    rounded = lambda df: {tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.select(figures).collect()}
+    assert rounded(ingest.with_late(ingest.day_sums(spark, out), events.limit(0))) == rounded(daily_news(events))
+
+
 # ---- drivers and models ----------------------------------------------------------------------------
 
 
