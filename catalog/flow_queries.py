@@ -66,19 +66,23 @@ def read_events_csv(spark, sf):
     return rd.read_events(spark, out, ["title", "description", "source", "ticker", "url"])
 
 
+FILE_ROWS = 20_000
+
+
 @query("read_events_malformed", "SELECT count(*) AS records, count(*) FILTER (doc_id % 10 = 3 OR doc_id % 10 = 7) AS malformed FROM documents")
 def read_events_malformed(spark, sf):
     """Every tenth row has a score that is no number, and another tenth one field too many."""
     out = scratch(spark)
     a = articles(spark, sf)
+    n = max(3, -(-a.count() // FILE_ROWS))  # a file is written by one task
     cell = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     last = F.col("article_id") % 10
     fields = {"title": F.col("title"), "description": F.col("description"), "url": F.col("url"), "sentiment_compound": F.when(last == 3, "none").otherwise("0.5")}
     line = F.concat_ws(",", *[cell(fields.get(c, F.lit(""))) for c in rd.NEWS_EVENTS_CSV.names], F.when(last == 7, "more"))
     lines = a.select(F.lit(1).alias("k"), "article_id", line.alias("value"))
     header = spark.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("long").alias("article_id"), F.lit(",".join(rd.NEWS_EVENTS_CSV.names)).alias("value"))
-    files = lines.withColumn("f", F.col("article_id") % 3).unionByName(header.withColumn("f", F.explode(F.array(*[F.lit(i).cast("long") for i in range(3)]))))
-    files.repartition(3, "f").sortWithinPartitions("f", "k", "article_id").select("f", "value").write.partitionBy("f").text(out)
+    files = lines.withColumn("f", F.col("article_id") % n).unionByName(header.withColumn("f", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))))
+    files.repartition(n, "f").sortWithinPartitions("f", "k", "article_id").select("f", "value").write.partitionBy("f").text(out)
     return malformed(spark, out, rd.NEWS_EVENTS_CSV)
 
 

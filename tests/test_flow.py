@@ -230,6 +230,16 @@ def test_staleness_of_an_empty_ledger_asks_for_a_refresh(spark):
     assert st.staleness(st.ledger_rows(spark, []), "2024-01-01").first().refresh is True
 
 
+def test_more_rows_make_more_files_of_raw_lines(spark, tmp_path, monkeypatch):
+    from catalog import flow_queries
+
+    spark.range(100).selectExpr("id AS doc_id", "concat('a \"quoted\" title ', id, '. rest') AS text", "'en' AS lang", "'wire' AS source").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(flow_queries, "FILE_ROWS", 10)
+    monkeypatch.setattr(flow_queries, "scratch", lambda spark: str(tmp_path / "out"))
+    assert tuple(flow_queries.read_events_malformed(spark, str(tmp_path)).first()) == (100, 20)
+    assert len(list((tmp_path / "out").iterdir())) > 9
+
+
 def test_time_split_never_mixes_dates(spark):
     rows = [(f"T{i % 5}", dt.date(2024, 1, 1) + dt.timedelta(days=i // 5)) for i in range(200)]
     panel = spark.createDataFrame(rows, "ticker string, date date")
