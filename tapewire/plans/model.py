@@ -151,9 +151,25 @@ def boost(p: Boost, label: str, seed: int) -> GBTClassifier:
     return GBTClassifier(maxIter=p.rounds, maxDepth=p.depth, stepSize=p.rate, subsamplingRate=p.subsample, **_common(label, seed))
 
 
+ROWS_PER_TASK = 200_000
+
+
+def _ready(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
+    """What a fit reads, written once and dealt evenly: a fit passes over its rows many times, and a pass is as long as its longest task.
+
+    Every task of a tree model's pass sends figures of all nodes, so there are no more tasks than cores until they would hold many rows.
+    """
+    rows = _fill(df, features).where(F.col(label).isNotNull()).select(*features, label)
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // ROWS_PER_TASK))
+    return checkpointed(rows.repartition(tasks))
+
+
 def fit(df: DataFrame, estimator, features: Sequence[str] = FEATURES, label: str = "direction_fwd", scale: bool = False) -> PipelineModel:
-    rows = class_weight(_fill(df, features).where(F.col(label).isNotNull()), label)
-    return _pipeline(features, estimator, scale).fit(rows)
+    return _fit(_ready(df, features, label), estimator, features, label, scale)
+
+
+def _fit(rows: DataFrame, estimator, features: Sequence[str], label: str, scale: bool = False) -> PipelineModel:
+    return _pipeline(features, estimator, scale).fit(class_weight(rows, label))
 
 
 def probability_up(model: PipelineModel, df: DataFrame, features: Sequence[str], name: str = "probability") -> DataFrame:
@@ -207,12 +223,8 @@ def train_ensemble(train: DataFrame, plan: Plan = Plan(), features: Sequence[str
         "boost_b": boost(plan.boost_b, label, plan.seed + 1),
         "forest": forest(plan.forest, label, plan.seed),
     }
-    rows = _fill(train, features)
-    rows.persist()
-    try:
-        members = {m: fit(rows, e, features, label) for m, e in estimators.items()}
-    finally:
-        rows.unpersist()
+    rows = _ready(train, features, label)
+    members = {m: _fit(rows, e, features, label) for m, e in estimators.items()}
     return Ensemble(members, dict(plan.votes), tuple(features))
 
 

@@ -230,6 +230,17 @@ def test_staleness_of_an_empty_ledger_asks_for_a_refresh(spark):
     assert st.staleness(st.ledger_rows(spark, []), "2024-01-01").first().refresh is True
 
 
+def test_a_fit_deals_its_rows_evenly_however_they_come(spark):
+    rows = [(float(i % 7), float(i % 11), i % 2 if i % 10 else None) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, direction_fwd int").coalesce(1)
+    ready = model._ready(df, ("a", "b", "absent"), "direction_fwd")
+    sizes = ready.rdd.glom().map(len).collect()
+    assert sum(sizes) == 1800 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
+    assert ready.where("absent <> 0").isEmpty()
+    fitted = model.fit(df, model.forest(model.Forest(5, 3, 1), "direction_fwd", 1), ("a", "b"))
+    assert abs(sum(fitted.stages[-1].featureImportances.toArray()) - 1) < 1e-9
+
+
 def test_more_rows_make_more_files_of_raw_lines(spark, tmp_path, monkeypatch):
     from catalog import flow_queries
 
