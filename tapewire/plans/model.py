@@ -142,8 +142,9 @@ def _common(label: str, seed: int | None = None) -> dict:
 
 
 def forest(p: Forest, label: str, seed: int) -> RandomForestClassifier:
+    # without the kept node of each row and tree, every pass would walk all trees from their roots
     return RandomForestClassifier(
-        numTrees=p.trees, maxDepth=p.depth, minInstancesPerNode=p.min_leaf, featureSubsetStrategy="sqrt", **_common(label, seed)
+        numTrees=p.trees, maxDepth=p.depth, minInstancesPerNode=p.min_leaf, featureSubsetStrategy="sqrt", cacheNodeIds=True, **_common(label, seed)
     )
 
 

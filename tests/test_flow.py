@@ -237,7 +237,10 @@ def test_a_fit_deals_its_rows_evenly_however_they_come(spark):
     sizes = ready.rdd.glom().map(len).collect()
     assert sum(sizes) == 1800 and len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) - min(sizes) <= len(sizes)
     assert ready.where("absent <> 0").isEmpty()
-    fitted = model.fit(df, model.forest(model.Forest(5, 3, 1), "direction_fwd", 1), ("a", "b"))
+    estimator = model.forest(model.Forest(5, 3, 1), "direction_fwd", 1)
+    assert estimator.getCacheNodeIds()
+    fitted, walked = (model._fit(ready, e, ("a", "b"), "direction_fwd") for e in (estimator, estimator.copy().setCacheNodeIds(False)))
+    assert fitted.stages[-1].toDebugString.split("\n")[1:] == walked.stages[-1].toDebugString.split("\n")[1:]
     assert abs(sum(fitted.stages[-1].featureImportances.toArray()) - 1) < 1e-9
 
 
