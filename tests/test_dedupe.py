@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tapewire.operators import dedupe as dd
 
@@ -178,3 +179,27 @@ def test_greedy_on_any_graph(spark, seed):
         if any((a, b) in pairs and a not in dropped for a in range(b)):
             dropped.add(b)
     assert ids(dd.greedy_dropped(spark.createDataFrame(sorted(pairs), "a long, b long"), "article_id")) == sorted(dropped)
+
+
+def test_letter_counts_bound_the_edits_and_grams_are_runs_of_characters(spark):
+    titles = [t for t in mistyped(60, 7) if len(t) > 2] + ["é🙂x" * 40, "e" * 9_000]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id int, f string").withColumn("n", F.length("f"))
+    words = [f"l{i}" for i in range(len(dd.LETTERS))]
+    rows = rows.withColumns({w: dd._letters(F.col("f"), c) for w, c in zip(words, dd.LETTERS)})
+    rows = rows.withColumn("counted", sum(dd._lane_sum(F.col(w)) for w in words).cast("int"))
+    both = rows.alias("x").join(rows.alias("y"), F.col("x.id") < F.col("y.id"))
+    both = both.select(dd._fewest_edits("x", "y", words).alias("least"), F.levenshtein("x.f", "y.f").alias("edits"))
+    assert both.where("least > edits").count() == 0 and both.where("least > 0.5 * edits").count() > 0
+    grams = rows.select("f", F.explode(dd._grams(F.split("f", ""), F.lit(3), F.lit(1))).alias("c")).select("f", "c.*")
+    assert grams.where(F.expr("substring(f, place, 3) <> g")).count() == 0
+    assert grams.count() == sum(len(t) - 2 for t in titles)
+
+
+def test_titles_that_repeat_a_word_meet_once_in_a_stretch(spark, monkeypatch):
+    """Before, each place of one met each place of the other; and one task made the runs of all titles."""
+    made = []
+    monkeypatch.setattr(dd, "checkpointed", lambda df, f=dd.checkpointed: made.append(f(df)) or made[-1])
+    titles = [f"{w} " * 400 for w in ("thonx", "thony", "abcde")] + ["thonx " * 399 + "thonz "]
+    pairs = dd.pairs_by_edits(spark.createDataFrame([(i, t.strip()) for i, t in enumerate(titles)], "article_id long, f string"), 0.85, "article_id")
+    assert sorted(map(tuple, pairs.collect())) == [(0, 3)]
+    assert made[1].count() < 400
