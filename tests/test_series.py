@@ -159,3 +159,10 @@ def test_a_gap_inside_a_session_is_filled_and_none_across(spark):
         (2, 0, 10.0, 12.0, 10.0, 11.0, 3.0, 3), (2, 5, 11.0, 11.0, 11.0, 11.0, 0.0, 0), (2, 10, 11.0, 11.0, 11.0, 11.0, 0.0, 0), (2, 15, 9.0, 9.0, 9.0, 9.0, 0.0, 1),
         (3, 30, 8.0, 8.0, 8.0, 8.0, 1.0, 1),
     ]
+
+
+def test_technicals_share_one_sort_by_date_and_one_by_place(spark, capsys):
+    rows = [(t, dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0 * i, 2.0 * i + 1, 0.5 * i, 1.5 * i + 1, 10.0) for t in ("A", "B") for i in range(30)]
+    bars = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
+    ind.technicals(bars).explain()
+    assert capsys.readouterr().out.count(" Sort ") == 2
