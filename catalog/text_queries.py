@@ -17,6 +17,7 @@ from tapewire.operators import dedupe as dd
 from tapewire.operators import matching as mt
 from tapewire.operators import rules as rl
 from tapewire.operators.aggregates import keyword_category_stats
+from tapewire.operators.scale import checkpointed
 
 S = "sentiment_compound"
 
@@ -668,11 +669,14 @@ WHOLE_A = f"""{SCORED_A}, {PADDED_A}, whole AS (SELECT s.*, {REL_SQL.replace('ar
 
 
 def whole_articles(spark, sf):
-    """Articles, every third without a ticker, with sentiment, impact and relevance of the whole text."""
+    """Articles, every third without a ticker, with sentiment, impact and relevance of the whole text.
+
+    Stored without the text behind the title: what is made of these reads them several times, which would score the texts as often.
+    """
     rows = mt.score_sentiment(articles(spark, sf), lexicon(spark), modifiers(spark)).withColumn("_t", F.col("ticker"))
     rows = rows.withColumn("ticker", F.when(F.col("article_id") % 3 != 0, F.col("ticker")))
     rows = mt.relevance_flags(rows, TERMS, FIN, STOP, SOURCES).withColumn("ticker", F.col("_t")).drop("_t")
-    return rows.withColumn("event_time", F.col("date").cast("timestamp"))
+    return checkpointed(rows.withColumn("event_time", F.col("date").cast("timestamp")).drop("description"))
 
 
 @query(

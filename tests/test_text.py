@@ -313,3 +313,13 @@ def test_signals_take_company_and_sector_from_the_dimension(spark):
     assert (got["A"].news_sentiment_score, got["A"].momentum_normalized) == (0.1235, 1.0)
     assert (got["B"].momentum_normalized, got["C"].momentum_normalized) == (-0.3142, 0.0)
     assert {r.sector for r in joins.ticker_signals(u, s, q).collect()} == {"quoted", "Unknown"}
+
+
+def test_whole_articles_are_scored_once_and_stored_without_the_rest_of_the_text(spark, tmp_path):
+    from catalog.text_queries import whole_articles
+
+    rows = [(i, f"The thon is {w}. Worthless erin {w}", "en", "web", 30) for i, w in enumerate(("la", "und", "les"))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    out = whole_articles(spark, str(tmp_path))
+    assert out.inputFiles() == [] and "description" not in out.columns
+    assert sorted(r.article_id for r in out.collect()) == [0, 1, 2]
