@@ -14,7 +14,7 @@ from tapewire.operators.dedupe import dedupe_exact
 from tapewire.operators.joins import enrich_quotes, merge_model_scores, pending_days, ticker_signals
 from tapewire.operators.matching import SYMBOL, keep_relevant
 from tapewire.operators.ranking import last_quote
-from tapewire.operators.scale import dim_join, union_all
+from tapewire.operators.scale import checkpointed, dim_join, union_all
 from tapewire.plans.panel import model_panel
 from tapewire.sources.paths import read_path
 from tapewire.sources.store import append_events, append_ledger, day_records, exists, read_ledger, read_store
@@ -80,11 +80,14 @@ def full_refresh(
     off the written tables.
     """
     kept = keep_relevant(scorer(dedupe_exact(news)))
-    return {"news": kept, **_from_scored(kept, bars, universe, as_of, model_scores, dim, pattern)}
+    return {"news": kept, **_from_scored(kept, _quotes(bars, dim), bars, universe, as_of, model_scores, dim, pattern)}
 
 
-def _from_scored(kept, bars, universe, as_of, model_scores, dim, pattern) -> dict[str, DataFrame]:
-    quotes = last_quote(bars) if dim is None else enrich_quotes(last_quote(bars), dim)
+def _quotes(bars: DataFrame, dim: DataFrame | None) -> DataFrame:
+    return last_quote(bars) if dim is None else enrich_quotes(last_quote(bars), dim)
+
+
+def _from_scored(kept, quotes, bars, universe, as_of, model_scores, dim, pattern) -> dict[str, DataFrame]:
     preds = ticker_signals(universe, ticker_sentiment(kept, as_of, universe=universe, pattern=pattern), quotes, dim)
     if model_scores is not None:
         preds = merge_model_scores(preds, model_scores)
@@ -102,12 +105,15 @@ def refresh_in_steps(
     dim: DataFrame | None = None,
     pattern: str = SYMBOL,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """``full_refresh`` written step by step: texts are scored once, the other tables start from the written news.
+    """``full_refresh`` written step by step: texts are scored once and bars made once, predictions start from the written news and quotes.
 
     Returns what ``run_refresh`` returns.
     """
-    first, began = run_refresh({"news": keep_relevant(scorer(dedupe_exact(news)))}, path)
-    rest, went_on = run_refresh(_from_scored(first["news"], bars, universe, as_of, model_scores, dim, pattern), path)
+    # dealt by ticker before they are stored, as every window and join on them needs them
+    bars = checkpointed(bars.repartition("ticker"))
+    first, began = run_refresh({"news": keep_relevant(scorer(dedupe_exact(news))), "quotes": _quotes(bars, dim)}, path)
+    rest = _from_scored(first["news"], first["quotes"], bars, universe, as_of, model_scores, dim, pattern)
+    rest, went_on = run_refresh({name: rest[name] for name in ("predictions", "panel")}, path)
     return {**first, **rest}, began.unionByName(went_on)
 
 

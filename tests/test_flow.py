@@ -319,3 +319,19 @@ def test_a_day_has_few_files_and_compaction_fewer(spark, tmp_path):
     assert [p.name for p in (new / "event_date=2024-01-01").iterdir()] == ["batch=compact"]
     assert len(list((new / "event_date=2024-01-01").rglob("*.parquet"))) <= st.WRITERS
     assert len(list((new / "event_date=2024-01-02").iterdir())) == 3
+
+
+def test_a_refresh_makes_bars_once_and_predicts_from_the_written_quotes(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(refresh, "run_refresh", lambda tables, path, real=refresh.run_refresh: made.append(tables) or real(tables, path))
+    news = frame(spark, [article(1, "a"), article(2, "b", ticker="B")]).withColumn("date", F.to_date("event_time"))
+    flags = lambda df: df.withColumns({"is_relevant": F.lit(True), "is_impactful": F.lit(False), "is_irrelevant": F.lit(False)})
+    days = [(t, dt.date(2024, 1, d), 1.0, 2.0, 0.5, 1.0 + d, 10.0) for t in "AB" for d in range(1, 4)]
+    bars_path = str(tmp_path / "bars")
+    spark.createDataFrame(days, "ticker string, date date, open double, high double, low double, close double, volume double").write.parquet(bars_path)
+    bars = spark.read.parquet(bars_path)
+    out, steps = refresh.refresh_in_steps(news, bars, bars.select("ticker").distinct(), flags, "2024-01-04 00:00:00", str(tmp_path / "out"))
+    assert {r.step: r.rows for r in steps.collect()} == {"news": 2, "quotes": 2, "predictions": 2, "panel": 6}
+    tables = {name: df for step in made for name, df in step.items()}
+    assert any("/out/quotes/" in f for f in tables["predictions"].inputFiles())
+    assert not any("/bars/" in f for name in ("quotes", "panel") for f in tables[name].inputFiles())
