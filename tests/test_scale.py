@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tapewire.operators import scale
+from tapewire.operators import rules, scale
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +74,22 @@ def test_input_partitioning_does_not_change_results(table):
     a = scale.global_row_number(table.repartition(1), [F.col("v"), F.col("id")], blocks=4).orderBy("id").collect()
     b = scale.global_row_number(table.repartition(9), [F.col("v"), F.col("id")], blocks=6).orderBy("id").collect()
     assert [(r.id, r.rn) for r in a] == [(r.id, r.rn) for r in b]
+
+
+@pytest.mark.parametrize("max_rows", [scale.BROADCAST_ROWS, 0])
+def test_fan_out_uses_all_tasks(spark, max_rows):
+    few = spark.range(200).select("id", F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("k"))
+    few = few.groupBy("id", "k").count()  # small enough to be read by one task
+    dim = spark.range(60).select(F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("k"), "id").withColumnRenamed("id", "t")
+    out = scale.fan_out(few, dim, ["k"], max_rows)
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 200 * 20 and len(parts) == 4
+    assert out.columns == ["k", "id", "count", "t"]
+    assert sorted((r.id, r.t) for r in out.collect()) == sorted((i, t) for i in range(200) for t in range(60) if t % 3 == i % 2)
+
+
+def test_hits_are_dealt_before_the_fan_out(spark):
+    hits = spark.range(400).coalesce(1).select(F.col("id").alias("article_id"), F.lit("tech").alias("sector"))
+    places = spark.range(10).select(F.lit("tech").alias("sector"), F.col("id").cast("string").alias("ticker"))
+    parts = rules.sector_fanout(hits, places).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 4000 and len(parts) == 4
