@@ -33,6 +33,9 @@ CONTEXT_BITS = 18
 GAIN = 24  # what one occurrence adds to an order-0 count
 LEVELS = 16  # confidence levels of a prediction
 
+# sureness after a prediction, at twice the sureness before plus one if it came true
+_NEXT_SURE = np.array([[c >> 1 if c > 1 else 1, min(c + 1, LEVELS - 1)] for c in range(LEVELS)], dtype=np.int8).ravel()
+
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 47)
 _W16, _W48 = np.uint64(16), np.uint64(48)
 
@@ -57,39 +60,40 @@ class Model:
         np.cumsum(self.counts, out=self.upto[1:])
         self.c2, self.c1 = self.sure2[self.hash], self.sure1[self.last]
         self.p2, self.p1 = self.next2[self.hash], self.next1[self.last]
-        weight = (self.right << 16) // self.tried
-        a2 = np.minimum(weight[0][self.c2], 60_000)
-        a2[self.c2 == 0] = 0
-        a1 = ((65_536 - a2) * np.minimum(weight[1][self.c1], 60_000)) >> 16
-        a1[(self.c1 == 0) | ((self.p1 == self.p2) & (a2 > 0))] = 0
+        weight = np.minimum((self.right << 16) // self.tried, 60_000)
+        weight[:, 0] = 0
+        a2 = weight[0].take(self.c2)
+        a1 = ((65_536 - a2) * weight[1].take(self.c1)) >> 16
+        a1 *= (self.p1 != self.p2) | (a2 == 0)
         self.a2, self.a1 = a2, a1
 
     def update(self, ids: np.ndarray) -> None:
         np.add.at(self.counts, ids, GAIN)
         for row, at, follows, sure, c, p in ((0, self.hash, self.next2, self.sure2, self.c2, self.p2), (1, self.last, self.next1, self.sure1, self.c1, self.p1)):
             hit = p == ids
-            self.tried[row] += np.bincount(c, minlength=LEVELS)
-            self.right[row] += np.bincount(c[hit], minlength=LEVELS)
-            keep = hit | (c > 1)
-            follows[at] = np.where(keep, p, ids)
-            sure[at] = np.where(hit, np.minimum(c + 1, LEVELS - 1), np.where(keep, c >> 1, 1))
+            outcome = 2 * c.astype(np.intp) + hit
+            seen = np.bincount(outcome, minlength=2 * LEVELS).reshape(LEVELS, 2)
+            self.tried[row] += seen.sum(axis=1)
+            self.right[row] += seen[:, 1]
+            follows[at] = np.where(hit | (c > 1), p, ids)
+            sure[at] = _NEXT_SURE.take(outcome)
         self.hash = ((self.last * 0x9E3779B1 + ids * 0x85EBCA6B) >> 7) & ((1 << CONTEXT_BITS) - 1)
         self.last = ids
 
 
 def _settle(low: np.ndarray, size: np.ndarray):
     """Lanes whose top 16 bits are settled, again and again, with their ranges cut where they straddle a border too closely."""
-    lanes = np.arange(len(low))
-    while True:
-        a, b = low[lanes], size[lanes]
+    fixed = (low ^ (low + size)) < _TOP
+    lanes = np.flatnonzero(fixed | (size < _BOTTOM))
+    a, b, fixed = low[lanes], size[lanes], fixed[lanes]
+    while len(lanes):
+        b = np.where(fixed, b, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
+        yield lanes, a
+        a, b = a << _W16, b << _W16
+        low[lanes], size[lanes] = a, b
         fixed = (a ^ (a + b)) < _TOP
         go = fixed | (b < _BOTTOM)
         lanes, a, b, fixed = lanes[go], a[go], b[go], fixed[go]
-        if not len(lanes):
-            return
-        b = np.where(fixed, b, (np.uint64(0) - a) & (_BOTTOM - np.uint64(1)))
-        yield lanes, a
-        low[lanes], size[lanes] = a << _W16, b << _W16
 
 
 def compress(ids: np.ndarray, vocabulary: int, steps: int = STEPS) -> tuple[bytes, int, int]:
@@ -221,7 +225,8 @@ class Encoder:
     pieces are independent, and new words go to the library many at a time with a space between.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 1_000_000
+    REMEMBERED_BYTES = 256 << 20
     TOGETHER = 20_000
 
     def __init__(self, tokenizer: str) -> None:
@@ -239,16 +244,21 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.pool = np.empty(0, np.int32)
-        self.first = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-
-    def _add(self, pieces: list[str], ids: np.ndarray, count: np.ndarray) -> None:
-        base = len(self.first)
-        self.known.update(zip(pieces, range(base, base + len(pieces))))
+        """Drop the pieces that no second slice has used, or all if those are many."""
+        keep = np.flatnonzero(self.uses > 1) if hasattr(self, "uses") else np.empty(0, np.int64)
+        if not 0 < len(keep) <= self.REMEMBERED // 2:
+            self.known: pa.Array | None = None
+            self.pool, self.first, self.count, self.uses = np.empty(0, np.int32), *(np.empty(0, np.int64) for _ in range(3))
+            return
+        self.known, count = self.known.take(pa.array(keep)), self.count[keep]
+        self.pool = self.pool[np.repeat(self.first[keep], count) + spans(count)]
+        self.first, self.count, self.uses = np.cumsum(count) - count, count, np.zeros(len(keep), np.int64)
+
+    def _add(self, pieces: pa.Array, ids: np.ndarray, count: np.ndarray) -> None:
+        self.known = pieces if self.known is None else pa.concat_arrays([self.known, pieces])
         self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
+        self.uses = np.concatenate([self.uses, np.zeros(len(count), np.int64)])
         self.pool = np.concatenate([self.pool, ids])
 
     def _one_by_one(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -261,42 +271,81 @@ class Encoder:
         ends = np.flatnonzero(self.is_end[ids]) + 1
         return (ids, np.diff(ends, prepend=0)) if len(ends) == len(words) else self._one_by_one(words)
 
-    def _learn(self, pieces: list[str]) -> None:
-        stems = [p.rstrip(".,") for p in pieces]
-        cut = {p: (s, p[len(s) :]) for p, s in zip(pieces, stems) if s and len(s) < len(p) and s[-1].lower().isalpha()}
-        need = {x for p in pieces for x in cut.get(p, (p,)) if x not in self.known}
-        others = [x for x in need if not x.isalpha()]
-        plain = [x for x in need if x.isalpha() and x.isascii() and x.islower()]
-        words = [x for x in need if x.isalpha() and not (x.isascii() and x.islower())]
-        for tokenizer, some in ((self.plain, plain), (self.tokenizer, words)):
+    def _learn(self, pieces: pa.Array) -> pa.Array:
+        """Encode distinct pieces; they are returned in the order in which they were added."""
+        plain = pc.match_substring_regex(pieces, "^[a-z]+$")
+        rest = pieces.filter(pc.invert(plain)).to_pylist()
+        groups = (
+            (pieces.filter(plain).to_pylist(), lambda some: self._words(some, self.plain)),
+            ([x for x in rest if x.isalpha()], lambda some: self._words(some, self.tokenizer)),
+            ([x for x in rest if not x.isalpha()], self._one_by_one),
+        )
+        order = []
+        for some, encode in groups:
             for at in range(0, len(some), self.TOGETHER):
-                self._add(part := some[at : at + self.TOGETHER], *self._words(part, tokenizer))
-        if others:
-            self._add(others, *self._one_by_one(others))
-        if cut:
-            parts = np.array([[self.known[s], self.known[t]] for s, t in cut.values()]).ravel()
-            count = self.count[parts]
-            ids = self.pool[np.repeat(self.first[parts], count) + spans(count)]
-            self._add(list(cut), ids, count.reshape(-1, 2).sum(axis=1))
+                part = some[at : at + self.TOGETHER]
+                order.append(pa.array(part, pieces.type))
+                self._add(order[-1], *encode(part))
+        return pa.concat_arrays(order) if order else pieces
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the distinct pieces stand among the known ones; new ones are learned."""
+        n = len(pieces)
+        stems = pc.utf8_rtrim(pieces, characters=".,")
+        size, full = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, pieces))
+        last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+        letter = np.array([c.lower().isalpha() for c in last.dictionary.to_pylist()], dtype=bool)
+        cut = (size > 0) & (size < full)
+        cut[cut] = letter[last.indices.to_numpy(zero_copy_only=False)[cut]]
+        # a piece with full stops or commas behind a letter is its stem and that tail
+        stem, tail = stems.filter(pa.array(cut)), _tails(pieces.filter(pa.array(cut)), (full - size)[cut])
+        both = pa.concat_arrays([pieces, stem, tail])
+        place = np.full(len(both), -1, np.int64) if self.known is None else _index(both, self.known)
+        new, parts = place[:n] < 0, np.concatenate([np.flatnonzero(cut)] * 2)
+        # what is to be learned: new pieces that are not cut, and the unknown parts of new pieces that are
+        wanted = np.concatenate([new & ~cut, new[parts] & (place[n:] < 0)])
+        if wanted.any():
+            base, unknown = len(self.first), both.filter(pa.array(wanted))
+            place[wanted] = base + _index(unknown, self._learn(pc.unique(unknown)))
+        ended = np.flatnonzero(new & cut)
+        if len(ended):
+            of = place[n:].reshape(2, -1)[:, new[cut]].T.ravel()
+            count = self.count[of]
+            place[ended] = len(self.first) + np.arange(len(ended))
+            self._add(pieces.take(pa.array(ended)), self.pool[np.repeat(self.first[of], count) + spans(count)], count.reshape(-1, 2).sum(axis=1))
+        return place[:n]
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
         # special tokens are found in the text as it stands; without one, letters may be lowered first
         special = pc.any(pc.match_substring(texts, "<|")).as_py()
         codes, pieces, at = word_codes(texts, lower=not special)
-        pieces = pieces.to_pylist()
-        if len(self.known) > self.REMEMBERED:
+        if len(self.first) > self.REMEMBERED or (self.known is not None and self.known.nbytes > self.REMEMBERED_BYTES):
             self._forget()
-        new = [p for p in pieces if p not in self.known]
-        if new:
-            self._learn(new)
-        place = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[codes]
+        place = self._places(pieces)
+        self.uses[place] += 1
+        place = place[codes]
         count = self.count[place]
-        ids = self.pool[np.repeat(self.first[place], count) + spans(count)]
-        upto = np.concatenate([[0], np.cumsum(count)])[at]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.first[place] - ends[:-1], count)]
+        upto = ends[at]
         return np.insert(ids, upto[1:], end), np.diff(upto) + 1
 
 
+def _index(values: pa.Array, among: pa.Array) -> np.ndarray:
+    """Places of the values in a distinct list, -1 for those that are not there."""
+    return pc.fill_null(pc.index_in(values, value_set=among), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _tails(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    """The last ``sizes`` bytes of each value."""
+    ends = np.cumsum(pc.binary_length(values).to_numpy(zero_copy_only=False).astype(np.int64))
+    data = np.frombuffer(b"".join(pc.cast(values, pa.large_binary()).to_pylist()), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    cut = data[np.repeat(ends - sizes, sizes) + spans(sizes)]
+    return pa.LargeStringArray.from_buffers(len(values), pa.py_buffer(offsets.tobytes()), pa.py_buffer(cut.tobytes())).cast(values.type)
+
+
 def write(docs: DataFrame, tokenizer: str, vocabulary: int, end: int, folder: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode whole texts and write their ids to ``folder`` in ascending order of the integer id.
 

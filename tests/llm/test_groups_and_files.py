@@ -188,6 +188,22 @@ def test_token_file_equals_the_library(spark):
         at += len(ids)
 
 
+def test_encoder_keeps_what_comes_back(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(token_file.Encoder, "REMEMBERED", 120)
+    encoder = token_file.Encoder(open(path, encoding="utf-8").read())
+    asked, learn = [], encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda pieces: asked.extend(pieces.to_pylist()) or learn(pieces))
+    for part in range(6):
+        texts = ["often. often, seen"] + [f"once{chr(97 + part)}{chr(97 + i)}. É{part}.{i}" for i in range(25)]
+        ids, n = encoder.encode(pa.array(texts), 2)
+        ends = np.cumsum(n)
+        for t, e, k in zip(texts, ends, n):
+            assert ids[e - k : e].tolist() == tokens_of(library, t)
+    assert asked.count("seen") == asked.count("often") == 1
+
+
 def test_token_file_odd_rows(spark):
     js = open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read()
     docs = odd_docs(spark)
