@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from tapewire.plans import refresh
+from tapewire.plans import model, refresh
 from tapewire.plans.kernel import RandomFourierFeatures, kernel_svc
 
 
@@ -52,3 +52,20 @@ def test_refresh_counts_and_times_its_steps(spark, tmp_path):
     written, steps = refresh.run_refresh(tables, str(tmp_path))
     assert [(r.step, r.rows) for r in steps.collect()] == [("a", 7), ("b", 0)] and steps.where("seconds <= 0").count() == 0
     assert written["a"].count() == 7
+
+
+def test_scores_are_dealt_evenly_and_equal_the_members_own(spark):
+    rng = random.Random(4)
+    rows = [(i, float(rng.random() < 0.2), rng.random() if i % 3 else 0.0, float(i % 2)) for i in range(240)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double").coalesce(1)
+    plan = model.Plan(model.Forest(3, 3, 2), model.Boost(1, 2, 0.1), model.Boost(1, 2, 0.1))
+    absent = ("c", "d", "e")  # zeros, so that assembled vectors are sparse
+    ensemble = model.train_ensemble(df, plan, ("a", "b", *absent), "y")
+    scored = ensemble.score(df)
+    parts = scored.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sorted(r["count"] for r in parts) == [60] * 4
+    filled = df.withColumns({c: F.lit(0.0) for c in absent})
+    for member, fitted in ensemble.members.items():
+        own = {r.id: r.probability[1] for r in fitted.transform(filled).select("id", "probability").collect()}
+        got = {r.id: r.probability for r in model.probability_up(fitted, df, ensemble.features).collect()}
+        assert got == own, member
