@@ -335,3 +335,18 @@ def test_a_refresh_makes_bars_once_and_predicts_from_the_written_quotes(spark, t
     tables = {name: df for step in made for name, df in step.items()}
     assert any("/out/quotes/" in f for f in tables["predictions"].inputFiles())
     assert not any("/bars/" in f for name in ("quotes", "panel") for f in tables[name].inputFiles())
+
+
+def test_members_of_an_ensemble_score_one_vector(spark):
+    rows = [(float(i % 7) if i % 3 else None, float(i % 11), int(i % 7 > 2)) for i in range(400)]
+    df = spark.createDataFrame(rows, "a double, b double, direction_fwd int")
+    plan = model.Plan(model.Forest(3, 3, 1), model.Boost(2, 2, 0.1), model.Boost(2, 2, 0.1))
+    fitted = model.train_ensemble(df, plan, ("a", "b", "absent"))
+    single = df
+    for name, member in fitted.members.items():
+        single = model.probability_up(member, single, fitted.features, name)
+    want = model.soft_vote(single, plan.votes, "p").select("a", "b", "p")
+    got = fitted.score(df, "p")
+    assert got.columns == [*df.columns, "absent", "p"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("UDF(struct(") == 1  # one assembly
+    assert sorted(map(str, got.select("a", "b", "p").collect())) == sorted(map(str, want.collect()))

@@ -166,3 +166,47 @@ def test_technicals_share_one_sort_by_date_and_one_by_place(spark, capsys):
     bars = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
     ind.technicals(bars).explain()
     assert capsys.readouterr().out.count(" Sort ") == 2
+
+
+def test_technicals_walk_no_window_row_by_row_and_equal_the_single_indicators(spark, capsys):
+    rows = [(t, dt.date(2024, 1, 1) + dt.timedelta(days=i), 1.0, 2.0 + i % 5, 0.5, None if i % 9 == 4 else float(i * i % 17), float(i % 3)) for t, n in (("A", 45), ("B", 21), (None, 30)) for i in range(n)]
+    b = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
+    b = b.withColumn("close", F.when(F.col("ticker") == "B", 3.0).otherwise(F.col("close")))
+    want = b
+    for single in (ind.rsi, ind.bollinger_pos, ind.volume_ratio, ind.price_trend, ind.atr_pct, ind.macd_hist):
+        want = single(want)
+    want = sorted(want.select("ticker", "date", *ind.NEUTRAL).collect(), key=str)
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(size)
+    try:
+        for n in (1, 7, 10_000):  # what a window needs from the batches before is kept
+            spark.conf.set(size, n)
+            assert sorted(ind.technicals(b).collect(), key=str) == want
+    finally:
+        spark.conf.set(size, before)
+    ind.technicals(b).explain()
+    assert "specifiedwindowframe(RowFrame, -19" not in capsys.readouterr().out
+
+
+@pytest.mark.parametrize("repeated", [False, True])
+def test_a_stored_panel_makes_bars_once_and_equals_the_joined_one(spark, repeated, capsys):
+    from tapewire.plans import refresh
+
+    day = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    rows = [(t, day(i) if i else None, 1.0, 2.0 + i % 5, 0.5, float(i * i % 17 + 1), float(i % 3)) for t, n in (("A", 30), ("B", 10), (None, 25)) for i in range(n)]
+    if repeated:
+        rows += [("A", day(3), 1.0, 5.0, 0.5, 10.0, 0.0)]
+    b = spark.createDataFrame(rows, "ticker string, date date, open double, high double, low double, close double, volume double")
+    news = spark.createDataFrame(
+        [(i, "AB"[i % 2] if i % 5 else None, day(i % 8), i / 10, "high", 0.5) for i in range(20)],
+        "article_id long, ticker string, date date, sentiment_compound double, impact_level string, relevance_score double",
+    )
+    old, new = model_panel(news, b), refresh.stored_panel(news, b)
+    assert new.dtypes == old.dtypes
+    if repeated:
+        assert new.count() == old.count() == len(rows) - 2 + 8
+        return
+    new.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+    assert sorted(map(str, new.collect())) == sorted(map(str, old.collect()))

@@ -323,3 +323,14 @@ def test_whole_articles_are_scored_once_and_stored_without_the_rest_of_the_text(
     out = whole_articles(spark, str(tmp_path))
     assert out.inputFiles() == [] and "description" not in out.columns
     assert sorted(r.article_id for r in out.collect()) == [0, 1, 2]
+
+
+def test_only_lexicon_words_leave_the_row_and_a_long_lexicon_scores_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(1, "not good", "a bad day, good day"), (2, None, None), (3, "plain", "words")], "article_id long, title string, description string")
+    lexicon = spark.createDataFrame([("good", 2.0), ("bad", -1.5), ("bad", -0.5), (None, 1.0)], "token string, weight double")
+    modifiers = spark.createDataFrame([("not", -0.5)], "prev string, factor double")
+    scored = lambda: sorted(map(str, matching.sentiment_scores(df, lexicon, modifiers).collect()))
+    assert "filter(transform" in matching.sentiment_scores(df, lexicon, modifiers)._jdf.queryExecution().optimizedPlan().toString()
+    listed = scored()
+    monkeypatch.setattr(matching, "LISTED_TICKERS", 1)
+    assert scored() == listed and len(listed) == 1
