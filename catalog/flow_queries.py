@@ -635,7 +635,7 @@ def full_refresh_text_counts(spark, sf):
 # ---- models -----------------------------------------------------------------------------------------------------
 
 # What a fit gives has no SQL form: the queries return what must hold for any fit, next to the rows it was made on and measured on.
-# SMALL has 100 trees and 2 x 10 rounds; maintain takes the operators' defaults, which are the full sizes.
+# SMALL has 100 trees and 2 x 10 rounds; maintain and random_search take the operators' defaults, which are the full sizes.
 SMALL = model.Plan(model.Forest(100, 10, 10), model.Boost(10, 5, 0.1), model.Boost(10, 6, 0.1, 0.7))
 
 
@@ -816,7 +816,7 @@ def top_vote(spark, sf):
     return measured(model.evaluate(ensemble, test), F.lit(len(ensemble.members)).alias("members"))
 
 
-TRIALS = 10
+TRIALS = 30
 
 
 @query(
@@ -826,8 +826,9 @@ SELECT CAST(t AS INTEGER) AS trial, tuned_on, true AS in_range FROM tune, range(
 )
 def random_search(spark, sf):
     fit_part, tune = model.validation_slice(model.training_rows(panel(spark, sf), news_only=True), 7)
-    found = model.random_search(fit_part, tune, TRIALS, base=model.Boost(4, 3))
-    in_range = F.col("depth").between(3, 7) & F.col("rounds").between(2, 4) & F.col("subsample").between(0.6, 1) & F.col("rate").between(0.005, 0.2)
+    base = model.Boost()
+    found = model.random_search(fit_part, tune, TRIALS, base=base)
+    in_range = F.col("depth").between(3, 7) & F.col("rounds").between(base.rounds // 2, base.rounds) & F.col("subsample").between(0.6, 1) & F.col("rate").between(0.005, 0.2)
     return found.select("trial", "tuned_on", (in_range & F.col("auc").between(0, 1)).alias("in_range"))
 
 

@@ -38,6 +38,16 @@ def test_maintain_trains_the_whole_plan(spark, monkeypatch):
     assert plan == model.Plan() and (plan.forest.trees, plan.boost_a.rounds, plan.boost_b.rounds) == (400, 500, 500)
 
 
+def test_the_search_tries_all_settings_at_full_size(spark, monkeypatch):
+    monkeypatch.setattr(flow_queries, "panel", lambda spark, sf: None)
+    monkeypatch.setattr(flow_queries.model, "training_rows", lambda rows, news_only: rows)
+    monkeypatch.setattr(flow_queries.model, "validation_slice", lambda rows, days: (None, None))
+    monkeypatch.setattr(flow_queries.model, "random_search", seen)
+    with pytest.raises(Seen) as got:
+        flow_queries.random_search(spark, "")
+    assert got.value.args[0][2] == 30 and got.value.args[1]["base"] == model.Boost()
+
+
 def test_a_grown_booster_equals_the_one_of_spark_ml(spark):
     df = model._ready(rows(spark), ("a", "b", "c"), LABEL)
     e = model.boost(model.Boost(12, 3, 0.2, 1.0), LABEL, 1)
@@ -86,3 +96,10 @@ def test_edges_lie_between_values_and_share_the_rows():
     assert len(edges) == 31 and max(np.diff(edges)) <= 33
     heavy = trees._edges(np.concatenate([np.zeros(900), np.arange(124.0)]), 32)
     assert heavy[0] < 1 and len(heavy) > 1
+
+
+def test_the_search_measures_every_trial(spark):
+    df = rows(spark, 300)
+    found = model.random_search(df, df.where("a < 3"), 3, base=model.Boost(6), features=("a", "b", "c")).orderBy("trial").collect()
+    want = df.where("a < 3").count()
+    assert [r.trial for r in found] == [0, 1, 2] and {r.tuned_on for r in found} == {want} and all(0.5 < r.auc <= 1 for r in found)
