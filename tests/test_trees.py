@@ -103,3 +103,11 @@ def test_the_search_measures_every_trial(spark):
     found = model.random_search(df, df.where("a < 3"), 3, base=model.Boost(6), features=("a", "b", "c")).orderBy("trial").collect()
     want = df.where("a < 3").count()
     assert [r.trial for r in found] == [0, 1, 2] and {r.tuned_on for r in found} == {want} and all(0.5 < r.auc <= 1 for r in found)
+
+
+def test_tree_fits_do_not_pass_over_the_rows_level_by_level(spark, monkeypatch):
+    df = model._ready(rows(spark), ("a", "b", "c"), LABEL)
+    for kind in (model.RandomForestClassifier, model.GBTClassifier):
+        monkeypatch.setattr(kind, "_fit", seen)
+    for e in (model.forest(model.Forest(20, 5, 5), LABEL, 1), model.boost(model.Boost(5), LABEL, 1)):
+        assert model._fit(df, e, ("a", "b", "c"), LABEL, scale=True).stages[-1].getNumTrees in (20, 5)
