@@ -203,3 +203,11 @@ def test_titles_that_repeat_a_word_meet_once_in_a_stretch(spark, monkeypatch):
     pairs = dd.pairs_by_edits(spark.createDataFrame([(i, t.strip()) for i, t in enumerate(titles)], "article_id long, f string"), 0.85, "article_id")
     assert sorted(map(tuple, pairs.collect())) == [(0, 3)]
     assert made[1].count() < 400
+
+
+def test_titles_are_dealt_as_texts_and_cut_behind_that(spark, monkeypatch):
+    dealt, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "repartition", lambda self, *args, real=kind.repartition: dealt.append(self.dtypes) or real(self, *args))
+    titles = spark.createDataFrame([(1, "a title of some length"), (2, "a title of some lengths"), (3, "something else altogether")], "article_id long, f string")
+    assert [tuple(r) for r in dd.pairs_by_edits(titles, 0.85, "article_id").collect()] == [(1, 2)]
+    assert dealt and not any(t.startswith("array") for columns in dealt for _, t in columns)
