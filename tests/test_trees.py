@@ -111,3 +111,14 @@ def test_tree_fits_do_not_pass_over_the_rows_level_by_level(spark, monkeypatch):
         monkeypatch.setattr(kind, "_fit", seen)
     for e in (model.forest(model.Forest(20, 5, 5), LABEL, 1), model.boost(model.Boost(5), LABEL, 1)):
         assert model._fit(df, e, ("a", "b", "c"), LABEL, scale=True).stages[-1].getNumTrees in (20, 5)
+
+
+def test_a_comparison_stores_its_rows_once(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(model, "_ready", lambda *args, real=model._ready: made.append(args) or real(*args))
+    df = rows(spark, 300)
+    models = {k: v for k, v in model.baselines(4, 2, 3, features=("a", "b", "c")).items() if k in ("forest", "boosted", "logistic")}
+    table, fitted = model.compare(df, df, models, ("a", "b", "c"))
+    found = table.collect()
+    assert len(made) == 1 and {r.model for r in found} == set(models) == set(fitted) and sum(r.is_best for r in found) == 1
+    assert {r.tp + r.fp + r.fn + r.tn for r in found} == {300}
